@@ -106,6 +106,12 @@ def cascade(rules: list[Rule]) -> Column:
     return first
 
 
+def held(test: Column) -> Column:
+    """test, as a value that filters aren't pushed below. Pushed down, a filter would write out the expressions of the
+    columns it reads once for each use, within loops over words too; a row number in the projection prevents it."""
+    return test & (F.monotonically_increasing_id() >= 0)
+
+
 def judge(spark: SparkSession, docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """docs(doc_id, text, ...): a row for each row of docs with doc_id, the base counts, base_failed and kept.
 
@@ -115,11 +121,11 @@ def judge(spark: SparkSession, docs: DataFrame, rules: list[Rule] | None = None)
     df = with_base(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")))
     ordered = order_rules(spark, df, rules or default_rules())
     kept = F.when(F.col("base_failed"), False).otherwise(cascade(ordered).isNull())
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", held(F.col("base_failed")).alias("base_failed"), held(kept).alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The rows of docs that judge() keeps, in docs' columns, which may have any names."""
     df = with_base(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs["text"].alias("_text")), "_text")
     ordered = order_rules(spark, df.drop("_doc"), rules or default_rules("_text"))
-    return df.where(~F.col("base_failed")).where(cascade(ordered).isNull()).select("_doc.*")
+    return df.withColumn("_kept", held(~F.col("base_failed") & cascade(ordered).isNull())).where("_kept").select("_doc.*")

@@ -183,7 +183,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int
             if writer is None:
                 fs, path = open_fs(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                file = fs.open_output_stream(path)
+                file = fs.open_output_stream(path, compression=None)
                 words, writer = Words(tokenizer, dtype), Writer(file, dtype.itemsize)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts(batch.column("text")))):
                 writer.add(doc_id, ids + end)

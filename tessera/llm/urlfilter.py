@@ -95,6 +95,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, redirects: DataFrame | No
     s = Scratch(spark)
     base = pages.select(F.col("page_id").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("_name"), node_of(link_of(F.col("html"))).alias("_to"))
     base = base.withColumns({"node": F.when(F.col("_name").isNotNull(), F.xxhash64("_name")), "to": F.when(F.col("_to").isNotNull(), F.xxhash64("_to")), "_row": F.monotonically_increasing_id()}).drop("_name", "_to")
+    if len(rules) > INLINE_RULES:
+        base = s.table(base, "numbered")  # rules are then joined by row number
     judged = s.table(match_rules(base, rules, "_row"), "judged")
     edges = judged.select(F.col("node").alias("a"), F.col("to").alias("b"))
     if redirects is not None:

@@ -90,7 +90,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, leas
             if out is None:
                 fs, path = open_fs(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(path, buffer_size=1 << 20)
+                out = fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
             data, off = utf8(batch.column("html"))
             view = memoryview(data)
             for k, (page_id, url, refers_to) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to")))):
