@@ -150,7 +150,9 @@ def records(file, with_data: bool) -> Iterator[dict]:
     """A row for each chunk of each record's payload; one with chunk 0 for an empty one."""
     src = Inflated(file)
     while (head := src.until(b"\r\n\r\n")) is not None:
-        h = fields_of(head.lstrip(b"\r\n"))
+        if not head.strip():  # what ends a record
+            continue
+        h = fields_of(head)
         left = int(h["content-length"])
         http = b""
         if h.get("content-type", "").startswith("application/http"):
