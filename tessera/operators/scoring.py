@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ class MlpScorer:
         return out
 
     def score(self, lines: DataFrame) -> DataFrame:
-        import pandas as pd
-
         held = lines.sparkSession.sparkContext.broadcast(self.layers())
 
         @F.pandas_udf("double")
