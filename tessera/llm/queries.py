@@ -65,4 +65,34 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_url_filter, op4_decontamination, op5_quality, op6_token_counts, op7_mixing, op8_line_dedup, op9_token_files, op10_jaccard_join)}
 
-ORACLES: dict[str, str] = {}
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BASE32 = "list_aggregate(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(h, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), 'string_agg', '')"
+
+ORACLES: dict[str, str] = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS b, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(b)::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op4_decontamination": r"""WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS k FROM b, LATERAL (SELECT unnest(range(0, greatest(1, len(w) - 9))) AS i) WHERE len(w) > 0), sizes AS (SELECT DISTINCT n FROM win),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS k FROM d, sizes, LATERAL (SELECT unnest(range(0, len(w) - n + 1)) AS i)),
+hit AS (SELECT doc_id, i, dw.n, item FROM dw JOIN win USING (k) WHERE dw.n = win.n), words AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_quality": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS k FROM d, LATERAL (SELECT unnest(range(0, len(w) - 4)) AS i)), rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY doc_id),
+m AS (SELECT doc_id, text, w, l, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols > 0.25 * n_words OR n_dup_lines > 0.5 * len(l) OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR len(regexp_extract_all(text, '!')) > 0.5 * n_words
+OR len(regexp_extract_all(text, '\\p{{Lu}}')) > 0.7 * len(regexp_extract_all(text, '\\p{{L}}')) OR len(list_filter(range(2, n_words + 1), lambda i: w[i] = w[i - 1])) > 0.5 * n_words) AS kept FROM f""",
+    "op8_line_dedup": f"""WITH x AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT source, trim(unnest(l), {SPACES}) AS line FROM x WHERE source IS NOT NULL),
+bad AS (SELECT line FROM u WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 5), lines AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM x), j AS (SELECT lines.*, trim(lines.line, {SPACES}) AS t, bad.line IS NOT NULL AS gone FROM lines LEFT JOIN bad ON bad.line = trim(lines.line, {SPACES}))
+SELECT doc_id, count(CASE WHEN t <> '' THEN 1 END)::BIGINT AS n_lines, count(CASE WHEN gone THEN 1 END)::BIGINT AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS text_sha256 FROM j GROUP BY doc_id""",
+    "op10_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + least(5, len(w))], ' ') AS k FROM d, LATERAL (SELECT unnest(range(0, greatest(1, len(w) - 4))) AS i) WHERE len(w) > 0), n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (k) WHERE x.doc_id < y.doc_id GROUP BY ALL), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL""",
+}
