@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -52,6 +53,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def give_back() -> None:
+    """Workers are used again by later stages: hands memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """A file system for a URI, and the path on it: file, S3, GCS or HDFS."""
     if "://" not in uri:

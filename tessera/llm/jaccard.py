@@ -8,9 +8,10 @@ frequent ones, on more than RARE classes. Rare tokens are indexed singly. Freque
 and pairs of a bucket's tokens are indexed; the prefix is extended until, with d tokens missing, some rare token or some
 bucket's pair still remains: u + rare + sum over buckets of max(0, tokens - 1) >= d + 1.
 
-Nothing is listed pair by pair. Each index entry links its members to one hub, which is verified; the classes that this
-joins are contracted, and only pairs of an entry that lie in different components, and that sizes and lone tokens don't
-rule out, are then listed and verified. No link between components is lost, so components are exact.
+Each index entry links its members to one hub, which is verified, and the classes that this joins are contracted. Only
+members of an entry that then lie in different components are looked at again: in small entries pair by pair, but for
+pairs that sizes and lone tokens rule out; in large ones by blocks, with matrix products. No link between components is
+lost, so components are exact.
 """
 
 from __future__ import annotations
@@ -22,73 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, utf8
+from .common import Scratch, give_back, small_batches, utf8
 from .components import connected_components
+from .wordhash import FACTORS, MIX, PIECE, stir, word_hashes, word_spans
 
 SHINGLE = 5
 #: A token on more classes than this is frequent.
 RARE = 32
 #: A chunk of documents sends no postings of a token that more than so many of its classes have: it is frequent anyway.
 LOCAL = 64
-#: Text bytes whose tokens are sorted together in a task, and those hashed at once.
-CHUNK_BYTES = 24 << 20
-PIECE = 2 << 20
+#: Text bytes whose tokens are sorted together in a task.
+CHUNK_BYTES = 8 << 20
+#: Sets, and bytes of their tokens, in a block of a crowd.
+BLOCK_SETS = 512
+BLOCK_BYTES = 1 << 21
 #: Token postings that a range of hashes should hold on average.
-RANGE_TOKENS = 3_000_000
-
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-SPACES = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
-MIX = np.uint64(0x9E3779B97F4A7C15)
-FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-
-
-def stir(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit over all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-BYTE = stir(np.arange(1, 257, dtype=np.uint64) * MIX)
-_BASE, _BACK = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for name, b in (("up", _BASE), ("down", _BACK)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
-
-
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts that lie one after another, the hash of each word, and the number of words of each text."""
-    space = SPACES[data]
-    n = len(data)
-    opens, closes = ~space, ~space
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    opens[1:] &= space[:-1] | edge[1:n]
-    closes[:-1] &= space[1:] | edge[1:n]
-    first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    out = np.empty(len(first), np.uint64)
-    a = 0
-    while a < len(first):  # in pieces that end with a word
-        b = max(a + 1, int(np.searchsorted(last, first[a] + PIECE, "right")))
-        lo, hi = int(first[a]), int(last[b - 1])
-        up, down = powers(max(PIECE, hi - lo) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[LOWER[data[lo:hi]]] * up[: hi - lo])))
-        f, e = first[a:b] - lo, last[a:b] - lo
-        out[a:b] = stir((sums[e] - sums[f]) * down[f] + (e - f).astype(np.uint64) * MIX)
-        a = b
-    return out, np.searchsorted(first, off[1:]) - np.searchsorted(first, off[:-1])
-
+RANGE_TOKENS = 1_500_000
 
 def token_sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
     """Of each text its tokens' hashes, sorted and distinct. Fewer words than five are one token, none are no token."""
-    words, counts = word_hashes(data, off)
+    first, last, counts = word_spans(data, off)
+    words = word_hashes(data, first, last)
     at = np.concatenate(([0], np.cumsum(counts)))
     if len(words) >= SHINGLE:
         k = len(words) - SHINGLE + 1
@@ -132,7 +87,7 @@ def u64(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint64)
 
 
-def poster(bits: int):
+def poster(bits: int, local: int, chunk_bytes: int):
     """Sends, for each chunk of documents, a row for each range of token hashes (their highest `bits` bits), and a row for
     each class with the tokens that are frequent within the chunk."""
 
@@ -150,9 +105,9 @@ def poster(bits: int):
         tokens, doc = tokens[new], doc[new]
         head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
         count = np.diff(np.append(head, len(tokens)))
-        hot = np.repeat(count > LOCAL, count)
+        hot = np.repeat(count > local, count)
         kept = np.bincount(doc, minlength=len(keys))
-        hot_tokens = tokens[head[count > LOCAL]]
+        hot_tokens = tokens[head[count > local]]
         rows = {c: [] for c in ("key", "n", "kept", "rng", "tok", "doc", "docs", "hot")}
 
         def row(**v):
@@ -191,15 +146,17 @@ def poster(bits: int):
                 if len(t):
                     held.setdefault(set_key(t), t)
             size += len(data)
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield from flush(held)
                 held, size = {}, 0
         yield from flush(held)
+        held.clear()
+        give_back()
 
     return run
 
 
-def shared_tokens(table: pa.Table) -> pa.Table:
+def shared_tokens(table: pa.Table, rare_most: int) -> pa.Table:
     """A range's postings: for each class its tokens that another class has too, and whether each is frequent."""
     rng = table.column("rng")[0].as_py()
     if rng is None:  # classes' own rows pass through
@@ -219,7 +176,7 @@ def shared_tokens(table: pa.Table) -> pa.Table:
     tok, key = tok[new], key[new]
     head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.empty(0, np.int64)
     count = np.repeat(np.diff(np.append(head, len(tok))), np.diff(np.append(head, len(tok)))) if len(tok) else np.empty(0, np.int64)
-    often = (count > RARE) | np.isin(tok, hot)
+    often = (count > rare_most) | np.isin(tok, hot)
     use = often | (count > 1)
     tok, key, often = tok[use], key[use], often[use]
     full = (np.uint64(rng) << np.uint64(32)) | tok.astype(np.uint64)
@@ -229,6 +186,7 @@ def shared_tokens(table: pa.Table) -> pa.Table:
     ends = np.append(cut[1:], len(key))
     rare = [full[a:b][~often[a:b]].tobytes() for a, b in zip(cut, ends)]
     freq = [full[a:b][often[a:b]].tobytes() for a, b in zip(cut, ends)]
+    give_back()
     none = pa.nulls(len(cut), pa.int64())
     return pa.table({"key": pa.array(key[cut] if len(cut) else [], pa.int64()), "n": none, "kept": none, "hot": pa.nulls(len(cut), pa.binary()), "rare": pa.array(rare, pa.binary()), "freq": pa.array(freq, pa.binary())})
 
@@ -305,7 +263,68 @@ def links(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").mapInArrow(verify, "a long, b long")
 
 
-def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def crowd_links(spark: SparkSession, s: Scratch, crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components among the members of large entries: crowd(key, hub, comp).
+
+    Entries that overlap make a crowd. Its members are dealt by hash to blocks of bounded size, those of its largest
+    component and the others apart, and blocks are compared by matrix products: each block of others with every block. So
+    the rows are blocks and links, not pairs, and pairs within the largest component aren't looked at.
+    """
+    cluster = connected_components(spark, crowd.select(F.col("key").alias("a"), F.col("hub").alias("b"))).toDF("key", "cluster")
+    member = s.table(crowd.select("key", "comp").distinct().join(cluster, "key"), "member")
+    most = member.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    member = member.join(s.table(most, "main"), "cluster").withColumn("other", F.col("comp") != F.col("main")).drop("main")
+    member = s.table(member.join(sets.select("key", "n", "tokens"), "key"), "sets")
+    count = member.groupBy("cluster", "other").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.length("tokens")) / BLOCK_BYTES)).alias("blocks"))
+    count = s.table(count, "block_counts")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    blocks = member.join(count, ["cluster", "other"]).withColumn("block", block).groupBy("cluster", "other", "block").agg(F.collect_list(F.struct("key", "n", "comp", "tokens")).alias("sets"))
+    blocks = s.table(blocks, "blocks")
+    ids = blocks.select("cluster", "other", "block")
+    left = ids.where("other").select("cluster", F.col("block").alias("i"))
+    right = ids.select("cluster", F.col("other").alias("o"), F.col("block").alias("j"))
+    both = s.table(left.join(right, "cluster").where("not o or j >= i"), "block_pairs")
+    held = blocks.select(F.col("cluster"), F.col("block").alias("i"), F.col("sets").alias("left")).where("other")
+    met = both.join(held, ["cluster", "i"]).join(blocks.select("cluster", F.col("other").alias("o"), F.col("block").alias("j"), F.col("sets").alias("right")), ["cluster", "o", "j"])
+    return s.table(met.select("left", "right").mapInArrow(compare_blocks, "a long, b long"), "crowd_links")
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of sets the links between components: of each set on the left one with each component on the right."""
+    for b in batches:
+        for x, y in zip(b.column("left"), b.column("right")):
+            found = block_links(x.as_py(), y.as_py())
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+
+def block_links(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
+    def unrolled(sets: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        tokens = [u64(r["tokens"]) for r in sets]
+        return np.concatenate(tokens), np.repeat(np.arange(len(sets)), [len(t) for t in tokens])
+
+    (tx, rx), (ty, ry) = unrolled(x), unrolled(y)
+    shared = np.intersect1d(tx, ty)
+    both = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, len(shared), 2048):
+        some = shared[a : a + 2048]
+        dense = []
+        for t, r, n in ((tx, rx, len(x)), (ty, ry, len(y))):
+            at = np.minimum(np.searchsorted(some, t), len(some) - 1)
+            use = some[at] == t
+            m = np.zeros((n, len(some)), np.float32)
+            m[r[use], at[use]] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    both = both.astype(np.int64)
+    size = np.array([r["n"] for r in x])[:, None] + np.array([r["n"] for r in y])[None, :]
+    link = (100 * both >= 80 * (size - both)) & (np.array([r["comp"] for r in x])[:, None] != np.array([r["comp"] for r in y])[None, :])
+    out = {}
+    for i, j in zip(*np.nonzero(link)):
+        out[x[i]["key"], y[j]["comp"]] = (x[i]["key"], y[j]["key"])
+    return list(out.values())
+
+
+def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: int = LOCAL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs(doc_id, text, ...): a row for each row of docs: (doc_id, n_shingles, component_id).
 
     n_shingles: distinct five-word shingles, A-Z in lower case; fewer words are one shingle. component_id: the smallest
@@ -322,11 +341,11 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     bits = 6
     while bits < 24 and total >> bits > RANGE_TOKENS:
         bits += 1
-    posted = rows.mapInArrow(poster(bits), "key long, n long, kept long, rng int, tok binary, doc binary, docs binary, hot binary")
+    posted = rows.mapInArrow(poster(bits, local, chunk_bytes), "key long, n long, kept long, rng int, tok binary, doc binary, docs binary, hot binary")
     # One shuffle deals both kinds of rows: blocks of postings by range, and the classes' own rows by class.
     own = F.when(F.col("rng").isNull(), F.pmod("key", F.lit(1 << bits)) - (1 << bits))
     group = F.coalesce(own, F.col("rng").cast("long"))
-    shared = posted.groupBy(group.alias("g")).applyInArrow(shared_tokens, "key long, n long, kept long, hot binary, rare binary, freq binary")
+    shared = posted.groupBy(group.alias("g")).applyInArrow(lambda t: shared_tokens(t, rare), "key long, n long, kept long, hot binary, rare binary, freq binary")
     shared = s.table(shared, "shared")
     own = shared.where("n is not null").groupBy("key").agg(F.max("n").alias("n"), F.max("kept").alias("kept"), F.max("hot").alias("hot"))
     parts = shared.where("n is null").groupBy("key").agg(F.collect_list(F.struct("rare", "freq")).alias("parts"))
@@ -337,22 +356,27 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # The hub of an entry: the class with the smallest share of lone tokens, the likeliest original of its copies.
     rank = F.struct((-F.col("lone") / F.col("n")).alias("r"), (-F.col("key")).alias("k"))
     hubs = entries.groupBy("sig").agg(F.max_by(F.struct("key", "n", "lone"), rank).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    hubs = s.table(hubs.select("sig", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.lone").alias("hub_lone")), "hubs")
+    hubs = s.table(hubs.select("sig", "m", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.lone").alias("hub_lone")), "hubs")
     met = entries.join(hubs, "sig")
     met = s.table(met, "met")
     star = met.where("key <> hub").where(could_link(F.col("n"), F.col("hub_n"), F.col("lone"), F.col("hub_lone"))).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     star = s.table(star, "star")
     linked = s.table(links(spark, star, indexed), "linked")
     comp = connected_components(spark, linked)
-    # Entries whose members still lie in several components: their pairs between components, but for those seen.
-    where = met.select("sig", "key", "n", "lone").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    # Entries whose members still lie in several components.
+    where = met.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     where = s.table(where, "where")
     open_ = where.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
     rest = s.table(where.join(s.table(open_, "open"), "sig"), "rest")
-    other = rest.select("sig", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "lone", "comp")))
-    pairs = rest.join(other, "sig").where("key < key2 and comp <> comp2").where(could_link(F.col("n"), F.col("n2"), F.col("lone"), F.col("lone2"))).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
+    # Of small entries, the pairs between components, but for those that sizes and lone tokens rule out or that were seen.
+    few = rest.where(F.col("m") <= rare)
+    other = few.select("sig", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "lone", "comp")))
+    pairs = few.join(other, "sig").where("key < key2 and comp <> comp2").where(could_link(F.col("n"), F.col("n2"), F.col("lone"), F.col("lone2"))).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = s.table(links(spark, pairs.join(seen, ["a", "b"], "left_anti"), indexed), "more")
+    crowd = s.table(rest.where(F.col("m") > rare).select("key", "hub", "comp").distinct(), "crowd")
+    if not crowd.isEmpty():
+        more = more.union(crowd_links(spark, s, crowd, indexed))
     if not more.isEmpty():
         comp = connected_components(spark, linked.union(more))
     # From classes to documents: the smallest doc_id of all classes of a component.

@@ -10,6 +10,7 @@ ids and lengths that the writer returns as rows, and at the end of the file as t
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,57 +22,129 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, new_path, open_fs, small_batches, texts
+from .common import Scratch, give_back, new_path, open_fs, small_batches, utf8
+from .wordhash import word_hashes, word_spans
 
 MAGIC = b"TSRTOK01"
 BLOCK = 1 << 17
 END_ID = 1
-#: Entries of a worker's table of known words; it is emptied when it is full.
-KNOWN_WORDS = 400_000
+#: Entries of a worker's tables of known words and stems; one is emptied when it is full.
+KNOWN_WORDS = 2_000_000
+KNOWN_STEMS = 200_000
 
 
-class Words(dict):
-    """Ids of each word between ASCII white space, as bytes. The tokenizer drops white space and never looks across it,
-    so a text's ids are its words' ids in a row."""
+class Words:
+    """The ids of words between ASCII white space, by the hash of the word. The tokenizer drops white space and never looks
+    across it, so a text's ids are its words' ids in a row. It lowers A-Z itself, and so do the hashes; texts that may hold
+    a special token, which is told by its case, are encoded whole."""
+
+    #: Words of these letters are one piece to the tokenizer, whose last token alone bears an end mark.
+    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    #: A word and the marks after it, which never join: the tokenizer splits letters and digits from symbols.
+    STEM = re.compile(rb"((?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&()*+,\-./:;=?@\[\]^_`{}~|]*)")
+    JOINED = 64
 
     def __init__(self, path: str, dtype: np.dtype):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok, self.dtype = Tokenizer.from_file(path), dtype
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > KNOWN_WORDS:
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for piece, i in self.tok.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and their words' places
+        self.stems: dict[bytes, bytes] = {}
+        self.store, self.start, self.size, self.used = np.empty(1 << 20, self.dtype), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        out = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in out]
+
+    def learn_stems(self, stems: list[bytes]) -> None:
+        """Many plain words are encoded in one text and told apart by the end marks."""
+        plain = [w for w in stems if self.PLAIN.fullmatch(w)]
+        rows = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
+        width = self.dtype.itemsize
+        for row, e in zip(rows, self.tok.encode_batch_fast([b" ".join(r).decode() for r in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(cut) != len(row):
+                raise ValueError("the tokenizer doesn't mark the ends of words")
+            data, a = ids.tobytes(), 0
+            for w, b in zip(row, cut):
+                self.stems[w] = data[a:b]
+                a = b
+        rest = [w for w in stems if not self.PLAIN.fullmatch(w)]
+        self.stems.update(zip(rest, self.encode(rest)))
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words: of a stem and the marks after it, or of the whole."""
+        if len(self.stems) > KNOWN_STEMS:
+            self.stems.clear()
+        found = list(map(self.STEM.fullmatch, words))
+        parts = [m.groups() if m else None for m in found]
+        need = {p for pair in parts if pair for p in pair}
+        need.discard(b"")
+        self.learn_stems(list(need.difference(self.stems)))
+        alone = iter(self.encode([w for w, p in zip(words, parts) if p is None]))
+        get = self.stems.get
+        return [next(alone) if p is None else get(p[0]) + get(p[1], b"") for p in parts]
+
+    def add(self, hashes: np.ndarray, at: np.ndarray, words: list[bytes]) -> None:
+        """New words, in the order of their hashes, and where these go among the known ones."""
+        ids = self.learn(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        data = np.frombuffer(b"".join(ids), self.dtype)
+        k, n = len(self.known), len(words)
+        while self.used + len(data) > len(self.store):
+            self.store = np.concatenate((self.store, np.empty_like(self.store)))
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
+        self.store[self.used : self.used + len(data)] = data
+        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[k : k + n] = sizes
+        self.used += len(data)
+        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, np.arange(k, k + n))
+
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of each text's."""
+        if b"<|" in data.tobytes():
+            rows = self.encode([data[a:b].tobytes() for a, b in zip(off[:-1], off[1:])])
+            return np.frombuffer(b"".join(rows), self.dtype), np.array([len(r) // self.dtype.itemsize for r in rows], np.int64)
+        first, last, counts = word_spans(data, off)
+        hashes, at, back = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > KNOWN_WORDS:
             self.clear()
-        todo = list(words)
-        for w, e in zip(todo, self.tok.encode_batch([w.decode() for w in todo], add_special_tokens=False)):
-            self[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def ids(self, batch: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in batch]
-        new = set()
-        for words in split:
-            new.update(words)
-        if missing := new.difference(self):
-            self.learn(missing)
-            if len(self) < len(new):  # the table was emptied: the known ones of this batch went too
-                self.learn(new.difference(self))
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        spot = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = spot < len(self.known)
+        new[inside] = self.known[spot[inside]] != hashes[inside]
+        if new.any():
+            raw = data.tobytes()
+            self.add(hashes[new], spot[new], [raw[a:b].lower() for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist())])
+        place = self.place[np.searchsorted(self.known, hashes)][back]
+        size, start = self.size[place], self.start[place]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.store[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        words = np.concatenate(([0], np.cumsum(counts)))
+        return ids, ends[words[1:]] - ends[words[:-1]]
 
 
 def pack(ids: np.ndarray, width: int, level: int) -> list[bytes]:
-    """The compressed bit planes of a chunk, the lowest bit of each byte last."""
-    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, width), axis=1)
+    """The compressed bit planes of a chunk, the lowest bit first."""
+    x = ids.view(f"<u{width}")
     c = zstandard.ZstdCompressor(level=level)
-    return [c.compress(np.packbits(plane).tobytes()) for plane in bits.T]
+    return [c.compress(np.packbits((x >> k).astype(np.uint8) & 1).tobytes()) for k in range(8 * width)]
 
 
 def unpack(planes: list[bytes], n: int, width: int) -> np.ndarray:
     d = zstandard.ZstdDecompressor()
-    size = -(-n // 8)
-    bits = np.stack([np.unpackbits(np.frombuffer(d.decompress(p, max_output_size=size), np.uint8), count=n) for p in planes])
-    return np.packbits(bits.T, axis=1).reshape(-1).view(f"<u{width}")
+    out = np.zeros(n, f"<u{width}")
+    for k, p in enumerate(planes):
+        plane = d.decompress(p, max_output_size=-(-n // 8))
+        out |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n).astype(out.dtype) << out.dtype.type(k)
+    return out
 
 
 class Writer:
@@ -185,12 +258,17 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 file = fs.open_output_stream(path, compression=None)
                 words, writer = Words(tokenizer, dtype), Writer(file, dtype.itemsize)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts(batch.column("text")))):
-                writer.add(doc_id, ids + end)
-                n_docs, n = n_docs + 1, n + len(ids) // dtype.itemsize + 1
+            ids, counts = words.ids(*utf8(batch.column("text")))
+            data, a = ids.tobytes(), 0
+            for doc_id, size in zip(batch.column("doc_id").to_pylist(), (counts * dtype.itemsize).tolist()):
+                writer.add(doc_id, data[a : a + size] + end)
+                a += size
+            n_docs, n = n_docs + len(counts), n + len(ids) + len(counts)
         if writer is not None:
             writer.close()
             file.close()
+            words = writer = None
+            give_back()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [name], "n_docs": [n_docs], "n_tokens": [n]})
 
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

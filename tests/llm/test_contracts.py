@@ -159,10 +159,8 @@ def test_jaccard_indexes_find_all(spark, monkeypatch):
                 t[r.randrange(len(t))] = r.choice("abcdefgh") * 2
             texts.append(" ".join(t[: len(t) - r.randint(0, 2)]))
     df, rows = docs_of(spark, texts)
-    monkeypatch.setattr(jaccard, "RARE", 2)
-    monkeypatch.setattr(jaccard, "LOCAL", 3)
-    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 3000)
-    same(got(jaccard.components(spark, df), "doc_id", "n_shingles", "component_id"), brute.jaccard([(d, t) for d, t, _ in rows]))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    same(got(jaccard.components(spark, df, rare=2, local=3, chunk_bytes=3000), "doc_id", "n_shingles", "component_id"), brute.jaccard([(d, t) for d, t, _ in rows]))
 
 
 @BOTH
