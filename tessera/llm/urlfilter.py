@@ -40,27 +40,85 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """The name under which a url stands for its redirect class: without scheme, fragment, tracking parameters and last
-    slash, with the host in lower case. Null for a url without ://."""
+    slash, with the host in lower case and no . or .. segments. Null for a url without ://."""
     rest = F.regexp_replace(after_scheme(url), r"#.*$", "")
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
     query = F.regexp_replace(F.regexp_replace(query, r"(^|&)(?:utm_[a-z]+|fbclid|gclid)=[^&]*", ""), r"^&", "")
-    name = F.concat(host_of(url), F.regexp_replace(path_of(url), r"/$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    name = F.concat(host_of(url), F.regexp_replace(without_dots(path_of(url)), r"/$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(rest.isNotNull(), name)
 
 
-def link_of(html: Column) -> Column:
-    """The absolute target of a page's canonical link or immediate refresh; null without one."""
-    tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    href = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*([^\"'\s>]+)", 1)
-    has = F.lower(html)
-    return F.coalesce(
-        F.when(F.contains(has, F.lit("canonical")), F.when(F.instr(href, "://") > 0, F.replace(href, F.lit("&amp;"), F.lit("&")))),
-        F.when(F.contains(has, F.lit("refresh")), F.when(F.instr(to, "://") > 0, F.replace(to, F.lit("&amp;"), F.lit("&")))),
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)).otherwise(F.array_append(a, x))
+    segments = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(segments, "/")).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as an absolute url, on a page of url base. Null for a scheme without :// (mailto:), or without ://
+    in base if the target needs it."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(base), r"^[^/?#]*", 0))
+    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.instr(base, "://") == 0, F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("#"), base)
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), target))
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, without white space around it and line breaks in it; empty without one."""
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>]+))"""
+    value = F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+    return F.trim(F.translate(F.replace(value, F.lit("&amp;"), F.lit("&")), "\t\n\r", ""))
+
+
+def first_of(tags: Column, value) -> Column:
+    """The first value of the tags that isn't empty; null without one."""
+    return F.get(F.filter(F.transform(tags, value), lambda v: v != ""), F.lit(0))
+
+
+def refresh_of(tag: Column) -> Column:
+    """The target of content="0; url=target", in quotes or not; without a whole attribute, what follows url= in the tag."""
+    rest = F.regexp_extract(attribute(tag, "content"), r"(?is)^\s*[0-9.]*\s*[;,]?\s*(?:url\s*=\s*)?(.*)$", 1)
+    quoted = F.concat(F.regexp_extract(rest, r"""(?s)^"([^"]*)""", 1), F.regexp_extract(rest, "(?s)^'([^']*)", 1))
+    to = F.trim(F.when(rest.rlike("^[\"']"), quoted).otherwise(rest))
+    loose = F.regexp_extract(tag, r"""(?is)(?<![\w-])url\s*=\s*["']?([^"'\s>]+)""", 1)
+    return F.when(to != "", to).otherwise(F.replace(loose, F.lit("&amp;"), F.lit("&")))
+
+
+def links_of(html: Column) -> Column:
+    """The targets of a page's canonical link and of its refresh, as they are written: the first of each that has one."""
+    rel = r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|["']?canonical(?![\w-]))"""
+    link = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*+>"), F.lit(0)), lambda t: t.rlike(rel))
+    meta = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*+>"), F.lit(0)), lambda t: t.rlike(r"""(?is)(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""))
+    has = F.lower(html)
+    canonical = F.when(F.contains(has, F.lit("canonical")), first_of(link, lambda t: attribute(t, "href")))
+    refresh = F.when(F.contains(has, F.lit("refresh")), first_of(meta, refresh_of))
+    return F.filter(F.array(canonical, refresh), lambda t: t.isNotNull())
+
+
+def base_of(html: Column) -> Column:
+    """The href of a page's base tag; null without one."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<base\b[^>]*+>"), F.lit(0))
+    return F.when(F.contains(F.lower(html), F.lit("<base")), first_of(tags, lambda t: attribute(t, "href")))
+
+
+def link_edges(judged: DataFrame) -> DataFrame:
+    """judged(node, targets, base_url, base_href): an edge (a, b) for each target that resolves."""
+    rows = judged.where("size(targets) > 0").select("node", "base_url", "base_href", F.explode("targets").alias("target"))
+    rows = rows.withColumn("base", F.coalesce(resolved(F.col("base_url"), F.col("base_href")), "base_url"))
+    rows = rows.withColumn("to", resolved(F.col("base"), F.col("target"))).withColumn("name", node_of(F.col("to")))
+    return rows.where("node is not null and name is not null").select(F.col("node").alias("a"), F.xxhash64("name").alias("b"))
+
+
 def match_rules(df: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFrame:
     """df(key, host, path, ...) with rule and action: the longest rule whose host is df's host or a parent domain of it
     and whose path is a prefix of df's path. Of equal rules with both actions, allow wins. Null without a rule."""
@@ -87,18 +145,21 @@ def match_rules(df: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFr
 def filter_urls(spark: SparkSession, pages: DataFrame, redirects: DataFrame | None = None, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """pages(page_id, url, html, ...): (page_id, host, path, rule, verdict, class_id), a row for each row of pages.
 
-    redirects(from_url, to_url) adds edges to the canonical links in html. verdict: the rule's action; else allow if the
+    Edges are the canonical links and refreshes in html, resolved against the page's url or its base tag, and
+    redirects(from_url, to_url). verdict: the rule's action; else allow if the
     class holds an allowed page, block if it holds a blocked one, allow if neither. A null url, or one without ://, has
     empty host and path, is in no class and is allowed. A null html has no link. Repeated rows are each judged. Other
     columns are ignored, so their names can't clash. An empty table gives an empty result.
     """
     s = Scratch(spark)
-    base = pages.select(F.col("page_id").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("_name"), node_of(link_of(F.col("html"))).alias("_to"))
-    base = base.withColumns({"node": F.when(F.col("_name").isNotNull(), F.xxhash64("_name")), "to": F.when(F.col("_to").isNotNull(), F.xxhash64("_to")), "_row": F.monotonically_increasing_id()}).drop("_name", "_to")
+    url, html = F.col("url"), F.col("html")
+    base = pages.select(F.col("page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("_name"), url.alias("base_url"), html.alias("_html"), links_of(html).alias("targets"))
+    some = F.size("targets") > 0
+    base = base.withColumns({"node": F.when(F.col("_name").isNotNull(), F.xxhash64("_name")), "base_url": F.when(some, F.col("base_url")), "base_href": F.when(some, base_of(F.col("_html"))), "_row": F.monotonically_increasing_id()}).drop("_name", "_html")
     if len(rules) > INLINE_RULES:
         base = s.table(base, "numbered")  # rules are then joined by row number
     judged = s.table(match_rules(base, rules, "_row"), "judged")
-    edges = judged.select(F.col("node").alias("a"), F.col("to").alias("b"))
+    edges = link_edges(judged)
     if redirects is not None:
         edges = edges.union(redirects.select(F.xxhash64(node_of(F.col("from_url"))).alias("a"), F.xxhash64(node_of(F.col("to_url"))).alias("b")))
     comp = connected_components(spark, edges)

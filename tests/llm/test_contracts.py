@@ -306,6 +306,32 @@ def test_url_filter(spark, tiny, edge):
         assert [out[p]["verdict"] for p in (7, 8, 9, 10, 11, 12, 3, 4)] == ["block"] * 3 + ["allow", "allow", "block", "allow", "allow"]
 
 
+def test_url_filter_resolves_links(spark):
+    """Aliases of blocked pages whose links are relative, or are refreshes beside a canonical link: all blocked."""
+    blocked, own = "http://example.com/en/8", "http://example.com/fr/d/p?q=1"
+    canonical = '<link rel="canonical" href="%s">'
+    pages = [
+        (own, canonical % "/en/8"),
+        ("http://b.fr/1", canonical % "//example.com/en/8"),
+        ("http://example.com/fr/d/2", "<link rel=canonical href='../../en/./8/'>"),
+        ("http://example.com/fr/3", '<meta http-equiv="refresh" content="0; url=/en/8">'),
+        ("http://b.fr/4", canonical % "http://b.fr/self" + """<META content="5;URL='http://example.com/en/8'" http-equiv=Refresh>"""),
+        ("http://b.fr/5", '<link rel="alternate canonical" hreflang="x" href="http://example.com/en/8">'),
+        ("http://b.fr/6", "<link rel='canonical'>" + canonical % " http://example.com/en/8\n"),
+        ("http://b.fr/7", '<base href="//example.com/en/x">' + canonical % "8"),
+        ("http://example.com/en", canonical % "en/8"),
+    ]
+    others = [
+        ("http://c.fr/1", '<link rel="canonical-not" href="http://example.com/en/8"><link data-rel="canonical" href="http://example.com/en/8">'),
+        ("http://c.fr/2", canonical % "mailto:a@example.com/en/8" + '<meta http-equiv="refresh" content="30">'),
+        ("http://c.fr/3", canonical % "/go?u=http://example.com/en/8"),
+        ("no scheme", canonical % "/en/8"),
+    ]
+    rows = [(0, blocked, None)] + [(1 + k, *p) for k, p in enumerate(pages)] + [(100 + k, *p) for k, p in enumerate(others)]
+    out = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {p: "allow" if p >= 100 else "block" for p, _, _ in rows}
+
+
 def test_many_rules(spark, tiny, monkeypatch):
     df, _ = pages_of(spark, tiny, True)
     a = got(urlfilter.filter_urls(spark, df), "page_id", "rule", "verdict")
