@@ -15,12 +15,22 @@ from pyspark.sql import functions as F
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: How many code points before and after a span are searched for context words.
 NEAR = 40
+#: How many code points from its head on a match may have: 34 with spaces between, and one that ends it.
+REACH = 80
+#: The length of an IBAN by its country's code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 @dataclass(frozen=True)
 class Kind:
     """hint: a pattern found in any text that has a match; it spares the others the full search. confirms: of a match,
-    whether it holds. score: of a confirmed match; plus 0.3 with a context word near. context: a pattern of such words."""
+    whether it holds. score: of a confirmed match; plus 0.3 with a context word near. context: a pattern of such words.
+    whole: if set, pattern finds a match's head only, and the match is what this finds from there on in REACH code points."""
 
     name: str
     pattern: str
@@ -28,6 +38,7 @@ class Kind:
     confirms: object
     score: float
     context: str
+    whole: str = ""
 
 
 def digits(m: Column) -> Column:
@@ -53,6 +64,13 @@ def mod97(m: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
+def iban_form() -> str:
+    """A listed country's IBAN has its length, whatever follows after a space; of another code the whole run is taken."""
+    listed = [f"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    known = "|".join("|".join(codes.split()) for codes in IBAN_LENGTHS.values())
+    return rf"^(?:{'|'.join(listed)}|(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+
+
 #: The base kinds, in their order; a match counts if it is confirmed, at any score.
 BASE = [
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, r"(?i)mail|contact|write"),
@@ -62,7 +80,7 @@ BASE = [
 ]
 #: What the method adds; a match counts if it is confirmed and its score reaches THRESHOLD.
 ADDED = [
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", mod97, 0.8, r"(?i)iban|account|bank|konto"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", r"[A-Z]{2}[0-9]{2}", mod97, 0.8, r"(?i)iban|account|bank|konto", iban_form()),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", lambda m: F.lit(True), 0.4, r"(?i)ssn|social|security|tax"),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])", r"[A-Fa-f0-9]{32}", lambda m: F.lit(True), 0.3, r"(?i)token|secret|passw|api.?key|bearer"),
 ]
@@ -80,6 +98,8 @@ def with_kind(df: DataFrame, text: str, kind: Kind, base: bool) -> DataFrame:
     # Offsets of the matches: few in a text, so that growing the array by one costs little.
     step = lambda a, i: F.struct((a["at"] + F.get("_gap", i) + F.length(F.get("_m", i))).alias("at"), F.array_append(a["starts"], a["at"] + F.get("_gap", i)).alias("starts"))
     df = df.withColumn("_at", F.when(F.size("_m") > 0, F.aggregate(F.sequence(F.lit(0), F.size("_m") - 1), start, step, lambda a: a["starts"])))
+    if kind.whole:
+        df = df.withColumn("_m", F.transform("_m", lambda m, i: F.regexp_extract(F.substr(doc, F.get("_at", i) + 1, F.lit(REACH)), kind.whole, 0)))
     near = lambda at, m: F.concat(F.substr(doc, F.greatest(at + 1 - NEAR, F.lit(1)), F.least(at, F.lit(NEAR))), F.lit(" "), F.substr(doc, at + F.length(m) + 1, F.lit(NEAR)))
     spans = F.transform("_m", lambda m, i: F.when(kind.confirms(m), F.struct(F.get("_at", i).alias("start"), (F.get("_at", i) + F.length(m)).alias("end"), (F.lit(kind.score) + F.when(near(F.get("_at", i), m).rlike(kind.context), 0.3).otherwise(0.0)).alias("score"))))
     least = 0.0 if base else THRESHOLD
@@ -92,7 +112,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty, and an empty one has no span. Repeated rows are each searched. Other columns are ignored,
     so their names can't clash. An empty table gives an empty result. Equal starts can't occur within a kind; kinds may
-    overlap each other.
+    overlap each other, and so may two IBANs.
     """
     df = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     for kind in BASE:
