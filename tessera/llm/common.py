@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 
 import numpy as np
@@ -10,12 +11,18 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED = "file:///tmp/checkpoints"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a default where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Unset, a temporary folder of this machine where Spark
+    runs in one process on it (tests), and an error elsewhere."""
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        held = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        spark.conf.set("spark.checkpoint.dir", held)
+    return held.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,9 +53,14 @@ class Scratch:
         for name in names:
             drop_path(self.spark, self.paths.pop(name))
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, on which a result still depends."""
+        self.drop(*(set(self.paths) - set(names)))
+
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that Python workers get; texts may be very long."""
+    """Bound the Arrow batches that Python workers get; texts may be very long. Spark reads these settings when a result is
+    computed, after the operator has returned, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -83,6 +95,10 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw, off - (off[0] if len(off) else 0)
 
 
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def texts(col: pa.Array) -> list[bytes]:
     """The rows of a string column as bytes; a null row is empty."""
     data, off = utf8(col)

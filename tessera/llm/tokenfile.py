@@ -22,21 +22,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, new_path, open_fs, small_batches, utf8
-from .wordhash import word_hashes, word_spans
+from .common import Scratch, give_back, new_path, open_fs, partitions, small_batches, texts
 
 MAGIC = b"TSRTOK01"
 BLOCK = 1 << 17
 END_ID = 1
-#: Entries of a worker's tables of known words and stems; one is emptied when it is full.
-KNOWN_WORDS = 2_000_000
+#: Entries of a worker's tables of known words and stems, and the bytes of a word in them at most; one is emptied when it is
+#: full, and longer words are encoded each time.
+KNOWN_WORDS = 500_000
 KNOWN_STEMS = 200_000
+KNOWN_BYTES = 64
+
+
+def splits_at_space(config: dict) -> bool:
+    """Whether a tokenizer lowers its text, drops white space and never looks across it, so that a text's ids are its lower
+    words' ids in a row."""
+    normal = [n.get("type") for n in (config.get("normalizer") or {}).get("normalizers", [])]
+    first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return normal == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
 
 
 class Words:
-    """The ids of words between ASCII white space, by the hash of the word. The tokenizer drops white space and never looks
-    across it, so a text's ids are its words' ids in a row. It lowers A-Z itself, and so do the hashes; texts that may hold
-    a special token, which is told by its case, are encoded whole."""
+    """The ids of texts. Where the tokenizer splits at white space, those of known words are looked up by the word; texts
+    that hold an added token, and all texts of another tokenizer, are encoded whole."""
 
     #: Words of these letters are one piece to the tokenizer, whose last token alone bears an end mark.
     PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -48,87 +56,73 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok, self.dtype = Tokenizer.from_file(path), dtype
+        config = json.loads(self.tok.to_str())
+        self.by_word = splits_at_space(config)
+        self.added = [t["content"].encode() for t in config.get("added_tokens") or []]
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[[i for piece, i in self.tok.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and their words' places
+        self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
-        self.store, self.start, self.size, self.used = np.empty(1 << 20, self.dtype), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
+    def whole(self, words: list[bytes]) -> list[bytes]:
         out = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in out]
 
     def learn_stems(self, stems: list[bytes]) -> None:
         """Many plain words are encoded in one text and told apart by the end marks."""
         plain = [w for w in stems if self.PLAIN.fullmatch(w)]
+        rest = [w for w in stems if not self.PLAIN.fullmatch(w)]
         rows = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
         width = self.dtype.itemsize
         for row, e in zip(rows, self.tok.encode_batch_fast([b" ".join(r).decode() for r in rows], add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
             cut = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             if len(cut) != len(row):
-                raise ValueError("the tokenizer doesn't mark the ends of words")
+                rest += row
+                continue
             data, a = ids.tobytes(), 0
             for w, b in zip(row, cut):
                 self.stems[w] = data[a:b]
                 a = b
-        rest = [w for w in stems if not self.PLAIN.fullmatch(w)]
-        self.stems.update(zip(rest, self.encode(rest)))
+        self.stems.update(zip(rest, self.whole(rest)))
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words: of a stem and the marks after it, or of the whole."""
         if len(self.stems) > KNOWN_STEMS:
             self.stems.clear()
-        found = list(map(self.STEM.fullmatch, words))
-        parts = [m.groups() if m else None for m in found]
+        if len(self.known) + len(words) > KNOWN_WORDS:
+            self.known.clear()
+        parts = [m.groups() if len(w) <= KNOWN_BYTES and (m := self.STEM.fullmatch(w)) else None for w in words]
         need = {p for pair in parts if pair for p in pair}
         need.discard(b"")
         self.learn_stems(list(need.difference(self.stems)))
-        alone = iter(self.encode([w for w, p in zip(words, parts) if p is None]))
+        alone = iter(self.whole([w for w, p in zip(words, parts) if p is None]))
         get = self.stems.get
-        return [next(alone) if p is None else get(p[0]) + get(p[1], b"") for p in parts]
-
-    def add(self, hashes: np.ndarray, at: np.ndarray, words: list[bytes]) -> None:
-        """New words, in the order of their hashes, and where these go among the known ones."""
-        ids = self.learn(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        data = np.frombuffer(b"".join(ids), self.dtype)
-        k, n = len(self.known), len(words)
-        while self.used + len(data) > len(self.store):
-            self.store = np.concatenate((self.store, np.empty_like(self.store)))
-        while k + n > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
-        self.store[self.used : self.used + len(data)] = data
-        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.size[k : k + n] = sizes
-        self.used += len(data)
-        self.known, self.place = np.insert(self.known, at, hashes), np.insert(self.place, at, np.arange(k, k + n))
-
-    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and the number of each text's."""
-        if b"<|" in data.tobytes():
-            rows = self.encode([data[a:b].tobytes() for a, b in zip(off[:-1], off[1:])])
-            return np.frombuffer(b"".join(rows), self.dtype), np.array([len(r) // self.dtype.itemsize for r in rows], np.int64)
-        first, last, counts = word_spans(data, off)
-        hashes, at, back = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > KNOWN_WORDS:
-            self.clear()
-        spot = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = spot < len(self.known)
-        new[inside] = self.known[spot[inside]] != hashes[inside]
-        if new.any():
-            raw = data.tobytes()
-            self.add(hashes[new], spot[new], [raw[a:b].lower() for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist())])
-        place = self.place[np.searchsorted(self.known, hashes)][back]
-        size, start = self.size[place], self.start[place]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        ids = self.store[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-        words = np.concatenate(([0], np.cumsum(counts)))
-        return ids, ends[words[1:]] - ends[words[:-1]]
+        ids = dict(zip(words, [next(alone) if p is None else get(p[0]) + get(p[1], b"") for p in parts]))
+        self.known.update(ids if max(map(len, words), default=0) <= KNOWN_BYTES else {w: i for w, i in ids.items() if len(w) <= KNOWN_BYTES})
+        return ids
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes | None] = [None] * len(texts)
+        apart = [k for k, t in enumerate(texts) if not self.by_word or any(a in t for a in self.added)]
+        for k, ids in zip(apart, self.whole([texts[k] for k in apart])):
+            out[k] = ids
+        held, new = [], {}
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                words = t.lower().split()
+                ids = list(map(self.known.get, words))
+                if None in ids:
+                    new.update((w, None) for w, i in zip(words, ids) if i is None)
+                    held.append((k, words, ids))
+                else:
+                    out[k] = b"".join(ids)
+        if held:
+            new = self.learn(list(new))
+            for k, words, ids in held:
+                out[k] = b"".join([i if i is not None else new[w] for w, i in zip(words, ids)])
+        return out
 
 
 def pack(ids: np.ndarray, width: int, level: int) -> list[bytes]:
@@ -216,26 +210,34 @@ class Reader:
         return unpack([self.file.read(s) for s in sizes], n, self.width)
 
     def each_doc(self) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
-        """Of each document its id and its ids, piece by piece."""
+        """Of each document its id and its ids, piece by piece; the pieces that aren't taken are skipped."""
         ids, lengths = self.docs()
         k, held, pos = -1, np.empty(0, np.uint8), 0
-        for doc_id, n in zip(ids, lengths.tolist()):
-            pieces = []
+
+        def pieces(n: int) -> Iterator[np.ndarray]:
+            nonlocal k, held, pos
             while n:
                 if pos == len(held):
                     k, pos = k + 1, 0
                     held = self.chunk(k)
-                take = min(n, len(held) - pos)
-                pieces.append(held[pos : pos + take])
-                pos, n = pos + take, n - take
-            yield doc_id, pieces
+                a = pos
+                take = min(n, len(held) - a)
+                pos, n = a + take, n - take
+                yield held[a : a + take]
+
+        for doc_id, n in zip(ids, lengths.tolist()):
+            own = pieces(n)
+            yield doc_id, own
+            for _ in own:
+                pass
 
 
 def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int = 49_408, folder: str | None = None, parts: int | None = None) -> DataFrame:
     """docs(doc_id, text, ...): writes each text's ids and END_ID, in ascending doc_id order (null first), to files in the
     shared folder, and returns their manifest (part, path, n_docs, n_tokens), kept as a table there.
 
-    A null text counts as empty and gives END_ID alone. Rows with the same doc_id are all written, ordered by the text.
+    A null text counts as empty and gives END_ID alone. Rows with the same doc_id, or none, are all written, by a hash of the
+    text, then the text, and may lie in several files.
     A task writes a file of its own name, so the files of failed or repeated attempts are in no manifest. Other columns
     are ignored. An empty table gives no file.
     """
@@ -258,12 +260,9 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 file = fs.open_output_stream(path, compression=None)
                 words, writer = Words(tokenizer, dtype), Writer(file, dtype.itemsize)
-            ids, counts = words.ids(*utf8(batch.column("text")))
-            data, a = ids.tobytes(), 0
-            for doc_id, size in zip(batch.column("doc_id").to_pylist(), (counts * dtype.itemsize).tolist()):
-                writer.add(doc_id, data[a : a + size] + end)
-                a += size
-            n_docs, n = n_docs + len(counts), n + len(ids) + len(counts)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts(batch.column("text")))):
+                writer.add(doc_id, ids + end)
+                n_docs, n = n_docs + 1, n + len(ids) // dtype.itemsize + 1
         if writer is not None:
             writer.close()
             file.close()
@@ -271,9 +270,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int
             give_back()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [name], "n_docs": [n_docs], "n_tokens": [n]})
 
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("_h"))
+    rows = rows.repartitionByRange(parts or partitions(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
     return Scratch(spark).table(rows.mapInArrow(encode, "part int, path string, n_docs long, n_tokens long"), "manifest")
 
 
