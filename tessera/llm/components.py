@@ -9,7 +9,8 @@ from .common import Scratch
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """edges(a, b): longs. Returns (node, comp): comp is the smallest node reachable; nodes without an edge to another are absent.
+    """edges(a, b): of one type that Spark orders. Returns (node, comp): comp is the smallest node reachable; nodes without an
+    edge to another are absent.
 
     Each round every node points to its smallest neighbour (an aggregate with map-side combining, so that a node with very
     many edges costs a row a task), pointers are followed to their roots by doubling, and the edges are drawn between
@@ -49,4 +50,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             s.drop(f"label{n - 1}")
         s.drop(f"up{n}.{step}")
     s.drop(f"edges{n}")
-    return label if label is not None else spark.createDataFrame([], "node long, comp long")
+    if label is None:
+        kind = edges.schema["a"].dataType.simpleString()
+        return spark.createDataFrame([], f"node {kind}, comp {kind}")
+    return label

@@ -8,6 +8,11 @@ frequent ones, on more than RARE classes. Rare tokens are indexed singly. Freque
 and pairs of a bucket's tokens are indexed; the prefix is extended until, with d tokens missing, some rare token or some
 bucket's pair still remains: u + rare + sum over buckets of max(0, tokens - 1) >= d + 1.
 
+To learn which tokens are rare, each chunk of documents deals its tokens to ranges of their hashes. A range holds a
+bounded number of tokens; where that takes more than 2^COARSE ranges, tokens are dealt in two steps, the second of which
+packs the rows of many chunks anew, so that rows stay long. Either step takes out the tokens that it meets often: they
+are frequent anyway, and no token's postings can fill a range.
+
 Each index entry links its members to one hub, which is verified, and the classes that this joins are contracted. Only
 members of an entry that then lie in different components are looked at again: in small entries pair by pair, but for
 pairs that sizes and lone tokens rule out; in large ones by blocks, with matrix products. No link between components is
@@ -16,34 +21,39 @@ lost, so components are exact.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, small_batches, utf8
+from .common import Scratch, give_back, partitions, small_batches, utf8
 from .components import connected_components
 from .wordhash import FACTORS, MIX, PIECE, stir, word_hashes, word_spans
 
 SHINGLE = 5
 #: A token on more classes than this is frequent.
 RARE = 32
-#: A chunk of documents sends no postings of a token that more than so many of its classes have: it is frequent anyway.
+#: Postings of a token that more than so many classes of a chunk have are not sent: it is frequent anyway.
 LOCAL = 64
-#: Text bytes whose tokens are sorted together in a task.
+#: Text bytes whose tokens are sorted together in a task, and tokens that are when they are dealt a second time.
 CHUNK_BYTES = 8 << 20
+CHUNK_TOKENS = 1 << 20
 #: Sets, and bytes of their tokens, in a block of a crowd.
 BLOCK_SETS = 512
 BLOCK_BYTES = 1 << 21
-#: Token postings that a range of hashes should hold on average.
-RANGE_TOKENS = 1_500_000
+#: Tokens that a range of hashes should hold on average; log2 of the ranges to which documents' chunks deal them.
+RANGE_TOKENS = 1_000_000
+COARSE = 12
+
 
-def token_sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+def token_sets(data: np.ndarray, off: np.ndarray, seed: int) -> Iterator[np.ndarray]:
     """Of each text its tokens' hashes, sorted and distinct. Fewer words than five are one token, none are no token."""
     first, last, counts = word_spans(data, off)
-    words = word_hashes(data, first, last)
+    words = word_hashes(data, first, last, seed)
     at = np.concatenate(([0], np.cumsum(counts)))
     if len(words) >= SHINGLE:
         k = len(words) - SHINGLE + 1
@@ -77,118 +87,177 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
             a = b
 
 
-def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, data, off in slices(batches):
-        sets = [(len(t), set_key(t) if len(t) else None) for t in token_sets(data, off)]
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([n for n, _ in sets], pa.int64()), "key": pa.array([k for _, k in sets], pa.int64())})
+def keyed(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(t), set_key(t) if len(t) else None) for _, data, off in slices([batch]) for t in token_sets(data, off, seed)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())], ["doc_id", "h", "n", "key"])
+
+    return run
 
 
 def u64(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint64)
 
 
-def poster(bits: int, local: int, chunk_bytes: int):
-    """Sends, for each chunk of documents, a row for each range of token hashes (their highest `bits` bits), and a row for
-    each class with the tokens that are frequent within the chunk."""
-
-    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not sets:
-            return
-        keys, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(t) for t in sets.values()])
-        low = np.uint64(32 - bits)
-        tokens = np.concatenate(list(sets.values())) >> low  # bits + 32 bits of each hash
-        doc = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, doc = tokens[order], doc[order]
-        new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-        new |= np.concatenate(([True], doc[1:] != doc[:-1]))  # two tokens of a set may share the bits kept
-        tokens, doc = tokens[new], doc[new]
-        head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        count = np.diff(np.append(head, len(tokens)))
-        hot = np.repeat(count > local, count)
-        kept = np.bincount(doc, minlength=len(keys))
-        hot_tokens = tokens[head[count > local]]
-        rows = {c: [] for c in ("key", "n", "kept", "rng", "tok", "doc", "docs", "hot")}
+def pack(tokens: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, byte plane by byte plane: what differs little compresses well."""
+    return np.concatenate((tokens[:1], np.diff(tokens))).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().cumsum(dtype=np.uint64)
+
+
+def range_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits) if bits else np.zeros(len(tokens), np.uint64)).astype(np.int64)
+
+
+POSTED = {"key": pa.int64(), "n": pa.int64(), "rng": pa.int32(), "tok": pa.binary(), "doc": pa.binary(), "docs": pa.binary(), "hot": pa.binary()}
+
+
+class Dealer:
+    """Deals postings to ranges: gathers rows (POSTED) and hands them on in batches."""
 
-        def row(**v):
-            for c in rows:
-                rows[c].append(v.get(c))
+    def __init__(self, bits: int, local: int):
+        self.bits, self.local = bits, local
+        self.rows: list[dict] = []
 
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in self.rows], t) for c, t in POSTED.items()], list(POSTED))
+        self.rows = []
+        return out
+
+    def deal(self, tokens: np.ndarray, doc: np.ndarray, keys: np.ndarray, sizes: np.ndarray | None, hot_tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """tokens in order, and for each the place in keys of a class that has it. A row for each class, with its size and
+        its hot tokens (without sizes, only where it has some), and one for each range that gets any."""
+        head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+        count = np.diff(np.append(head, len(tokens)))
+        often = (count > self.local) | np.isin(tokens[head], hot_tokens)
+        hot_tokens = np.union1d(hot_tokens, tokens[head[often]])
+        hot = np.repeat(often, count)
         by = np.argsort(doc[hot], kind="stable")
         hd, ht = doc[hot][by], tokens[hot][by]
         cut = np.searchsorted(hd, np.arange(len(keys) + 1))
-        for k, (key, n, m) in enumerate(zip(keys.tolist(), sizes.tolist(), kept.tolist())):
-            row(key=key, n=n, kept=m, hot=ht[cut[k] : cut[k + 1]].tobytes())
+        for k in range(len(keys)) if sizes is not None else np.flatnonzero(np.diff(cut)).tolist():
+            self.rows.append({"key": int(keys[k]), "n": None if sizes is None else int(sizes[k]), "hot": ht[cut[k] : cut[k + 1]].tobytes()})
         tokens, doc = tokens[~hot], doc[~hot]
-        bound = np.searchsorted(tokens >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-        hot_bound = np.searchsorted(hot_tokens >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for r in range(1 << bits):
-            a, b = bound[r], bound[r + 1]
-            h = hot_tokens[hot_bound[r] : hot_bound[r + 1]]
-            if a < b or len(h):
-                some, place = np.unique(doc[a:b], return_inverse=True)
-                place = place.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32)
-                row(rng=r, tok=tokens[a:b].astype(np.uint32).tobytes(), doc=place.tobytes(), docs=keys[some].tobytes(), hot=h.astype(np.uint32).tobytes())
-            if len(rows["key"]) >= 64 and rows["rng"][-1] is not None:
-                yield batch(rows)
-                rows.update({c: [] for c in rows})
-        yield batch(rows)
-
-    def batch(rows: dict) -> pa.RecordBatch:
-        types = {"key": pa.int64(), "n": pa.int64(), "kept": pa.int64(), "rng": pa.int32()}
-        names = ["key", "n", "kept", "rng", "tok", "doc", "docs", "hot"]
-        return pa.RecordBatch.from_arrays([pa.array(rows[c], types.get(c, pa.binary())) for c in names], names)
+        rng, hot_rng = range_of(tokens, self.bits), range_of(hot_tokens, self.bits)
+        used = np.union1d(rng, hot_rng)
+        at = [np.searchsorted(x, used, side) for x in (rng, hot_rng) for side in ("left", "right")]
+        for r, a, b, c, d in zip(used.tolist(), *at):
+            some, place = np.unique(doc[a:b], return_inverse=True)
+            place = place.astype(np.uint16 if len(some) <= 1 << 16 else np.uint32)
+            self.rows.append({"rng": r, "tok": pack(tokens[a:b]), "doc": place.tobytes(), "docs": keys[some].tobytes(), "hot": hot_tokens[c:d].tobytes()})
+            if len(self.rows) >= 64:
+                yield self.batch()
+        if self.rows:
+            yield self.batch()
+
+
+def poster(seed: int, bits: int, local: int, chunk_bytes: int):
+    """Deals the tokens of each chunk of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        dealer, held, size = Dealer(bits, local), {}, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                sizes = np.array([len(t) for t in held.values()])
+                tokens = np.concatenate(list(held.values()))
+                order = np.argsort(tokens, kind="stable")
+                doc = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
+                yield from dealer.deal(tokens[order], doc[order], np.fromiter(held, np.int64, len(held)), sizes, np.empty(0, np.uint64))
+
         for _, data, off in slices(batches):
-            for t in token_sets(data, off):
+            for t in token_sets(data, off, seed):
                 if len(t):
                     held.setdefault(set_key(t), t)
             size += len(data)
             if size >= chunk_bytes:
-                yield from flush(held)
+                yield from flush()
                 held, size = {}, 0
-        yield from flush(held)
+        yield from flush()
         held.clear()
         give_back()
 
     return run
 
 
-def shared_tokens(table: pa.Table, rare_most: int) -> pa.Table:
-    """A range's postings: for each class its tokens that another class has too, and whether each is frequent."""
-    rng = table.column("rng")[0].as_py()
-    if rng is None:  # classes' own rows pass through
-        none = pa.nulls(len(table), pa.binary())
-        return pa.table({"key": table.column("key"), "n": table.column("n"), "kept": table.column("kept"), "hot": table.column("hot"), "rare": none, "freq": none})
-    toks, keys, hots = [], [], []
-    for tok, doc, docs, hot in zip(*(table.column(c).to_pylist() for c in ("tok", "doc", "docs", "hot"))):
-        t, names = np.frombuffer(tok, np.uint32), np.frombuffer(docs, np.int64)
-        toks.append(t)
-        keys.append(names[np.frombuffer(doc, np.uint16 if len(names) <= 1 << 16 else np.uint32)])
-        hots.append(np.frombuffer(hot, np.uint32))
-    tok, key, hot = np.concatenate(toks), np.concatenate(keys), np.unique(np.concatenate(hots))
+def postings(tok: bytes, doc: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A row's tokens, and the class of each."""
+    names = np.frombuffer(docs, np.int64)
+    return unpack(tok), names[np.frombuffer(doc, np.uint16 if len(names) <= 1 << 16 else np.uint32)]
+
+
+def merged(toks: list[np.ndarray], keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Postings in order, each once: copies of a document lie in several chunks."""
+    tok, key = np.concatenate(toks), np.concatenate(keys)
     order = np.lexsort((key, tok))
     tok, key = tok[order], key[order]
     new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])  # copies in several chunks
-    tok, key = tok[new], key[new]
+    new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
+    return tok[new], key[new]
+
+
+def redealer(bits: int, local: int, chunk_tokens: int):
+    """Deals rows of coarse ranges, of which a task has some, to fine ones; the classes' own rows pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(bits, local)
+        held: dict[int, list] = {}
+
+        def flush(r: int) -> Iterator[pa.RecordBatch]:
+            toks, keys, hots, _ = held.pop(r)
+            tok, key = merged(toks, keys)
+            names, doc = np.unique(key, return_inverse=True)
+            yield from dealer.deal(tok, doc.astype(np.uint32), names, None, np.unique(np.concatenate(hots)))
+
+        for b in batches:
+            own = pc.is_null(b.column("rng"))
+            if pc.any(own).as_py():
+                yield b.filter(own)
+            for r, *row, hot in zip(*(b.column(c).to_pylist() for c in ("rng", "tok", "doc", "docs", "hot"))):
+                if r is not None:
+                    t, k = postings(*row)
+                    x = held.setdefault(r, [[], [], [], 0])
+                    x[0].append(t)
+                    x[1].append(k)
+                    x[2].append(u64(hot))
+                    x[3] += len(t)
+                    if x[3] >= chunk_tokens:
+                        yield from flush(r)
+        for r in list(held):
+            yield from flush(r)
+
+    return run
+
+
+def shared_tokens(table: pa.Table, rare_most: int) -> pa.Table:
+    """A range's postings: for each class its tokens that another class has too, and whether each is frequent."""
+    if table.column("rng")[0].as_py() is None:  # classes' own rows pass through, and those with hot tokens only
+        size = table.column("n")
+        whole = pc.is_valid(size)
+        none = pa.nulls(len(table), pa.binary())
+        empty = pa.array([b""] * len(table), pa.binary())
+        hot = table.column("hot")
+        return pa.table({"key": table.column("key"), "n": size, "hot": pc.if_else(whole, hot, none), "rare": pc.if_else(whole, none, empty), "freq": pc.if_else(whole, none, hot)})
+    rows = [postings(*r) for r in zip(*(table.column(c).to_pylist() for c in ("tok", "doc", "docs")))]
+    tok, key = merged([t for t, _ in rows], [k for _, k in rows])
+    hot = np.unique(np.concatenate([u64(h) for h in table.column("hot").to_pylist()]))
     head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.empty(0, np.int64)
-    count = np.repeat(np.diff(np.append(head, len(tok))), np.diff(np.append(head, len(tok)))) if len(tok) else np.empty(0, np.int64)
-    often = (count > rare_most) | np.isin(tok, hot)
-    use = often | (count > 1)
+    count = np.diff(np.append(head, len(tok)))
+    often = np.repeat((count > rare_most) | np.isin(tok[head], hot), count)
+    use = often | (np.repeat(count, count) > 1)
     tok, key, often = tok[use], key[use], often[use]
-    full = (np.uint64(rng) << np.uint64(32)) | tok.astype(np.uint64)
     order = np.argsort(key, kind="stable")
-    full, key, often = full[order], key[order], often[order]
+    tok, key, often = tok[order], key[order], often[order]
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     ends = np.append(cut[1:], len(key))
-    rare = [full[a:b][~often[a:b]].tobytes() for a, b in zip(cut, ends)]
-    freq = [full[a:b][often[a:b]].tobytes() for a, b in zip(cut, ends)]
+    rare = [tok[a:b][~often[a:b]].tobytes() for a, b in zip(cut, ends)]
+    freq = [tok[a:b][often[a:b]].tobytes() for a, b in zip(cut, ends)]
     give_back()
-    none = pa.nulls(len(cut), pa.int64())
-    return pa.table({"key": pa.array(key[cut] if len(cut) else [], pa.int64()), "n": none, "kept": none, "hot": pa.nulls(len(cut), pa.binary()), "rare": pa.array(rare, pa.binary()), "freq": pa.array(freq, pa.binary())})
+    return pa.table({"key": pa.array(key[cut] if len(cut) else [], pa.int64()), "n": pa.nulls(len(cut), pa.int64()), "hot": pa.nulls(len(cut), pa.binary()), "rare": pa.array(rare, pa.binary()), "freq": pa.array(freq, pa.binary())})
 
 
 def missing(n: int) -> int:
@@ -229,11 +298,11 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each class: its entries in the index, and all its shared tokens."""
     for b in batches:
         cols: dict[str, list] = {"sigs": [], "tokens": [], "lone": []}
-        for n, kept, hot, parts in zip(*(b.column(c).to_pylist() for c in ("n", "kept", "hot", "parts"))):
+        for n, hot, parts in zip(*(b.column(c).to_pylist() for c in ("n", "hot", "parts"))):
             rare = u64(b"".join(p["rare"] for p in parts))
             freq = np.union1d(u64(b"".join(p["freq"] for p in parts)), u64(hot or b""))
             rare = np.setdiff1d(rare, freq)
-            lone = kept - (len(rare) + len(freq))
+            lone = n - (len(rare) + len(freq))
             s = signatures(n, lone, rare, freq)
             cols["sigs"].append(s.view(np.int64))
             cols["tokens"].append(np.union1d(rare, freq).tobytes() if len(s) else b"")
@@ -263,27 +332,50 @@ def links(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").mapInArrow(verify, "a long, b long")
 
 
+def blocks_of(s: Scratch, member: DataFrame) -> DataFrame:
+    """member(key, cluster, other, place, n, tokens, ...) with `block`, a number: sets of one place lie together, a place of
+    many is cut by the sets' names, and small ones share a block, so that blocks are of bounded size."""
+    many = lambda sets, size: F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(size / BLOCK_BYTES))
+    cells = member.groupBy("cluster", "other", "place").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("tokens")).alias("size"))
+    cells = s.table(cells.withColumn("cut", many(F.col("sets"), F.col("size"))), "cells")
+    packs = cells.where("cut = 1").groupBy("cluster", "other").agg(many(F.sum("sets"), F.sum("size")).alias("packs"))
+    cells = cells.select("cluster", "other", "place", "cut").join(packs, ["cluster", "other"], "left")
+    block = F.when(F.col("cut") > 1, F.xxhash64("place", F.pmod(F.xxhash64("key"), F.col("cut")))).otherwise(F.pmod(F.xxhash64("place"), F.col("packs")))
+    return member.join(cells, ["cluster", "other", "place"]).withColumn("block", block).drop("cut", "packs")
+
+
+def block_pairs(s: Scratch, crowd: DataFrame, member: DataFrame) -> DataFrame:
+    """(cluster, i, o, j): each block i of others with the blocks that may have a partner of its sets, those that share an
+    entry. Where entries overlap so much that listing them costs more, all blocks of the cluster."""
+    ids = s.table(member.select("cluster", "other", "block").distinct(), "block_ids")
+    whole = ids.groupBy("cluster").agg((F.count_if("other") * F.count(F.lit(1))).alias("all"))
+    spread = crowd.select("sig", "key").join(member.select("key", "cluster", "other", "block"), "key").groupBy("cluster", "sig").agg(F.collect_set(F.struct("other", "block")).alias("b"))
+    spread = s.table(spread.withColumn("listed", F.size(F.filter("b", lambda x: x["other"])) * F.size("b")), "spread")
+    cost = s.table(spread.groupBy("cluster").agg(F.sum("listed").alias("listed")).join(whole, "cluster"), "cost")
+    some = spread.join(cost.where("listed < all").select("cluster"), "cluster").select("cluster", F.explode(F.filter("b", lambda x: x["other"])).alias("x"), "b").select("cluster", "x", F.explode("b").alias("y"))
+    some = some.select("cluster", F.col("x.block").alias("i"), F.col("y.other").alias("o"), F.col("y.block").alias("j")).where("not o or j >= i").distinct()
+    dense = ids.join(cost.where("listed >= all").select("cluster"), "cluster")
+    left = dense.where("other").select("cluster", F.col("block").alias("i"))
+    right = dense.select("cluster", F.col("other").alias("o"), F.col("block").alias("j"))
+    return some.union(left.join(right, "cluster").where("not o or j >= i").select("cluster", "i", "o", "j"))
+
+
 def crowd_links(spark: SparkSession, s: Scratch, crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components among the members of large entries: crowd(key, hub, comp).
+    """Links between components among the members of large entries: crowd(sig, key, hub, comp).
 
-    Entries that overlap make a crowd. Its members are dealt by hash to blocks of bounded size, those of its largest
-    component and the others apart, and blocks are compared by matrix products: each block of others with every block. So
-    the rows are blocks and links, not pairs, and pairs within the largest component aren't looked at.
+    Entries that overlap make a crowd. Its members are dealt to blocks of bounded size by the smallest of their entries,
+    those of its largest component and the others apart. Each block of others is compared by matrix products with the
+    blocks that share an entry with it. So the rows are blocks and links, not pairs, and pairs within the largest component
+    aren't looked at.
     """
-    cluster = connected_components(spark, crowd.select(F.col("key").alias("a"), F.col("hub").alias("b"))).toDF("key", "cluster")
-    member = s.table(crowd.select("key", "comp").distinct().join(cluster, "key"), "member")
+    cluster = connected_components(spark, crowd.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()).toDF("key", "cluster")
+    member = s.table(crowd.groupBy("key").agg(F.min("sig").alias("place"), F.min("comp").alias("comp")).join(cluster, "key"), "member")
     most = member.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     member = member.join(s.table(most, "main"), "cluster").withColumn("other", F.col("comp") != F.col("main")).drop("main")
     member = s.table(member.join(sets.select("key", "n", "tokens"), "key"), "sets")
-    count = member.groupBy("cluster", "other").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.length("tokens")) / BLOCK_BYTES)).alias("blocks"))
-    count = s.table(count, "block_counts")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    blocks = member.join(count, ["cluster", "other"]).withColumn("block", block).groupBy("cluster", "other", "block").agg(F.collect_list(F.struct("key", "n", "comp", "tokens")).alias("sets"))
-    blocks = s.table(blocks, "blocks")
-    ids = blocks.select("cluster", "other", "block")
-    left = ids.where("other").select("cluster", F.col("block").alias("i"))
-    right = ids.select("cluster", F.col("other").alias("o"), F.col("block").alias("j"))
-    both = s.table(left.join(right, "cluster").where("not o or j >= i"), "block_pairs")
+    member = s.table(blocks_of(s, member), "dealt")
+    both = s.table(block_pairs(s, crowd, member), "block_pairs")
+    blocks = s.table(member.groupBy("cluster", "other", "block").agg(F.collect_list(F.struct("key", "n", "comp", "tokens")).alias("sets")), "blocks")
     held = blocks.select(F.col("cluster"), F.col("block").alias("i"), F.col("sets").alias("left")).where("other")
     met = both.join(held, ["cluster", "i"]).join(blocks.select("cluster", F.col("other").alias("o"), F.col("block").alias("j"), F.col("sets").alias("right")), ["cluster", "o", "j"])
     return s.table(met.select("left", "right").mapInArrow(compare_blocks, "a long, b long"), "crowd_links")
@@ -324,32 +416,29 @@ def block_links(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
     return list(out.values())
 
 
-def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: int = LOCAL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs(doc_id, text, ...): a row for each row of docs: (doc_id, n_shingles, component_id).
-
-    n_shingles: distinct five-word shingles, A-Z in lower case; fewer words are one shingle. component_id: the smallest
-    doc_id reachable by links, the document's own included. A null, empty or blank text has 0 shingles, links with nothing
-    and is its own component. Repeated rows each keep their row and link. A row without doc_id gets its class's id, or
-    null. Other columns are ignored. An empty table gives an empty result. Shingles are told apart by 64-bit hashes, and in
-    the index and in verification by 32 + log2(ranges) bits of them, 38 at least.
-    """
+def classes(spark: SparkSession, docs: DataFrame, s: Scratch, rare: int, local: int, chunk_bytes: int, bits: int | None, coarse: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of s: known(doc_id, h, n, key), a row for each row of docs(doc_id, h, text) with its class, null without
+    words; and comp(key, comp), a row for each class."""
     small_batches(spark)
-    s = Scratch(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    known = s.table(rows.mapInArrow(keyed, "doc_id long, n long, key long"), "keyed")
+    seed = int.from_bytes(os.urandom(8), "little")  # components don't depend on it, but whoever writes texts can't foresee collisions
+    known = s.table(docs.mapInArrow(keyed(seed), "doc_id long, h long, n long, key long"), "known")
     total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bits = 6
-    while bits < 24 and total >> bits > RANGE_TOKENS:
-        bits += 1
-    posted = rows.mapInArrow(poster(bits, local, chunk_bytes), "key long, n long, kept long, rng int, tok binary, doc binary, docs binary, hot binary")
-    # One shuffle deals both kinds of rows: blocks of postings by range, and the classes' own rows by class.
-    own = F.when(F.col("rng").isNull(), F.pmod("key", F.lit(1 << bits)) - (1 << bits))
-    group = F.coalesce(own, F.col("rng").cast("long"))
-    shared = posted.groupBy(group.alias("g")).applyInArrow(lambda t: shared_tokens(t, rare), "key long, n long, kept long, hot binary, rare binary, freq binary")
+    if bits is None:
+        bits = max(0, (total // RANGE_TOKENS).bit_length())
+    first = min(bits, coarse)
+    form = ", ".join(f"{c} {'long' if t == pa.int64() else 'int' if t == pa.int32() else 'binary'}" for c, t in POSTED.items())
+    posted = docs.select("doc_id", "text").mapInArrow(poster(seed, first, local, chunk_bytes), form)
+    # One shuffle deals both kinds of rows: postings by range, and the classes' own rows by class.
+    group = lambda b: F.coalesce(F.col("rng").cast("long"), F.pmod("key", F.lit(1 << b)) - (1 << b)).alias("g")
+    parts = lambda b: max(partitions(spark), min(1 << b, 4 * partitions(spark)))
+    if bits > first:
+        posted = posted.repartition(parts(first), group(first)).mapInArrow(redealer(bits, local, chunk_tokens), form)
+    posted = posted.select("*", group(bits)).repartition(parts(bits), "g")
+    shared = posted.groupBy("g").applyInArrow(lambda t: shared_tokens(t, rare), "key long, n long, hot binary, rare binary, freq binary")
     shared = s.table(shared, "shared")
-    own = shared.where("n is not null").groupBy("key").agg(F.max("n").alias("n"), F.max("kept").alias("kept"), F.max("hot").alias("hot"))
-    parts = shared.where("n is null").groupBy("key").agg(F.collect_list(F.struct("rare", "freq")).alias("parts"))
-    joined = own.join(parts, "key", "left").where("parts is not null or length(hot) > 0").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<rare:binary,freq:binary>>")))
+    own = shared.where("n is not null").groupBy("key").agg(F.max("n").alias("n"), F.max("hot").alias("hot"))
+    parts_ = shared.where("n is null").groupBy("key").agg(F.collect_list(F.struct("rare", "freq")).alias("parts"))
+    joined = own.join(parts_, "key", "left").where("parts is not null or length(hot) > 0").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<rare:binary,freq:binary>>")))
     indexed = s.table(joined.mapInArrow(index, "key long, n long, lone long, sigs array<bigint>, tokens binary").where(F.size("sigs") > 0), "indexed")
     s.drop("shared")
     entries = indexed.select("key", "n", "lone", F.explode("sigs").alias("sig"))
@@ -357,8 +446,7 @@ def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: in
     rank = F.struct((-F.col("lone") / F.col("n")).alias("r"), (-F.col("key")).alias("k"))
     hubs = entries.groupBy("sig").agg(F.max_by(F.struct("key", "n", "lone"), rank).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     hubs = s.table(hubs.select("sig", "m", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.lone").alias("hub_lone")), "hubs")
-    met = entries.join(hubs, "sig")
-    met = s.table(met, "met")
+    met = s.table(entries.join(hubs, "sig"), "met")
     star = met.where("key <> hub").where(could_link(F.col("n"), F.col("hub_n"), F.col("lone"), F.col("hub_lone"))).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     star = s.table(star, "star")
     linked = s.table(links(spark, star, indexed), "linked")
@@ -366,39 +454,76 @@ def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: in
     # Entries whose members still lie in several components.
     where = met.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     where = s.table(where, "where")
+    s.drop("hubs", "met")
     open_ = where.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
     rest = s.table(where.join(s.table(open_, "open"), "sig"), "rest")
+    s.drop("where")
     # Of small entries, the pairs between components, but for those that sizes and lone tokens rule out or that were seen.
     few = rest.where(F.col("m") <= rare)
     other = few.select("sig", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "lone", "comp")))
     pairs = few.join(other, "sig").where("key < key2 and comp <> comp2").where(could_link(F.col("n"), F.col("n2"), F.col("lone"), F.col("lone2"))).select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = s.table(links(spark, pairs.join(seen, ["a", "b"], "left_anti"), indexed), "more")
-    crowd = s.table(rest.where(F.col("m") > rare).select("key", "hub", "comp").distinct(), "crowd")
+    crowd = s.table(rest.where(F.col("m") > rare).select("sig", "key", "hub", "comp"), "crowd")
     if not crowd.isEmpty():
         more = more.union(crowd_links(spark, s, crowd, indexed))
     if not more.isEmpty():
         comp = connected_components(spark, linked.union(more))
+    names = known.where("key is not null").select("key").distinct().join(comp.withColumnRenamed("node", "key"), "key", "left")
+    names = s.table(names.withColumn("comp", F.coalesce("comp", "key")), "names")
+    s.keep("known", "names")
+    return known, names
+
+
+def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: int = LOCAL, chunk_bytes: int = CHUNK_BYTES, bits: int | None = None, coarse: int = COARSE, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """docs(doc_id, text, ...): a row for each row of docs: (doc_id, n_shingles, component_id).
+
+    n_shingles: distinct five-word shingles, A-Z in lower case; fewer words are one shingle. component_id: the smallest
+    doc_id reachable by links, the document's own included. A null, empty or blank text has 0 shingles, links with nothing
+    and is its own component. Repeated rows each keep their row and link. A row without doc_id gets its class's id, or
+    null. Other columns are ignored. An empty table gives an empty result. Shingles are told apart by 64-bit hashes under a
+    seed that each run draws, also where pairs are verified; sets by 64 bits too, so that among 10^9 different ones two
+    share a name with a chance of 3 %.
+
+    rare, local, chunk_bytes, bits, coarse and chunk_tokens shape the work, not the result.
+    """
+    s = Scratch(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), F.col("text").alias("text"))
+    known, names = classes(spark, rows, s, rare, local, chunk_bytes, bits, coarse, chunk_tokens)
     # From classes to documents: the smallest doc_id of all classes of a component.
-    first = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    placed = s.table(first.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key")), "placed")
-    least = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
-    names = s.table(placed.join(s.table(least, "least"), "comp").select("key", "component_id"), "names")
-    out = known.join(names, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = s.table(known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first")).join(names, "key"), "placed")
+    least = s.table(placed.groupBy("comp").agg(F.min("first").alias("component_id")), "least")
+    names = s.table(placed.join(least, "comp").select("key", "component_id"), "least_names")
+    s.keep("known", "least_names")
+    return known.join(names, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs but those whose component has a smaller doc_id, in docs' columns, which may have any names.
+    """One row of docs of each component, in docs' columns, which may have any names: that with the smallest doc_id (null
+    comes last), of several with that id the one whose text has the smallest hash.
 
-    Texts without words are components of their own and stay, and so do rows without a doc_id. Of rows that repeat a
-    doc_id one stays.
+    Texts without words are components of their own and stay. Rows are told apart by doc_id and text, so different texts
+    under one doc_id, or none, are judged each for itself; of rows that repeat both, one stays.
     """
-    found = Scratch(spark).table(components(spark, docs.select("doc_id", "text")), "found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
-    kept = rows.join(gone.hint("shuffle_hash"), "_id", "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = kept.where("_id is not null").groupBy("_id").agg(F.first("_doc").alias("_doc"))
-        kept = named.unionByName(kept.where("_id is null"))
+    s = Scratch(spark)
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id2"]) & (a["_h"] == b["_h2"])
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), docs["text"].alias("text"))
+    known, names = classes(spark, rows, s, RARE, LOCAL, CHUNK_BYTES, None, COARSE, CHUNK_TOKENS)
+    known = known.where("key is not null")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = s.table(known.groupBy("key").agg(F.min(name).alias("first")).join(names, "key"), "firsts")
+    least = s.table(first.groupBy("comp").agg(F.min("first").alias("first")).select("comp", F.col("first.doc_id").alias("d"), F.col("first.h").alias("hh")), "least")
+    stays = s.table(first.select("key", "comp").join(least, "comp").select("key", "d", "hh"), "stays")
+    found = s.table(known.join(stays, "key"), "found")
+    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")))).select(F.col("doc_id").alias("_id2"), F.col("h").alias("_h2")).distinct()
+    gone = s.table(gone, "gone")
+    twice = found.where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).groupBy(F.col("doc_id").alias("_id2"), F.col("h").alias("_h2")).count().where("count > 1").drop("count")
+    twice = s.table(twice, "twice")
+    s.keep("gone", "twice")
+    docs = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_h"), F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
+    kept = docs.join(gone.hint("shuffle_hash"), same(docs, gone), "left_anti")
+    if not twice.isEmpty():
+        mark = kept.join(twice.withColumn("_many", F.lit(True)), same(kept, twice), "left")
+        one = mark.where("_many").groupBy("_id", "_h").agg(F.first("_doc").alias("_doc"))
+        kept = one.select("_doc").union(mark.where("_many is null").select("_doc"))
     return kept.select("_doc.*")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-#: Bytes hashed at once.
+#: Bytes of text whose words are hashed at once.
 PIECE = 2 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SPACES = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: The bits of a lane of eight bytes that a word of so many bytes has.
+FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def stir(x: np.ndarray) -> np.ndarray:
@@ -20,20 +26,6 @@ def stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = stir(np.arange(1, 257, dtype=np.uint64) * MIX)
-_BASE, _BACK = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        for name, b in (("up", _BASE), ("down", _BACK)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
-
-
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that lie one after another, where each word starts and ends, and the number of words of each text. Words
     are what lies between ASCII white space."""
@@ -48,16 +40,22 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, last, np.searchsorted(first, off[1:]) - np.searchsorted(first, off[:-1])
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of each word, A-Z in lower case."""
-    out = np.empty(len(first), np.uint64)
-    a = 0
-    while a < len(first):  # in pieces that end with a word
-        b = max(a + 1, int(np.searchsorted(last, first[a] + PIECE, "right")))
-        lo, hi = int(first[a]), int(last[b - 1])
-        up, down = powers(max(PIECE, hi - lo) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[LOWER[data[lo:hi]]] * up[: hi - lo])))
-        f, e = first[a:b] - lo, last[a:b] - lo
-        out[a:b] = stir((sums[e] - sums[f]) * down[f] + (e - f).astype(np.uint64) * MIX)
-        a = b
-    return out
+def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The 64-bit hash of each word, A-Z in lower case, under a secret seed: eight bytes at a time are mixed into a state
+    that is stirred before the next eight, so no sum or power of the bytes decides it."""
+    low = np.concatenate((LOWER[data], np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+    size = last - first
+    start = stir(np.array([seed], np.uint64) + MIX)[0]
+    h = np.full(len(first), start, np.uint64)
+    left = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(left):
+        some = lanes[first[left] + at] & FRONT[np.minimum(size[left] - at, 8)]
+        h[left] = stir(h[left] ^ some) + MIX
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(low[first[k] : last[k]], digest_size=8, key=int(start).to_bytes(8, "little")).digest()
+        h[k] = int.from_bytes(digest, "little")
+    return stir(h + size.astype(np.uint64) * MIX)

@@ -160,8 +160,67 @@ def test_jaccard_indexes_find_all(spark, monkeypatch):
                 t[r.randrange(len(t))] = r.choice("abcdefgh") * 2
             texts.append(" ".join(t[: len(t) - r.randint(0, 2)]))
     df, rows = docs_of(spark, texts)
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
-    same(got(jaccard.components(spark, df, rare=2, local=3, chunk_bytes=3000), "doc_id", "n_shingles", "component_id"), brute.jaccard([(d, t) for d, t, _ in rows]))
+    want = brute.jaccard([(d, t) for d, t, _ in rows])
+    for sets in (8, 2):
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+        same(got(jaccard.components(spark, df, rare=2, local=3, chunk_bytes=3000), "doc_id", "n_shingles", "component_id"), want)
+
+
+def test_jaccard_deals_in_two_steps(spark, tiny):
+    """Many ranges, dealt in two steps with small buffers, and shingles that most of the classes of every chunk have."""
+    df, rows = read_docs(spark, tiny)
+    rows = [(d, t) for d, t, _ in rows]
+    common = " ".join(f"c{k}" for k in range(40))
+    rows += [(10_000 + k, f"{common} own{k} a b c {k % 7} d e") for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = jaccard.components(spark, df, rare=4, local=6, chunk_bytes=20_000, bits=16, coarse=3, chunk_tokens=2_000)
+    same(got(out, "doc_id", "n_shingles", "component_id"), brute.jaccard(rows))
+
+
+def opposites(n):
+    """Two words of n letters that any sum of letters times powers of an odd number, modulo a power of two, takes for equal."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_hostile_words(spark):
+    """Words built to collide in a polynomial hash, and words that differ in one letter at any place."""
+    import random
+
+    r = random.Random(1)
+    words = [w for n in (64, 256, 1024, 2048) for w in opposites(n)]
+    for n in (1, 7, 8, 9, 15, 16, 17, 255, 256, 257, 300):
+        w = "".join(r.choice("ab") for _ in range(n))
+        words += [w, *(w[:k] + ("a" if w[k] == "b" else "b") + w[k + 1 :] for k in (0, n // 2, n - 1)), w + "\0", "\0" + w]
+    rows = [(k, w) for k, w in enumerate(words)] + [(1000 + k, " ".join([w] * 3 + words[:7])) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(got(jaccard.components(spark, df), "doc_id", "n_shingles", "component_id"), brute.jaccard(rows))
+    path = queries.tokenizer_path(queries.WORD_BPE)
+    same(got(tokenfile.read(spark, tokenfile.write(spark, df, path)), "doc_id", "start", "n_tokens", "ids_crc32"), brute.tokens(rows, path))
+
+
+def test_one_of_each_by_row(spark):
+    """Different texts under one id, or none, each count for themselves."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (5, c + " more"), (7, ""), (7, ""), (None, None), (8, b), (8, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same([tuple(r) for r in jaccard.one_of_each(spark, df).collect()], [(1, a), (2, b), (5, c + " more"), (7, ""), (7, ""), (None, None)])
+    twice = spark.createDataFrame([(3, a), (3, a), (None, b), (None, b)], "doc_id long, text string")
+    same([tuple(r) for r in jaccard.one_of_each(spark, twice).collect()], [(3, a), (None, b)])
+
+
+def test_other_tokenizers_are_encoded_whole(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  Words", " x\ty", None, "UPPER lower"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got_ = [r["n_tokens"] for r in tokenfile.read(spark, tokenfile.write(spark, df, path, 50_257)).orderBy("doc_id").collect()]
+    tok = Tokenizer.from_file(path)
+    assert got_ == [len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
 
 
 @BOTH
@@ -187,6 +246,7 @@ def test_token_file_round_trip(tmp_path):
             w.close()
         with fs.LocalFileSystem().open_input_file(path) as f:
             back = [(k, np.concatenate([*p, np.empty(0, f"<u{width}")])) for k, p in tokenfile.Reader(f).each_doc()]
+            assert [k for k, _ in tokenfile.Reader(f).each_doc()] == [k for k, _ in docs]
         assert [k for k, _ in back] == [k for k, _ in docs] and all((a == b).all() for (_, a), (_, b) in zip(docs, back))
 
 
