@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Up to so many rules are judged in an expression over each row; more are joined on the host's suffixes.
 INLINE_RULES = 64
+#: The rows of a suffix that most pages have are dealt to so many tasks, each with the rules.
+SALT = 32
 
 
 def ascii_lower(c: Column) -> Column:
@@ -48,6 +50,11 @@ def node_of(url: Column) -> Column:
     return F.when(rest.isNotNull(), name)
 
 
+def key_of(name: Column) -> Column:
+    """A node's name as 16 bytes of its SHA-256: shorter than most urls, and no two are taken for one by chance or intent."""
+    return F.substring(F.unhex(F.sha2(name, 256)), 1, 16)
+
+
 def without_dots(path: Column) -> Column:
     """A path without its . and .. segments."""
     step = lambda a, x: F.when(x == ".", a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)).otherwise(F.array_append(a, x))
@@ -116,17 +123,18 @@ def link_edges(judged: DataFrame) -> DataFrame:
     rows = judged.where("size(targets) > 0").select("node", "base_url", "base_href", F.explode("targets").alias("target"))
     rows = rows.withColumn("base", F.coalesce(resolved(F.col("base_url"), F.col("base_href")), "base_url"))
     rows = rows.withColumn("to", resolved(F.col("base"), F.col("target"))).withColumn("name", node_of(F.col("to")))
-    return rows.where("node is not null and name is not null").select(F.col("node").alias("a"), F.xxhash64("name").alias("b"))
+    return rows.where("node is not null and name is not null").select(F.col("node").alias("a"), key_of(F.col("name")).alias("b"))
 
 
 def match_rules(df: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFrame:
     """df(key, host, path, ...) with rule and action: the longest rule whose host is df's host or a parent domain of it
-    and whose path is a prefix of df's path. Of equal rules with both actions, allow wins. Null without a rule."""
+    and whose path is a prefix of df's path; of equally long ones an allow, then the first by code points. Of equal rules
+    with both actions, allow wins. Null without a rule. The result is the same for any number of rules."""
     best: dict[str, str] = {}
     for action, rule in rules:
         if best.get(rule) != "allow":
             best[rule] = action
-    ordered = sorted(best.items(), key=lambda x: (-len(x[0]), x[0]))
+    ordered = sorted(best.items(), key=lambda x: (-len(x[0]), x[1] != "allow", x[0]))
     parts = [(rule, action, rule.partition("/")[0], "/" + rule.partition("/")[2] if "/" in rule else "") for rule, action in ordered]
     if len(parts) <= INLINE_RULES:
         hit = F.lit(None).cast("struct<rule:string,action:string>")
@@ -135,10 +143,12 @@ def match_rules(df: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFr
             hit = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"))).otherwise(hit)
         return df.withColumn("_hit", hit).withColumns({"rule": F.col("_hit.rule"), "action": F.col("_hit.action")}).drop("_hit")
     table = df.sparkSession.createDataFrame(parts, "rule string, action string, rule_host string, rule_path string")
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     names = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.lit(1 << 20)), "."))
-    found = df.select(key, "path", F.explode(suffixes).alias("rule_host")).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    found = found.groupBy(key).agg(F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), F.col("rule"))).alias("_hit"))
+    found = df.select(key, "path", F.explode(suffixes).alias("rule_host")).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+    found = found.join(table, ["rule_host", "_salt"]).where(F.col("path").startswith(F.col("rule_path")))
+    found = found.groupBy(key).agg(F.min_by(F.struct("rule", "action"), F.struct((-F.length("rule")).alias("n"), (F.col("action") != "allow").alias("no"), F.col("rule"))).alias("_hit"))
     return df.join(found, key, "left").withColumns({"rule": F.col("_hit.rule"), "action": F.col("_hit.action")}).drop("_hit")
 
 
@@ -149,24 +159,26 @@ def filter_urls(spark: SparkSession, pages: DataFrame, redirects: DataFrame | No
     redirects(from_url, to_url). verdict: the rule's action; else allow if the
     class holds an allowed page, block if it holds a blocked one, allow if neither. A null url, or one without ://, has
     empty host and path, is in no class and is allowed. A null html has no link. Repeated rows are each judged. Other
-    columns are ignored, so their names can't clash. An empty table gives an empty result.
+    columns are ignored, so their names can't clash. An empty table gives an empty result. class_id is the smallest key
+    of a node in the class, null without a node.
     """
     s = Scratch(spark)
     url, html = F.col("url"), F.col("html")
     base = pages.select(F.col("page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("_name"), url.alias("base_url"), html.alias("_html"), links_of(html).alias("targets"))
     some = F.size("targets") > 0
-    base = base.withColumns({"node": F.when(F.col("_name").isNotNull(), F.xxhash64("_name")), "base_url": F.when(some, F.col("base_url")), "base_href": F.when(some, base_of(F.col("_html"))), "_row": F.monotonically_increasing_id()}).drop("_name", "_html")
+    base = base.withColumns({"node": key_of(F.col("_name")), "base_url": F.when(some, F.col("base_url")), "base_href": F.when(some, base_of(F.col("_html"))), "_row": F.monotonically_increasing_id()}).drop("_name", "_html")
     if len(rules) > INLINE_RULES:
         base = s.table(base, "numbered")  # rules are then joined by row number
     judged = s.table(match_rules(base, rules, "_row"), "judged")
     edges = link_edges(judged)
     if redirects is not None:
-        edges = edges.union(redirects.select(F.xxhash64(node_of(F.col("from_url"))).alias("a"), F.xxhash64(node_of(F.col("to_url"))).alias("b")))
+        edges = edges.union(redirects.select(key_of(node_of(F.col("from_url"))).alias("a"), key_of(node_of(F.col("to_url"))).alias("b")))
     comp = connected_components(spark, edges)
     # Only classes with a decision matter: their rows are aggregated first, so a class of any size costs a row a task.
     decided = judged.where("node is not null and action is not null").groupBy("node").agg(F.max(F.col("action") == "allow").alias("allowed"))
     decided = decided.join(comp, "node", "left").select(F.coalesce("comp", "node").alias("class_id"), "allowed").groupBy("class_id").agg(F.max("allowed").alias("allowed"))
     decided = s.table(decided, "decided")
     rows = s.table(judged.join(comp, "node", "left").withColumn("class_id", F.coalesce("comp", "node")), "classes")
+    s.keep("decided", "classes")
     verdict = F.coalesce("action", F.when(F.col("allowed"), "allow").when(~F.col("allowed"), "block"), F.lit("allow"))
     return rows.join(decided, "class_id", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "class_id")
