@@ -21,7 +21,9 @@ from .common import small_batches, texts
 
 START = "▁"
 UNKNOWN_PENALTY = 10.0
+#: A worker's table of counted words has so many entries at most, of so many bytes each; longer words are counted each time.
 KNOWN_WORDS = 400_000
+KNOWN_BYTES = 64
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
@@ -45,33 +47,40 @@ class Counter(dict):
             self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
+        self.ring = max(len(piece) for piece, _ in pieces) + 1
 
     def count(self, word: str) -> int:
-        n = len(word)
-        # Of each end: the best score, its number of pieces, and whether it ends in an unknown piece.
-        best: list[tuple[float, int, bool] | None] = [(0.0, 0, False)] + [None] * n
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (size, score) in self.auto.iter(word):
-            matches[end].append((size, score))
-        for end in range(n):
-            top = None
-            single = False
-            for size, score in sorted(matches[end], reverse=True):
-                before = best[end + 1 - size]
+        # Of the last ends, as far back as a piece may reach: the best score, its number of pieces, and whether it ends in
+        # an unknown piece.
+        ring, unknown = self.ring, self.unknown
+        best: list[tuple[float, int, bool]] = [(0.0, 0, False)] * ring
+        matches = self.auto.iter(word)
+        last, match = next(matches, (-1, None))
+        before = best[0]
+        for end in range(len(word)):
+            top, single = None, False
+            found = []
+            while last == end:
+                found.append(match)
+                last, match = next(matches, (-1, None))
+            if len(found) > 1:
+                found.sort(reverse=True)
+            for size, score in found:
+                start = best[(end + 1 - size) % ring]
                 single |= size == 1
-                if top is None or before[0] + score > top[0]:
-                    top = (before[0] + score, before[1] + 1, False)
-            if not single:
-                before = best[end]
-                if top is None or before[0] + self.unknown > top[0]:
-                    top = (before[0] + self.unknown, before[1] + (not before[2]), True)
-            best[end + 1] = top
-        return best[n][1]
+                if top is None or start[0] + score > top[0]:
+                    top = (start[0] + score, start[1] + 1, False)
+            if not single and (top is None or before[0] + unknown > top[0]):
+                top = (before[0] + unknown, before[1] + (not before[2]), True)
+            before = best[(end + 1) % ring] = top
+        return before[1]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        n = self[word] = self.count(START + word.decode())
+        n = self.count(START + word.decode())
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
