@@ -9,7 +9,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,6 +96,17 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw, off - (off[0] if len(off) else 0)
 
 
+def numbered(s: Scratch, df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """A table of df's rows, dealt by range of keys and in their order, with _part and _at, the place in the part; and of each
+    part _part, n and _before, the rows of all parts before it. A row for each part is small, so they may be broadcast
+    and summed in one task."""
+    laid = df.repartitionByRange(partitions(s.spark), *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    laid = s.table(laid.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"), name)
+    parts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return laid, parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
