@@ -1,7 +1,8 @@
 """Cross-site boilerplate: lines that many distinct sites share.
 
-A HyperLogLog sketch of the sites of each line hash is merged by aggregation. A line whose estimate lies clear of the
-threshold is decided by it; those near the threshold get an exact count of distinct sites. DataFrame functions only.
+The lines' hashes are written once, with their sites and places. A HyperLogLog sketch of the sites of each line is merged
+by aggregation. A line whose estimate lies clear of the threshold is decided by it; those near the threshold get an exact
+count of distinct sites. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,23 +20,26 @@ LG_K = 12
 BAND = 0.2
 
 
-def key_of(line: Column) -> Column:
-    """A line's hash: of the line without white space at its ends."""
-    return F.xxhash64(F.regexp_extract(line, r"(?s)^[\x20\x09-\x0D]*(.*?)[\x20\x09-\x0D]*$", 1))
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def digest(value: Column) -> Column:
+    """16 bytes of the SHA-256: among 10^12 lines no two are taken for one."""
+    return F.substring(F.unhex(F.sha2(value, 256)), 1, 16)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(row, site, line) for each non-blank line."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select("site", F.explode(F.array_distinct(F.transform(lines, key_of))).alias("line"))
+    """docs(a, b, site, text) as (a, b, site, pos, line): the place and the digest, without white space at its ends, of each
+    line that isn't blank."""
+    rows = docs.select("a", "b", "site", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("bare", F.btrim("raw", F.lit(SPACES)))
+    return rows.where("bare <> ''").select("a", "b", "site", "pos", digest(F.col("bare")).alias("line"))
 
 
-def boilerplate(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs(site, text): the hashes of lines on min_sites distinct sites or more; null is no site."""
-    lines = lines_of(docs.where("site is not null"))
+def boilerplate(s: Scratch, lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """lines(site, line, ...): the lines on min_sites distinct sites or more; null is no site."""
+    lines = lines.where("site is not null").select("site", "line")
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
     sketched = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("n"))
-    s = Scratch(spark)
     sketched = s.table(sketched.where(F.col("n") >= low), "sketched")
     sure = sketched.where(F.col("n") > high).select("line")
     near = sketched.where(F.col("n") <= high).select("line")
@@ -53,17 +57,19 @@ def dedup(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES) -> D
     table gives an empty result.
     """
     s = Scratch(spark)
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("site"), F.col("text").alias("text"))
-    found = boilerplate(spark, rows, min_sites)
-    # Of each document, which of its lines are boilerplate: only documents that have one are gathered.
-    # Rows that share an id or its hash share the union, which does no harm: a line is boilerplate in all of them.
-    rows = rows.withColumn("t", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")))
-    hits = lines_of(rows.where("text is not null").select("text", F.col("t").alias("site"))).withColumnRenamed("site", "t").join(found, "line").distinct().groupBy("t").agg(F.collect_list("line").alias("hit"))
-    hits = s.table(hits, "hits")
-    df = rows.join(hits.hint("shuffle_hash"), "t", "left").withColumn("hit", F.coalesce("hit", F.array().cast("array<bigint>")))
-    split = F.split("text", "\n")
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    df = df.withColumn("_kept", F.when(F.size("hit") == 0, split).otherwise(F.filter(split, lambda x: blank(x) | ~F.array_contains("hit", key_of(x)))))
-    n = F.coalesce(F.size(F.filter(split, lambda x: ~blank(x))), F.lit(0))
-    left = F.coalesce(F.size(F.filter("_kept", lambda x: ~blank(x))), F.lit(0))
-    return df.select("doc_id", n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"), F.array_join("_kept", "\n").alias("text"))
+    # a and b name a document; rows that share both have the same text, hence the same lines in the same places.
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("doc_id").alias("a"), digest(F.col("text")).alias("b"), F.col("source").cast("string").alias("site"), F.col("text").alias("text"))
+    lines = s.table(lines_of(rows), "lines")
+    found = boilerplate(s, lines, min_sites)
+    # Of each document that has boilerplate, the places of these lines in order.
+    hits = s.table(lines.join(found, "line").groupBy("a", "b").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "hits")
+    s.keep("hits")
+    df = rows.drop("site").join(hits.hint("shuffle_hash"), ["a", "b"], "left").withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    # The stretches between two lines that go.
+    after = lambda j: F.when(j == 0, 0).otherwise(F.get("gone", j - 1) + 1)
+    stretch = lambda j: F.slice("_lines", after(j) + 1, F.coalesce(F.get("gone", j), F.size("_lines")) - after(j))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), stretch))
+    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return df.select("doc_id", n.alias("n_lines"), removed.alias("n_removed"), text.alias("text"))
