@@ -143,6 +143,72 @@ def jaccard(docs):
     return [(d, len(s), root(d)) for d, s in sets]
 
 
+def targets(sizes, weights=(5.0, 2.0, 1.0), total=1.0, most=3.0):
+    """The target of each source: by weight, the excess over `most` times its size dealt to the others until none is above."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, left, free = {}, total * sum(sizes.values()), list(order)
+    while free:
+        share = left / sum(weight[s] for s in free)
+        over = [s for s in free if share * weight[s] > most * sizes[s]]
+        if not over:
+            return out | {s: share * weight[s] for s in free}
+        out |= {s: most * sizes[s] for s in over}
+        left -= sum(out[s] for s in over)
+        free = [s for s in free if s not in over]
+    return out
+
+
+def draws(docs, seed=7):
+    """docs: (row, source, size, order key). The copies of each row: prefix sums of what is expected, an offset, a copy for
+    each integer crossed."""
+    sizes = defaultdict(int)
+    for _, s, n, _ in docs:
+        sizes[s] += n
+    goal, out = targets(sizes), {}
+    for s in sizes:
+        rate = goal[s] / sizes[s] if sizes[s] else 0.0
+        at = int(sha256(f"{seed}:{'n' if s is None else 's' + s}")[:12], 16) / 2**48
+        for k, (row, *_) in enumerate(sorted((d for d in docs if d[1] == s), key=lambda d: (d[2], d[3]))):
+            out[row] = min(3, int((k + 1) * rate + at) - int(k * rate + at))
+    return out
+
+
+def redirects(pages, block="block", allow="allow"):
+    """pages: (page_id, url, link or None). The verdict of each page; links resolved by the standard library."""
+    from urllib.parse import urljoin
+
+    def node(u):
+        if u is None or "://" not in u:
+            return None
+        rest = u.split("://", 1)[1].split("#")[0]
+        path, _, query = rest.partition("?")
+        host, _, path = path.partition("/")
+        query = "&".join(x for x in query.split("&") if x and not re.match(r"(utm_[a-z]+|fbclid|gclid)=", x))
+        return lower(host) + ("/" + path if path else "").removesuffix("/") + ("?" + query if query else "")
+
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for _, u, link in pages:
+        if node(u) is not None and link is not None and node(urljoin(u, link)) is not None:
+            up[root(node(u))] = root(node(urljoin(u, link)))
+    said = defaultdict(set)
+    for _, u, _ in pages:
+        if (n := node(u)) is not None and (a := url(u)[3]):
+            said[root(n)].add(a)
+    out = {}
+    for p, u, _ in pages:
+        n = node(u)
+        group = said[root(n)] if n is not None else set()
+        out[p] = url(u)[3] or (allow if allow in group or block not in group else block)
+    return out
+
+
 def tokens(docs, path):
     import numpy as np
     from tokenizers import Tokenizer
