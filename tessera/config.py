@@ -8,9 +8,11 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class ChunkerConfig:
     """big_threshold: the least score of a boundary. max_chunk_chars holds for every chunk, also where that cuts a fence
-    or a word; min_chunk_chars: shorter pieces are merged where they may be. char_blend: the share of the character
-    scorer where there is one. adaptive: lower thresholds for documents without any boundary. window_chars: documents
-    beyond it are cut at line ends before they are scored."""
+    or a word; min_chunk_chars: shorter pieces are merged where they may be. adaptive: lower thresholds for documents
+    without any boundary. window_chars: documents beyond it are cut at line ends, and each part is treated alone.
+
+    With a scorer of characters: char_blend is its share in a line's score, small_threshold the least score of a place where
+    a chunk that is too long may be cut."""
 
     big_threshold: float = 0.5
     small_threshold: float = 0.5

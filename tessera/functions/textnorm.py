@@ -18,8 +18,8 @@ FOLDS = [(SPACES, " "), (SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"'), (DASHES, "-"
 FOLD_FROM = "".join(chars for chars, _ in FOLDS)
 FOLD_TO = "".join(to * len(chars) for chars, to in FOLDS)
 
-#: Java's Unicode white space lacks the four separators that Python's strip() also takes.
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: The look-behind has a run of white space within the text walked once. Java's Unicode white space lacks the four separators that Python's strip() also takes.
+STRIP = r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$"
 
 
 def fold_breaks(text: Column) -> Column:

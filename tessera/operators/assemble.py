@@ -1,97 +1,119 @@
-"""From candidate boundaries to chunks: word snap, merge, split, offset map and slices.
+"""From candidate boundaries to chunks: merge, split, offset map and slices.
 
-Merging and splitting walk a document's boundaries in order, each step on the state that the last one left; that is a
-fold, done for each document in Arrow batches. All else is DataFrame functions.
+Merging and splitting go through a piece's boundaries in order, each step on the state that the last one left; that is a
+fold, done for each piece of at most window_chars in Arrow batches. All else is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import ChunkerConfig
 from tessera.functions.predicates import PATTERNS
+from tessera.functions.textnorm import FOLD_FROM, FOLD_TO
 
 HEADING = re.compile(PATTERNS["headerish"])
+FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 #: Where to cut a piece that is too long, the best kind first: after a blank line, a sentence, a line, a word.
 CUTS = [re.compile(p) for p in (r"\n[ \t]*\n", r"[.!?][)\]}»\"']*(?=\s)", r"\n", r"\s")]
-SWEEPS = 4
 
 
-def word_snap(norm: Column, pos: Column) -> Column:
-    """pos, or the start of the word that it would cut."""
-    inside = F.substr(norm, pos + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")
-    back = F.length(F.regexp_extract(F.substr(norm, F.greatest(pos - 99, F.lit(1)), F.least(pos, F.lit(100))), r"[\p{L}\p{N}]+$", 0))
-    return F.when(inside, pos - back).otherwise(pos)
-
-
-def is_heading(piece: str) -> bool:
-    """A first line that is short and reads like a title: by its marks, or a few words from a capital without an end."""
-    line = piece.strip().split("\n", 1)[0].strip()
-    if not line or len(line) > 90:
+def announces(piece: str) -> bool:
+    """Whether a piece is one line that names what follows: marked as a heading, or a few words from a capital on that no
+    sentence mark ends."""
+    line = piece.strip()
+    words = line.split()
+    if not words or "\n" in line or len(line) > 90:
         return False
-    bare = line.endswith(":") or not re.search(r"[.!?]$", line)
-    return bool(HEADING.match(line)) or (bare and len(line.split()) <= 12 and line[0].isupper())
-
-
-def only_heading(piece: str) -> bool:
-    return "\n" not in piece.strip() and is_heading(piece)
+    return HEADING.match(line) is not None or (words[0][0].isupper() and len(words) <= 12 and line[-1] not in ".!?")
 
 
 def merge(text: str, cuts: list[int], least: int) -> list[int]:
-    """The cuts that stay: a piece that is empty, starts in lower case or is too short joins the one before it; a heading
-    alone, and the first piece, join the one after. Sweeps go on until nothing changes, four at most."""
-    for _ in range(SWEEPS):
-        edges = [0, *cuts, len(text)]
-        gone: set[int] = set()
-        for k in range(len(edges) - 1):
-            a, b = edges[k], edges[k + 1]
-            if a in gone:
-                continue
-            piece = text[a:b].strip()
-            low = len(piece) > 2 and piece[0].islower()
-            if not piece or low or len(piece) < least:
-                forward = a == 0 or (piece and only_heading(piece) and not low)
-                at = b if forward else a
-                if 0 < at < len(text):
-                    gone.add(at)
-        if not gone:
-            break
-        cuts = [c for c in cuts if c not in gone]
-    return cuts
-
-
-def split(text: str, a: int, b: int, most: int, spans: list[tuple[int, int]]) -> list[int]:
-    """Cuts that bring text[a:b] under `most`: each at the last place of the best kind in the second half, outside of
-    protected spans; else before the span, else at `most` exactly."""
+    """The cuts that stay, found in one walk that builds chunks from the left. A piece that is blank, goes on in lower case
+    or is too short joins the chunk before it, but one that announces what follows opens a chunk. A chunk that is still too
+    short takes the next piece, and at the end joins the one before."""
+    opened: list[int] = []
+    hungry = True
+    for a, b in zip([0, *cuts], [*cuts, len(text)]):
+        piece = text[a:b].strip()
+        goes_on = len(piece) > 2 and piece[0].islower()
+        short = len(piece) < least
+        if opened and (hungry or not piece or goes_on or (short and not announces(piece))):
+            hungry = hungry and len(text[opened[-1] : b].strip()) < least
+        else:
+            opened.append(a)
+            hungry = short
+    if len(opened) > 1 and hungry:
+        opened.pop()
+    return opened[1:]
+
+
+def holds(text: str, a: int, most: int) -> int:
+    """How far a chunk from a on may reach. A line break counts two, so that chunks are the same, and within `most`, however
+    line breaks are written."""
+    b = min(len(text), a + most)
+    while (over := b - a + text.count("\n", a, b) - most) > 0:
+        b -= max(1, over // 2)
+    return b
+
+
+def word_start(text: str, p: int) -> int:
+    """p, or the start of the word that it would cut."""
+    if 0 < p < len(text) and text[p].isalnum():
+        while p > 0 and text[p - 1].isalnum():
+            p -= 1
+    return p
+
+
+class Spans:
+    """Protected spans in order, and whether a place lies strictly inside one."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.starts = [s for s, _ in self.spans]
+
+    def around(self, p: int) -> tuple[int, int] | None:
+        k = bisect_left(self.starts, p) - 1
+        return self.spans[k] if k >= 0 and p < self.spans[k][1] else None
+
+
+def split(text: str, a: int, b: int, most: int, least: int, spans: Spans, peaks: list[tuple[int, float]]) -> list[tuple[int, str]]:
+    """Cuts that bring text[a:b] under `most`, each in the second half of what may be held: at the highest small peak, else
+    at the last place of the best kind, outside of protected spans; else before the span, else as far as may be."""
     out = []
-    while b - a > most:
-        low, high = a + most // 2, a + most
-        free = lambda p: not any(s < p < e for s, e in spans)
-        found = None
+    while (high := holds(text, a, most)) < b:
+        low = max(a + (high - a) // 2, a + min(least, high - a - 1))
+        near = peaks[bisect_right(peaks, (low, float("inf"))) : bisect_right(peaks, (high, float("inf")))]
+        near = [(score, p) for p, score in near if not spans.around(p)]
+        found, kind = (max(near)[1], "small") if near else (None, "hard")
         for cut in CUTS:
-            spots = [m.end() for m in cut.finditer(text, low, high) if m.end() > low and free(m.end())]
-            if spots:
-                found = spots[-1]
+            if found is not None:
                 break
+            found = max((m.end() for m in cut.finditer(text, low, high) if m.end() > low and not spans.around(m.end())), default=None)
         if found is None:
-            found = next((s for s, e in spans if low < s < high <= e), high)
-        out.append(found)
+            around = spans.around(high)
+            found = around[0] if around and low < around[0] else high
+        out.append((found, kind))
         a = found
     return out
 
 
-def cuts_of(text: str, norm: str, points: list[int], spans: list[tuple[int, int]], cfg: ChunkerConfig) -> list[tuple[int, int, str]]:
-    """(start, end, kind of the opening boundary) of each chunk in offsets of the original text, blank ones left out."""
-    cuts = merge(norm, sorted({p for p in points if 0 < p < len(norm)}), cfg.min_chunk_chars)
-    edges = [(0, "start"), *((c, "big") for c in cuts), (len(norm), "end")]
+def cuts_of(text: str, points: list[int], spans: list[tuple[int, int]], cfg: ChunkerConfig, peaks: list[tuple[int, float]] = (), first: str = "start") -> list[tuple[int, int, str]]:
+    """(start, end, kind of the opening boundary) of each chunk in offsets of the text, blank ones left out. points, spans
+    and peaks are offsets of the normalised text."""
+    norm = text.replace("\r\n", "\n").replace("\r", "\n").translate(FOLD)
+    held = Spans(spans)
+    free = sorted({q for p in points if 0 < p < len(norm) and not held.around(p) and 0 < (q := word_start(norm, p))})
+    edges = [(0, first), *((c, "big") for c in merge(norm, free, cfg.min_chunk_chars)), (len(norm), "end")]
     marks = []
     for (a, kind), (b, _) in zip(edges, edges[1:]):
-        marks += [(a, kind), *((p, "hard") for p in split(norm, a, b, cfg.max_chunk_chars, spans))]
+        marks += [(a, kind), *split(norm, a, b, cfg.max_chunk_chars, cfg.min_chunk_chars, held, sorted(peaks))]
     back = [m.start() for m in re.finditer("\r\n", text)]  # each pair lost a character
     ends, k, shifted = [*marks, (len(norm), "end")], 0, []
     for p, kind in ends:
@@ -107,24 +129,18 @@ def cuts_of(text: str, norm: str, points: list[int], spans: list[tuple[int, int]
     return out
 
 
-def assemble(docs: DataFrame, cfg: ChunkerConfig) -> DataFrame:
-    """docs(doc_id, text, norm, points array<long>, spans array<struct<s,e>>) as (doc_id, text, cuts)."""
+def assemble(pieces: DataFrame, cfg: ChunkerConfig) -> DataFrame:
+    """pieces(..., text, first, points array<long>, spans array<struct<s,e>>, peaks array<struct<pos,score>>) with `cuts` in
+    place of the last four."""
+    rest = [c for c in pieces.columns if c not in ("first", "points", "spans", "peaks")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t, n, p, s in zip(b["text"], b["norm"], b["points"], b["spans"]):
-                pairs = [(x["s"], x["e"]) for x in s] if s is not None else []
-                found = cuts_of(t, n, list(p) if p is not None else [], pairs, cfg) if t else []
+            for t, f, p, s, k in zip(b["text"], b["first"], b["points"], b["spans"], b["peaks"]):
+                found = cuts_of(t, list(p), [(x["s"], x["e"]) for x in s], cfg, [(x["pos"], x["score"]) for x in k], f) if t else []
                 rows.append([{"start": a, "end": e, "kind": k} for a, e, k in found])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "cuts": pd.Series(rows, dtype=object)})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "norm", "points", "spans").mapInPandas(run, f"doc_id {kind}, text string, cuts array<struct<start:int,end:int,kind:string>>")
-
+            yield b[rest].assign(cuts=pd.Series(rows, dtype=object, index=b.index))
 
-def slices(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, cuts) as (doc_id, chunk_no, start, end, kind, text, n_chars)."""
-    rows = docs.select("doc_id", "text", F.posexplode("cuts").alias("chunk_no", "c"))
-    size = F.col("c.end") - F.col("c.start")
-    return rows.select("doc_id", "chunk_no", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.kind").alias("kind"), F.substr("text", F.col("c.start") + 1, size).alias("text"), size.alias("n_chars"))
+    kinds = ", ".join(f"{c} {t}" for c, t in pieces.select(*rest).dtypes)
+    return pieces.mapInPandas(run, f"{kinds}, cuts array<struct<start:int,end:int,kind:string>>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.textnorm import normalize
 
-from .lines import by_line, split_lines
+from .lines import by_line, split_lines, with_row
 
 
 def fixed_chunks(docs: DataFrame, size: int = 512) -> DataFrame:
@@ -38,8 +38,8 @@ def paragraph_chunks(docs: DataFrame, size: int = 800) -> DataFrame:
 def sentence_ends(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the place after each sentence end: a terminator before a space, break, closing bracket or quote."""
     parts = F.regexp_extract_all(normalize(F.col("text")), F.lit("(?s).*?[.!?](?=[ \\t\\n)\\]}»\"'])"), F.lit(0))
-    rows = docs.select("doc_id", F.posexplode(parts).alias("k", "part"))
-    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = with_row(docs).select("doc_row", "doc_id", F.posexplode(parts).alias("k", "part"))
+    w = Window.partitionBy("doc_row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("doc_id", F.col("k").alias("sent_no"), F.sum(F.length("part")).over(w).alias("pos"), F.length("part").cast("long").alias("sent_len"))
 
 

@@ -12,7 +12,7 @@ __all__ = ["clean", "clean_legal", "collapse_space", "sections", "quota", "dedup
 
 def clean(text: Column) -> Column:
     """LF line ends, no blanks at line ends, one blank line at most between paragraphs, none at the ends."""
-    t = F.regexp_replace(fold_breaks(text), r"[ \t]+\n", "\n")
+    t = F.regexp_replace(fold_breaks(text), r"(?<![ \t])[ \t]++\n", "\n")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 

@@ -1,42 +1,89 @@
-"""Lines of documents and their features. Characters are never exploded: a document costs a row for each line."""
+"""Lines of documents and their features. A document costs a row for each line.
+
+Rows of one document are told by doc_row, a number of the input row, so that repeated and null ids do no harm. All windows
+are dealt by it, in the order of lines or against it, so one shuffle serves all features.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.predicates import ALL, fires
+from tessera.functions.predicates import ALL, CAPS_TOKEN, fires
 from tessera.functions.textnorm import first_word, line_shape, normalize, share, strip
 
 
-def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs(doc_id, text) as (doc_id, line_no, start, seg, st): one row for each line of the normalised text.
+#: Columns of a part of a long document, which its lines keep: the document's row, the part's number and offset.
+PART = ("doc", "part", "base")
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with doc_row, a number for each row, unless there is one."""
+    return docs if "doc_row" in docs.columns else docs.withColumn("doc_row", F.monotonically_increasing_id())
 
-    start: the offset of the line's first character in code points, a running sum over the document's lines; the shuffle
-    by document that it needs serves all later features too. A document that ends with a line break has an empty last
-    line; a null text has no line.
+
+def split_lines(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
+    """docs(doc_id, text) as (doc_row, doc_id, line_no, start, seg, st): a row for each line of the normalised text.
+
+    start: the offset of the line's first character in code points, a running sum over the document's lines. A document
+    that ends with a line break has an empty last line; a null text has no line. Repeated rows, and rows without an id, are
+    documents of their own. carry: the first line has the document's text in the column `text`.
     """
-    parts = docs.select("doc_id", F.split(normalize(F.col(text)), "\n").alias("_segs"))
-    rows = parts.select("doc_id", F.posexplode("_segs").alias("line_no", "seg"))
+    also = [c for c in PART if c in docs.columns]
+    parts = with_row(docs).select("doc_row", "doc_id", *also, F.col(text).alias("_text"), F.split(normalize(F.col(text)), "\n").alias("_segs"))
+    rows = parts.select("doc_row", "doc_id", *also, "_text", F.posexplode("_segs").alias("line_no", "seg"))
     before = F.sum(F.length("seg") + 1).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("doc_id", "line_no", F.coalesce(before, F.lit(0)).cast("long").alias("start"), "seg", strip(F.col("seg")).alias("st"))
+    own = [F.when(F.col("line_no") == 0, F.col("_text")).alias("text")] if carry else []
+    rows = rows.select("doc_row", "doc_id", *also, "line_no", "seg", *own)
+    return rows.select("doc_row", "doc_id", *also, "line_no", F.coalesce(before, F.lit(0)).cast("long").alias("start"), "seg", strip(F.col("seg")).alias("st"), *(["text"] if carry else []))
 
 
 def by_line():
-    return Window.partitionBy("doc_id").orderBy("line_no")
+    return Window.partitionBy("doc_row").orderBy("line_no")
+
+
+def before():
+    return by_line().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def after():
+    """The lines after, the nearest last: the order is turned, since a frame that runs to the end is summed up anew for
+    each row."""
+    return Window.partitionBy("doc_row").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def nearest(value: Column, frame) -> Column:
+    return F.last(value, ignorenulls=True).over(frame)
 
 
 def in_code(lines: DataFrame) -> DataFrame:
     """lines with fence, nf (earlier fence lines) and in_code: a fence line, or one between an opening and its closing."""
-    fence = fires("fence")
-    earlier = F.coalesce(F.sum(F.col("fence").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.withColumn("fence", fence).withColumn("nf", earlier.cast("long")).withColumn("in_code", F.col("fence") | (F.col("nf") % 2 == 1))
+    lines = lines.withColumn("fence", fires("fence"))
+    earlier = F.coalesce(F.sum(F.col("fence").cast("int")).over(before()), F.lit(0))
+    return lines.withColumn("nf", earlier.cast("long")).withColumn("in_code", F.col("fence") | (F.col("nf") % 2 == 1))
 
 
 def with_predicates(lines: DataFrame) -> DataFrame:
-    """lines with a column line_<name> for each predicate, false on blank and fence lines."""
-    plain = (F.col("st") != "") & ~fires("fence")
-    return lines.withColumns({f"line_{name}": plain & p.spark() for name, p in ALL.items() if name != "fence"})
+    """lines with a column line_<name> for each predicate and for what is put together of some, false on blank and fence
+    lines."""
+    plain = (F.col("st") != "") & ~F.col("fence")
+    flags = {name: p.spark() for name, p in ALL.items() if name != "fence"}
+    n, words = F.length("st"), F.filter(F.split("st", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    caps = F.regexp_extract_all("seg", F.lit(CAPS_TOKEN), F.lit(0))
+    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{javaUpperCase}")))
+    flags |= {
+        "date": flags["date"] | flags["month"] | (flags["year"] & flags["year_context"]),
+        "ends_sent": flags["ends_sent"] | flags["ends_q"],
+        "table": (n - F.length(F.replace("st", F.lit("|"))) >= 2) | flags["table_sep"],
+        "allcaps": (F.size(caps) >= 2) & (F.length(F.array_join(caps, "")) > 0.55 * n),
+        "indent": F.substring("seg", 1, 1).isin(" ", "\t"),
+        "has_q": F.col("st").contains("?") | F.col("st").contains("¿"),
+        "short_caps": n.between(2, 60) & ~F.col("st").rlike("[.!?;:,]$") & (2 * capital >= F.size(words)),
+        "starts_lower": F.col("st").rlike(r"^\p{javaLowerCase}"),
+        "ends_hyphen": F.col("st").endswith("-"),
+        "ends_comma": F.col("st").endswith(","),
+    }
+    return lines.withColumns({f"line_{name}": plain & F.coalesce(c, F.lit(False)) for name, c in flags.items()})
 
 
 def with_counts(lines: DataFrame) -> DataFrame:
@@ -45,6 +92,7 @@ def with_counts(lines: DataFrame) -> DataFrame:
     lines = lines.withColumns({"n_alpha": count(r"\p{L}"), "n_digit": count(r"\p{Nd}"), "n_upper": count(r"\p{javaUpperCase}"), "n_space": count(r"[ \t]")})
     lines = lines.withColumn("n_punct", F.length("seg").cast("long") - F.col("n_alpha") - F.col("n_digit") - F.col("n_space"))
     size = F.greatest(F.length("st"), F.lit(1))
+    plain = (F.col("st") != "") & ~F.col("fence")
     return lines.withColumns(
         {
             "line_digit_frac": F.col("n_digit") / size,
@@ -52,8 +100,9 @@ def with_counts(lines: DataFrame) -> DataFrame:
             "line_punct_frac": F.col("n_punct") / size,
             "line_all_lower": (F.col("n_alpha") > 0) & (F.col("n_upper") == 0),
             "line_no_alpha": F.col("n_alpha") == 0,
-            "line_word_count": F.when(F.col("st") == "", 0.0).otherwise(F.least(F.size(F.split("st", r"\s+")) / 40, F.lit(1.0))),
-            "line_indent_depth": F.least((F.length("seg") - F.length(F.regexp_replace("seg", r"^[ \t]+", ""))) / 8, F.lit(1.0)),
+            "line_word_count": F.when(plain, F.least(F.size(F.split("st", r"(?U)[\s\x1c-\x1f]+")) / 40, F.lit(1.0))).otherwise(0.0),
+            "line_indent_depth": F.when(plain, F.least((F.length("seg") - F.length(F.regexp_replace("seg", r"^[ \t]+", ""))) / 8, F.lit(1.0))).otherwise(0.0),
+            "line_len": F.least(F.length("st") / 300, F.lit(1.0)),
         }
     )
 
@@ -64,14 +113,19 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 def with_neighbours(lines: DataFrame) -> DataFrame:
     """What a line owes to its neighbours: blank runs, and the previous and next line that isn't blank."""
-    w = by_line()
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     full = F.col("st") != ""
-    facts = F.when(full, F.struct(F.col("line_no").alias("no"), F.length("st").alias("n"), line_shape(F.col("seg")).alias("shape"), first_word(F.col("seg")).alias("word"), (fires("ends_sent") & ~fires("fence")).alias("ends"), F.col("st").rlike(r"[\p{javaLowerCase},;-]$").alias("open"), (F.col("st").rlike(r"^\p{javaLowerCase}") & ~fires("fence")).alias("lower")))
+    facts = F.when(
+        full,
+        F.struct(
+            F.col("line_no").alias("no"), F.length("st").alias("n"), line_shape(F.col("seg")).alias("shape"), first_word(F.col("seg")).alias("word"), F.col("line_ends_sent").alias("ends"),
+            F.col("st").rlike(r"[\p{javaLowerCase},;-]$").alias("open"), F.col("line_starts_lower").alias("lower"), F.col("line_setext").alias("setext"),
+        ),
+    )
     lines = lines.withColumn("_f", facts)
-    lines = lines.withColumns({"_p": F.last("_f", ignorenulls=True).over(before), "_n": F.first("_f", ignorenulls=True).over(after), "_lag": F.lag("st").over(w)})
+    lines = lines.withColumns({"_p": nearest(F.col("_f"), before()), "_lag": F.lag("st").over(by_line())})
+    lines = lines.withColumn("_n", nearest(F.col("_f"), after()))
     both = lambda side, field: F.coalesce(F.col(f"_f.{field}") == F.col(f"{side}.{field}"), F.lit(False))
-    delta = lambda side: F.when(full & F.col(side).isNotNull(), clip((F.col("_f.n") - F.col(f"{side}.n")) / 80, -1.0, 1.0)).otherwise(0.0)
+    delta = lambda side: F.when(F.col(side).isNotNull(), clip((F.length("st") - F.col(f"{side}.n")) / 80, -1.0, 1.0)).otherwise(0.0)
     out = lines.withColumns(
         {
             "line_blank": ~full,
@@ -79,6 +133,7 @@ def with_neighbours(lines: DataFrame) -> DataFrame:
             "prev_line_ends_sent": F.coalesce(F.col("_p.ends"), F.lit(False)),
             "prev_line_ends_open": F.coalesce(F.col("_p.open"), F.lit(False)),
             "next_line_starts_lower": F.coalesce(F.col("_n.lower"), F.lit(False)),
+            "line_has_setext_under": full & F.coalesce(F.col("_n.setext") & (F.col("_n.no") == F.col("line_no") + 1), F.lit(False)),
             "line_repeat_prev": both("_p", "shape"),
             "line_repeat_next": both("_n", "shape"),
             "line_same_firstword_prev": both("_p", "word"),
@@ -92,7 +147,7 @@ def with_neighbours(lines: DataFrame) -> DataFrame:
 
 def with_document(lines: DataFrame) -> DataFrame:
     """What a line owes to its document: its place, and its length against the mean."""
-    w = Window.partitionBy("doc_id")
+    w = Window.partitionBy("doc_row")
     full = F.col("st") != ""
     lines = lines.withColumns({"n_lines": F.count(F.lit(1)).over(w), "n_blank": F.sum((~full).cast("long")).over(w), "mean_len": F.coalesce(F.avg(F.when(full, F.length("st"))).over(w), F.lit(0.0))})
     return lines.withColumns(
@@ -106,6 +161,7 @@ def with_document(lines: DataFrame) -> DataFrame:
     )
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All line features of docs, in one pass over lines dealt by document."""
-    return with_document(with_neighbours(with_counts(with_predicates(in_code(split_lines(docs, text))))))
+def features(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
+    """All line features of docs, in one pass over lines dealt by document; columns that aren't used cost nothing."""
+    df = with_document(with_neighbours(with_counts(with_predicates(in_code(split_lines(docs, text, carry))))))
+    return df.withColumns({"line_fence": F.col("fence"), "line_in_code": F.col("in_code")})

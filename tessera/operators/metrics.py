@@ -6,27 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_matches(pred, gold, tol: int):
-    """How many of the sorted positions `pred` find an unused one of the sorted `gold` within tol: each takes the first
-    that is left. A fold over pred whose state is the next free place in gold."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
+def greedy_matches(pred):
+    """pred: a document's positions in order, each with lo and hi, the number of gold positions before its reach and up to its
+    end. How many find an unused gold one in reach: each takes the first that is left. A fold whose state is the next free
+    place in gold."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
 
     def step(a, p):
-        ahead = F.size(F.filter(gold, lambda g: g < p - tol))
-        at = F.greatest(a["at"], ahead)
-        hit = (at < F.size(gold)) & (F.abs(F.get(gold, at) - p) <= tol)
-        return F.when(hit, F.struct((at + 1).alias("at"), (a["n"] + 1).alias("n"))).otherwise(F.struct(at.alias("at"), a["n"].alias("n")))
+        at = F.greatest(a["at"], p["lo"])
+        return F.when(at < p["hi"], F.struct((at + 1).alias("at"), (a["n"] + 1).alias("n"))).otherwise(F.struct(at.alias("at"), a["n"].alias("n")))
 
     return F.aggregate(pred, start, step, lambda a: a["n"])
 
 
 def boundary_prf(pred: DataFrame, gold: DataFrame, docs: DataFrame, tol: int = 3) -> DataFrame:
     """pred(doc_id, pos), gold(doc_id, pos): precision, recall and F1 of each document of docs. Both empty: 1; one: 0."""
-    p = pred.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    g = gold.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("g"))
-    none = F.array().cast("array<bigint>")
-    df = docs.select("doc_id").join(p, "doc_id", "left").join(g, "doc_id", "left").select("doc_id", F.coalesce("p", none).alias("p"), F.coalesce("g", none).alias("g"))
-    df = df.select("doc_id", F.size("p").cast("long").alias("n_pred"), F.size("g").cast("long").alias("n_gold"), greedy_matches(F.col("p"), F.col("g"), tol).cast("long").alias("tp"))
+    marks = pred.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(False).alias("gold")).union(gold.select("doc_id", F.col("pos").cast("long"), F.lit(True))).distinct()
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    upto = lambda k: F.count_if("gold").over(w.rangeBetween(Window.unboundedPreceding, k))
+    marks = marks.withColumns({"lo": upto(-tol - 1), "hi": upto(tol)})
+    tally = marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(~F.col("gold"), F.struct("pos", "lo", "hi")))).alias("p"), F.count_if("gold").alias("n_gold"))
+    df = docs.select("doc_id").join(tally, "doc_id", "left")
+    df = df.select("doc_id", F.coalesce(F.when(F.col("p").isNotNull(), F.size("p")), F.lit(0)).cast("long").alias("n_pred"), F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.coalesce(greedy_matches(F.col("p")), F.lit(0)).alias("tp"))
     both = (F.col("n_pred") == 0) & (F.col("n_gold") == 0)
     ratio = lambda n: F.when(both, 1.0).otherwise(F.coalesce(F.try_divide("tp", n), F.lit(0.0)))
     df = df.withColumns({"precision": ratio("n_pred"), "recall": ratio("n_gold")})

@@ -140,25 +140,25 @@ PREV = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECED
 NEXT = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 FENCE_SQL = ALL["fence"].sql()
 NEAR_CTE = f"""{LINE_CTE}, near AS (SELECT *, CASE WHEN {FULL} THEN length(st) END AS n, CASE WHEN {FULL} THEN {SHAPE_SQL} END AS shape, CASE WHEN {FULL} THEN regexp_extract(seg, '^\\s*(\\S+)', 1) END AS word,
-CASE WHEN {FULL} THEN line_no END AS no, CASE WHEN {FULL} THEN {ALL['ends_sent'].sql()} AND NOT {FENCE_SQL} END AS ends, CASE WHEN {FULL} THEN regexp_matches(st, '[\\p{{Ll}},;-]$') END AS open, CASE WHEN {FULL} THEN regexp_matches(st, '^\\p{{Ll}}') AND NOT {FENCE_SQL} END AS low FROM lines)"""
+CASE WHEN {FULL} THEN line_no END AS no, CASE WHEN {FULL} THEN ({ALL['ends_sent'].sql()} OR {ALL['ends_q'].sql()}) AND NOT {FENCE_SQL} END AS ends, CASE WHEN {FULL} THEN regexp_matches(st, '[\\p{{Ll}},;-]$') END AS open, CASE WHEN {FULL} THEN regexp_matches(st, '^\\p{{Ll}}') AND NOT {FENCE_SQL} END AS low FROM lines)"""
 
 
 @query("feat_neighbours", f"""{NEAR_CTE} SELECT doc_id, line_no, coalesce(last_value(ends IGNORE NULLS) {PREV}, false) AS prev_line_ends_sent, coalesce(last_value(open IGNORE NULLS) {PREV}, false) AS prev_line_ends_open,
 coalesce(first_value(low IGNORE NULLS) {NEXT}, false) AS next_line_starts_lower, coalesce(shape = last_value(shape IGNORE NULLS) {PREV}, false) AS line_repeat_prev, coalesce(shape = first_value(shape IGNORE NULLS) {NEXT}, false) AS line_repeat_next,
 coalesce(word = last_value(word IGNORE NULLS) {PREV}, false) AS line_same_firstword_prev, coalesce(lag(st) OVER (PARTITION BY doc_id ORDER BY line_no) = '', false) AS line_after_blank FROM near""")
 def feat_neighbours(spark, sf):
-    df = lines.with_neighbours(deco_lines(spark, sf))
+    df = lines.with_neighbours(lines.with_predicates(lines.in_code(deco_lines(spark, sf))))
     return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "prev_line_ends_sent", "prev_line_ends_open", "next_line_starts_lower", "line_repeat_prev", "line_repeat_next", "line_same_firstword_prev", "line_after_blank")
 
 
 def _clip(x: str) -> str:
-    return f"CASE WHEN {FULL} AND {x} IS NOT NULL THEN least(greatest((n - {x}) / 80.0::DOUBLE, -1.0), 1.0) ELSE 0.0 END"
+    return f"CASE WHEN {x} IS NOT NULL THEN least(greatest((length(st) - {x}) / 80.0::DOUBLE, -1.0), 1.0) ELSE 0.0 END"
 
 
 @query("feat_lengths", f"""{NEAR_CTE} SELECT doc_id, line_no, round({_clip(f'(last_value(n IGNORE NULLS) {PREV})')}, 6)::DOUBLE AS d_prev, round({_clip(f'(first_value(n IGNORE NULLS) {NEXT})')}, 6)::DOUBLE AS d_next,
 round(least((line_no - coalesce(last_value(no IGNORE NULLS) {PREV}, -1) - 1) / 3.0::DOUBLE, 1.0), 6)::DOUBLE AS blank_run FROM near""")
 def feat_lengths(spark, sf):
-    df = lines.with_neighbours(deco_lines(spark, sf))
+    df = lines.with_neighbours(lines.with_predicates(lines.in_code(deco_lines(spark, sf))))
     return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round("line_len_delta_prev", 6).alias("d_prev"), F.round("line_len_delta_next", 6).alias("d_next"), F.round("line_blank_run", 6).alias("blank_run"))
 
 
@@ -175,7 +175,7 @@ COUNT_SQL = {c: f"len(regexp_extract_all(seg, '{p}'))" for c, p in (("a", "\\p{L
 @query("feat_fractions", f"""{LINE_CTE}, c AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in COUNT_SQL.items())} FROM lines)
 SELECT doc_id, line_no, round(d / greatest(length(st), 1), 6)::DOUBLE AS digit_frac, round(u / greatest(a, 1), 6)::DOUBLE AS upper_frac, round((length(seg) - a - d - s) / greatest(length(st), 1), 6)::DOUBLE AS punct_frac, (a > 0 AND u = 0) AS all_lower, a = 0 AS no_alpha FROM c""")
 def feat_fractions(spark, sf):
-    df = lines.with_counts(deco_lines(spark, sf))
+    df = lines.with_counts(lines.in_code(deco_lines(spark, sf)))
     r = lambda c: F.round(f"line_{c}", 6).alias(c)
     return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), r("digit_frac"), r("upper_frac"), r("punct_frac"), F.col("line_all_lower").alias("all_lower"), F.col("line_no_alpha").alias("no_alpha"))
 
@@ -206,13 +206,13 @@ ts AS (SELECT doc_id, 'table' AS kind, min(start)::BIGINT AS s, max(aft)::BIGINT
 
 @query("protected_spans", f"{SPANS} SELECT doc_id, kind, s, e FROM sp WHERE e - s > 1")
 def protected_spans(spark, sf):
-    return spans.protected_spans(deco_lines(spark, sf))
+    return spans.protected_spans(deco_lines(spark, sf)).select("doc_id", "kind", "s", "e")
 
 
 @query("span_veto", f"{SPANS} SELECT l.doc_id, l.start AS pos FROM lines l WHERE l.seg <> '' AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.e - sp.s > 1 AND sp.doc_id = l.doc_id AND l.start > sp.s AND l.start < sp.e)")
 def span_veto(spark, sf):
     df = deco_lines(spark, sf)
-    return spans.veto(df.where("seg <> ''").select("doc_id", F.col("start").alias("pos")), spans.protected_spans(df)).select("doc_id", "pos")
+    return spans.veto(df.where("seg <> ''").select("doc_id", F.col("start").alias("pos")), spans.protected_spans(df).drop("doc_row")).select("doc_id", "pos")
 
 
 SIMPLE = scoring.LinearScorer({"line_hash": 3.0, "line_enum": 1.5, "line_legal": 2.0, "line_ends_q": 1.25, "line_bullet": -0.5, "line_url": 0.25}, -1.5)
@@ -221,7 +221,7 @@ SCORE_SQL = "1 / (1 + exp(-(-1.5 + " + " + ".join(f"{w} * ({PLAIN_SQL} AND {ALL[
 
 
 def _scored(spark, sf):
-    return SIMPLE.score(lines.with_predicates(deco_lines(spark, sf)))
+    return SIMPLE.score(lines.with_predicates(lines.in_code(deco_lines(spark, sf))))
 
 
 @query("line_score_linear", f"{LINE_CTE} SELECT doc_id, line_no, round({SCORE_SQL}, 6)::DOUBLE AS score FROM lines")

@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 from tessera.config import ChunkerConfig
 from tessera.functions import textnorm
-from tessera.operators import assemble, augment, labels, lines, metrics, scoring, spans, synth
-from tessera.plans.segment import SegmentEngine
+from tessera.operators import assemble, augment, chars, labels, lines, metrics, scoring, spans, synth
+from tessera.plans.segment import SegmentEngine, engine_of
 from tessera.registry import ORACLES, QUERIES
 from tessera.sources import readers
 
 PROSE = "A Plain Title\n\nThis is the first paragraph. It has two sentences.\nIt goes on here.\n\nSecond Title\n\nAnother paragraph follows, longer than the first one. It ends.\n"
 QA = "What is it?\nIt is a thing.\nHow much does it cost?\nIt costs ten.\nWhen does it open?\nIt opens at nine.\n"
 MARKDOWN = "## One\n\ntext of one\n\n```python\nx = 1\n\ny = 2\n```\n\n## Two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
-EDGE = ["", " ", "\n", "\n\n\n", "\r\n\r\n", "a", "a b c", "x" * 5000, "word " * 2000, "same line\n" * 500, "A sentence here. " * 400, "Title\n=====\n\nbody", "﻿start", "# h\n```\ncode\n```\n| a |\n", "\tindent\n\t\tmore", "🎉 party 🎉\n" * 50, PROSE, QA, MARKDOWN, PROSE * 400]
+#: By class of input: nothing to say, line breaks of each kind, no place to cut, many places, marks of structure, characters
+#: beyond the first plane.
+BLANK = ["", "\t", "  \n \n\t", "\u3000\u00a0", "\r\r\n\n\r"]
+SOLID = ["Z", "q" * 7001, "é" * 2499 + "\n" + "ü" * 2502, "9" * 2500, "-" * 3000 + " end"]
+BROKEN = ["one\rtwo\r\nthree\nfour", "\r\n".join(f"row {k}" for k in range(900)), "p\n\n\n\nq", "\n" * 2600 + "deep", "\x0bA\x0cB\u2028C"]
+PACKED = ["yes. " * 1500, "To be. Or not? " * 350 + "\r\n" + "Yes! " * 700, " ".join(f"item{k}" for k in range(3000))]
+MARKED = ["~~~\nopen " + "x " * 3000, "| a |\n" * 900, "## A\n\n```\n" + "code line\n" * 600 + "```\n\n## B\nend", "Name: x\n" * 400, "\ufeffTop\n---\n1) a\n2) b"]
+WIDE = ["🎉" * 2600, "𝒜 🎉 naïve\r\n" * 400, "ﬁńal‍\u00ad " * 500]
+EDGE = [*BLANK, *SOLID, *BROKEN, *PACKED, *MARKED, *WIDE, PROSE, QA, MARKDOWN, PROSE * 300]
 
 
 def plain(v):
@@ -70,16 +78,17 @@ def test_chunks_are_slices_and_keep_everything(edge_chunks):
         assert all(t[r["start"] : r["end"]] == r["text"] and r["text"] == r["text"].strip() for r in got)
         assert bare("".join(r["text"] for r in got)) == bare(t)
         assert all(r["n_chars"] <= 2500 for r in got)
-    assert edge_chunks[len(EDGE)] == [] and edge_chunks[0] == []
+        assert [r["chunk_no"] for r in got] == list(range(len(got)))
+    assert all(edge_chunks[k] == [] for k in [len(EDGE), *range(len(BLANK))])
 
 
 def test_no_chunk_starts_within_a_word(edge_chunks):
-    for t, rows in ((PROSE, edge_chunks[16]), (QA, edge_chunks[17]), (MARKDOWN, edge_chunks[18])):
+    for t, rows in zip(EDGE[-4:], (edge_chunks[k] for k in range(len(EDGE) - 4, len(EDGE)))):
         assert all(r["start"] == 0 or not (t[r["start"] - 1].isalnum() and t[r["start"]].isalnum()) for r in rows)
 
 
 def test_fence_and_short_line_stay_whole(spark, edge_chunks):
-    assert any("x = 1\n\ny = 2" in r["text"] for r in edge_chunks[18])
+    assert any("x = 1\n\ny = 2" in r["text"] for r in edge_chunks[len(EDGE) - 2])
     assert len(chunks_of(spark, ["One short line of text."])[0]) == 1
 
 
@@ -94,10 +103,134 @@ def test_most_and_crlf(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB .\n\r-#|`?1", max_size=400), st.lists(st.integers(0, 400), max_size=12), st.integers(5, 80))
 def test_assembly_keeps_content(text, points, most):
-    norm = text.replace("\r\n", "\n").replace("\r", "\n")
-    got = assemble.cuts_of(text, norm, [p for p in points if p < len(norm)], [], ChunkerConfig(max_chunk_chars=most, min_chunk_chars=3))
+    cfg = ChunkerConfig(max_chunk_chars=most, min_chunk_chars=3)
+    got = assemble.cuts_of(text, points, [], cfg, [(p, 0.5) for p in points])
     assert bare("".join(text[a:b] for a, b, _ in got)) == bare(text)
-    assert all(len(text[a:b].replace("\r\n", "\n")) <= most for a, b, _ in got)
+    assert all(b - a <= most for a, b, _ in got)
+    lf = text.replace("\r\n", "\n").replace("\r", "\n")
+    same = lambda t: [t[a:b].replace("\r\n", "\n") for a, b, _ in assemble.cuts_of(t, points, [], cfg)]
+    assert same(lf) == same(lf.replace("\n", "\r\n"))
+
+
+def test_merge_rules():
+    """A heading opens a chunk, what goes on in lower case or is short joins the one before, a short start the one after."""
+    def chunks(*pieces, least=20):
+        text = "".join(pieces)
+        cuts = [len("".join(pieces[:k])) for k in range(1, len(pieces))]
+        edges = [0, *assemble.merge(text, cuts, least), len(text)]
+        return [text[a:b] for a, b in zip(edges, edges[1:])]
+
+    long = ["First body, which is long enough.\n", "Second body, which is long enough.\n"]
+    assert chunks(*long) == long
+    assert chunks(long[0], "and it goes on in lower case here.\n", long[1]) == [long[0] + "and it goes on in lower case here.\n", long[1]]
+    assert chunks(long[0], "A Heading\n", long[1]) == [long[0], "A Heading\n" + long[1]]
+    assert chunks(long[0], "Short end.\n", long[1]) == [long[0] + "Short end.\n", long[1]]
+    assert chunks("Hi.\n", long[0], long[1]) == ["Hi.\n" + long[0], long[1]]
+    assert chunks(long[0], "A Heading\n") == [long[0] + "A Heading\n"]
+    assert chunks(long[0], "\n\n", long[1]) == [long[0] + "\n\n", long[1]]
+
+
+def test_long_documents_and_repeated_ids(spark):
+    body = [f"## Part {k}\n\n" + f"Sentence {k} of some length stands here. " * 20 + "\n\n" for k in range(40)]
+    text = "".join(body)
+    rows = [(1, text), (1, text), (None, text), (None, PROSE), (1, None), (2, "x" * 9000)]
+    got = {}
+    for r in SegmentEngine(ChunkerConfig(window_chars=4000)).chunk(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    one = sorted((r["chunk_no"], r["start"], r["text"]) for r in got[1])
+    assert one[::2] == one[1::2] and [n for n, *_ in one[::2]] == list(range(len(one) // 2))
+    assert all(text[a : a + len(t)] == t for _, a, t in one) and bare("".join(t for *_, t in one[::2])) == bare(text)
+    assert len(got[None]) == len(one) // 2 + len(chunks_of(spark, [PROSE])[0])
+    assert [r["n_chars"] for r in sorted(got[2], key=lambda r: r["start"])] == [2500, 1500, 2500, 1500, 1000]
+    # Parts end at line ends: with a window beyond it all headings are the same.
+    whole = [r["text"] for r in chunks_of(spark, [text])[0]]
+    assert sum(t.startswith("## Part") for t in whole) == 40
+
+
+def test_lines_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (1, "c\n\nd"), (None, "e\nf"), (None, None)], "doc_id long, text string").repartition(2)
+    rows = lines.features(df).select("doc_id", "line_no", "start", "seg", "n_lines", "line_after_blank").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(1, 0, 0, "a", 2, False), (1, 1, 2, "b", 2, False), (1, 0, 0, "c", 3, False), (1, 1, 2, "", 3, False), (1, 2, 3, "d", 3, True), (None, 0, 0, "e", 2, False), (None, 1, 2, "f", 2, False)], key=repr)
+
+
+def char_values(t):
+    """Some features of each character, from their definitions."""
+    n, out = len(t), []
+    eos = [c in ".!?" and k + 1 < n and t[k + 1] in " \t\n)]}»\"'" for k, c in enumerate(t)]
+    gap = [c in " \t\n" for c in t]
+    starts = [k for k in range(n) if k == 0 or (not gap[k] and any(not gap[j] and eos[j] and all(gap[j + 1 : k]) for j in range(k)))]
+    for k, c in enumerate(t):
+        s = max(x for x in starts if x <= k)
+        e = min((x for x in starts if x > k), default=n)
+        nl = max((j for j in range(k + 1) if t[j] == "\n"), default=0)
+        w0, w1 = max((j for j in range(k + 1) if gap[j]), default=-1), min((j for j in range(k, n) if gap[j]), default=n)
+        stop = min((j for j in range(k, n) if eos[j]), default=n)
+        out.append(
+            {
+                "L": c.isalpha(), "D": c.isdigit(), "UPP": c.isupper(), "PUNC": not (c.isalpha() or c.isdigit() or gap[k]), "prev_D": k > 0 and t[k - 1].isdigit(), "next_UPP": k + 1 < n and t[k + 1].isupper(),
+                "eos_here": eos[k], "prev_eos": k > 0 and eos[k - 1], "para_start": t[k : k + 2] == "\n\n", "para_end": k > 0 and t[k - 1 : k + 1] == "\n\n", "nl_end": c == "\n" and t[k : k + 2] != "\n\n",
+                "chars_since_nl": min((k - nl) / 200, 1), "is_line_end": c == "\n" or t[k + 1 : k + 2] in ("\n", ""), "chars_since_sent": min((k - s) / 300, 1), "sent_len": min((e - s) / 400, 1), "at_sent_start": k in starts,
+                "dist_to_term": min((stop - k) / 200, 1), "word_len_cur": min((w1 - w0) / 30, 1), "in_word": not gap[k], "open_paren": sum(x in "([{«" for x in t[: k + 1]) > sum(x in ")]}»" for x in t[: k + 1]), "doc_pos": k / n, "near_end": k > n - 8,
+            }
+        )
+    return out
+
+
+def test_character_features(spark):
+    texts = [PROSE, QA, MARKDOWN, "One (two. Three! \"Four?\" five\n\n\n  six² ½ 7.5 É.", " ", "\n\n", "", None, "A" * 500 + ". b"]
+    rows = chars.features(frame(spark, texts)).collect()
+    got = {(r["doc_id"], r["pos"]): r for r in rows}
+    assert len(rows) == sum(len(t or "") for t in texts) and all(n in rows[0].asDict() for n in chars.NAMES)
+    for d, t in enumerate(texts):
+        for k, want in enumerate(char_values(t or "")):
+            for name, v in want.items():
+                assert got[d, k][name] == v if isinstance(v, bool) else abs(got[d, k][name] - v) < 1e-9, (d, k, name)
+    assert len(chars.NAMES) == 102 and chars.schema_digest() == "4b98cc3942b9"
+    whole = {(r["doc_id"], r["pos"]): r["features"] for r in chars.extract_features(frame(spark, texts)).collect()}
+    assert all(len(v) == 102 and abs(v[0] - got[k]["L"]) < 1e-6 and abs(v[97] - got[k]["doc_pos"]) < 1e-6 for k, v in whole.items())
+
+
+def test_line_features_by_hand(spark):
+    text = "BIG NEWS Today\n  indented\nWhat? yes\nlower end-\nComma here,\nSome Short Caps\nTitle\n===\n| a | b\non day 1999\n3 may 12\n```\nwhat is\n```"
+    rows = {r["line_no"]: r for r in lines.features(frame(spark, [text])).collect()}
+    on = lambda name: [k for k, r in sorted(rows.items()) if r[name]]
+    assert on("line_allcaps") == [0] and on("line_indent") == [1] and on("line_has_q") == [2] and on("line_ends_hyphen") == [3] and on("line_ends_comma") == [4]
+    assert on("line_starts_lower") == [1, 3, 9, 12] and on("line_has_setext_under") == [6] and on("line_table") == [8] and on("line_date") == [9, 10]
+    assert on("line_short_caps") == [0, 2, 5, 6] and on("line_in_code") == [11, 12, 13] and on("line_qword") == [2, 12]
+
+
+def test_networks_in_the_engine(spark, tmp_path):
+    """Small random networks over all features: scores equal numpy's, and the engine takes blend, peaks and fallback."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    char, line = str(tmp_path / "c.npz"), str(tmp_path / "l.npz")
+    net = lambda *sizes: [(r.normal(size=(a, b)).astype("f4") / 8, r.normal(size=b).astype("f4") / 8) for a, b in zip(sizes, sizes[1:])]
+    c, l = net(102, 16, 2), net(102 * 3, 12, 1)
+    scoring.save_weights(char, c)
+    scoring.save_weights(line, l, CTX=1)
+    engine = engine_of(ChunkerConfig(max_chunk_chars=80, min_chunk_chars=5, big_threshold=0.4, small_threshold=0.3, char_blend=0.25), line, char)
+
+    def forward(layers, x):
+        for k, (w, b) in enumerate(layers):
+            x = x @ w + b if k + 1 == len(layers) else np.maximum(x @ w + b, 0)
+        return 1 / (1 + np.exp(-x.astype("f8")))
+
+    df = frame(spark, [PROSE, MARKDOWN])
+    x = {(v["doc_id"], v["pos"]): np.array(v["features"], "f4") for v in chars.extract_features(df).collect()}
+    got = {(v["doc_id"], v["start"]): v["score"] for v in engine.line_scores(df).collect()}
+    for d, t in enumerate([PROSE, MARKDOWN]):
+        starts = [k for k in range(len(t)) if (k == 0 or t[k - 1] == "\n") and t[k] != "\n"]
+        feats = np.vstack([np.zeros((1, 102)), [x[d, k] for k in starts], np.zeros((1, 102))])
+        want = 0.75 * forward(l, np.hstack([feats[:-2], feats[1:-1], feats[2:]]))[:, 0] + 0.25 * forward(c, feats[1:-1])[:, 0]
+        assert np.allclose([got[d, k] for k in starts], want, atol=1e-5)
+    rows = engine.chunk(df).collect()
+    assert {v["doc_id"] for v in rows} == {0, 1} and all(v["n_chars"] <= 80 for v in rows)
+    for d, t in enumerate([PROSE, MARKDOWN]):
+        assert bare("".join(v["text"] for v in sorted(rows, key=lambda v: v["start"]) if v["doc_id"] == d)) == bare(t)
+    with pytest.raises(ValueError, match="feature schema"):
+        scoring.save_weights(line, net(204, 1))
+        engine_of(line_weights=line)
 
 
 def test_normalisation_keeps_length(spark):
