@@ -101,20 +101,39 @@ TRANSFORMS: list[tuple[str, Callable[[Column], Column], int]] = [
 ]
 
 
-def augment(docs: DataFrame, seed: int = 0, least: int = 80) -> DataFrame:
-    """docs(doc_id, text, boundaries): each unit through the transforms that a hash of it draws, up to three; documents that
-    end up shorter than `least` go. Returns (doc_id, text, boundaries, transforms)."""
-    df = units(docs)
-    names = F.array().cast("array<string>")
-    lot = lambda k: F.pmod(F.xxhash64("doc_id", "unit_no", F.lit(seed), F.lit(k)), F.lit(100))
-    df = df.withColumn("names", names)
-    for k, (name, f, part) in enumerate(TRANSFORMS):
-        drawn = (lot(k) < part) & (F.size("names") < 3)
+def renumber(t: Column, u: Column) -> Column:
+    """The number of each enumerated line replaced by the unit's place."""
+    number = F.concat(F.lit("$1"), (u + 1).cast("string"), F.lit("$2"))
+    return F.regexp_replace(t, F.lit(r"(?m)^(\s*)\d+([.)]\s)"), number)
+
+
+def header_styles(t: Column, style: Column) -> Column:
+    """A first line that is a Markdown heading as plain text, underlined, in capitals or numbered: style 0 to 3."""
+    line, rest = F.regexp_extract(t, r"^[^\n]*", 0), F.regexp_replace(t, r"^[^\n]*", "")
+    bare = F.regexp_replace(line, r"^#{1,6}\s+", "")
+    new = F.when(style == 0, bare).when(style == 1, F.concat(bare, F.lit("\n"), F.repeat(F.lit("="), F.length(bare)))).when(style == 2, F.upper(bare)).otherwise(F.concat(F.lit("1. "), bare))
+    return F.when(line.rlike(r"^#{1,6}\s"), F.concat(new, rest)).otherwise(t)
+
+
+def noisy_wrap(t: Column, width: int = 48) -> Column:
+    """Lines of at most `width`; where a word would not fit, its first letters stay on the line before, as in a bad scan. No
+    character but white space is lost or made."""
+    return F.regexp_replace(F.regexp_replace(t, r"[ \n]+", " "), rf"(.{{{width // 2},{width}}})", "$1\n")
+
+
+def augment(docs: DataFrame, seed: int = 0, least: int = 80, transforms: list[tuple[str, Callable[[Column], Column], int]] = TRANSFORMS, most: int = 3) -> DataFrame:
+    """docs(doc_id, text, boundaries): each unit through the transforms that arithmetic on its document's and its own number
+    draws, up to `most`; documents that end up shorter than `least` go. Returns (doc_id, text, boundaries, transforms)."""
+    df = units(docs).withColumn("names", F.array().cast("array<string>"))
+    for k, (name, f, part) in enumerate(transforms):
+        drawn = (F.pmod(F.col("doc_id") * 31 + F.col("unit_no") * 17 + (k + 1) * (seed + 7) * 13, F.lit(100)) < part) & (F.size("names") < most)
         df = df.withColumns({"_d": drawn}).withColumns({"text": F.when(F.col("_d"), f(F.col("text"))).otherwise(F.col("text")), "names": F.when(F.col("_d"), F.array_append("names", F.lit(name))).otherwise(F.col("names"))})
-    out = join_units(df).join(df.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("transforms")), "doc_id")
-    return out.where(F.length("text") >= least)
+    used = F.array_sort(F.array_distinct(F.flatten(F.collect_list("names"))))
+    return join_units(df, used.alias("transforms")).where(F.length("text") >= least)
 
 
 def noisy_pages(docs: DataFrame, page: int = 1000) -> DataFrame:
-    """docs(doc_id, text): a page number and a form feed after the line break that ends each page of about `page`."""
-    return docs.withColumn("text", F.regexp_replace(F.col("text"), rf"((?s:.{{{page}}})[^\n]*)\n", "$1\n\n- 7 -\n\f\n"))
+    """docs(doc_id, text): a running page number and a form feed after the line break that ends each page of about `page`."""
+    parts = F.regexp_extract_all("text", F.lit(rf"(?s:.{{1,{page}}})[^\n]*(?:\n|\z)"), F.lit(0))
+    numbered = F.transform("_parts", lambda p, k: F.when(p.endswith("\n"), F.concat(p, F.lit("\n- "), (k + 1).cast("string"), F.lit(" -\n\f\n"))).otherwise(p))
+    return docs.withColumn("_parts", parts).withColumn("text", F.array_join(numbered, "")).drop("_parts")

@@ -33,6 +33,30 @@ def sections(docs: DataFrame, short: int = 40, full: int = 900, least: int = 350
     return rows.where(F.length("text").between(least, most))
 
 
+def legal_sections(docs: DataFrame, short: int = 60, full: int = 1900, least: int = 400, most: int = 2600) -> DataFrame:
+    """As sections(), for statutes; a document without a section of fair length stays whole, as section 0."""
+    found = sections(docs, short + 1, full, least, most)
+    none = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return found.union(none.select("doc_id", F.lit(0), "text"))
+
+
+def fair_sample(docs: DataFrame, low: int, high: int, most: int) -> DataFrame:
+    """A sampling operator: `most` documents of `low` to `high` characters, chosen by arithmetic on doc_id."""
+    return docs.where(F.length("text").between(low, high)).orderBy(F.pmod(F.col("doc_id") * 7919, F.lit(10_007)), "doc_id").limit(most)
+
+
+def grouped(pairs: DataFrame, text: Column, low: int = 3, high: int = 5) -> DataFrame:
+    """pairs(pair_id, ...): their texts, `low` to `high` a document by turns, as (doc, text, boundaries)."""
+    from .labels import join_units
+
+    cycle = (low + high) * (high - low + 1) // 2
+    ends = [sum(range(low, low + k + 1)) for k in range(high - low + 1)]
+    place = F.pmod("pair_id", F.lit(cycle))
+    turn = sum(((place >= e).cast("int") for e in ends), F.lit(0))
+    doc = (F.floor(F.col("pair_id") / cycle) * len(ends) + turn).cast("long")
+    return join_units(pairs.select(doc.alias("doc_id"), F.col("pair_id").alias("unit_no"), F.concat(text, F.lit("\n\n")).alias("text"))).withColumnRenamed("doc_id", "doc")
+
+
 def quota(docs: DataFrame, group: str, limit: int, order: str = "doc_id") -> DataFrame:
     """The first `limit` documents of each group."""
     w = Window.partitionBy(group).orderBy(order)

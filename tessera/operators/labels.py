@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.textnorm import collapse_space
+from tessera.functions.textnorm import collapse_space, normalize
+
+from .scoring import LinearScorer, plateau_peaks
 
 
 def snap_positions(labels: DataFrame, lines: DataFrame, reach: int = 4) -> DataFrame:
@@ -41,9 +46,10 @@ def line_labels(lines: DataFrame, labels: DataFrame, back: int = 2) -> DataFrame
 
 
 def halo_sample(points: DataFrame, reach: int = 6, keep: float = 0.06, seed: int = 0) -> DataFrame:
-    """points(doc_id, pos, label 0/1): the positives, those within reach of one, and a share of the rest chosen by hash."""
+    """points(doc_id, pos, label 0/1): the positives, those within reach of one, and a share of the rest chosen by arithmetic
+    on document and place."""
     near = F.max("label").over(Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-reach, reach)) > 0
-    lot = F.pmod(F.xxhash64("doc_id", "pos", F.lit(seed)), F.lit(10_000)) < int(10_000 * keep)
+    lot = F.pmod(F.col("doc_id") * 7919 + F.col("pos") * 104_729 + seed, F.lit(10_007)) < int(10_007 * keep)
     return points.withColumn("_near", near).where(F.col("_near") | lot).drop("_near")
 
 
@@ -63,10 +69,78 @@ def units(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "unit_no", F.col("u.start").alias("start"), F.substr("text", (F.col("u.start") + 1).cast("int"), (F.col("u.end") - F.col("u.start")).cast("int")).alias("text"))
 
 
-def join_units(units_: DataFrame) -> DataFrame:
-    """(doc_id, text, boundaries): a document's units one after another; boundaries are the running lengths."""
+def join_units(units_: DataFrame, *more) -> DataFrame:
+    """(doc_id, text, boundaries, ...): a document's units one after another; boundaries are the running lengths. more:
+    further aggregates over the units."""
     rows = F.array_sort(F.collect_list(F.struct("unit_no", "text")))
-    df = units_.groupBy("doc_id").agg(F.transform(rows, lambda r: r["text"]).alias("_u"))
+    df = units_.groupBy("doc_id").agg(F.transform(rows, lambda r: r["text"]).alias("_u"), *more)
+    rest = [c for c in df.columns if c not in ("doc_id", "_u")]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("b"))
-    ends = F.aggregate("_u", start, lambda a, u: F.struct((a["at"] + F.length(u)).alias("at"), F.array_append(a["b"], a["at"] + F.length(u)).alias("b")), lambda a: F.slice(a["b"], 1, F.greatest(F.size(a["b"]) - 1, F.lit(0))))
-    return df.select("doc_id", F.array_join("_u", "").alias("text"), ends.alias("boundaries"))
+    ends = F.aggregate(F.transform("_u", lambda u: F.length(u)), start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["b"], a["at"] + n).alias("b")), lambda a: F.slice(a["b"], 1, F.greatest(F.size(a["b"]) - 1, F.lit(0))))
+    return df.select("doc_id", F.array_join("_u", "").alias("text"), ends.alias("boundaries"), *rest)
+
+
+def peak_boundaries(logp: DataFrame, docs: DataFrame) -> DataFrame:
+    """logp(doc_id, pos, score), docs(doc_id, text, boundaries): docs with the boundaries of the record itself, else those of
+    the tops of its log probabilities, else none. The document's start is no boundary."""
+    tops = plateau_peaks(logp).where("pos > 0").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("_tops"))
+    own = F.when(F.size("boundaries") > 0, F.col("boundaries"))
+    return docs.join(tops, "doc_id", "left").withColumn("boundaries", F.coalesce(own, "_tops", F.array().cast("array<bigint>"))).drop("_tops")
+
+
+def char_labels(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, boundaries): (doc_id, pos, label), a row for each character; 1 at a boundary."""
+    marks = docs.select("doc_id", F.explode(F.array_distinct("boundaries")).alias("pos"), F.lit(1).alias("label"))
+    places = docs.where(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1)).alias("pos"))
+    return places.join(marks, ["doc_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def normalised(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, boundaries) with the normalised text and the boundaries in it; one between CR and LF moves after
+    the pair. doc_id must be unique."""
+    moved = F.transform("boundaries", lambda b: F.when(F.substr("text", b.cast("int"), F.lit(2)) == "\r\n", b + 1).otherwise(b))
+    return join_units(units(docs.withColumn("boundaries", moved)).withColumn("text", normalize(F.col("text"))))
+
+
+def top_places(logp: DataFrame, docs: DataFrame, k: int = 15, floor: float = -8.0, around: int = 20) -> DataFrame:
+    """A top-k report: of each document the k highest places at or above floor, with the text around them."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
+    best = logp.where(F.col("score") >= floor).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    start = F.greatest(F.col("pos") - around, F.lit(0)).cast("int")
+    return best.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "place", "pos", "score", F.substr("text", start + 1, F.col("pos").cast("int") - start + around).alias("context"))
+
+
+def aligned_marks(docs: DataFrame, mark: str = "\u3010SPLIT\u3011") -> DataFrame:
+    """docs(doc_id, text, generated): doc_id and boundaries, the places in text where a copy of it with marks has them; the
+    copy may have other changes, for which the place after the last common character is taken."""
+
+    @F.pandas_udf("array<bigint>")
+    def places(text: pd.Series, generated: pd.Series) -> pd.Series:
+        def one(t: str | None, g: str | None) -> list[int]:
+            pieces = (g or "").split(mark)
+            blocks = difflib.SequenceMatcher(None, t or "", "".join(pieces), autojunk=False).get_matching_blocks()
+            out, at = set(), 0
+            for p in pieces[:-1]:
+                at += len(p)
+                out.add(max((b.a + min(b.size, at - b.b) for b in blocks if b.b < at), default=0))
+            return sorted(x for x in out if 0 < x < len(t or ""))
+
+        return pd.Series([one(t, g) for t, g in zip(text, generated)])
+
+    return docs.select("doc_id", places("text", "generated").alias("boundaries"))
+
+
+def hash_split(docs: DataFrame, share: float = 0.08, seed: int = 0) -> DataFrame:
+    """docs with `held_out`, about `share` of them, by arithmetic on doc_id."""
+    return docs.withColumn("held_out", F.pmod(F.col("doc_id") * 7919 + seed * 104_729, F.lit(10_007)) < int(10_007 * share))
+
+
+def fit_scorer(lines: DataFrame, names: list[str], weight: float = 12.0) -> LinearScorer:
+    """lines(label, features in names, ...): the linear scorer that fits the labels best, positives weighing `weight`; fitted
+    by Spark on all rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    df = lines.select(*(F.col(n).cast("double").alias(n) for n in names), F.col("label").cast("double").alias("label"), F.when(F.col("label"), weight).otherwise(1.0).alias("weight"))
+    model = LogisticRegression(weightCol="weight", maxIter=60).fit(VectorAssembler(inputCols=names, outputCol="features").transform(df))
+    return LinearScorer(dict(zip(names, map(float, model.coefficients))), float(model.intercept))

@@ -89,3 +89,46 @@ def threshold_scan(scores: DataFrame, labels: DataFrame, steps: list[float]) ->
     parts = [F.struct(F.lit(t).alias("t"), F.count_if((F.col("score") >= t) & F.col("y")).alias("tp"), F.count_if(F.col("score") >= t).alias("p"), F.count_if(F.col("y")).alias("g")) for t in steps]
     rows = df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
     return rows.select("t", F.when(F.col("p") + F.col("g") > 0, 2 * F.col("tp") / (F.col("p") + F.col("g"))).otherwise(0.0).alias("f1"))
+
+
+def by_method(methods: dict[str, DataFrame], gold: DataFrame, docs: DataFrame, tol: int = 3) -> DataFrame:
+    """methods: name to (doc_id, pos). Mean precision, recall and F1 of each over docs."""
+    out = None
+    for name, pred in methods.items():
+        part = boundary_prf(pred, gold, docs, tol).agg(F.avg("f1").alias("f1"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.sum("n_pred").alias("n_pred")).withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def held_out_offsets(chunks: DataFrame) -> DataFrame:
+    """chunks(doc_id, end): (doc_id, pos), where each chunk ends, the last one's end included."""
+    return chunks.select("doc_id", F.col("end").cast("long").alias("pos"))
+
+
+def containment_by_method(methods: dict[str, DataFrame], frags: DataFrame) -> DataFrame:
+    """methods: name to chunks(doc_id, chunk_no, start, end). Of each: the share of fragments that no chunk holds whole, and
+    the median and 90th percentile of chunk length over fragment length."""
+    out = None
+    for name, chunks in methods.items():
+        part = containment(chunks, frags).agg(F.avg(F.col("chunk_no").isNull().cast("double")).alias("split"), F.percentile("noise", F.lit(0.5)).alias("p50"), F.percentile("noise", F.lit(0.9)).alias("p90")).withColumn("method", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def char_prf(scores: DataFrame, labels: DataFrame, steps: tuple[float, ...] = (0.5, 0.7)) -> DataFrame:
+    """scores(doc_id, pos, score), labels(doc_id, pos): precision, recall and F1 of single characters at each threshold."""
+    df = scores.join(labels.select("doc_id", "pos").distinct().withColumn("y", F.lit(True)), ["doc_id", "pos"], "left").withColumn("y", F.coalesce("y", F.lit(False)))
+    rows = df.select("score", "y", F.explode(F.array(*map(F.lit, steps))).alias("t")).groupBy("t").agg(F.count_if((F.col("score") >= F.col("t")) & F.col("y")).alias("tp"), F.count_if(F.col("score") >= F.col("t")).alias("p"), F.count_if("y").alias("g"))
+    ratio = lambda n: F.coalesce(F.try_divide("tp", n), F.lit(0.0))
+    return rows.select("t", ratio("p").alias("precision"), ratio("g").alias("recall"), F.coalesce(F.try_divide(2 * F.col("tp"), F.col("p") + F.col("g")), F.lit(0.0)).alias("f1"))
+
+
+def exploded_fragments(queries: DataFrame) -> DataFrame:
+    """queries(url, starts array, ends array): (url, fs, fe), a row for each fragment."""
+    rows = queries.select("url", F.explode(F.arrays_zip("starts", "ends")).alias("f"))
+    return rows.select("url", F.col("f.starts").cast("long").alias("fs"), F.col("f.ends").cast("long").alias("fe"))
+
+
+def weakest(per_bucket: DataFrame, metric: str = "f1", k: int = 6) -> DataFrame:
+    """A top-k report: the k buckets with the lowest metric."""
+    return per_bucket.orderBy(metric, per_bucket.columns[0]).limit(k)

@@ -1,47 +1,88 @@
-"""Synthetic documents with known boundaries, as plain expressions over a range of numbers."""
+"""Synthetic documents with known boundaries: a template for each kind of unit, filled by arithmetic on the numbers of the
+document and the unit, so that a corpus is the same wherever and however often it is made."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import join_units
 
 TOPICS = ["billing", "delivery", "returns", "accounts", "privacy", "support", "shipping", "warranty"]
-NAMES = ["Ana Lima", "John Reed", "Marta Souza", "Paul Klein", "Rita Alves", "Tom Berg"]
+NAMES = ["Ana Lima", "John Reed", "Marta Souza", "Paul Klein", "Rita Alves"]
+PLACES = ["Lisbon", "Leeds", "Recife", "Bonn", "Porto", "Derby", "Natal"]
 FILLER = "the team reviews each request and answers within a few days unless the matter needs more time"
+#: What a slot of a template is: a pool, and the factors of document and unit and the summand that choose from it; or, of
+#: a number, its summand.
+POOLS = {"topic": (TOPICS, 3, 5, 0), "other": (TOPICS, 5, 3, 1), "name": (NAMES, 1, 2, 0), "second": (NAMES, 2, 1, 3), "place": (PLACES, 2, 3, 1)}
+NUMBERS = {"n": 1, "hour": 9, "minute": 10, "year": 2001}
 
+#: Kind: the text of one unit. {filler} stands for FILLER.
+KINDS = {
+    "qa_script": "How does {topic} work?\nAbout it: {filler}.\n",
+    "bullet_qa": "- **Q{n}: What about {topic}?**\n- A: {filler}.\n",
+    "schedule": "**Session:** {topic}\nTime: {hour}:00\nRoom: {n}\n\n",
+    "faq": "### {n}. Can I change my {topic}?\n\nYes, {filler}.\n\n",
+    "sectioned": "## About {topic}\n\n{filler}.\n\n",
+    "bio": "{name}\nWorks on {topic} in {place}; {filler}.\n\n",
+    "entity_list": "{name}: {topic}, {place}. {filler}.\n",
+    "repeated_header": "RECORD\nOf {name}, on {topic}: {filler}.\n",
+    "colon_header": "On {topic}:\n{filler}.\nAlso {other}.\n",
+    "legal_articles": "Art. {n} On {topic}, {filler}.\n",
+    "chat_log": "[10:{minute}] {name}: on {topic}, {filler}.\n",
+    "email_thread": "From: {name}\nTo: {second}\nSubject: {topic}\n\nHello, {filler}.\n\n",
+    "changelog": "## 1.{n}.0\n- fix {topic}\n- add {other}\n\n",
+    "readme_doc": "## Step {n}\n\nInstall {topic}, then `run {other}`.\n\n```\nrun --{topic}\n\nend\n```\n\n",
+    "steps_doc": "{n}. Open {topic}.\n   Then {filler}.\n",
+    "wrapped_prose": "{place} has much to do with {topic}, and\n{filler}\nfor {other}.\n\n",
+    "hyphenated_wrap": "In {place} the de-\npartment of {topic} says that {filler},\nas of {year}.\n\n",
+    "dense_field": "Name: {name} | Place: {place} | Topic: {topic} | Note: {filler}\n",
+    "roster_block": "{name} - {topic}\n{second} - {other}\n\n",
+    "contact_block": "{name}\n{n} Main Street, {place}\nPhone: 555-01{minute}\n\n",
+    "wrapped_qa": "What is the state of {topic}\nin {place}?\nAs far as known, {filler},\nand no more.\n\n",
+    "committee": "COMMITTEE ON {place}\nChair: {name}\nMember: {second}\n{filler}.\n\n",
+    "table_doc": "### On {topic}\n| a | b |\n| --- | --- |\n| {place} | {n} |\n\n",
+    "code_doc": "## call {n}\n```\nrun --{topic}\n\nend\n```\n\n",
+    "bibliography": "Silva, A. The {topic} and its uses. {place}, {year}.\n",
+    "csv_block": "id,topic,place\n{n},{topic},{place}\n{hour},{other},{place}\n\n",
+    "bullet_group": "{place}\n- {topic}\n- {other}\n- {filler}\n\n",
+    "single_line": "{name} asked about {topic} in {place}, where {filler}. ",
+}
 
-def pick(pool: list[str], *keys: Column) -> Column:
-    return F.get(F.array(*map(F.lit, pool)), F.pmod(F.xxhash64(*keys), F.lit(len(pool))).cast("int"))
 
+def parts_of(template: str) -> list[tuple[str, bool]]:
+    """A template's pieces, and whether each is a slot."""
+    return [(x, k % 2 == 1) for k, x in enumerate(re.split(r"\{(\w+)\}", template.replace("{filler}", FILLER))) if x]
+
+
+def filled(template: str, d: Column, u: Column) -> Column:
+    def slot(name: str) -> Column:
+        if name in NUMBERS:
+            return (u + NUMBERS[name]).cast("string")
+        pool, a, b, c = POOLS[name]
+        return F.get(F.array(*map(F.lit, pool)), F.pmod(d * a + u * b + c, F.lit(len(pool))).cast("int"))
+
+    return F.concat(*(slot(x) if is_slot else F.lit(x) for x, is_slot in parts_of(template)))
 
-#: Kind: the text of unit `u` of document `d`.
-KINDS = {
-    "qa_script": lambda d, u: F.concat(F.lit("How does "), pick(TOPICS, d, u), F.lit(" work?\nAbout it: "), F.lit(FILLER), F.lit(".\n")),
-    "sectioned": lambda d, u: F.concat(F.lit("## "), F.initcap(pick(TOPICS, d, u)), F.lit("\n\n"), F.lit(FILLER), F.lit(".\n\n")),
-    "legal_articles": lambda d, u: F.concat(F.lit("Art. "), (u + 1).cast("string"), F.lit(" On "), pick(TOPICS, d, u), F.lit(", "), F.lit(FILLER), F.lit(".\n")),
-    "chat_log": lambda d, u: F.concat(F.lit("[10:"), F.lpad((u + 10).cast("string"), 2, "0"), F.lit("] "), pick(NAMES, d, u), F.lit(": "), F.lit(FILLER), F.lit(".\n")),
-    "bio": lambda d, u: F.concat(pick(NAMES, d, u), F.lit("\nWorks on "), pick(TOPICS, u, d), F.lit("; "), F.lit(FILLER), F.lit(".\n\n")),
-    "schedule": lambda d, u: F.concat(F.lit("**Session:** "), pick(TOPICS, d, u), F.lit("\nTime: "), (u + 9).cast("string"), F.lit(":00\nRoom: "), (u + 1).cast("string"), F.lit("\n\n")),
-    "table_doc": lambda d, u: F.concat(F.lit("### "), pick(TOPICS, d, u), F.lit("\n| a | b |\n| --- | --- |\n| 1 | "), (u + 1).cast("string"), F.lit(" |\n\n")),
-    "code_doc": lambda d, u: F.concat(F.lit("## step "), (u + 1).cast("string"), F.lit("\n```\nrun --"), pick(TOPICS, d, u), F.lit("\n\nend\n```\n\n")),
-    "changelog": lambda d, u: F.concat(F.lit("## 1."), u.cast("string"), F.lit(".0\n- fix "), pick(TOPICS, d, u), F.lit("\n- add "), pick(TOPICS, u, d), F.lit("\n\n")),
-    "bibliography": lambda d, u: F.concat(F.lit("Silva, A. "), F.initcap(pick(TOPICS, d, u)), F.lit(" and its uses. 20"), F.lpad((u + 1).cast("string"), 2, "0"), F.lit(".\n")),
-}
+
+def units_of(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """ids(doc_id): (doc_id, kind, unit_no, text), three to six units of one kind for each id, which must not be negative."""
+    rows = ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.col("doc_id") + seed, F.lit(len(KINDS))).cast("int").alias("kind"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.pmod("doc_id", F.lit(4)) + 2)).alias("unit_no"))
+    text = F.coalesce(*(F.when(F.col("kind") == k, filled(t, F.col("doc_id") + seed, F.col("unit_no"))) for k, t in enumerate(KINDS.values())))
+    return rows.withColumn("text", text)
+
+
+def corpus(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """(doc_id, text, boundaries, source): a synthetic document for each id; source names its kind."""
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.pmod(F.col("doc_id") + seed, F.lit(len(KINDS))).cast("int"))
+    return join_units(units_of(ids, seed)).withColumn("source", kind)
 
 
 def generate(spark: SparkSession, kind: str, docs: int, units: int = 5, seed: int = 0) -> DataFrame:
-    """(doc_id, text, boundaries, source): `docs` documents of `units` units each."""
+    """(doc_id, text, boundaries, source): `docs` documents of `units` units of one kind."""
     rows = spark.range(docs).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit_no"))
-    rows = rows.withColumn("text", KINDS[kind](F.col("doc_id") + seed * 1_000_003, F.col("unit_no")))
+    rows = rows.withColumn("text", filled(KINDS[kind], F.col("doc_id") + seed, F.col("unit_no")))
     return join_units(rows).withColumn("source", F.lit(kind))
-
-
-def corpus(spark: SparkSession, docs: int = 20, seed: int = 0) -> DataFrame:
-    """All kinds, with ids that don't clash."""
-    out = None
-    for k, kind in enumerate(KINDS):
-        part = generate(spark, kind, docs, 3 + k % 4, seed).withColumn("doc_id", F.col("doc_id") + k * docs)
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import textnorm
-from tessera.functions.predicates import ALL, AND, STRIPPED
-from tessera.operators import augment, baselines, corpus, labels, lines, metrics, scoring, spans, synth
+from tessera.functions.predicates import ALL, CAPS_TOKEN
+from tessera.operators import augment, baselines, chars, corpus, labels, lines, metrics, scoring, spans, synth
 from tessera.plans.segment import SegmentEngine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,7 @@ DECO_CTE = f"WITH deco AS (SELECT doc_id, lang, source, array_to_string(list_tra
 NORM_CTE = f"{DECO_CTE}, norm AS (SELECT doc_id, {FOLD_SQL} AS text FROM deco)"
 LINE_CTE = f"""{NORM_CTE}, segs AS (SELECT doc_id, unnest(range(len(a)))::BIGINT AS line_no, unnest(a) AS seg FROM (SELECT doc_id, string_split(text, {NL}) AS a FROM norm)),
 lines AS (SELECT doc_id, line_no, seg, trim(seg, ' ' || chr(9)) AS st, coalesce(sum(length(seg) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM segs)"""
+RECURSIVE = NORM_CTE.replace("WITH ", "WITH RECURSIVE ", 1)
 RAW_LINE_CTE = LINE_CTE.replace("FROM deco)", "FROM documents)")
 
 
@@ -180,6 +181,78 @@ def feat_fractions(spark, sf):
     return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), r("digit_frac"), r("upper_frac"), r("punct_frac"), F.col("line_all_lower").alias("all_lower"), F.col("line_no_alpha").alias("no_alpha"))
 
 
+CAPS_SQL = f"regexp_extract_all(seg, {_quote(CAPS_TOKEN)})"
+WORDS_SQL = "list_filter(string_split_regex(st, '\\s+'), lambda w: w <> '')"
+FLAGS = {
+    "line_allcaps": f"(len({CAPS_SQL}) >= 2 AND length(array_to_string({CAPS_SQL}, '')) > 0.55 * length(st))",
+    "line_indent": "substring(seg, 1, 1) IN (' ', chr(9))", "line_has_q": "(contains(st, '?') OR contains(st, '¿'))", "line_starts_lower": "regexp_matches(st, '^\\p{Ll}')",
+    "line_short_caps": f"(length(st) BETWEEN 2 AND 60 AND NOT regexp_matches(st, '[.!?;:,]$') AND 2 * len(list_filter({WORDS_SQL}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= len({WORDS_SQL}))",
+    "line_ends_hyphen": "ends_with(st, '-')", "line_ends_comma": "ends_with(st, ',')", "line_table": f"(length(st) - length(replace(st, '|', '')) >= 2 OR {ALL['table_sep'].sql()})",
+    "line_date": f"({ALL['date'].sql()} OR {ALL['month'].sql()} OR ({ALL['year'].sql()} AND {ALL['year_context'].sql()}))", "line_ends_sent": f"({ALL['ends_sent'].sql()} OR {ALL['ends_q'].sql()})",
+}
+
+
+@query("feat_line_flags", f"{LINE_CTE}, f AS (SELECT *, st <> '' AND NOT {FENCE_SQL} AS plain FROM lines) SELECT doc_id, {', '.join(f'sum(CASE WHEN plain AND {v} THEN line_no + 1 ELSE 0 END)::BIGINT AS {k}' for k, v in FLAGS.items())} FROM f GROUP BY doc_id")
+def feat_line_flags(spark, sf):
+    """Flags that are put together of several patterns, as sums of the places of the lines that have them."""
+    df = lines.with_predicates(lines.in_code(deco_lines(spark, sf)))
+    return df.groupBy("doc_id").agg(*(F.sum(F.when(F.col(k), F.col("line_no") + 1).otherwise(0)).cast("long").alias(k) for k in FLAGS))
+
+
+@query("feat_setext_under", f"{LINE_CTE} SELECT doc_id, line_no, (st <> '' AND coalesce(lead(st <> '' AND NOT {FENCE_SQL} AND {ALL['setext'].sql()}) OVER (PARTITION BY doc_id ORDER BY line_no), false)) AS under FROM lines")
+def feat_setext_under(spark, sf):
+    return lines.features(deco(spark, sf)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("line_has_setext_under").alias("under"))
+
+
+# Characters: sums over each document, fractions in millionths --------------------------------------------------------------
+
+CHAR_CLASS_SQL = {name: f"regexp_matches(ch, {_quote(p.replace(chr(92) + 'u1369-' + chr(92) + 'u1371' + chr(92) + 'u19da', '፩-፱᧚'))})" for name, p in chars.CLASSES.items()}
+CHAR_CTE = f"""{NORM_CTE}, raw AS (SELECT doc_id, unnest(range(len(a)))::BIGINT AS pos, unnest(a) AS ch, len(a)::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS a FROM norm)),
+ch AS (SELECT *, {', '.join(f'{v} AS "{k}"' for k, v in CHAR_CLASS_SQL.items())} FROM raw), cs AS (SELECT *, NOT ("L" OR "D" OR "SP" OR "NL") AS "PUNC" FROM ch)"""
+SHIFTED = [f"{side}_{c}" for c in ("L", "SP", "NL", "TERM", "UPP", "D") for side in ("prev", "next")]
+SHIFT_CTE = f"""{CHAR_CTE}, sh AS (SELECT *, {', '.join(f'coalesce({"lag" if x[0] == "p" else "lead"}("{x[5:]}") OVER w, false) AS "{x}"' for x in SHIFTED)}, coalesce(lead("RBRACK" OR "QUOTE") OVER w, false) AS closing, coalesce(lead("EOSC") OVER w, false) AS more FROM cs WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+eo AS (SELECT *, "EOSC" AND ("next_SP" OR "next_NL" OR closing) AS eos_here, "NL" AND NOT "next_NL" AS nl_end, "NL" AND "next_NL" AS para_start FROM sh),
+br AS (SELECT *, eos_here AND NOT more AS eos_peak, coalesce(lag(eos_here) OVER w, false) AS prev_eos, coalesce(lead(eos_here) OVER w, false) AS next_eos, coalesce(lag(para_start) OVER w, false) AS para_end FROM eo WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+BREAKS = ["eos_here", "prev_eos", "next_eos", "eos_peak", "nl_end", "para_start", "para_end"]
+UPTO, ONWARD = "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "(PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+LATER = ONWARD.replace("CURRENT ROW AND", "1 FOLLOWING AND")
+PLACE_CTE = f"""{SHIFT_CTE}, g AS (SELECT *, "SP" OR "NL" AS gap FROM br), st AS (SELECT *, pos = 0 OR (NOT gap AND coalesce(last_value(CASE WHEN NOT gap THEN eos_here END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS at_sent_start FROM g),
+mk AS (SELECT *, coalesce(max(CASE WHEN "NL" THEN pos END) OVER {UPTO}, 0) AS p_nl, max(CASE WHEN at_sent_start THEN pos END) OVER {UPTO} AS p_sent, coalesce(max(CASE WHEN gap THEN pos END) OVER {UPTO}, -1) AS p_gap, coalesce(min(CASE WHEN at_sent_start THEN pos END) OVER {LATER}, n) AS n_sent,
+coalesce(min(CASE WHEN eos_here THEN pos END) OVER {ONWARD}, n) AS n_eos, coalesce(min(CASE WHEN gap THEN pos END) OVER {ONWARD}, n) AS n_gap, sum("LBRACK"::INT) OVER {UPTO} > sum("RBRACK"::INT) OVER {UPTO} AS open_paren FROM st),
+pl AS (SELECT *, least((pos - p_nl) / 200, 1.0::DOUBLE) AS chars_since_nl, "NL" OR "next_NL" OR pos = n - 1 AS is_line_end, least((pos - p_sent) / 300, 1.0::DOUBLE) AS chars_since_sent, least((n_sent - p_sent) / 400, 1.0::DOUBLE) AS sent_len, least((n_eos - pos) / 200, 1.0::DOUBLE) AS dist_to_term, least((n_gap - p_gap) / 30, 1.0::DOUBLE) AS word_len_cur,
+NOT gap AS in_word, pos / n AS doc_pos, pos > n - 8 AS near_end FROM mk)"""
+PLACES = {"chars_since_nl": 1, "is_line_end": 0, "chars_since_sent": 1, "sent_len": 1, "at_sent_start": 0, "dist_to_term": 1, "word_len_cur": 1, "in_word": 0, "open_paren": 0, "doc_pos": 1, "near_end": 0}
+
+
+def _char_sums(df: DataFrame, names: dict[str, int]) -> DataFrame:
+    return df.groupBy("doc_id").agg(*(F.sum(F.round(F.col(c) * 1_000_000).cast("long") if k else F.col(c).cast("long")).alias(c) for c, k in names.items()))
+
+
+def _char_sql(cte: str, last: str, names: dict[str, int]) -> str:
+    cols = (f'sum(round({c} * 1000000)::BIGINT)::BIGINT AS "{c}"' if k else f'sum("{c}"::INT)::BIGINT AS "{c}"' for c, k in names.items())
+    return f"{cte} SELECT doc_id, {', '.join(cols)} FROM {last} GROUP BY doc_id"
+
+
+def _chars(spark, sf) -> DataFrame:
+    df = deco_lines(spark, sf)
+    return chars.explode(df.withColumn("n_chars", F.max(F.col("start") + F.length("seg")).over(Window.partitionBy("doc_row"))))
+
+
+@query("char_classes", _char_sql(CHAR_CTE, "cs", dict.fromkeys([*chars.CLASSES, "PUNC"], 0)))
+def char_classes(spark, sf):
+    return _char_sums(chars.with_classes(_chars(spark, sf)), dict.fromkeys([*chars.CLASSES, "PUNC"], 0))
+
+
+@query("char_shifts", _char_sql(SHIFT_CTE, "br", dict.fromkeys([*SHIFTED, *BREAKS], 0)))
+def char_shifts(spark, sf):
+    return _char_sums(chars.with_shifts(chars.with_classes(_chars(spark, sf))), dict.fromkeys([*SHIFTED, *BREAKS], 0))
+
+
+@query("char_places", _char_sql(PLACE_CTE, "pl", PLACES))
+def char_places(spark, sf):
+    return _char_sums(chars.with_places(chars.with_shifts(chars.with_classes(_chars(spark, sf)))), PLACES)
+
+
 # Sentences, spans, scores -----------------------------------------------------------------------------------------------
 
 
@@ -240,12 +313,13 @@ def adaptive_threshold(spark, sf):
     return scoring.candidates(_scored(spark, sf), 0.9).select("doc_id", "start", F.col("used").cast("double").alias("used"))
 
 
-SERIES_SQL = "WITH s AS (SELECT doc_id, pos, ((doc_id * 7 + pos * pos * 13 + pos * 5) % 101) / 101.0::DOUBLE AS score FROM documents, range(0, 60) t(pos))"
+SERIES_SQL = f"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?[.!?][ \\t\\n)\\]}}»"'']') AS a FROM documents), r AS (SELECT doc_id, unnest(range(len(a)))::BIGINT AS pos, unnest(a) AS part FROM p), s AS (SELECT doc_id, pos, least(length(part), 100) / 100.0::DOUBLE AS score FROM r)"""
 
 
 def series(spark, sf):
-    df = docs_of(spark, sf).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
-    return df.withColumn("score", F.pmod(F.col("doc_id") * 7 + F.col("pos") * F.col("pos") * 13 + F.col("pos") * 5, F.lit(101)) / F.lit(101.0))
+    """A score for every sentence of every document: its length, up to 100, at its number."""
+    parts = F.regexp_extract_all("text", F.lit("(?s).*?[.!?][ \\t\\n)\\]}»\"']"), F.lit(0))
+    return docs_of(spark, sf).select("doc_id", F.posexplode(parts).alias("pos", "part")).select("doc_id", F.col("pos").cast("long").alias("pos"), (F.least(F.length("part"), F.lit(100)) / F.lit(100.0)).alias("score"))
 
 
 @query("local_maxima", SERIES_SQL + ", w AS (SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top, lag(score) OVER (PARTITION BY doc_id ORDER BY pos) AS bef FROM s) SELECT doc_id, pos, round(score, 6)::DOUBLE AS score FROM w WHERE score >= 0.5 AND score = top AND (bef IS NULL OR score > bef)")
@@ -335,14 +409,20 @@ def paragraph_boundaries(spark, sf):
     return baselines.paragraph_boundaries(deco(spark, sf))
 
 
-@query("paragraph_chunks")
+@query("paragraph_chunks", f"""{RECURSIVE}, p AS (SELECT doc_id, list_filter(string_split_regex(text, '\\n[ \\t]*\\n[ \\t\\n]*'), lambda x: trim(x, ' ') <> '') AS ps FROM norm), r AS (SELECT doc_id, ps, 1 AS i, 0 AS k, ps[1] AS held FROM p WHERE len(ps) > 0
+UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(held) + length(ps[i + 1]) + 2 > 800 THEN k + 1 ELSE k END, CASE WHEN length(held) + length(ps[i + 1]) + 2 > 800 THEN ps[i + 1] ELSE held || chr(10) || chr(10) || ps[i + 1] END FROM r WHERE i < len(ps))
+SELECT doc_id, k::BIGINT AS chunk_no, md5(arg_max(held, i)) AS h FROM r GROUP BY doc_id, k""")
 def paragraph_chunks(spark, sf):
-    return baselines.paragraph_chunks(deco(spark, sf))
+    return baselines.paragraph_chunks(deco(spark, sf)).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5("text").alias("h"))
 
 
-@query("sentence_chunks")
+@query("sentence_chunks", r"""WITH RECURSIVE r AS (SELECT doc_id, text, 0 AS k, 0 AS a, 0 AS b FROM documents UNION ALL SELECT doc_id, text, k + 1, b, b + CASE WHEN e > 0 THEN e ELSE least(500, length(text) - b) END FROM (SELECT *, length(regexp_extract(substring(text, b + 1, 501), '(?s)^(.{0,499}[.!?])(?:[ \t\n\x0B\f\r]|$)', 1)) AS e FROM r WHERE b < length(text)))
+SELECT doc_id, (k - 1)::BIGINT AS chunk_no, a::BIGINT AS start, md5(substring(text, a + 1, b - a)) AS h FROM r WHERE k > 0""".replace("\\\\", "\\"))
 def sentence_chunks(spark, sf):
-    return baselines.sentence_chunks(docs_of(spark, sf))
+    df = baselines.sentence_chunks(docs_of(spark, sf))
+    w = Window.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
+    return df.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), start.alias("start"), F.md5("text").alias("h"))
 
 
 METRIC_SQL = FIXED_SQL + ", m AS (SELECT doc_id, count(*)::BIGINT AS n_chunks, quantile_cont(length(text), 0.5) AS median, quantile_cont(length(text), 0.95) AS p95, coalesce(avg(CASE WHEN chunk_no > 0 THEN (regexp_matches(substring(text, 1, 1), '\\p{Ll}') AND length(text) > 2)::INT END), 0) AS frag, avg((length(text) > 500)::INT) AS over, avg((length(text) < 100)::INT) AS tiny FROM c GROUP BY doc_id)"
@@ -430,12 +510,13 @@ def snap_positions(spark, sf):
     return labels.snap_positions(points, deco_lines(spark, sf))
 
 
-@query("relabel_by_key", "WITH k AS (SELECT doc_id, substring(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 300) AS key FROM documents), b AS (SELECT key, max(doc_id) AS d FROM k WHERE doc_id % 3 = 0 GROUP BY key) SELECT k.doc_id, b.d IS NOT NULL AS changed, coalesce(b.d, -1)::BIGINT AS first FROM k LEFT JOIN b USING (key)")
+@query("relabel_by_key", "WITH k AS (SELECT doc_id, text, substring(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, 300) AS key FROM documents), b AS (SELECT key, arg_max(length(text), doc_id) AS n FROM k GROUP BY key) SELECT doc_id, b.n > 700 AS changed, (CASE WHEN b.n > 700 THEN b.n // 2 ELSE -1 END)::BIGINT AS first FROM k JOIN b USING (key)")
 def relabel_by_key(spark, sf):
+    """Each document's boundaries from the last document with its key, which has one in its middle if it is long."""
     docs = docs_of(spark, sf).select("doc_id", "text")
     old = docs.withColumn("boundaries", F.array(F.lit(-1).cast("long")))
-    new = docs.where("doc_id % 3 = 0").withColumn("boundaries", F.array("doc_id"))
-    return labels.relabel(old, new).select("doc_id", "changed", F.get("boundaries", F.lit(0)).alias("first"))
+    middle = F.when(F.length("text") > 700, F.array(F.floor(F.length("text") / 2))).otherwise(F.array().cast("array<bigint>"))
+    return labels.relabel(old, docs.withColumn("boundaries", middle)).select("doc_id", "changed", F.get("boundaries", F.lit(0)).alias("first"))
 
 
 @query("line_labels", f"{LINE_CTE}, e AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM lines WHERE seg <> '') SELECT doc_id, start, (start % 5 = 0 OR (start - 1) % 5 = 0 AND start >= 1 OR (start - 2) % 5 = 0 AND start >= 2) AS label FROM e WHERE n >= 2")
@@ -446,10 +527,11 @@ def line_labels(spark, sf):
     return labels.line_labels(df, near).select("doc_id", "start", "label")
 
 
-@query("halo_positives", SERIES_SQL + ", l AS (SELECT doc_id, pos, (pos % 29 = 3)::INT AS label FROM s) SELECT doc_id, pos FROM (SELECT *, max(label) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS near FROM l) WHERE near > 0")
+@query("halo_positives", SERIES_SQL + ", l AS (SELECT doc_id, pos, (pos % 29 = 3)::INT AS label FROM s) SELECT doc_id, pos FROM (SELECT *, max(label) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS near FROM l) WHERE near > 0 OR (doc_id * 7919 + pos * 104729) % 10007 < 600")
 def halo_positives(spark, sf):
+    """A sampling operator: positives, what is near them, and the default share of the rest."""
     df = series(spark, sf).withColumn("label", (F.col("pos") % 29 == 3).cast("int"))
-    return labels.halo_sample(df, keep=0.0).select("doc_id", "pos")
+    return labels.halo_sample(df).select("doc_id", "pos")
 
 
 @query("first_per_group", "SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY lang, source")
@@ -478,9 +560,11 @@ def clean_text(spark, sf):
     return deco(spark, sf).select("doc_id", F.md5(corpus.clean(F.col("text"))).alias("h"))
 
 
-@query("section_pack")
+@query("section_pack", f"""{RECURSIVE}, p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: length(x) >= 40) AS ps FROM deco), r AS (SELECT doc_id, ps, 1 AS i, 0 AS k, ps[1] AS held, length(ps[1]) > 900 AS done FROM p WHERE len(ps) > 0
+UNION ALL SELECT doc_id, ps, i + 1, k + done::INT, x, length(x) > 900 FROM (SELECT *, CASE WHEN done THEN ps[i + 1] ELSE held || chr(10) || chr(10) || ps[i + 1] END AS x FROM r WHERE i < len(ps)))
+SELECT doc_id, section_no, md5(text) AS h FROM (SELECT doc_id, k::BIGINT AS section_no, arg_max(held, i) AS text FROM r GROUP BY doc_id, k) WHERE length(text) BETWEEN 350 AND 2500""")
 def section_pack(spark, sf):
-    return corpus.sections(deco(spark, sf))
+    return corpus.sections(deco(spark, sf)).select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.md5("text").alias("h"))
 
 
 CHAT_SQL = "WITH u AS (SELECT conv_id, turn, role || ': ' || text || chr(10) AS t FROM conversations)"
@@ -530,27 +614,128 @@ for _name in AUG_SQL:
     _augmented(_name)
 
 
-@query("augment_units", "SELECT doc_id, true AS kept FROM documents WHERE false")
+def _units_sql() -> str:
+    """Each decorated document in two units, through the transforms that SQL can express, as augment() draws them."""
+    cte = f"""{DECO_CTE}, u AS (SELECT doc_id, unnest([0, 1])::BIGINT AS unit_no, unnest([substring(text, 1, length(text) // 2), substring(text, length(text) // 2 + 1)]) AS text, '' AS names, 0 AS used FROM deco WHERE length(text) > 1)"""
+    last = "u"
+    for k, (name, _, part) in enumerate(SQL_TRANSFORMS):
+        lot = f"(used < 3 AND (doc_id * 31 + unit_no * 17 + {(k + 1) * 7 * 13}) % 100 < {part})"
+        cte += f", a{k} AS (SELECT doc_id, unit_no, CASE WHEN {lot} THEN {AUG_SQL[name]} ELSE text END AS text, CASE WHEN {lot} THEN names || ' {name}' ELSE names END AS names, CASE WHEN {lot} THEN used + 1 ELSE used END AS used FROM {last})"
+        last = f"a{k}"
+    return f"{cte} SELECT doc_id, md5(string_agg(text, '' ORDER BY unit_no)) AS h, sum(CASE WHEN unit_no = 0 THEN length(text) END)::BIGINT AS cut, array_to_string(list_sort(list_distinct(list_filter(string_split(string_agg(names, ''), ' '), lambda x: x <> ''))), ' ') AS names FROM {last} GROUP BY doc_id HAVING sum(length(text)) >= 80"
+
+
+SQL_TRANSFORMS = [t for t in augment.TRANSFORMS if t[0] in AUG_SQL]
+
+
+@query("augment_units", _units_sql())
 def augment_units(spark, sf):
-    """Boundaries of augmented documents that don't lie inside their text: none."""
-    docs = deco(spark, sf).select("doc_id", "text", F.array(F.floor(F.length("text") / 2)).alias("boundaries"))
-    out = augment.augment(docs)
-    return out.where(F.exists("boundaries", lambda b: (b < 0) | (b > F.length("text")))).select("doc_id", F.lit(True).alias("kept"))
+    docs = deco(spark, sf).where("length(text) > 1").select("doc_id", "text", F.array(F.floor(F.length("text") / 2)).alias("boundaries"))
+    out = augment.augment(docs, transforms=SQL_TRANSFORMS)
+    return out.select("doc_id", F.md5("text").alias("h"), F.get("boundaries", F.lit(0)).alias("cut"), F.array_join("transforms", " ").alias("names"))
+
+
+def _template_sql(template: str) -> str:
+    def slot(name: str) -> str:
+        if name in synth.NUMBERS:
+            return f"(u + {synth.NUMBERS[name]})::VARCHAR"
+        pool, a, b, c = synth.POOLS[name]
+        return f"([{', '.join(map(_quote, pool))}])[((doc_id * {a} + u * {b} + {c}) % {len(pool)}) + 1]"
 
+    return " || ".join(slot(x) if is_slot else "(" + " || chr(10) || ".join(_quote(y) for y in x.split(chr(10))) + ")" for x, is_slot in synth.parts_of(template))
 
-@query("synthetic_corpus")
+
+SYNTH_CTE = f"""WITH su AS (SELECT doc_id, doc_id % {len(synth.KINDS)} AS kind, unnest(range(0, 3 + doc_id % 4)) AS u FROM documents), st AS (SELECT doc_id, kind, u, CASE kind {' '.join(f'WHEN {k} THEN {_template_sql(t)}' for k, t in enumerate(synth.KINDS.values()))} END AS t FROM su)"""
+
+
+def synthetic(spark, sf) -> DataFrame:
+    return synth.corpus(docs_of(spark, sf))
+
+
+@query("synthetic_corpus", f"{SYNTH_CTE} SELECT doc_id, ([{', '.join(map(_quote, synth.KINDS))}])[kind + 1] AS source, md5(string_agg(t, '' ORDER BY u)) AS h, (count(*) - 1)::BIGINT AS n, sum(CASE WHEN u < (doc_id % 4) + 2 THEN length(t) END)::BIGINT AS last FROM st GROUP BY doc_id, kind")
 def synthetic_corpus(spark, sf):
-    return synth.corpus(spark)
+    """A synthetic document for each document's id: as many as there are."""
+    return synthetic(spark, sf).select("doc_id", "source", F.md5("text").alias("h"), F.size("boundaries").cast("long").alias("n"), F.element_at("boundaries", -1).alias("last"))
 
 
 @query("synthetic_f1")
 def synthetic_f1(spark, sf):
     """Boundary F1 of the engine on synthetic documents, by kind."""
-    gold = synth.corpus(spark)
+    gold = synthetic(spark, sf)
     docs = gold.select("doc_id", "text")
-    engine = SegmentEngine()
-    prf = metrics.boundary_prf(engine.boundaries(docs).select("doc_id", "pos"), gold.select("doc_id", F.explode("boundaries").alias("pos")), docs)
+    prf = metrics.boundary_prf(SegmentEngine().boundaries(docs).select("doc_id", "pos"), gold.select("doc_id", F.explode("boundaries").alias("pos")), docs)
     return metrics.bucket_metrics(prf.join(gold.select("doc_id", "source"), "doc_id").withColumn("n_chunks", F.col("n_pred") + 1), "source")
 
 
-del _name, AND, STRIPPED, Window
+@query("label_chars", f"{SYNTH_CTE} SELECT doc_id, sum(n)::BIGINT AS places, (count(*) - 1)::BIGINT AS marks FROM (SELECT doc_id, length(t) AS n FROM st) GROUP BY doc_id")
+def label_chars(spark, sf):
+    return labels.char_labels(synthetic(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("places"), F.sum("label").cast("long").alias("marks"))
+
+
+@query("label_normalised", f"{SYNTH_CTE} SELECT doc_id, md5(string_agg(t, '' ORDER BY u)) AS h, sum(CASE WHEN u < (doc_id % 4) + 2 THEN length(t) END)::BIGINT AS last FROM st GROUP BY doc_id")
+def label_normalised(spark, sf):
+    """Labels of CRLF text in the normalised text: those of the text with LF."""
+    gold = synthetic(spark, sf)
+    parts = labels.units(gold).withColumn("text", augment.crlf(F.col("text")))
+    out = labels.normalised(labels.join_units(parts))
+    return out.select("doc_id", F.md5("text").alias("h"), F.element_at("boundaries", -1).alias("last"))
+
+
+@query("label_top_places", SERIES_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS place FROM s WHERE score >= 0.3) SELECT doc_id, place::BIGINT AS place, pos, md5(substring(text, (greatest(pos - 20, 0) + 1)::BIGINT, (pos - greatest(pos - 20, 0) + 20)::BIGINT)) AS h FROM k JOIN documents USING (doc_id) WHERE place <= 15")
+def label_top_places(spark, sf):
+    """A top-k report: each document's 15 highest places."""
+    out = labels.top_places(series(spark, sf), docs_of(spark, sf), floor=0.3)
+    return out.select("doc_id", F.col("place").cast("long").alias("place"), "pos", F.md5("context").alias("h"))
+
+
+@query("hash_split", "SELECT doc_id, (doc_id * 7919) % 10007 < 800 AS held_out FROM documents")
+def hash_split(spark, sf):
+    return labels.hash_split(docs_of(spark, sf)).select("doc_id", "held_out")
+
+
+@query("held_out_offsets", FIXED_SQL + " SELECT doc_id, \"end\" AS pos FROM c")
+def held_out_offsets(spark, sf):
+    return metrics.held_out_offsets(fixed(spark, sf))
+
+
+@query("char_prf", SERIES_SQL + ", y AS (SELECT *, pos % 9 = 4 AS hit FROM s), t AS (SELECT unnest([0.5, 0.7])::DOUBLE AS t) SELECT t, round(coalesce(sum((score >= t AND hit)::INT) / nullif(sum((score >= t)::INT), 0), 0), 6)::DOUBLE AS precision, round(sum((score >= t AND hit)::INT) / sum(hit::INT), 6)::DOUBLE AS recall FROM y, t GROUP BY t")
+def char_prf(spark, sf):
+    s = series(spark, sf)
+    return metrics.char_prf(s, s.where("pos % 9 = 4")).select("t", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("method_f1")
+def method_f1(spark, sf):
+    """Engine and three splitters against the boundaries of synthetic documents."""
+    gold = synthetic(spark, sf)
+    docs = gold.select("doc_id", "text")
+    ends = lambda chunks: chunks.withColumn("end", F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("chunk_no")))
+    methods = {"engine": SegmentEngine().boundaries(docs), "fixed": metrics.held_out_offsets(baselines.fixed_chunks(docs)), "paragraph": baselines.paragraph_boundaries(docs), "sentence": metrics.held_out_offsets(ends(baselines.sentence_chunks(docs)))}
+    return metrics.by_method({k: v.select("doc_id", "pos") for k, v in methods.items()}, gold.select("doc_id", F.explode("boundaries").alias("pos")), docs)
+
+
+@query("retrieval_methods", "WITH g AS (SELECT unnest([256, 512])::BIGINT AS size), f AS (SELECT doc_id, size, length(text) AS n, unnest(range(0, length(text), 300)) AS fs FROM documents, g), h AS (SELECT *, least(fs + 60, n) AS fe FROM f), c AS (SELECT *, fs // size = (fe - 1) // size AS whole, (least((fs // size + 1) * size, n) - (fs // size) * size) / (fe - fs) AS noise FROM h) SELECT size::VARCHAR AS method, round(avg((NOT whole)::INT), 6)::DOUBLE AS split, round(quantile_cont(CASE WHEN whole THEN noise END, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(CASE WHEN whole THEN noise END, 0.9), 6)::DOUBLE AS p90 FROM c GROUP BY size")
+def retrieval_methods(spark, sf):
+    """Containment of a fragment every 300 characters in the chunks of two splitters."""
+    docs = docs_of(spark, sf).where("length(text) > 0")
+    queries = docs.select(F.col("doc_id").alias("url"), F.sequence(F.lit(0), F.length("text") - 1, F.lit(300)).alias("starts"), F.length("text").alias("n"))
+    queries = queries.withColumn("ends", F.transform("starts", lambda s: F.least(s + 60, F.col("n"))))
+    frags = metrics.exploded_fragments(queries).withColumnRenamed("url", "doc_id")
+    out = metrics.containment_by_method({str(n): baselines.fixed_chunks(docs, n) for n in (256, 512)}, frags)
+    return out.select("method", *(F.round(c, 6).alias(c) for c in ("split", "p50", "p90")))
+
+
+@query("paired_documents", f"""WITH p AS (SELECT doc_id AS id, text FROM documents), g AS (SELECT id // 12 * 3 + (id % 12 >= 3)::INT + (id % 12 >= 7)::INT + (id % 12 >= 12)::INT AS doc, id, text || chr(10) || chr(10) AS t FROM p) SELECT doc::BIGINT AS doc, md5(string_agg(t, '' ORDER BY id)) AS h, (count(*) - 1)::BIGINT AS n FROM g GROUP BY doc""")
+def paired_documents(spark, sf):
+    """Three to five texts a document, by turns."""
+    pairs = docs_of(spark, sf).select(F.col("doc_id").alias("pair_id"), "text")
+    return corpus.grouped(pairs, F.col("text")).select("doc", F.md5("text").alias("h"), F.size("boundaries").cast("long").alias("n"))
+
+
+@query("fair_sample", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 300 AND 3000 ORDER BY (doc_id * 7919) % 10007, doc_id LIMIT 400")
+def fair_sample(spark, sf):
+    """A sampling operator: 400 documents of fair length."""
+    return corpus.fair_sample(docs_of(spark, sf), 300, 3000, 400).select("doc_id")
+
+
+del _name

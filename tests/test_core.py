@@ -263,13 +263,58 @@ def test_weights_are_checked(spark, tmp_path):
 
 
 def test_units_round_trip(spark):
-    gold = synth.corpus(spark, docs=3)
+    gold = synth.corpus(spark.range(90).withColumnRenamed("id", "doc_id"))
     back = {r["doc_id"]: (r["text"], r["boundaries"]) for r in labels.join_units(labels.units(gold)).collect()}
     assert {r["doc_id"]: (r["text"], r["boundaries"]) for r in gold.collect()} == back
     out = augment.augment(gold, seed=3).collect()
     assert out and all(0 < b < len(r["text"]) for r in out for b in r["boundaries"]) and any(r["transforms"] for r in out)
 
 
+def test_synthetic_kinds(spark):
+    """Each kind's units are whole in the text, and the boundaries are theirs."""
+    for r in synth.corpus(spark.range(2 * len(synth.KINDS)).withColumnRenamed("id", "doc_id")).collect():
+        edges = [0, *r["boundaries"], len(r["text"])]
+        pieces = [r["text"][a:b] for a, b in zip(edges, edges[1:])]
+        assert len(pieces) == 3 + r["doc_id"] % 4 and all(pieces) and "{" not in r["text"]
+        head = synth.parts_of(synth.KINDS[r["source"]])[0]
+        assert head[1] or all(p.startswith(head[0]) for p in pieces)
+    assert synth.generate(spark, "faq", 3).count() == 3
+
+
+def test_label_operators(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma", "alpha\u3010SPLIT\u3011 beta\u3010SPLIT\u3011 gama"), (2, "", "x"), (3, None, None)], "doc_id long, text string, generated string")
+    assert {r["doc_id"]: r["boundaries"] for r in labels.aligned_marks(df).collect()} == {1: [5, 10], 2: [], 3: []}
+    logp = spark.createDataFrame([(1, p, v) for p, v in enumerate([-1.0, -9.0, -2.0, -9.0, -9.0, -9.0, -1.5, -9.0])] + [(2, 0, -1.0)], "doc_id long, pos long, score double")
+    docs = spark.createDataFrame([(1, "abcdefgh", []), (2, "abc", [2]), (3, "abc", None)], "doc_id long, text string, boundaries array<long>")
+    assert {r["doc_id"]: r["boundaries"] for r in labels.peak_boundaries(logp, docs).collect()} == {1: [6], 2: [2], 3: []}
+    crlf = spark.createDataFrame([(1, "a\r\nb\rc", [1, 2, 3, 5])], "doc_id long, text string, boundaries array<long>")
+    assert labels.normalised(crlf).first()["text"] == "a\nb\nc" and labels.normalised(crlf).first()["boundaries"] == [1, 2, 4]
+
+
+def test_fitted_scorer(spark):
+    """Lines that open a unit are told from others by a scorer that Spark fits, on documents that it hasn't seen."""
+    gold = synth.corpus(spark.range(280).withColumnRenamed("id", "doc_id"))
+    marks = gold.select("doc_id", F.explode("boundaries").alias("pos"))
+    rows = labels.line_labels(lines.features(gold.select("doc_id", "text")), marks, back=0)
+    names = ["line_hash", "line_after_blank", "line_title", "line_enum", "line_ends_q", "prev_line_ends_sent", "line_starts_lower", "line_bullet", "in_code", "line_repeat_prev"]
+    scorer = labels.fit_scorer(rows.where("doc_id < 200"), names, 2.0)
+    r = scorer.score(rows.where("doc_id >= 200")).agg(F.avg(F.when(F.col("label"), F.col("score"))).alias("yes"), F.avg(F.when(~F.col("label"), F.col("score"))).alias("no")).first()
+    assert r["yes"] > r["no"] + 0.25
+
+
+def test_noise_and_styles(spark):
+    from tessera.operators import corpus
+
+    df = spark.createDataFrame([(1, "# Head\n3. one\n  4) two\nsome words that go on for a while and must be wrapped somewhere", 1)], "doc_id long, text string, u int")
+    r = df.select(*(augment.header_styles(F.col("text"), F.lit(k)).alias(f"h{k}") for k in range(4)), augment.renumber(F.col("text"), F.lit(6)).alias("n"), augment.noisy_wrap(F.col("text"), 20).alias("w")).first()
+    assert [r[f"h{k}"].split("\n")[:2] for k in range(4)] == [["Head", "3. one"], ["Head", "===="], ["HEAD", "3. one"], ["1. Head", "3. one"]]
+    assert "7. one\n  7) two" in r["n"] and bare(r["w"]) == bare(df.first()["text"]) and max(map(len, r["w"].split("\n"))) <= 20
+    pages = augment.noisy_pages(spark.createDataFrame([(1, "line of text\n" * 30)], "doc_id long, text string"), 100).first()["text"]
+    assert pages.count("\f") == 4 and "- 1 -" in pages and "- 4 -" in pages and pages.replace("\f", "").count("line of text\n") == 30
+    legal = corpus.legal_sections(spark.createDataFrame([(1, "\n\n".join(["x" * 500] * 9)), (2, "short text")], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], len(r["text"])) for r in sorted(legal, key=lambda r: (r["doc_id"], r["section_no"]))] == [(1, 2006), (1, 2006), (1, 500), (2, 10)]
+
+
 def test_greedy_matching(spark):
     docs = frame(spark, ["a", "b", "c"])
     pts = lambda rows: spark.createDataFrame(rows, "doc_id long, pos long")
@@ -285,7 +330,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r["name"] for r in docs.collect()) == ["a.txt", "b.txt"]
     chunks = SegmentEngine().chunk(docs)
     assert readers.as_json_array(chunks).count() == 2 and readers.as_separated(chunks).first()["text"].endswith("\n---\n")
-    readers.write_jsonl(synth.corpus(spark, docs=2).withColumn("doc_id", F.col("doc_id") * 7), str(tmp_path / "out"))
+    readers.write_jsonl(synth.corpus(spark.range(20).withColumnRenamed("id", "doc_id")).withColumn("doc_id", F.col("doc_id") * 7), str(tmp_path / "out"))
     back = readers.read_jsonl(spark, str(tmp_path / "out"), str(tmp_path / "missing"))
     assert sorted(r["doc_id"] for r in back.collect()) == list(range(20)) and back.first()["lang"] == "pt"
     readers.write_chunk_dump(chunks, str(tmp_path / "dump"))
