@@ -50,10 +50,10 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     laid.join(F.broadcast(shift), "_part").withColumn("doc_id", F.col("_i") + F.col("_s")).drop("_at", "_part", "_i", "_s").write.json(path)
 
 
-def as_json_array(chunks: DataFrame) -> DataFrame:
-    """(doc_id, json): each document's chunks as a JSON array of strings."""
+def as_json_array(chunks: DataFrame, pretty: bool = False) -> DataFrame:
+    """(doc_id, json): each document's chunks as a JSON array of strings, on lines of their own if pretty."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda r: r["text"])
-    return chunks.groupBy("doc_id").agg(F.to_json(rows).alias("json"))
+    return chunks.groupBy("doc_id").agg(F.to_json(rows, {"pretty": str(pretty).lower()}).alias("json"))
 
 
 def as_separated(chunks: DataFrame, separator: str = "\n---\n") -> DataFrame:
@@ -64,7 +64,7 @@ def as_separated(chunks: DataFrame, separator: str = "\n---\n") -> DataFrame:
 
 def as_boundary_lines(boundaries: DataFrame, docs: DataFrame, back: int = 30, ahead: int = 10) -> DataFrame:
     """(doc_id, pos, line): kind, position and the text around it, tab-separated, with breaks written out."""
-    df = boundaries.join(docs.select("doc_id", "text"), "doc_id")
+    df = boundaries.join(docs.select("doc_id", "text"), "doc_id")  # the context is found by the id, which must be unique
     start = F.greatest(F.col("pos") - back, F.lit(0)).cast("int")
     around = F.substr("text", start + 1, (F.col("pos") + ahead).cast("int") - start)
     return df.select("doc_id", "pos", F.concat_ws("\t", "kind", "pos", F.replace(around, F.lit("\n"), F.lit("\\n"))).alias("line"))
@@ -74,3 +74,12 @@ def write_chunk_dump(chunks: DataFrame, path: str) -> None:
     """A folder for each document, its chunks under a heading with number and size."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "n_chars", "text"))), lambda r: F.format_string("CHUNK %s (%s chars)\n%s\n", r["chunk_no"], r["n_chars"], r["text"]))
     chunks.groupBy("doc_id").agg(F.array_join(rows, "\n").alias("value")).write.partitionBy("doc_id").text(path)
+
+
+def save_metrics(rows: DataFrame, path: str) -> None:
+    """A table of metrics, a row for each bucket, as JSON lines to compare() a later run with."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
