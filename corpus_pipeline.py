@@ -1,11 +1,16 @@
-"""A corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, token files."""
+"""A corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, token files.
+
+Each stage takes documents (doc_id, text, source and any other columns) and returns rows in the same columns, the last one
+those of the token files. Null, empty and short texts go in the first stage. Rows are told apart by doc_id and text: rows
+that share an id, or have none, are each judged, and of rows that repeat both one stays. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, jaccard, mixing, quality, tokenfile
-from tessera.llm.common import new_path
+from tessera.llm.common import drop_path, new_path
 from tessera.llm.queries import WORD_BPE, table, tokenizer_path
 
 
@@ -15,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each component of near duplicates."""
+    """One document of each component of near duplicates: that with the smallest doc_id, null last, then a hash of the text."""
     return jaccard.one_of_each(spark, docs)
 
 
@@ -42,9 +47,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            drop_path(spark, last)
+        last = path
     return docs
