@@ -430,11 +430,15 @@ def classes(spark: SparkSession, docs: DataFrame, s: Scratch, rare: int, local:
     posted = docs.select("doc_id", "text").mapInArrow(poster(seed, first, local, chunk_bytes), form)
     # One shuffle deals both kinds of rows: postings by range, and the classes' own rows by class.
     group = lambda b: F.coalesce(F.col("rng").cast("long"), F.pmod("key", F.lit(1 << b)) - (1 << b)).alias("g")
-    parts = lambda b: max(partitions(spark), min(1 << b, 4 * partitions(spark)))
+
+    def dealt(rows: DataFrame, b: int) -> DataFrame:
+        """rows in partitions by range or class: where ranges are few, each partition has one of them."""
+        n = max(partitions(spark), min(1 << b, 4 * partitions(spark)))
+        return rows.select("*", group(b)).withColumn("p", F.pmod("g", F.lit(n)).cast("int")).repartitionById(n, F.col("p"))
+
     if bits > first:
-        posted = posted.repartition(parts(first), group(first)).mapInArrow(redealer(bits, local, chunk_tokens), form)
-    posted = posted.select("*", group(bits)).repartition(parts(bits), "g")
-    shared = posted.groupBy("g").applyInArrow(lambda t: shared_tokens(t, rare), "key long, n long, hot binary, rare binary, freq binary")
+        posted = dealt(posted, first).select(*POSTED).mapInArrow(redealer(bits, local, chunk_tokens), form)
+    shared = dealt(posted, bits).groupBy("p", "g").applyInArrow(lambda t: shared_tokens(t, rare), "key long, n long, hot binary, rare binary, freq binary")
     shared = s.table(shared, "shared")
     own = shared.where("n is not null").groupBy("key").agg(F.max("n").alias("n"), F.max("hot").alias("hot"))
     parts_ = shared.where("n is null").groupBy("key").agg(F.collect_list(F.struct("rare", "freq")).alias("parts"))
