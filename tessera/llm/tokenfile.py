@@ -10,6 +10,7 @@ ids and lengths that the writer returns as rows, and at the end of the file as t
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -22,16 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, new_path, open_fs, partitions, small_batches, texts
+from .common import Scratch, give_back, new_path, open_fs, partitions, small_batches, utf8
+from .wordhash import FRONT, LONG, LOWER, word_hashes, word_spans
 
 MAGIC = b"TSRTOK01"
 BLOCK = 1 << 17
 END_ID = 1
 #: Entries of a worker's tables of known words and stems, and the bytes of a word in them at most; one is emptied when it is
-#: full, and longer words are encoded each time.
-KNOWN_WORDS = 500_000
+#: full, and a text with a longer word is encoded whole.
+KNOWN_WORDS = 1_500_000
 KNOWN_STEMS = 200_000
-KNOWN_BYTES = 64
+KNOWN_BYTES = LONG
 
 
 def splits_at_space(config: dict) -> bool:
@@ -43,13 +45,15 @@ def splits_at_space(config: dict) -> bool:
 
 
 class Words:
-    """The ids of texts. Where the tokenizer splits at white space, those of known words are looked up by the word; texts
-    that hold an added token, and all texts of another tokenizer, are encoded whole."""
-
-    #: Words of these letters are one piece to the tokenizer, whose last token alone bears an end mark.
-    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-    #: A word and the marks after it, which never join: the tokenizer splits letters and digits from symbols.
-    STEM = re.compile(rb"((?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&()*+,\-./:;=?@\[\]^_`{}~|]*)")
+    """The ids of texts. Where the tokenizer splits at white space, those of known words are looked up: by a hash of the
+    word, whose bytes are then compared, eight at a time. Texts that hold an added token, a very long word or one that has
+    another's hash, and all texts of another tokenizer, are encoded whole."""
+
+    #: A word and the marks after it, which never join, since the tokenizer splits letters and digits from symbols; or a word
+    #: that isn't of this form. Words stand on lines.
+    STEM = re.compile(rb"^(?:((?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!#$%&()*+,\-./:;=?@\[\]^_`{}~|]*)|([^\n]*))$", re.M)
+    #: Words of these letters are one piece to the tokenizer, whose last token alone bears an end mark; or others.
+    PLAIN = re.compile(rb"^(?:((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)|([^\n]*))$", re.M)
     JOINED = 64
 
     def __init__(self, path: str, dtype: np.dtype):
@@ -61,8 +65,16 @@ class Words:
         self.added = [t["content"].encode() for t in config.get("added_tokens") or []]
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[[i for piece, i in self.tok.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.seed = int.from_bytes(os.urandom(8), "little")
         self.stems: dict[bytes, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and their words' places
+        # Of each word, by place: where its ids and its bytes start, and how many they are.
+        self.start, self.size, self.at, self.length = (np.empty(1 << 16, np.int64) for _ in range(4))
+        self.ids, self.used = np.empty(1 << 18, self.dtype), 0
+        self.lanes, self.filled = np.empty(1 << 17, np.uint64), 0
 
     def whole(self, words: list[bytes]) -> list[bytes]:
         out = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -70,8 +82,8 @@ class Words:
 
     def learn_stems(self, stems: list[bytes]) -> None:
         """Many plain words are encoded in one text and told apart by the end marks."""
-        plain = [w for w in stems if self.PLAIN.fullmatch(w)]
-        rest = [w for w in stems if not self.PLAIN.fullmatch(w)]
+        found = self.PLAIN.findall(b"\n".join(stems))
+        plain, rest = [w for w, _ in found if w], [w for _, w in found if w]
         rows = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
         width = self.dtype.itemsize
         for row, e in zip(rows, self.tok.encode_batch_fast([b" ".join(r).decode() for r in rows], add_special_tokens=False)):
@@ -86,45 +98,100 @@ class Words:
                 a = b
         self.stems.update(zip(rest, self.whole(rest)))
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: list[bytes]) -> list[bytes]:
         """The ids of new words: of a stem and the marks after it, or of the whole."""
         if len(self.stems) > KNOWN_STEMS:
             self.stems.clear()
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        parts = [m.groups() if len(w) <= KNOWN_BYTES and (m := self.STEM.fullmatch(w)) else None for w in words]
-        need = {p for pair in parts if pair for p in pair}
+        parts = self.STEM.findall(b"\n".join(words))
+        need = {a for a, _, _ in parts}
+        need.update({b for _, b, _ in parts})
         need.discard(b"")
         self.learn_stems(list(need.difference(self.stems)))
-        alone = iter(self.whole([w for w, p in zip(words, parts) if p is None]))
-        get = self.stems.get
-        ids = dict(zip(words, [next(alone) if p is None else get(p[0]) + get(p[1], b"") for p in parts]))
-        self.known.update(ids if max(map(len, words), default=0) <= KNOWN_BYTES else {w: i for w, i in ids.items() if len(w) <= KNOWN_BYTES})
-        return ids
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        apart = [k for k, t in enumerate(texts) if not self.by_word or any(a in t for a in self.added)]
-        for k, ids in zip(apart, self.whole([texts[k] for k in apart])):
-            out[k] = ids
-        held, new = [], {}
-        for k, t in enumerate(texts):
-            if out[k] is None:
-                words = t.lower().split()
-                ids = list(map(self.known.get, words))
-                if None in ids:
-                    new.update((w, None) for w, i in zip(words, ids) if i is None)
-                    held.append((k, words, ids))
-                else:
-                    out[k] = b"".join(ids)
-        if held:
-            new = self.learn(list(new))
-            for k, words, ids in held:
-                out[k] = b"".join([i if i is not None else new[w] for w, i in zip(words, ids)])
+        alone = iter(self.whole([w for _, _, w in parts if w]))
+        self.stems[b""] = b""
+        get = self.stems.__getitem__
+        return [get(a) + get(b) if a else next(alone) for a, b, _ in parts]
+
+    def add(self, hashes: np.ndarray, spot: np.ndarray, words: list[bytes]) -> None:
+        """New words, in the order of their hashes, and where these go among the known ones."""
+        ids = self.learn(words)
+        k, n = len(self.known), len(words)
+        sizes = np.fromiter(map(len, ids), np.int64, n) // self.dtype.itemsize
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        lanes = -(-lengths // 8)
+        self.ids = put(self.ids, self.used, np.frombuffer(b"".join(ids), self.dtype))
+        self.lanes = put(self.lanes, self.filled, np.frombuffer(b"".join([w + bytes(-len(w) % 8) for w in words]), np.uint64))
+        self.start, self.size = put(self.start, k, self.used + np.cumsum(sizes) - sizes), put(self.size, k, sizes)
+        self.at, self.length = put(self.at, k, self.filled + np.cumsum(lanes) - lanes), put(self.length, k, lengths)
+        self.used, self.filled = self.used + int(sizes.sum()), self.filled + int(lanes.sum())
+        self.known, self.place = np.insert(self.known, spot, hashes), np.insert(self.place, spot, np.arange(k, k + n))
+
+    def same(self, low: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each word, of lower bytes `low`, whether it is the known word at its place."""
+        good = self.length[place] == size
+        lanes = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+        left, k = np.flatnonzero(good), 0
+        while len(left):
+            equal = lanes[first[left] + 8 * k] & FRONT[np.minimum(size[left] - 8 * k, 8)] == self.lanes[self.at[place[left]] + k]
+            good[left[~equal]] = False
+            k += 1
+            left = left[equal & (size[left] > 8 * k)]
+        return good
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The ids of each text; the texts lie one after another in data."""
+        raw, bounds = data.tobytes(), off.tolist()
+        held = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        if not self.by_word:
+            return self.whole(held)
+        first, last, counts = word_spans(data, off)
+        size = last - first
+        apart = np.array([any(a in t for a in self.added) for t in held], bool) if any(a in raw for a in self.added) else np.zeros(len(held), bool)
+        row = np.repeat(np.arange(len(held)), counts)
+        apart[row[size > KNOWN_BYTES]] = True
+        use = ~apart[row]
+        first, last, size, row = first[use], last[use], size[use], row[use]
+        hashes, at, back = np.unique(word_hashes(data, first, last, self.seed), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > KNOWN_WORDS:
+            self.clear()
+        spot = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = spot < len(self.known)
+        new[inside] = self.known[spot[inside]] != hashes[inside]
+        if new.any():
+            self.add(hashes[new], spot[new], [raw[a:b].lower() for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist())])
+        place = self.place[np.searchsorted(self.known, hashes)][back]
+        apart[row[~self.same(np.concatenate((LOWER[data], np.zeros(8, np.uint8))), first, size, place)]] = True
+        n, start = self.size[place], self.start[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        edge = (ends[np.searchsorted(row, np.arange(len(held) + 1))] * self.dtype.itemsize).tolist()
+        out = [ids[a:b] for a, b in zip(edge, edge[1:])]
+        again = np.flatnonzero(apart).tolist()
+        for k, x in zip(again, self.whole([held[k] for k in again])):
+            out[k] = x
         return out
 
 
+#: The words that this worker knows, by tokenizer; later tasks use them again.
+_words: dict[tuple[str, str], Words] = {}
+
+
+def words_for(path: str, dtype: np.dtype) -> Words:
+    if (path, dtype.str) not in _words:
+        _words.clear()
+        _words[path, dtype.str] = Words(path, dtype)
+    return _words[path, dtype.str]
+
+
+def put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """held with new at a place; it is doubled until there is room."""
+    while at + len(new) > len(held):
+        held = np.concatenate((held, np.empty_like(held)))
+    held[at : at + len(new)] = new
+    return held
+
+
 def pack(ids: np.ndarray, width: int, level: int) -> list[bytes]:
     """The compressed bit planes of a chunk, the lowest bit first."""
     x = ids.view(f"<u{width}")
@@ -249,8 +316,6 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int
     fs.create_dir(at, recursive=True)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, writer, file, n_docs, n = None, None, None, 0, 0
         name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
@@ -259,8 +324,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, vocabulary: int
                 fs, path = open_fs(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 file = fs.open_output_stream(path, compression=None)
-                words, writer = Words(tokenizer, dtype), Writer(file, dtype.itemsize)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts(batch.column("text")))):
+                words, writer = words_for(tokenizer, dtype), Writer(file, dtype.itemsize)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(*utf8(batch.column("text")))):
                 writer.add(doc_id, ids + end)
                 n_docs, n = n_docs + 1, n + len(ids) // dtype.itemsize + 1
         if writer is not None:
