@@ -204,6 +204,19 @@ def test_hostile_words(spark):
     same(got(tokenfile.read(spark, tokenfile.write(spark, df, path)), "doc_id", "start", "n_tokens", "ids_crc32"), brute.tokens(rows, path))
 
 
+def test_words_of_one_hash(monkeypatch):
+    """Under a hash that most words share, each text has the tokenizer's ids."""
+    import numpy as np
+
+    path = queries.tokenizer_path(queries.WORD_BPE)
+    monkeypatch.setattr(tokenfile, "word_hashes", lambda data, first, last, seed: (last - first).astype(np.uint64) % np.uint64(5))
+    words = tokenfile.Words(path, np.dtype("<u2"))
+    texts = [(t or "").encode() for t in TEXTS if t != LONG and t != LONG + " tail"] + [b"alpha", b"alphb", b"alpha beta", b"beta alpha", b"alphaalp", b"alphaal\0"]
+    for some in (texts[:9], texts[9:], texts):
+        off = np.concatenate(([0], np.cumsum([len(t) for t in some]))).astype(np.int64)
+        assert words.encode(np.frombuffer(b"".join(some), np.uint8), off) == words.whole(some)
+
+
 def test_one_of_each_by_row(spark):
     """Different texts under one id, or none, each count for themselves."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")

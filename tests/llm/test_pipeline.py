@@ -1,8 +1,11 @@
 """The pipeline against a plain restatement of its stages; which documents the mix draws is taken from the mixing operator."""
 
+from collections import Counter
+
 import brute
 import corpus_pipeline
 import regex
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, queries
 
@@ -36,3 +39,40 @@ def test_pipeline(spark, tiny):
     want = brute.tokens(mixed, queries.tokenizer_path(queries.WORD_BPE))
     got = corpus_pipeline.run(spark, tiny).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty and repeated rows, different texts under one id, columns with the names that operators use."""
+    base = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdefgh"]
+    leak = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, base[0], "x"), (1, base[0], "x"), (2, base[0] + " end", "y"), (2, base[1], "y"), (None, base[2], None), (None, base[2], None), (None, base[3], "x"), (3, None, "x"), (4, "", None), (5, "few words", "x")]
+    rows += [(6, f"{base[4]} {leak} {base[5]}", "y"), (7, base[6], None), (8, "same line\n" * 60, "x"), (9, base[7].upper(), "z"), (10, base[7], "z")]
+    df = spark.createDataFrame([(d, t, "en", s, -1, "clash", "k", 7) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, words string, key string, copies int")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(r["doc_id"], r["text"], r["source"], (r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["t"])) for r in df.select("*", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t")).collect()]
+    kept = [x for x in docs if good(x[1])]
+    groups = {}
+    for k, _, c in brute.jaccard([(k, x[1]) for k, x in enumerate(kept)]):
+        groups.setdefault(c, []).append(kept[k])
+    alone = [min(g, key=lambda x: (x[0] is None, x[0] or 0, x[3][3])) for g in groups.values()]
+    hit = {r[0] for r in brute.decontam([(k, x[1]) for k, x in enumerate(alone)], [(1, leak), (2, None)]) if r[-1]}
+    clean = [x for k, x in enumerate(alone) if k not in hit]
+    assert 0 < len(clean) < len(alone) < len(kept) < len(docs)
+    copies = brute.draws([(k, x[2], len(x[1].split()), x[3]) for k, x in enumerate(clean)])
+    want = Counter((x[0], n, crc) for k, x in enumerate(clean) for _ in range(copies[k]) for _, _, n, crc in brute.tokens([(0, x[1])], queries.tokenizer_path(queries.WORD_BPE)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        assert f(spark, stage, str(tmp_path)).columns == df.columns
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
