@@ -51,11 +51,14 @@ class Windows:
             self.auto.add_word(w, (len(w), tuple(sorted(ids))))
         if owners:
             self.auto.make_automaton()
+        #: As many words of items in a row as the shortest window has.
+        self.least = b"\1" * min(map(len, owners), default=1)
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, tuple[str, ...]]]]:
         """The number of words, and of each occurrence of a window: its first word, its number of words, its items."""
         words = words_of(text)
-        if not words or not self.number:
+        # A text without so many words of items in a row has no window: most need no walk through the automaton.
+        if self.least not in bytes(map(self.number.__contains__, words)):
             return len(words), []
         return len(words), [(end - k + 1, k, ids) for end, (k, ids) in self.auto.iter(tuple(map(self.number.get, words, repeat(0))))]
 
