@@ -118,12 +118,13 @@ def base_of(html: Column) -> Column:
     return F.when(F.contains(F.lower(html), F.lit("<base")), first_of(tags, lambda t: attribute(t, "href")))
 
 
-def link_edges(judged: DataFrame) -> DataFrame:
-    """judged(node, targets, base_url, base_href): an edge (a, b) for each target that resolves."""
-    rows = judged.where("size(targets) > 0").select("node", "base_url", "base_href", F.explode("targets").alias("target"))
-    rows = rows.withColumn("base", F.coalesce(resolved(F.col("base_url"), F.col("base_href")), "base_url"))
-    rows = rows.withColumn("to", resolved(F.col("base"), F.col("target"))).withColumn("name", node_of(F.col("to")))
-    return rows.where("node is not null and name is not null").select(F.col("node").alias("a"), key_of(F.col("name")).alias("b"))
+def link_edges(s: Scratch, judged: DataFrame) -> DataFrame:
+    """judged(node, targets, base_url, base_href): an edge (a, b) for each target that resolves; an end is null without a
+    node. Links are written before they are resolved, and named before they are filtered: pushed down, a filter on a name
+    would write the expressions out once for each use of the columns that they read."""
+    rows = judged.where("size(targets) > 0").select("node", F.coalesce(resolved(F.col("base_url"), F.col("base_href")), "base_url").alias("base"), F.explode("targets").alias("target"))
+    rows = s.table(rows, "links").withColumn("to", resolved(F.col("base"), F.col("target")))
+    return s.table(rows.select(F.col("node").alias("a"), key_of(node_of(F.col("to"))).alias("b")), "edges")
 
 
 def match_rules(df: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFrame:
@@ -170,7 +171,7 @@ def filter_urls(spark: SparkSession, pages: DataFrame, redirects: DataFrame | No
     if len(rules) > INLINE_RULES:
         base = s.table(base, "numbered")  # rules are then joined by row number
     judged = s.table(match_rules(base, rules, "_row"), "judged")
-    edges = link_edges(judged)
+    edges = link_edges(s, judged)
     if redirects is not None:
         edges = edges.union(redirects.select(key_of(node_of(F.col("from_url"))).alias("a"), key_of(node_of(F.col("to_url"))).alias("b")))
     comp = connected_components(spark, edges)
