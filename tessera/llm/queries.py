@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, linededup, mixing, pii, quality, tokencount, tokenfile, urlfilter, warc
+from . import decontam, divergence, jaccard, linededup, mixing, pii, quality, tokencount, tokenfile, urlfilter, warc
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -63,7 +63,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_url_filter, op4_decontamination, op5_quality, op6_token_counts, op7_mixing, op8_line_dedup, op9_token_files, op10_jaccard_join)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_url_filter, op4_decontamination, op5_quality, op6_token_counts, op7_mixing, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_divergence)}
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -95,4 +99,12 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + least(5, len(w))], '
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (k) WHERE x.doc_id < y.doc_id GROUP BY ALL), e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.v = d.doc_id GROUP BY ALL""",
+    "op11_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d), v AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30), g AS (SELECT DISTINCT lang, source FROM d),
+z AS (SELECT lang, count(*) AS vn, sum(ln) AS lt FROM v GROUP BY lang), c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL), k AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.ln FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT lang, source, sum(n) AS total FROM k GROUP BY ALL), p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * vn))::BIGINT AS p, (1 + (1000000000::HUGEINT * (ln + 5)) // (lt + 5 * vn))::BIGINT AS q FROM k JOIN s USING (lang, source) JOIN z USING (lang)),
+two AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(two.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+u AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q), o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM u)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 50""",
 }
