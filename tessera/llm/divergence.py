@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term is kept in a language if at least so many of its documents have it.
 MIN_DOCS = 30
@@ -31,24 +32,16 @@ def share(count: Column, total: Column, kinds: Column) -> Column:
     return F.lit(1).cast("long") + F.call_function("div", up, down)
 
 
-def term_runs(terms: Column) -> Column:
-    """Of a text's sorted terms, each once, with how often it stands there."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(terms)), lambda i: (i == 1) | (F.get(terms, i - 1) != F.get(terms, i - 2)))
-    starts = F.when(F.size(terms) > 0, starts)
-    return F.transform(starts, lambda i: F.struct(F.get(terms, i - 1).alias("term"), i.alias("at")))
-
-
 def counted(docs: DataFrame) -> DataFrame:
     """docs(text, lang, source, ...): (lang, source, term, n, docs): how often a group's documents have a term, and how many of
-    them have it. A group without terms, and a document without any, has a row with a null term."""
+    them have it. The term '' only tells that there is such a group."""
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
-    rows = docs.select(lang, source, F.sort_array(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))).alias("terms"))
-    runs = rows.select("lang", "source", F.size("terms").alias("size"), term_runs(F.col("terms")).alias("runs"))
-    # The last run ends with the array, each other where the next starts.
-    each = runs.select("lang", "source", "size", "runs", F.posexplode_outer("runs").alias("k", "run"))
-    n = F.coalesce(F.get(F.col("runs"), F.col("k") + 1)["at"], F.col("size") + 1) - F.col("run")["at"]
-    each = each.select("lang", "source", F.col("run")["term"].alias("term"), n.cast("long").alias("n"))
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    rows = docs.select(lang, source, F.split(low, BETWEEN).alias("terms")).withColumn("kinds", F.array_distinct("terms"))
+    # Each text's different terms, then all its terms.
+    each = rows.select("lang", "source", F.size("kinds").alias("size"), F.posexplode(F.concat("kinds", "terms")).alias("k", "term"))
+    again = (F.col("k") >= F.col("size")).cast("long")
+    return each.groupBy("lang", "source", "term").agg(F.sum(again).alias("n"), F.sum(1 - again).alias("docs"))
 
 
 def audit(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
@@ -63,7 +56,7 @@ def audit(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, top: i
     s = Scratch(spark)
     counts = s.table(counted(docs), "counts")
     groups = counts.select("lang", "source").distinct()
-    vocabulary = s.table(counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs), "vocabulary")
+    vocabulary = s.table(counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs), "vocabulary")
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("lang_n").alias("lang_total"))
     kept = counts.join(vocabulary.select("lang", "term"), ["lang", "term"])
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
