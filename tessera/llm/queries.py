@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, jaccard, linededup, mixing, pii, quality, suffix, tokencount, tokenfile, urlfilter, warc
+from . import crosstok, decontam, divergence, jaccard, linededup, mixing, pii, quality, suffix, tokencount, tokenfile, urlfilter, warc
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,7 +72,11 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(suffix.dedup(spark, table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_url_filter, op4_decontamination, op5_quality, op6_token_counts, op7_mixing, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_divergence, op12_suffix_dedup)}
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(spark, table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_pii, op3_url_filter, op4_decontamination, op5_quality, op6_token_counts, op7_mixing, op8_line_dedup, op9_token_files, op10_jaccard_join, op11_divergence, op12_suffix_dedup, op13_cross_tokenizer)}
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"

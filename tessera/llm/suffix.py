@@ -38,7 +38,7 @@ CROWD = 200
 CELLS = (64, 8, 1)
 #: Bytes that are hashed, and bytes that are put into suffix order, at once.
 PIECE = 2 << 20
-BATCH = 1 << 20
+BATCH = 1 << 17
 #: In the array of anchors the low bits hold the place, the others the hash.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -125,12 +125,12 @@ def block_ranks(data: np.ndarray, length: int) -> dict[int, np.ndarray]:
     while True:
         order = np.argsort(keys)
         held = keys[order]
-        rank = np.empty(len(keys), np.int64)
+        rank = np.empty(len(keys), np.int32)
         rank[order] = np.cumsum(np.concatenate(([0], held[1:] != held[:-1])))
         out[size] = rank
         if 2 * size > length:
             return out
-        after = np.concatenate((rank[size:], np.zeros(size, np.int64)))
+        after = np.concatenate((rank[size:], np.zeros(size, np.int32)))
         keys = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
         size *= 2
 
@@ -148,17 +148,20 @@ def nearest_smaller(x: np.ndarray) -> np.ndarray:
 
 def common_prefix(ranks: dict[int, np.ndarray], data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """How many bytes are equal from a and from b on, up to length; 0 where a is -1."""
-    done = np.zeros(len(a), np.int64)
     top = max(ranks)
-    for size in [top] * (length // top) + sorted(ranks, reverse=True)[1:]:
-        rank, live = ranks[size], (a >= 0) & (done + size <= length)
-        x, y = np.where(live, a + done, 0), np.where(live, b + done, 0)
-        done[live & (rank[x] == rank[y])] += size
-    for _ in range(min(8, length)):  # what is shorter than the smallest block
-        live = (a >= 0) & (done < length)
-        x, y = np.where(live, a + done, 0), np.where(live, b + done, 0)
-        done[live & (data[np.minimum(x, len(data) - 1)] == data[np.minimum(y, len(data) - 1)]) & (np.maximum(x, y) < len(data))] += 1
-    return done
+    out = np.zeros(len(a), np.int64)
+    full = (a >= 0) & (ranks[top][a] == ranks[top][b]) & (ranks[top][a + (length - top)] == ranks[top][b + (length - top)])
+    out[full] = length
+    part = np.flatnonzero(~full & (a >= 0))
+    a, b, done = a[part], b[part], np.zeros(len(part), np.int64)
+    for size in sorted(ranks, reverse=True):
+        live = done + size <= length
+        done += size * (live & (ranks[size][a + done * live] == ranks[size][b + done * live]))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    for _ in range(8):  # what is shorter than the smallest block
+        done += (done < length) & (padded[a + done] == padded[b + done]) & (np.maximum(a, b) + done < len(data))
+    out[part] = done
+    return out
 
 
 def factors(data: np.ndarray, at: np.ndarray, length: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
