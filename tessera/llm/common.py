@@ -36,6 +36,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: The scratch tables that are kept, in the order in which they were made.
+_kept: list[str] = []
+
+
+def scratch_mark() -> int:
+    return len(_kept)
+
+
+def drop_scratch(spark: SparkSession, mark: int) -> None:
+    """Drops the scratch tables made since the mark: for callers who have written what was read from them."""
+    for path in _kept[mark:]:
+        drop_path(spark, path)
+    del _kept[mark:]
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and count as disk until dropped."""
 
@@ -48,11 +63,14 @@ class Scratch:
         schema = df.schema
         df.write.parquet(path)
         self.paths[name] = path
+        _kept.append(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            drop_path(self.spark, self.paths.pop(name))
+            path = self.paths.pop(name)
+            drop_path(self.spark, path)
+            _kept.remove(path)
 
     def keep(self, *names: str) -> None:
         """Drops all tables but these, on which a result still depends."""

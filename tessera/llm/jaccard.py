@@ -21,13 +21,14 @@ lost, so components are exact.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, partitions, small_batches, utf8
@@ -75,6 +76,16 @@ def set_key(tokens: np.ndarray) -> int:
     return int(stir(stir(tokens + MIX).sum(keepdims=True) + np.uint64(len(tokens)))[0].view(np.int64))
 
 
+def other_key(tokens: np.ndarray) -> int:
+    """A second name, for sets that share the first: 64 bits more, by which they are told apart."""
+    return int(stir(stir(tokens ^ FACTORS[2]).sum(keepdims=True) ^ np.uint64(len(tokens)))[0].view(np.int64))
+
+
+def name_of(tokens: np.ndarray, shared: frozenset[int]) -> int:
+    key = set_key(tokens)
+    return other_key(tokens) if key in shared else key
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc_ids, bytes, offsets) in slices of about PIECE bytes, or of one long text."""
     for batch in batches:
@@ -90,8 +101,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
 def keyed(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(t), set_key(t) if len(t) else None) for _, data, off in slices([batch]) for t in token_sets(data, off, seed)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())], ["doc_id", "h", "n", "key"])
+            found = [(len(t), set_key(t), other_key(t)) if len(t) else (0, None, None) for _, data, off in slices([batch]) for t in token_sets(data, off, seed)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], ["doc_id", "h", "n", "key", "also"])
 
     return run
 
@@ -155,7 +166,7 @@ class Dealer:
             yield self.batch()
 
 
-def poster(seed: int, bits: int, local: int, chunk_bytes: int):
+def poster(seed: int, bits: int, local: int, chunk_bytes: int, shared: frozenset[int] = frozenset()):
     """Deals the tokens of each chunk of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +183,7 @@ def poster(seed: int, bits: int, local: int, chunk_bytes: int):
         for _, data, off in slices(batches):
             for t in token_sets(data, off, seed):
                 if len(t):
-                    held.setdefault(set_key(t), t)
+                    held.setdefault(name_of(t, shared), t)
             size += len(data)
             if size >= chunk_bytes:
                 yield from flush()
@@ -333,31 +344,42 @@ def links(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def blocks_of(s: Scratch, member: DataFrame) -> DataFrame:
-    """member(key, cluster, other, place, n, tokens, ...) with `block`, a number: sets of one place lie together, a place of
-    many is cut by the sets' names, and small ones share a block, so that blocks are of bounded size."""
+    """member(key, cluster, other, size, place, n, tokens, ...) with `block`, a number: sets of one size class and place lie
+    together, a place of many is cut by the sets' names, and small ones share a block, so that blocks are of bounded size."""
     many = lambda sets, size: F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(size / BLOCK_BYTES))
-    cells = member.groupBy("cluster", "other", "place").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("tokens")).alias("size"))
-    cells = s.table(cells.withColumn("cut", many(F.col("sets"), F.col("size"))), "cells")
-    packs = cells.where("cut = 1").groupBy("cluster", "other").agg(many(F.sum("sets"), F.sum("size")).alias("packs"))
-    cells = cells.select("cluster", "other", "place", "cut").join(packs, ["cluster", "other"], "left")
-    block = F.when(F.col("cut") > 1, F.xxhash64("place", F.pmod(F.xxhash64("key"), F.col("cut")))).otherwise(F.pmod(F.xxhash64("place"), F.col("packs")))
-    return member.join(cells, ["cluster", "other", "place"]).withColumn("block", block).drop("cut", "packs")
+    cell, pack_ = ["cluster", "other", "size", "place"], ["cluster", "other", "size"]
+    cells = member.groupBy(*cell).agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("tokens")).alias("bytes"))
+    cells = s.table(cells.withColumn("cut", many(F.col("sets"), F.col("bytes"))), "cells")
+    packs = cells.where("cut = 1").groupBy(*pack_).agg(many(F.sum("sets"), F.sum("bytes")).alias("packs"))
+    cells = cells.select(*cell, "cut").join(packs, pack_, "left")
+    block = F.when(F.col("cut") > 1, F.xxhash64("size", "place", F.pmod(F.xxhash64("key"), F.col("cut")))).otherwise(F.xxhash64("size", F.pmod(F.xxhash64("place"), F.col("packs"))))
+    return member.join(cells, cell).withColumn("block", block).drop("cut", "packs")
+
+
+def size_class(n: Column) -> Column:
+    """Sets that link differ by a factor of 1.25 at most, hence by one class, whatever the rounding."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.25 * (1 + 1e-9))).cast("int")
 
 
 def block_pairs(s: Scratch, crowd: DataFrame, member: DataFrame) -> DataFrame:
-    """(cluster, i, o, j): each block i of others with the blocks that may have a partner of its sets, those that share an
-    entry. Where entries overlap so much that listing them costs more, all blocks of the cluster."""
-    ids = s.table(member.select("cluster", "other", "block").distinct(), "block_ids")
-    whole = ids.groupBy("cluster").agg((F.count_if("other") * F.count(F.lit(1))).alias("all"))
-    spread = crowd.select("sig", "key").join(member.select("key", "cluster", "other", "block"), "key").groupBy("cluster", "sig").agg(F.collect_set(F.struct("other", "block")).alias("b"))
-    spread = s.table(spread.withColumn("listed", F.size(F.filter("b", lambda x: x["other"])) * F.size("b")), "spread")
-    cost = s.table(spread.groupBy("cluster").agg(F.sum("listed").alias("listed")).join(whole, "cluster"), "cost")
-    some = spread.join(cost.where("listed < all").select("cluster"), "cluster").select("cluster", F.explode(F.filter("b", lambda x: x["other"])).alias("x"), "b").select("cluster", "x", F.explode("b").alias("y"))
-    some = some.select("cluster", F.col("x.block").alias("i"), F.col("y.other").alias("o"), F.col("y.block").alias("j")).where("not o or j >= i").distinct()
-    dense = ids.join(cost.where("listed >= all").select("cluster"), "cluster")
-    left = dense.where("other").select("cluster", F.col("block").alias("i"))
-    right = dense.select("cluster", F.col("other").alias("o"), F.col("block").alias("j"))
-    return some.union(left.join(right, "cluster").where("not o or j >= i").select("cluster", "i", "o", "j"))
+    """(cluster, i, o, j): each block i of others with the blocks that may have a partner of its sets, those of its size class
+    or one beside it that share an entry. Where entries overlap so much that listing them costs more, all blocks of these
+    size classes."""
+    beside = lambda df: df.withColumn("size", F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))))
+    here = s.table(crowd.select("sig", "key").join(member.select("key", "cluster", "other", "size", "block"), "key").select("cluster", "sig", "other", "size", "block").distinct(), "entry_blocks")
+    tally = lambda df, by: df.groupBy("cluster", *by, "size").agg(F.count(F.lit(1)).alias("b"), F.count_if("other").alias("o"))
+    # How many pairs either way would list.
+    pairs_of = lambda df, by, name: tally(df, by).select("cluster", *by, "size", "o").join(beside(tally(df, by).select("cluster", *by, "size", "b")), ["cluster", *by, "size"]).groupBy("cluster").agg(F.sum(F.col("o") * F.col("b")).alias(name))
+    ids = s.table(here.select("cluster", "other", "size", "block").distinct(), "block_ids")
+    cost = s.table(pairs_of(here, ["sig"], "listed").join(pairs_of(ids, [], "all"), "cluster"), "cost")
+
+    def pairs(df: DataFrame, by: list[str]) -> DataFrame:
+        left = df.where("other").select("cluster", *by, "size", F.col("block").alias("i"))
+        right = beside(df).select("cluster", *by, "size", F.col("other").alias("o"), F.col("block").alias("j"))
+        return left.join(right, ["cluster", *by, "size"]).where("not o or j >= i").select("cluster", "i", "o", "j")
+
+    some = pairs(here.join(cost.where("listed < all").select("cluster"), "cluster"), ["sig"]).distinct()
+    return some.union(pairs(ids.join(cost.where("listed >= all").select("cluster"), "cluster"), []))
 
 
 def crowd_links(spark: SparkSession, s: Scratch, crowd: DataFrame, sets: DataFrame) -> DataFrame:
@@ -365,14 +387,14 @@ def crowd_links(spark: SparkSession, s: Scratch, crowd: DataFrame, sets: DataFra
 
     Entries that overlap make a crowd. Its members are dealt to blocks of bounded size by the smallest of their entries,
     those of its largest component and the others apart. Each block of others is compared by matrix products with the
-    blocks that share an entry with it. So the rows are blocks and links, not pairs, and pairs within the largest component
+    blocks of like sizes that share an entry with it. So the rows are blocks and links, not pairs, and pairs within the largest component
     aren't looked at.
     """
     cluster = connected_components(spark, crowd.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()).toDF("key", "cluster")
     member = s.table(crowd.groupBy("key").agg(F.min("sig").alias("place"), F.min("comp").alias("comp")).join(cluster, "key"), "member")
     most = member.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     member = member.join(s.table(most, "main"), "cluster").withColumn("other", F.col("comp") != F.col("main")).drop("main")
-    member = s.table(member.join(sets.select("key", "n", "tokens"), "key"), "sets")
+    member = s.table(member.join(sets.select("key", "n", "tokens"), "key").withColumn("size", size_class(F.col("n"))), "sets")
     member = s.table(blocks_of(s, member), "dealt")
     both = s.table(block_pairs(s, crowd, member), "block_pairs")
     blocks = s.table(member.groupBy("cluster", "other", "block").agg(F.collect_list(F.struct("key", "n", "comp", "tokens")).alias("sets")), "blocks")
@@ -416,18 +438,27 @@ def block_links(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
     return list(out.values())
 
 
+def names_of_several(known: DataFrame) -> frozenset[int]:
+    """The names that different sets share: of n different sets about n * n / 2**65, hence none up to some 10^9, and
+    hundreds at 10^11."""
+    same = known.where("key is not null").groupBy("key").agg(F.min("also").alias("a"), F.max("also").alias("b")).where("a <> b")
+    return frozenset(r["key"] for r in same.select("key").collect())
+
+
 def classes(spark: SparkSession, docs: DataFrame, s: Scratch, rare: int, local: int, chunk_bytes: int, bits: int | None, coarse: int, chunk_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Two tables of s: known(doc_id, h, n, key), a row for each row of docs(doc_id, h, text) with its class, null without
     words; and comp(key, comp), a row for each class."""
     small_batches(spark)
     seed = int.from_bytes(os.urandom(8), "little")  # components don't depend on it, but whoever writes texts can't foresee collisions
-    known = s.table(docs.mapInArrow(keyed(seed), "doc_id long, h long, n long, key long"), "known")
+    known = s.table(docs.mapInArrow(keyed(seed), "doc_id long, h long, n long, key long, also long"), "known")
+    shared = names_of_several(known)
+    known = known.withColumn("key", F.when(F.col("key").isin(*shared), F.col("also")).otherwise(F.col("key"))).drop("also") if shared else known.drop("also")
     total = known.agg(F.sum("n").alias("n")).first()["n"] or 0
     if bits is None:
         bits = max(0, (total // RANGE_TOKENS).bit_length())
     first = min(bits, coarse)
     form = ", ".join(f"{c} {'long' if t == pa.int64() else 'int' if t == pa.int32() else 'binary'}" for c, t in POSTED.items())
-    posted = docs.select("doc_id", "text").mapInArrow(poster(seed, first, local, chunk_bytes), form)
+    posted = docs.select("doc_id", "text").mapInArrow(poster(seed, first, local, chunk_bytes, shared), form)
     # One shuffle deals both kinds of rows: postings by range, and the classes' own rows by class.
     group = lambda b: F.coalesce(F.col("rng").cast("long"), F.pmod("key", F.lit(1 << b)) - (1 << b)).alias("g")
 
@@ -486,8 +517,8 @@ def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: in
     doc_id reachable by links, the document's own included. A null, empty or blank text has 0 shingles, links with nothing
     and is its own component. Repeated rows each keep their row and link. A row without doc_id gets its class's id, or
     null. Other columns are ignored. An empty table gives an empty result. Shingles are told apart by 64-bit hashes under a
-    seed that each run draws, also where pairs are verified; sets by 64 bits too, so that among 10^9 different ones two
-    share a name with a chance of 3 %.
+    seed that each run draws, also where pairs are verified; sets by 64 bits, and by 64 more where two share those. doc_id must
+    be a whole number, or null.
 
     rare, local, chunk_bytes, bits, coarse and chunk_tokens shape the work, not the result.
     """
@@ -504,7 +535,8 @@ def components(spark: SparkSession, docs: DataFrame, rare: int = RARE, local: in
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of docs of each component, in docs' columns, which may have any names: that with the smallest doc_id (null
-    comes last), of several with that id the one whose text has the smallest hash.
+    comes last), of several with that id the one whose text has the smallest hash, of several with that text too the first by
+    the other columns, written as JSON. The result is the same however the rows are dealt.
 
     Texts without words are components of their own and stay. Rows are told apart by doc_id and text, so different texts
     under one doc_id, or none, are judged each for itself; of rows that repeat both, one stays.
@@ -528,6 +560,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kept = docs.join(gone.hint("shuffle_hash"), same(docs, gone), "left_anti")
     if not twice.isEmpty():
         mark = kept.join(twice.withColumn("_many", F.lit(True)), same(kept, twice), "left")
-        one = mark.where("_many").groupBy("_id", "_h").agg(F.first("_doc").alias("_doc"))
+        one = mark.where("_many").groupBy("_id", "_h").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
         kept = one.select("_doc").union(mark.where("_many is null").select("_doc"))
     return kept.select("_doc.*")

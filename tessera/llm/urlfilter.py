@@ -102,10 +102,11 @@ def refresh_of(tag: Column) -> Column:
 
 
 def links_of(html: Column) -> Column:
-    """The targets of a page's canonical link and of its refresh, as they are written: the first of each that has one."""
+    """The targets of a page's canonical link and of its refresh, as they are written: the first of each that has one. A tag
+    holds no other tag's start, so that one which isn't closed is read up to the next only."""
     rel = r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|["']?canonical(?![\w-]))"""
-    link = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*+>"), F.lit(0)), lambda t: t.rlike(rel))
-    meta = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*+>"), F.lit(0)), lambda t: t.rlike(r"""(?is)(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""))
+    link = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^<>]*+>"), F.lit(0)), lambda t: t.rlike(rel))
+    meta = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^<>]*+>"), F.lit(0)), lambda t: t.rlike(r"""(?is)(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""))
     has = F.lower(html)
     canonical = F.when(F.contains(has, F.lit("canonical")), first_of(link, lambda t: attribute(t, "href")))
     refresh = F.when(F.contains(has, F.lit("refresh")), first_of(meta, refresh_of))
@@ -114,7 +115,7 @@ def links_of(html: Column) -> Column:
 
 def base_of(html: Column) -> Column:
     """The href of a page's base tag; null without one."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<base\b[^>]*+>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<base\b[^<>]*+>"), F.lit(0))
     return F.when(F.contains(F.lower(html), F.lit("<base")), first_of(tags, lambda t: attribute(t, "href")))
 
 

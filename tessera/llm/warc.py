@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, new_path, open_fs, small_batches, utf8
@@ -26,15 +26,23 @@ READ = 1 << 20
 #: Payloads of at least so many bytes are deduplicated.
 MIN_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fields of our own: the page of a record, and that of the response which a revisit repeats. The payload's digest, which the
+#: profile asks for, finds the response too; several records may be of one page.
+PAGE, REFERS_TO = "Page-ID", "Page-Refers-To"
 DATE = "1970-01-01T00:00:00Z"
 CHUNKS = "record_id string, page_id long, record_type string, refers_to long, target_uri string, chunk_no int, last boolean, payload_bytes long, payload_digest string, length_header long, digest_header string, data binary"
 
 
+def payload_key(body: Column) -> Column:
+    """Equal payloads are told by their SHA-256: two of one SHA-1 can be made on purpose."""
+    return F.unhex(F.sha2(body, 256))
+
+
 def revisits(spark: SparkSession, pages: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of the pages that repeat a payload: refers_to is the smallest page_id that has it."""
     s = Scratch(spark)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = s.table(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("digest"), F.length(body).alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= least)).drop("n"), "digests")
+    keyed = s.table(pages.select(F.col("page_id").cast("long").alias("page_id"), payload_key(body).alias("digest"), F.length(body).alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= least)).drop("n"), "digests")
     # One row for each payload that more than one page has; in a table, so that a payload of very many pages can be split.
     first = s.table(keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("top")).where("top > refers_to").drop("top"), "firsts")
     return s.table(keyed.join(first, "digest").where("page_id > refers_to").distinct(), "revisits")
@@ -45,20 +53,23 @@ def header(fields: list[tuple[str, str]], length: int) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def urn(page_id: int | None) -> str:
-    return f"<urn:tessera:page:{'' if page_id is None else page_id}>"
+def urn(file: str, place: int) -> str:
+    """A record's identifier, like no other: of the file's own name and the place in it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{place}')}>"
 
 
-def put(out, page_id: int | None, url: str | None, payload: memoryview, refers_to: int | None, level: int) -> None:
+def put(out, record_id: str, page_id: int | None, url: str | None, payload: memoryview, refers_to: int | None, level: int) -> None:
     """A record as a gzip member; the payload goes through in chunks."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if page_id is not None:
+        fields.append((PAGE, str(page_id)))
     if url is not None:
         fields.append(("WARC-Target-URI", " ".join(url.split())))
     if refers_to is not None:
-        fields += [("WARC-Refers-To", urn(refers_to)), ("WARC-Profile", PROFILE)]
+        fields += [(REFERS_TO, str(refers_to)), ("WARC-Profile", PROFILE)]
     body = len(payload) if refers_to is None else 0
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     out.write(z.compress(header(fields, len(http) + body) + http))
@@ -73,7 +84,8 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, leas
 
     Payload: html in UTF-8; null counts as empty. Of the rows whose payloads are equal and of at least `least` bytes, those
     with the smallest page_id are responses and the others revisit it. A row without page_id is a response. Repeated rows
-    each get a record. Other columns are ignored. An empty table gives no archive. A task writes files of its own names,
+    each get a record. Each record has an identifier of its own, by which, with chunk numbers, its payload can be put together
+    again. page_id must be a whole number, or null. Other columns are ignored. An empty table gives no archive. A task writes files of its own names,
     so those of failed or repeated attempts are in no manifest.
     """
     small_batches(spark)
@@ -81,7 +93,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, leas
     fs, at = open_fs(folder)
     fs.create_dir(at, recursive=True)
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), body.alias("html"), payload_key(body.cast("binary")).alias("digest"))
     rows = rows.join(revisits(spark, pages, least).hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +106,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, leas
             data, off = utf8(batch.column("html"))
             view = memoryview(data)
             for k, (page_id, url, refers_to) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to")))):
-                put(out, page_id, url, view[off[k] : off[k + 1]], refers_to, level)
+                put(out, urn(name, n), page_id, url, view[off[k] : off[k + 1]], refers_to, level)
                 n += 1
         if out is not None:
             out.close()
@@ -141,9 +153,8 @@ def fields_of(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:] if x)}
 
 
-def page_of(name: str | None) -> int | None:
-    tail = (name or "").rstrip(">").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+def page_of(field: str | None) -> int | None:
+    return int(field) if field and field.lstrip("-").isdigit() else None
 
 
 def records(file, with_data: bool) -> Iterator[dict]:
@@ -159,7 +170,7 @@ def records(file, with_data: bool) -> Iterator[dict]:
             http = src.until(b"\r\n\r\n")
             left -= len(http)
         length = fields_of(http).get("content-length") if http else None
-        row = {"record_id": h.get("warc-record-id"), "page_id": page_of(h.get("warc-record-id")), "record_type": h.get("warc-type"), "refers_to": page_of(h.get("warc-refers-to")), "target_uri": h.get("warc-target-uri"), "length_header": None if length is None else int(length), "digest_header": (h.get("warc-payload-digest") or ":").partition(":")[2] or None}
+        row = {"record_id": h.get("warc-record-id"), "page_id": page_of(h.get(PAGE.lower())), "record_type": h.get("warc-type"), "refers_to": page_of(h.get(REFERS_TO.lower())), "target_uri": h.get("warc-target-uri"), "length_header": None if length is None else int(length), "digest_header": (h.get("warc-payload-digest") or ":").partition(":")[2] or None}
         sha, seen, k = hashlib.sha1(), 0, 0
         while True:
             piece = b""

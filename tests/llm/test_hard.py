@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import linededup, pii, quality, tokencount, urlfilter
+from tessera.llm import jaccard, linededup, pii, quality, tokencount, urlfilter, warc
 
 
 @pytest.fixture
@@ -86,3 +86,75 @@ def test_long_urls_and_hosts(spark, within):
     rows = [(0, "http://" + "a." * 2000 + "com/en/" + "x" * 200_000, "<link " + "x" * 1_000_000), (1, "http://com/en/?" + "&utm_a=1" * 10_000, '<link rel="canonical" href="' + "../" * 5000 + 'y">')]
     out = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {0: "block", 1: "block"}
+
+
+def test_unclosed_tags(spark, within):
+    """Tags that are never closed are read up to the next one."""
+    pages = [(k, f"http://h.org/{k}", "canonical refresh " + tag * (1_000_000 // len(tag)) + more) for k, (tag, more) in enumerate([("<link ", ""), ("<meta ", ""), ("<base ", ""), ("<link rel=\"", "<link rel=canonical href='http://net/de/x'>"), ("<base href=' ", "")])]
+    pages.append((9, "http://example.net/de/8/a", "<p>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("page_id", "url", "html", "1 as node", "2 as host", "'c' as class_id")
+    out = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(spark, df).collect()}
+    assert out == {**dict.fromkeys(range(5), "allow"), 9: "block"}
+
+
+def test_records_of_repeated_and_missing_ids(spark):
+    """Each record's payload is put together again from its identifier and chunk numbers."""
+    big = "x" * (warc.CHUNK * 2 + 5)
+    rows = [(1, "u", "one"), (1, "u", "two"), (1, "u", "two"), (None, "v", "three"), (None, None, "four"), (None, None, "four"), (2, "w", big), (3, "w", big), (3, "w", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("page_id", "url", "html", "'a' as digest", "'b' as refers_to", "1 as record_id", "2 as path").repartition(3)
+    chunks = warc.read(spark, warc.write(spark, df)).collect()
+    assert len({(r["record_id"], r["chunk_no"]) for r in chunks}) == len(chunks)
+    whole = {}
+    for r in sorted(chunks, key=lambda r: r["chunk_no"]):
+        whole.setdefault((r["record_id"], r["page_id"], r["record_type"], r["refers_to"]), []).append(bytes(r["data"]))
+    assert len(whole) == len(rows)
+    have = sorted(((p, kind, to, b"".join(d).decode()) for (_, p, kind, to), d in whole.items()), key=repr)
+    assert have == sorted([*((p, "response", None, h) for p, _, h in rows[:7]), (3, "revisit", 2, ""), (3, "revisit", 2, "")], key=repr)
+
+
+@pytest.mark.parametrize("n", [1, 4, 8])
+def test_ties_stay_the_same_however_dealt(spark, n):
+    text = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(5, text, s, {"k": s}) for s in "hgfedcba"], "doc_id long, text string, source string, more map<string,string>")
+    assert [r["source"] for r in jaccard.one_of_each(spark, df.repartition(n)).collect()] == ["a"]
+
+
+def test_names_of_several_sets(spark, monkeypatch):
+    """Different sets under one name are told apart by another."""
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0], texts[1] + " x"])], "doc_id long, text string")
+    keyed = jaccard.keyed
+
+    def narrow(seed):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in keyed(seed)(batches):
+                yield b.set_column(3, "key", pa.array([None if k is None else 7 for k in b.column("key").to_pylist()], pa.int64()))
+
+        return run
+
+    from tessera.llm.common import Scratch
+
+    s = Scratch(spark)
+    known = s.table(df.selectExpr("doc_id", "0L as h", "text").mapInArrow(narrow(3), "doc_id long, h long, n long, key long, also long"), "known")
+    assert jaccard.names_of_several(known) == {7}
+    import numpy as np
+
+    sets = [np.array([k, k + 9], np.uint64) for k in range(50)]
+    shared = frozenset(jaccard.set_key(t) for t in sets[::2])
+    names = [jaccard.name_of(t, shared) for t in sets]
+    assert len(set(names)) == 50 and names[1] == jaccard.set_key(sets[1]) and names[0] == jaccard.other_key(sets[0])
+
+
+def test_crowd_of_many_sizes(spark, monkeypatch):
+    """A crowd of one passage and tails of many lengths, in blocks: only like sizes are compared, and no link is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    common = [f"c{k}" for k in range(400)]
+    rows = []
+    for k in range(120):
+        size = 20 + 3 * k
+        rows.append((k, " ".join(common[:size] + [f"t{k}-{j}" for j in range(size // 12 + k % 5)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.jaccard(rows)
+    assert sorted(map(tuple, jaccard.components(spark, df, rare=2, local=4).collect())) == sorted(want)

@@ -1,5 +1,6 @@
 """The pipeline against a plain restatement of its stages; which documents the mix draws is taken from the mixing operator."""
 
+import os
 from collections import Counter
 
 import brute
@@ -72,6 +73,23 @@ def test_pipeline_edges(spark, tmp_path):
         assert f(spark, stage, str(tmp_path)).columns == df.columns
 
 
+def test_pipeline_tells_its_files_and_drops_its_scratch(spark, tiny, tmp_path):
+    from tessera.llm import common, tokenfile
+
+    shared = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, tiny, f"file://{tmp_path}/tokens").collect()
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and "stage-token_files" in left.pop()
+    held = {}
+    for name in {r["file"] for r in out}:
+        fs, path = common.open_fs(name)
+        with fs.open_input_file(path) as file:
+            held[name] = tokenfile.Reader(file).docs()[0]
+    assert Counter(d for ids in held.values() for d in ids) == Counter(r["doc_id"] for r in out)
+    assert all(name.startswith(f"file://{tmp_path}/tokens/") for name in held)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
