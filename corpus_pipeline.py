@@ -8,9 +8,10 @@ that share an id, or have none, are each judged, and of rows that repeat both on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, mixing, quality, tokenfile
-from tessera.llm.common import drop_path, new_path
+from tessera.llm.common import drop_path, drop_scratch, new_path, scratch_mark
 from tessera.llm.queries import WORD_BPE, table, tokenizer_path
 
 
@@ -34,9 +35,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, docs)
 
 
-def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns their documents as read back; a document taken twice has two rows."""
-    return tokenfile.read(spark, tokenfile.write(spark, docs, tokenizer_path(WORD_BPE))).drop("part")
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Writes the token files to folder, or to one of a new name in the shared folder, and returns their documents as read
+    back, each with the name of its file; a document taken twice has two rows."""
+    manifest = tokenfile.write(spark, docs, tokenizer_path(WORD_BPE), folder=folder)
+    files = manifest.select("part", F.col("path").alias("file"))
+    return tokenfile.read(spark, manifest).join(F.broadcast(files), "part").drop("part")
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix_sources), ("token_files", token_files)]
@@ -45,12 +49,15 @@ STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("de
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over documents, each result written and read again; what a stage keeps in the shared folder goes once it
+    is written. The column `file` of the result names the token files, in folder if it is given."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path, mark = new_path(spark, f"stage-{name}"), scratch_mark()
+        out = stage(spark, docs, sf_dir, folder) if stage is token_files else stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        drop_scratch(spark, mark)
         docs = spark.read.parquet(path)
         if last is not None:
             drop_path(spark, last)
