@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ RUN = 1 << 14
 SWEEP = 1 << 19
 CHUNK = 1 << 21
 #: Units of text that a worker knows, and their bytes.
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 700_000
 KNOWN_BYTES = 32 << 20
 
 #: ASCII white space, with the separators that some take for it; what of it a piece may hold; white space beyond ASCII.
@@ -48,6 +49,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """Numbers units as they come; new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, unit: bytes) -> int:
+        self.new.append(unit)
+        self[unit] = k = len(self)
+        return k
+
+
 class Pair:
     """Both tokenizers, the bytes of their tokens, and the ids of the units met so far."""
 
@@ -64,13 +78,14 @@ class Pair:
             self.bytes_a[i] = bytes(letters[c] for c in piece) if set(piece) <= letters.keys() else piece.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         # Units are right only if no piece has a space behind anything else, or a line feed beside anything.
         self.by_unit = not any(re.search("[^▁]▁", p) or ("\n" in p and len(p) > 1) for p in pieces)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = Numbers()
         self.held, self.used_a, self.used_b = 0, 0, 0
         self.n_a, self.n_b, self.start_a, self.start_b = (np.empty(1 << 14, np.int64) for _ in range(4))
         self.good, self.ids_a, self.ids_b = np.empty(1 << 14, bool), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
@@ -81,21 +96,31 @@ class Pair:
         out = self.b.encode(bare, num_threads=1)
         return [[self.space] if u == b" " else ids if u[:1] == b" " else ids[1:] for u, ids in zip(units, out)]
 
-    def learn(self, units: list[bytes]) -> None:
+    def learn(self) -> None:
+        """The ids of the units that were numbered last."""
+        units, self.at.new = self.at.new, []
+        k = len(self.at) - len(units)
         for lo in range(0, len(units), 4096):
             some = units[lo : lo + 4096]
+            size = np.fromiter(map(len, some), np.int64, len(some))
             a = [e.ids for e in self.a.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)]
-            b = self.encode_b(some)
-            get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-            good = [b"".join(map(get_a, x)) == u == b"".join(map(get_b, y)) for u, x, y in zip(some, a, b)]
-            k, n_a, n_b = len(self.at), np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
-            self.n_a, self.n_b, self.good = put(self.n_a, k, n_a), put(self.n_b, k, n_b), put(self.good, k, np.array(good, bool))
-            self.start_a, self.start_b = put(self.start_a, k, self.used_a + np.cumsum(n_a) - n_a), put(self.start_b, k, self.used_b + np.cumsum(n_b) - n_b)
-            self.ids_a = put(self.ids_a, self.used_a, np.fromiter((i for x in a for i in x), np.int32, n_a.sum()))
-            self.ids_b = put(self.ids_b, self.used_b, np.fromiter((i for x in b for i in x), np.int32, n_b.sum()))
-            self.used_a, self.used_b = self.used_a + int(n_a.sum()), self.used_b + int(n_b.sum())
-            self.at.update(zip(some, range(k, k + len(some))))
-            self.held += sum(map(len, some))
+            good_a, n_a, ids_a = self.back(some, size, a, self.bytes_a, self.len_a)
+            good_b, n_b, ids_b = self.back(some, size, self.encode_b(some), self.bytes_b, self.len_b)
+            self.n_a, self.n_b, self.good = put(self.n_a, k + lo, n_a), put(self.n_b, k + lo, n_b), put(self.good, k + lo, good_a & good_b)
+            self.start_a, self.start_b = put(self.start_a, k + lo, self.used_a + np.cumsum(n_a) - n_a), put(self.start_b, k + lo, self.used_b + np.cumsum(n_b) - n_b)
+            self.ids_a, self.ids_b = put(self.ids_a, self.used_a, ids_a), put(self.ids_b, self.used_b, ids_b)
+            self.used_a, self.used_b = self.used_a + len(ids_a), self.used_b + len(ids_b)
+            self.held += int(size.sum())
+
+    @staticmethod
+    def back(units: list[bytes], size: np.ndarray, ids: list[list[int]], pieces: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the tokens of each unit give it back, how many they are, and all of them in a row."""
+        n, flat = np.fromiter(map(len, ids), np.int64, len(ids)), list(chain.from_iterable(ids))
+        array = np.array(flat, np.int32)
+        ends = np.concatenate(([0], np.cumsum(lengths[array])))[np.concatenate(([0], np.cumsum(n)))]
+        if (np.diff(ends) == size).all() and b"".join(map(pieces.__getitem__, flat)) == b"".join(units):
+            return np.ones(len(units), bool), n, array
+        return np.array([b"".join(map(pieces.__getitem__, x)) == u for u, x in zip(units, ids)], bool), n, array
 
     def units(self, text: bytes) -> list[bytes]:
         """The units of a space and the text; a text with white space beyond ASCII is one."""
@@ -108,11 +133,10 @@ class Pair:
     def numbers(self, units: list[bytes]) -> np.ndarray:
         if len(self.at) > KNOWN_UNITS or self.held > KNOWN_BYTES:
             self.clear()
-        out = list(map(self.at.get, units))
-        if None in out:
-            self.learn(list(dict.fromkeys(u for u, k in zip(units, out) if k is None)))
-            out = list(map(self.at.get, units))
-        return np.array(out, np.int64)
+        out = np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
+        if self.at.new:
+            self.learn()
+        return out
 
 
 def gathered(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +214,7 @@ class Sweep:
     """The sweep over many runs at once: all A ids, all B ids, in order of document and offset."""
 
     def __init__(self, pair: Pair):
-        self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (pair.bytes_a, pair.bytes_b))
+        self.len_a, self.len_b = pair.len_a, pair.len_b
         self.shift = max(1, (len(self.len_b) - 1).bit_length())
         self.digits, self.n_digits = digit_rows(max(len(self.len_a), len(self.len_b)))
 
