@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, small_batches, texts
+from .common import Scratch, give_back, partitions, small_batches, texts
 from .wordhash import MIX, stir
 
 #: Bytes of a string of which the removed text consists.
@@ -37,7 +37,7 @@ CROWD = 200
 #: Windows of a cell, step by step.
 CELLS = (64, 8, 1)
 #: Bytes that are hashed, and bytes that are put into suffix order, at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 BATCH = 1 << 17
 #: In the array of anchors the low bits hold the place, the others the hash.
 PLACE = np.uint64((1 << 24) - 1)
@@ -112,6 +112,7 @@ def cutter(length: int, seed: int, piece: int):
                 own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "a", "b")]
                 rest = [pa.array(pos), pa.array(count.astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ctx, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*own, *rest], ["doc_id", "a", "b", "pos", "n_win", "lead", "key", "ctx"])
+        give_back()
 
     return cut
 
@@ -227,6 +228,8 @@ def comparer(length: int, first_stays: bool, at_once: int):
                 size += len(body)
         if keys:
             yield judge(keys, ctxs, bodies)
+        del keys, ctxs, bodies
+        give_back()
 
     return compare
 
@@ -313,6 +316,7 @@ def fetcher(length: int):
                 part = flat.slice(lo, hi - lo)
                 names = ["key", "ctx", "n", "kinds", "lead", "first"]
                 yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(body, pa.binary())], [*names, "body"])
+        give_back()
 
     return fetch
 
@@ -338,6 +342,7 @@ def remover(length: int):
                 sizes.append(len(text))
             kind = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(cut, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+        give_back()
 
     return remove
 
