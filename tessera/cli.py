@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--line-weights", help="npz file of a network over lines")
     p.add_argument("--char-weights", help="npz file of a network over characters; --char-blend and --small-threshold need it")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--pretty", action="store_true", help="with --json: each chunk on a line of its own")
     p.add_argument("--show-boundaries", action="store_true")
     p.add_argument("--separator", default="\n---\n")
     p.add_argument("--out", help="folder for the result; without it, it is printed")
@@ -35,10 +36,12 @@ def main(argv: list[str] | None = None) -> None:
     cfg = ChunkerConfig(a.big_threshold, a.small_threshold, a.max_chunk_chars, a.min_chunk_chars, a.char_blend)
     engine = engine_of(cfg, a.line_weights, a.char_weights)
     if a.show_boundaries:
-        out = readers.as_boundary_lines(engine.boundaries(docs), docs).orderBy("doc_id", "pos").select("line")
+        out, order = readers.as_boundary_lines(engine.boundaries(docs), docs), ["pos"]
     else:
         chunks = engine.chunk(docs)
-        out = readers.as_json_array(chunks).select("json") if a.json else readers.as_separated(chunks, a.separator).select("text")
+        out, order = readers.as_json_array(chunks, pretty=a.pretty) if a.json else readers.as_separated(chunks, a.separator), []
+    # In the order of the files' paths.
+    out = out.join(docs.select("doc_id", "path"), "doc_id").orderBy("path", *order).select("line" if a.show_boundaries else "json" if a.json else "text")
     if a.out:
         out.write.mode("overwrite").text(a.out)
     else:

@@ -18,6 +18,10 @@ FOLDS = [(SPACES, " "), (SINGLE_QUOTES, "'"), (DOUBLE_QUOTES, '"'), (DASHES, "-"
 FOLD_FROM = "".join(chars for chars, _ in FOLDS)
 FOLD_TO = "".join(to * len(chars) for chars, to in FOLDS)
 
+# Digits that are no decimal numbers (superscript, subscript, circled and so on).
+MORE_DIGITS = r"²³¹\u1369-\u1371\u19da⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+DIGIT = rf"[\p{{Nd}}{MORE_DIGITS}]"
+
 #: The look-behind has a run of white space within the text walked once. Java's Unicode white space lacks the four separators that Python's strip() also takes.
 STRIP = r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$"
 
@@ -43,7 +47,7 @@ def collapse_space(text: Column) -> Column:
 def line_shape(seg: Column) -> Column:
     """The layout of a line's first six characters: A upper, a lower, 9 digit, _ space or tab, others as they are."""
     out = F.substring(seg, 1, 6)
-    for pattern, to in ((r"\p{javaUpperCase}", "A"), (r"\p{javaLowerCase}", "a"), (r"\p{Nd}", "9"), (r"[ \t]", "_")):
+    for pattern, to in ((r"\p{javaUpperCase}", "A"), (r"\p{javaLowerCase}", "a"), (DIGIT, "9"), (r"[ \t]", "_")):
         out = F.regexp_replace(out, pattern, to)
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.textnorm import normalize
 
 from .lines import by_line, split_lines, with_row
+from .packing import openings, packs
 
 
 def fixed_chunks(docs: DataFrame, size: int = 512) -> DataFrame:
@@ -28,11 +29,14 @@ def paragraph_boundaries(docs: DataFrame) -> DataFrame:
 def paragraph_chunks(docs: DataFrame, size: int = 800) -> DataFrame:
     """(doc_id, chunk_no, text): paragraphs packed in order, a new chunk when the next one would exceed `size`."""
     paragraphs = F.filter(F.split(normalize(F.col("text")), r"\n[ \t]*\n[ \t\n]*"), lambda p: F.trim(p) != "")
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit("").alias("held"))
-    step = lambda a, p: F.when(a["held"] == "", F.struct(a["done"].alias("done"), p.alias("held"))).when(F.length(a["held"]) + F.length(p) + 2 > size, F.struct(F.array_append(a["done"], a["held"]).alias("done"), p.alias("held"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["held"], F.lit("\n\n"), p).alias("held")))
-    packed = F.aggregate(paragraphs, start, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.array_append(a["done"], a["held"])))
-    return docs.select("doc_id", F.posexplode(packed).alias("chunk_no", "text"))
+    rows = docs.select("doc_id", paragraphs.alias("_p")).withColumn("_n", F.transform("_p", F.length))
+
+    def step(held, n):
+        opens = (held < 0) | (held + n + 2 > size)
+        return opens, F.when(opens, n).otherwise(held + n + 2)
+
+    rows = rows.withColumn("_o", openings(F.col("_n"), step))
+    return rows.select("doc_id", F.posexplode(packs(F.col("_p"), F.col("_o"), "\n\n")).alias("chunk_no", "text"))
 
 
 def sentence_ends(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.textnorm import DIGIT
+
 from .lines import clip, features as line_features
 
 # The features in the order in which networks take them.
@@ -26,12 +28,11 @@ NAMES = tuple(
 )
 #: Those that a line doesn't have of itself.
 OF_CHARACTERS = frozenset(n for n in NAMES if not n.startswith(("line_", "prev_line_", "next_line_", "doc_")) or n == "doc_pos")
-# Digits that are no decimal numbers (superscript, subscript, circled and so on), and accented letters.
-MORE_DIGITS = r"²³¹\u1369-\u1371\u19da⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+# Accented letters.
 ACCENTS = "áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇñÑ"
 #: Each class as a pattern of one character.
 CLASSES = {
-    "L": r"\p{L}", "D": rf"[\p{{Nd}}{MORE_DIGITS}]", "SP": r"[ \t]", "NL": r"\n", "UPP": r"\p{Lu}", "TERM": r"[.!?;:]", "EOSC": r"[.!?]", "QUOTE": r"[\"']",
+    "L": r"\p{L}", "D": DIGIT, "SP": r"[ \t]", "NL": r"\n", "UPP": r"\p{Lu}", "TERM": r"[.!?;:]", "EOSC": r"[.!?]", "QUOTE": r"[\"']",
     "LBRACK": r"[(\[{«]", "RBRACK": r"[)\]}»]", "ACC": f"[{ACCENTS}]",
 }
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.textnorm import collapse_space, fold_breaks, strip
 
+from .packing import openings, packs
+
 __all__ = ["clean", "clean_legal", "collapse_space", "sections", "quota", "dedupe", "titled", "group_counts", "question_answer", "rebuild"]
 
 
@@ -25,11 +27,14 @@ def sections(docs: DataFrame, short: int = 40, full: int = 900, least: int = 350
     """docs(doc_id, text): paragraphs of `short` or more, packed in order until a section has more than `full`; sections of
     `least` to `most` stay. (doc_id, section_no, text)."""
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), strip), lambda p: F.length(p) >= short)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-    add = lambda a, p: F.when(a["held"] == "", p).otherwise(F.concat(a["held"], F.lit("\n\n"), p))
-    step = lambda a, p: F.when(F.length(add(a, p)) > full, F.struct(F.array_append(a["done"], add(a, p)).alias("done"), F.lit("").alias("held"))).otherwise(F.struct(a["done"].alias("done"), add(a, p).alias("held")))
-    packed = F.aggregate(parts, start, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.array_append(a["done"], a["held"])))
-    rows = docs.select("doc_id", F.posexplode(packed).alias("section_no", "text"))
+
+    def step(held, n):
+        opens = held < 0
+        now = F.when(opens, n).otherwise(held + n + 2)
+        return opens, F.when(now > full, -1).otherwise(now)
+
+    rows = docs.select("doc_id", parts.alias("_p")).withColumn("_n", F.transform("_p", F.length)).withColumn("_o", openings(F.col("_n"), step))
+    rows = rows.select("doc_id", F.posexplode(packs(F.col("_p"), F.col("_o"), "\n\n")).alias("section_no", "text"))
     return rows.where(F.length("text").between(least, most))
 
 

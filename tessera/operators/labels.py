@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from tessera.functions.textnorm import collapse_space, normalize
 
+from .ranges import stab
 from .scoring import LinearScorer, plateau_peaks
 
 
 def snap_positions(labels: DataFrame, lines: DataFrame, reach: int = 4) -> DataFrame:
     """labels(doc_id, pos): each moved to the nearest line start within reach, the earlier one of two; else as it is."""
-    starts = lines.where("start > 0").select("doc_id", "start")
-    near = (labels["doc_id"] == starts["doc_id"]) & starts["start"].between(labels["pos"] - reach, labels["pos"] + reach)
-    best = F.min_by(starts["start"], F.struct(F.abs(starts["start"] - labels["pos"]), starts["start"]))
-    moved = labels.join(starts, near, "left").groupBy(labels["doc_id"], "pos").agg(best.alias("to"))
+    labels = labels.select("doc_id", "pos").distinct()
+    around = labels.withColumns({"lo": F.col("pos") - reach, "hi": F.col("pos") + reach})
+    met = stab(lines.where("start > 0").select("doc_id", "start"), "start", around, "lo", "hi", levels=[max(0, (2 * reach - 1).bit_length())])
+    near = met.groupBy("doc_id", "pos").agg(F.min_by("start", F.struct(F.abs(F.col("start") - F.col("pos")), "start")).alias("to"))
+    moved = labels.join(near, ["doc_id", "pos"], "left")
     return moved.select("doc_id", F.coalesce("to", "pos").alias("pos")).distinct()
 
 
@@ -72,12 +74,14 @@ def units(docs: DataFrame) -> DataFrame:
 def join_units(units_: DataFrame, *more) -> DataFrame:
     """(doc_id, text, boundaries, ...): a document's units one after another; boundaries are the running lengths. more:
     further aggregates over the units."""
-    rows = F.array_sort(F.collect_list(F.struct("unit_no", "text")))
-    df = units_.groupBy("doc_id").agg(F.transform(rows, lambda r: r["text"]).alias("_u"), *more)
+    # The window sums and the groups gather over one shuffle by document.
+    w = Window.partitionBy("doc_id").orderBy("unit_no", "text").rowsBetween(Window.unboundedPreceding, 0)
+    summed = units_.withColumn("_end", F.sum(F.length("text").cast("long")).over(w))
+    rows = F.array_sort(F.collect_list(F.struct("unit_no", "text", "_end")))
+    df = summed.groupBy("doc_id").agg(rows.alias("_u"), *more)
     rest = [c for c in df.columns if c not in ("doc_id", "_u")]
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("b"))
-    ends = F.aggregate(F.transform("_u", lambda u: F.length(u)), start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["b"], a["at"] + n).alias("b")), lambda a: F.slice(a["b"], 1, F.greatest(F.size(a["b"]) - 1, F.lit(0))))
-    return df.select("doc_id", F.array_join("_u", "").alias("text"), ends.alias("boundaries"), *rest)
+    inner = F.slice("_u", 1, F.size("_u") - 1)
+    return df.select("doc_id", F.array_join(F.transform("_u", lambda u: u["text"]), "").alias("text"), F.transform(inner, lambda u: u["_end"]).alias("boundaries"), *rest)
 
 
 def peak_boundaries(logp: DataFrame, docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import ALL, CAPS_TOKEN, fires
-from tessera.functions.textnorm import first_word, line_shape, normalize, share, strip
+from tessera.functions.textnorm import DIGIT, first_word, line_shape, normalize, share, strip
 
 
 #: Columns of a part of a long document, which its lines keep: the document's row, the part's number and offset.
@@ -89,7 +89,7 @@ def with_predicates(lines: DataFrame) -> DataFrame:
 def with_counts(lines: DataFrame) -> DataFrame:
     """Letter, digit, upper-case and punctuation counts of each line, without exploding it."""
     count = lambda pattern: F.regexp_count(F.col("seg"), F.lit(pattern)).cast("long")
-    lines = lines.withColumns({"n_alpha": count(r"\p{L}"), "n_digit": count(r"\p{Nd}"), "n_upper": count(r"\p{javaUpperCase}"), "n_space": count(r"[ \t]")})
+    lines = lines.withColumns({"n_alpha": count(r"\p{L}"), "n_digit": count(DIGIT), "n_upper": count(r"\p{Lu}"), "n_space": count(r"[ \t]")})
     lines = lines.withColumn("n_punct", F.length("seg").cast("long") - F.col("n_alpha") - F.col("n_digit") - F.col("n_space"))
     size = F.greatest(F.length("st"), F.lit(1))
     plain = (F.col("st") != "") & ~F.col("fence")

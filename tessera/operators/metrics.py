@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import stab
+
 
 def greedy_matches(pred):
     """pred: a document's positions in order, each with lo and hi, the number of gold positions before its reach and up to its
@@ -72,8 +74,10 @@ def compare(before: DataFrame, now: DataFrame, bucket: str, metric: str, worst:
 
 def containment(chunks: DataFrame, frags: DataFrame) -> DataFrame:
     """chunks(doc_id, chunk_no, start, end), frags(doc_id, fs, fe): of each fragment the first chunk that holds it whole."""
-    on = (chunks["doc_id"] == frags["doc_id"]) & (chunks["start"] <= frags["fs"]) & (chunks["end"] >= frags["fe"])
-    held = frags.join(chunks.select("doc_id", "chunk_no", "start", "end"), on, "left").groupBy(frags["doc_id"], "fs", "fe").agg(F.min_by(F.struct("chunk_no", (F.col("end") - F.col("start")).alias("size")), "chunk_no").alias("c"))
+    frags = frags.select("doc_id", "fs", "fe").distinct()
+    met = stab(frags, "fs", chunks.select("doc_id", "chunk_no", "start", "end"), "start", "end").where(F.col("end") >= F.col("fe"))
+    best = met.groupBy("doc_id", "fs", "fe").agg(F.min_by(F.struct("chunk_no", (F.col("end") - F.col("start")).alias("size")), "chunk_no").alias("c"))
+    held = frags.join(best, ["doc_id", "fs", "fe"], "left")
     return held.select("doc_id", "fs", "fe", F.col("c.chunk_no").alias("chunk_no"), (F.col("c.size") / (F.col("fe") - F.col("fs"))).alias("noise"))
 
 

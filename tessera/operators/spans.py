@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.predicates import fires
 
 from .lines import after, before, by_line, in_code, nearest
+from .ranges import stab
 
 
 def with_spans(lines: DataFrame) -> DataFrame:
@@ -37,5 +38,6 @@ def protected_spans(lines: DataFrame) -> DataFrame:
 
 def veto(points: DataFrame, spans: DataFrame) -> DataFrame:
     """points(doc_id, pos, ...) without those strictly inside a span."""
-    inside = (points["doc_id"] == spans["doc_id"]) & (points["pos"] > spans["s"]) & (points["pos"] < spans["e"])
-    return points.join(spans, inside, "left_anti")
+    within = spans.select("doc_id", (F.col("s") + 1).alias("_lo"), (F.col("e") - 1).alias("_hi"))
+    hit = stab(points.select("doc_id", "pos"), "pos", within, "_lo", "_hi").select("doc_id", "pos").distinct()
+    return points.join(hit, ["doc_id", "pos"], "left_anti")

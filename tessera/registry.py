@@ -34,16 +34,17 @@ def docs_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-# The documents have few marks of structure, so most queries read them decorated: line i by i modulo 12.
+# The documents have few marks of structure, so most queries read them decorated: line i by i modulo the number of forms.
 DECO = [
     "'# ' || l", "'- ' || l", "'1. ' || l", "'Art. 5 ' || l", "'Name: ' || l", "'```' || nl || l || nl || '```'",
     "'| a | b |' || nl || '| --- | --- |' || nl || '| ' || l || ' | x |'", "l || nl", "'What is ' || l || '?'", "'> ' || l",
-    "l || ' \u2014 \u201cquoted\u201d\u2026 https://x.org/a 12:30'", "'    iv) ' || l || ':'",
+    "l || ' \u2014 \u201cquoted\u201d\u2026 https://x.org/a 12:30'", "'    iv) ' || l || ':'", "'**Bold part:** ' || l", "'may 12 ' || l", "'session 1999 ' || l", "l || nl || '---'", "l || nl || '====='",
+    "'pag. 3 de 9' || nl || l", "'Silva, J. ' || l", "l || '    right'", "'x\u00b2 \u00bd \u2167 A\u00b2' || nl || l",
 ]
 
 
 def _cases(i: str, nl: str) -> str:
-    return "CASE " + " ".join(f"WHEN {i} % 12 = {k} THEN {e.replace('nl', nl)}" for k, e in enumerate(DECO)) + " END"
+    return "CASE " + " ".join(f"WHEN {i} % {len(DECO)} = {k} THEN {e.replace('nl', nl)}" for k, e in enumerate(DECO)) + " END"
 
 
 def deco(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +107,8 @@ def line_split_raw(spark, sf):
     return lines.split_lines(docs_of(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("start").alias("last"))
 
 
-SHAPE_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(seg, 1, 6), '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g'), '\\p{Nd}', '9', 'g'), '[ \\t]', '_', 'g')"
+DIGIT_SQL = textnorm.DIGIT.replace("\\u1369-\\u1371\\u19da", "፩-፱᧚")  # RE2 has no such escapes
+SHAPE_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(seg, 1, 6), '[\\p{Lu}Ⅰ-ⅯⒶ-Ⓩ]', 'A', 'g'), '[\\p{Ll}ªºⅰ-ⅿⓐ-ⓩ]', 'a', 'g'), '" + DIGIT_SQL + "', '9', 'g'), '[ \\t]', '_', 'g')"
 
 
 @query("line_shapes", f"{LINE_CTE} SELECT {SHAPE_SQL} AS shape, count(*)::BIGINT AS n FROM lines GROUP BY 1")
@@ -170,7 +172,7 @@ def doc_calibration(spark, sf):
     return df.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.max("n_blank").alias("n_blank"), *(F.round(F.max(c), 6).alias(c) for c in ("doc_n_lines", "doc_blank_frac", "doc_mean_line_len")))
 
 
-COUNT_SQL = {c: f"len(regexp_extract_all(seg, '{p}'))" for c, p in (("a", "\\p{L}"), ("d", "\\p{Nd}"), ("u", "\\p{Lu}"), ("s", "[ \\t]"))}
+COUNT_SQL = {c: f"len(regexp_extract_all(seg, '{p}'))" for c, p in (("a", "\\p{L}"), ("d", DIGIT_SQL), ("u", "\\p{Lu}"), ("s", "[ \\t]"))}
 
 
 @query("feat_fractions", f"""{LINE_CTE}, c AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in COUNT_SQL.items())} FROM lines)
@@ -186,7 +188,7 @@ WORDS_SQL = "list_filter(string_split_regex(st, '\\s+'), lambda w: w <> '')"
 FLAGS = {
     "line_allcaps": f"(len({CAPS_SQL}) >= 2 AND length(array_to_string({CAPS_SQL}, '')) > 0.55 * length(st))",
     "line_indent": "substring(seg, 1, 1) IN (' ', chr(9))", "line_has_q": "(contains(st, '?') OR contains(st, '¿'))", "line_starts_lower": "regexp_matches(st, '^\\p{Ll}')",
-    "line_short_caps": f"(length(st) BETWEEN 2 AND 60 AND NOT regexp_matches(st, '[.!?;:,]$') AND 2 * len(list_filter({WORDS_SQL}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= len({WORDS_SQL}))",
+    "line_short_caps": f"(length(st) BETWEEN 2 AND 60 AND NOT regexp_matches(st, '[.!?;:,]$') AND 2 * len(list_filter({WORDS_SQL}, lambda w: regexp_matches(w, '^[\\p{{Lu}}Ⅰ-ⅯⒶ-Ⓩ]'))) >= len({WORDS_SQL}))",
     "line_ends_hyphen": "ends_with(st, '-')", "line_ends_comma": "ends_with(st, ',')", "line_table": f"(length(st) - length(replace(st, '|', '')) >= 2 OR {ALL['table_sep'].sql()})",
     "line_date": f"({ALL['date'].sql()} OR {ALL['month'].sql()} OR ({ALL['year'].sql()} AND {ALL['year_context'].sql()}))", "line_ends_sent": f"({ALL['ends_sent'].sql()} OR {ALL['ends_q'].sql()})",
 }

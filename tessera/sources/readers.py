@@ -7,18 +7,22 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.textnorm import strip
+
 #: Records of every kind; fields that a file lacks are null.
 RECORD = "doc_id long, lang string, source string, text string, boundaries array<long>, big_logp array<double>, small_logp array<double>, cont_logp array<double>, transforms array<string>"
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as (doc_id, name, text), in the order of their names; blank ones are left out."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    return df.where(F.trim("text") != "").withColumn("doc_id", F.xxhash64("name")).select("doc_id", "name", "text")
+    """Whole text files, also of folders within, as (doc_id, name, path, text), in the order of their paths, without white space
+    at their ends; blank ones are left out. doc_id is a hash of the whole path, by which a caller who needs an order can sort."""
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    df = df.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("text"))
+    return df.where(F.col("text") != "").select(F.xxhash64("path").alias("doc_id"), "name", "path", "text")
 
 
 def read_stdin(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, sys.stdin.read())], "doc_id long, text string")
+    return spark.createDataFrame([(0, "-", sys.stdin.read())], "doc_id long, path string, text string")
 
 
 def read_jsonl(spark: SparkSession, *paths: str, lang: str = "pt", source: str = "?") -> DataFrame:
