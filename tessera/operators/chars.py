@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.textnorm import DIGIT
 
-from .lines import clip, features as line_features
+from .lines import after, before, by_line, clip, features as line_features, nearest
 
 # The features in the order in which networks take them.
 NAMES = tuple(
@@ -108,6 +108,68 @@ def features(docs: DataFrame, text: str = "text", lines: DataFrame | None = None
     return with_places(with_shifts(with_classes(explode(lines.withColumn("n_chars", size)))))
 
 
+#: What makes of . ! ? a sentence's end, but for a line break; where a sentence starts within a line: after an end, without
+#: the blanks between.
+CLOSE = r"[ \t)\]}»\"']"
+LAST_START = rf"(?s)^(.*[.!?](?={CLOSE})[ \t]*+)[^ \t]"
+FIRST_START = rf"(?s)^(.*?[.!?](?={CLOSE})[ \t]*+)[^ \t]"
+
+
+def line_starts(lines: DataFrame) -> DataFrame:
+    """lines.features(): of each line that isn't empty the features of its first character: the rows of features() at line
+    starts, without a row for each character. A line is summed up by its first characters, where sentences start and end in
+    it, its words and brackets; windows over the document's lines carry sentences and brackets on."""
+    n = F.max(F.col("start") + F.length("seg")).over(Window.partitionBy("doc_row"))
+    rows = lines.withColumns({"n_chars": n, "pos": F.col("start"), "_more": F.lead("line_no").over(by_line()).isNotNull(), "ch": F.substring("seg", 1, 1)})
+    # The three characters from the line's first on; a line break is what comes after a line that isn't the last.
+    whole = F.concat(F.substring("seg", 1, 3), F.when(F.col("_more"), "\n").otherwise(""))
+    rows = rows.withColumns({"_c2": F.substring(whole, 2, 1), "_c3": F.substring(whole, 3, 1)})
+    test = lambda c, name: F.col(c).rlike(f"^{CLASSES[name]}$" if name != "NL" else r"^\n\z")
+    ends = lambda c, then: test(c, "EOSC") & (test(then, "SP") | test(then, "NL") | test(then, "RBRACK") | test(then, "QUOTE"))
+    out = {name: test("ch", name) for name in CLASSES} | {f"prev_{c}": (F.col("line_no") > 0) if c == "NL" else F.lit(False) for c in ("L", "SP", "NL", "TERM", "UPP", "D")}
+    out |= {f"next_{c}": test("_c2", c) for c in ("L", "SP", "NL", "TERM", "UPP", "D")}
+    out |= {"eos_here": ends("ch", "_c2"), "next_eos": ends("_c2", "_c3"), "prev_eos": F.lit(False), "nl_end": F.lit(False), "para_start": F.lit(False), "para_end": F.lit(False)}
+    rows = rows.withColumns(out)
+    rows = rows.withColumns({"PUNC": ~(F.col("L") | F.col("D") | F.col("SP") | F.col("NL")), "eos_peak": F.col("eos_here") & ~test("_c2", "EOSC")})
+    count = lambda name: F.regexp_count("seg", F.lit(CLASSES[name])).cast("long")
+    found = lambda c: F.when(c > 0, F.col("start") + c)
+    bare = F.regexp_extract("seg", r"([^ \t])[ \t]*+$", 1)
+    # An end counts at the line's end too, unless the text ends there.
+    end = F.when(F.col("_more"), F.regexp_extract("seg", rf"(?s)^(.*?)[.!?](?={CLOSE}|\z)", 0)).otherwise(F.regexp_extract("seg", rf"(?s)^(.*?)[.!?](?={CLOSE})", 0))
+    lead = F.length(F.regexp_extract("seg", r"^[ \t]*+", 0))
+    rows = rows.withColumns(
+        {
+            "_balance": count("LBRACK") - count("RBRACK"), "_stops": F.when(bare != "", bare.rlike("^[.!?]$")), "_lead": F.when(bare != "", lead.cast("long")), "_end": F.when(F.length(end) > 0, F.col("start") + F.length(end) - 1),
+            "_in1": found(F.length(F.regexp_extract("seg", FIRST_START, 1))), "_in2": found(F.length(F.regexp_extract("seg", LAST_START, 1))),
+        }
+    )
+    # Whether the last character before the line that is no blank ends a sentence: then the line's first such one starts one.
+    carried = F.coalesce(nearest(F.col("_stops"), before()), F.lit(False))
+    rows = rows.withColumns({"_open": F.coalesce(F.sum("_balance").over(before()), F.lit(0)), "_lead_start": F.when(carried & F.col("_lead").isNotNull(), F.col("start") + F.col("_lead"))})
+    rows = rows.withColumns({"_last": F.coalesce("_in2", "_lead_start", F.when(F.col("line_no") == 0, 0)), "_first": F.coalesce("_lead_start", "_in1")})
+    rows = rows.withColumns({"_before": nearest(F.col("_last"), before()), "_after": nearest(F.col("_first"), after()), "_end_after": nearest(F.col("_end"), after())})
+    gap, pos, size = F.col("SP") | F.col("NL"), F.col("pos"), F.col("n_chars")
+    inside = lambda c, most: clip(c / most, 0.0, 1.0)
+    rows = rows.withColumn("at_sent_start", (pos == 0) | F.coalesce(F.col("_lead_start") == pos, F.lit(False)))
+    since = F.when(F.col("at_sent_start"), pos).otherwise(F.col("_before"))
+    to = F.coalesce(F.when(F.col("_lead_start") > pos, F.col("_lead_start")), "_in1", "_after", size)
+    rows = rows.withColumns(
+        {
+            "chars_since_nl": inside(F.when(F.col("line_no") > 0, 1).otherwise(0), 200),
+            "is_line_end": F.col("next_NL") | (pos == size - 1),
+            "chars_since_sent": inside(pos - since, 300),
+            "sent_len": inside(to - since, 400),
+            "dist_to_term": inside(F.coalesce("_end", "_end_after", size) - pos, 200),
+            "word_len_cur": inside(F.when(gap, 0).otherwise(F.length(F.regexp_extract("seg", r"^[^ \t]*+", 0)) + 1), 30),
+            "in_word": ~gap,
+            "open_paren": F.col("_open") + F.col("LBRACK").cast("int") - F.col("RBRACK").cast("int") > 0,
+            "doc_pos": pos / size,
+            "near_end": pos > size - 8,
+        }
+    )
+    return rows.where("seg <> ''").drop("_more", "_c2", "_c3", "_balance", "_stops", "_lead", "_end", "_in1", "_in2", "_open", "_lead_start", "_last", "_first", "_before", "_after", "_end_after")
+
+
 def matrix(chars: DataFrame, names: tuple[str, ...] = NAMES) -> Column:
     return F.array(*(F.col(n).cast("float") for n in names))
 

@@ -35,17 +35,19 @@ class SegmentEngine:
         return self.char_scorer.outputs(features).withColumns({"big": F.get("outputs", F.lit(0)), "small": F.get("outputs", F.lit(1))}).drop("outputs")
 
     def line_scores(self, docs: DataFrame, carry: bool = False) -> DataFrame:
-        """lines.features() with `score`; with a network over characters' features, those of each line's first one."""
+        """lines.features() with `score`; with a network over characters' features, those of each line's first one, which a scorer of lines alone needs no row
+        for each character for."""
         rows = lines.features(docs, carry=carry)
         if not self.of_characters():
             return self.scorer.score(rows)
-        features = chars.features(docs, lines=rows)
-        return self.scored(self.char_scores(features) if self.char_scorer else features).where(F.col("seg") != "")
+        if not self.char_scorer:
+            return self.scorer.score(chars.line_starts(rows))
+        return self.scored(self.char_scores(chars.features(docs, lines=rows))).where(F.col("seg") != "")
 
     def scored(self, features: DataFrame) -> DataFrame:
-        first = features.where((F.col("pos") == F.col("start")) & (F.col("ch") != "\n"))
-        rows = self.scorer.score(first)
-        return rows.withColumn("score", scoring.blend(F.col("score"), F.col("big"), self.config.char_blend)) if self.char_scorer else rows
+        """Of char_scores() the lines' first characters, with `score`."""
+        rows = self.scorer.score(features.where((F.col("pos") == F.col("start")) & (F.col("ch") != "\n")))
+        return rows.withColumn("score", scoring.blend(F.col("score"), F.col("big"), self.config.char_blend))
 
     def line_boundaries(self, docs: DataFrame, threshold: float | None = None) -> DataFrame:
         """(doc_id, pos, score): the scorer's own boundaries in the normalised text, without any assembly."""
@@ -69,10 +71,11 @@ class SegmentEngine:
         keys = ["doc_row", "doc_id", *(c for c in lines.PART if c in pieces.columns)]
         rows = lines.features(pieces, carry=True)
         with_text = spans.with_spans(rows)
-        if self.of_characters():
-            features = chars.features(pieces, lines=rows.drop("text"))
-            features = self.char_scores(features) if self.char_scorer else features
+        if self.char_scorer:
+            features = self.char_scores(chars.features(pieces, lines=rows.drop("text")))
             scores = self.scored(features)
+        elif self.of_characters():
+            scores = self.scorer.score(chars.line_starts(rows.drop("text")))
         else:
             scores = with_text = self.scorer.score(with_text)
         steps = scoring.DEFAULT_STEPS if cfg.adaptive else ()

@@ -102,3 +102,24 @@ def test_fractions_of_odd_digits_and_capitals(spark):
         assert abs(r["line_digit_frac"] - digit / len(t)) < 1e-9 and abs(r["line_upper_frac"] - upper / max(alpha, 1)) < 1e-9
         assert abs(r["line_punct_frac"] - punct / len(t)) < 1e-9 and r["line_all_lower"] == (alpha > 0 and upper == 0)
         assert r["line_no_alpha"] == (alpha == 0)
+
+
+ODD_LINES = [
+    "One (two. Three! \"Four?\" five\n\n\n  six² ½ 7.5 É.\n) x", " lead. \n\tnext", ".", "a.\nb", "a.", "x. y! z?\n\n. ! ?\n  ", "\n\nfirst", "((\n)\n]\n a) b. (c", "q.)b \"end.\" Then.\n'And' so", " \n \n.\n x", "A", "A\n", "no end at all\nstill none\n\nDone. ", "tab\tgap\n\t.\t\nx.\t \ny",
+]
+
+
+def test_line_starts_equal_the_characters_there(spark):
+    from tessera.operators import chars
+
+    r = random.Random(2)
+    made = ["".join(r.choice("aB1 .!?()\n\n\t\"'é²") for _ in range(r.randint(1, 120))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate([*ODD_LINES, *made, "", None])), "doc_id long, text string")
+    cols = ["doc_id", "pos", *(F.round(F.col(n).cast("double"), 9).alias(n) for n in chars.NAMES)]
+    rows = lines.features(df)
+    want = chars.features(df, lines=rows).where("pos = start and ch <> '\n'").select(*cols).collect()
+    have = chars.line_starts(rows).select(*cols).collect()
+    assert len(have) == len(want) > 400
+    key = lambda x: (x["doc_id"], x["pos"])
+    for a, b in zip(sorted(have, key=key), sorted(want, key=key)):
+        assert a == b, [(n, a[n], b[n]) for n in chars.NAMES if a[n] != b[n]]
