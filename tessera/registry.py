@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import textnorm
 from tessera.functions.predicates import ALL, CAPS_TOKEN
 from tessera.operators import augment, baselines, chars, corpus, labels, lines, metrics, scoring, spans, synth
+from tessera.plans import sweep
 from tessera.plans.segment import SegmentEngine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,6 +256,12 @@ def char_places(spark, sf):
     return _char_sums(chars.with_places(chars.with_shifts(chars.with_classes(_chars(spark, sf)))), PLACES)
 
 
+@query("line_start_features", _char_sql(PLACE_CTE, "pl", {**dict.fromkeys([*chars.CLASSES, "PUNC", *SHIFTED, *BREAKS], 0), **PLACES}).replace(" GROUP BY", " WHERE NOT \"NL\" AND (pos = 0 OR \"prev_NL\") GROUP BY"))
+def line_start_features(spark, sf):
+    """Features of characters at line starts, computed from lines."""
+    return _char_sums(chars.line_starts(lines.features(deco(spark, sf))), {**dict.fromkeys([*chars.CLASSES, "PUNC", *SHIFTED, *BREAKS], 0), **PLACES})
+
+
 # Sentences, spans, scores -----------------------------------------------------------------------------------------------
 
 
@@ -476,6 +483,43 @@ def sweep_grid(spark, sf):
     return df.groupBy(F.col("size").cast("long").alias("size")).agg(F.sum(F.floor((F.col("n") + F.col("size") - 1) / F.col("size"))).cast("long").alias("chunks"))
 
 
+@query("engine_sweep")
+def engine_sweep(spark, sf):
+    """The engine at 24 settings over the synthetic documents, in buckets by kind; a second linear scorer is blended in."""
+    gold = synthetic(spark, sf).select("doc_id", "text", F.col("source").alias("bucket"), "boundaries")
+    pred = sweep.boundaries(SegmentEngine(), gold.select("doc_id", "text"), beside=SIMPLE)
+    rows = sweep.report(spark, sweep.scored(pred, gold), sweep.settings_of(), ("big", "min_chunk", "blend"))
+    return rows.select("big", F.col("min_chunk").cast("long").alias("min_chunk"), "blend", F.round("macro_f1", 6).alias("macro_f1"), "best", F.to_json("weakest").alias("weakest"))
+
+
+@query("sweep_report", """WITH f AS (SELECT k AS setting, size, source AS bucket, CASE WHEN n // size = 0 AND n // 1000 = 0 THEN 1.0 WHEN n // 1000 = 0 THEN 0.0 ELSE 2.0 * (n // 1000) / (n // size + n // 1000) END AS f1 FROM (SELECT source, length(text) - 1 AS n FROM documents WHERE length(text) > 0), (VALUES (0, 250), (1, 500), (2, 1000)) g(k, size)),
+b AS (SELECT setting, size, bucket, avg(f1) AS f1 FROM f GROUP BY ALL), r AS (SELECT setting, size, avg(f1) FILTER (WHERE bucket <> 'src3') AS macro, max(f1) FILTER (WHERE bucket = 'src3') AS held, array_to_string(list_sort(list(printf('%.4f', f1) || ' ' || bucket))[1:10], ',') AS weak FROM b GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY round(macro + coalesce(held, 0), 9) DESC, setting) = 1 AS best FROM r)
+SELECT size::BIGINT AS size, round(macro, 6)::DOUBLE AS macro_f1, round(held, 6)::DOUBLE AS held_f1, best, CASE WHEN best THEN weak END AS weakest FROM o""")
+def sweep_report(spark, sf):
+    """The sweep's report over cuts each 250, 500 and 1000 against marks each 1000, one bucket held apart."""
+    docs = docs_of(spark, sf).where("length(text) > 0").select("doc_id", F.col("source").alias("bucket"), F.length("text").alias("n"))
+    cut = lambda size: F.when(F.col("n") > size, F.sequence(F.lit(size), F.col("n") - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    gold = docs.withColumn("boundaries", cut(1000))
+    sizes = [250, 500, 1000]
+    pred = docs.select("doc_id", F.posexplode(F.array(*map(cut, sizes))).alias("setting", "bounds"))
+    rows = sweep.report(spark, sweep.scored(pred, gold, 0), [(s,) for s in sizes], ("size",), apart="src3")
+    weak = F.array_join(F.array_sort(F.transform("weakest", lambda x: F.concat(F.format_string("%.4f ", x["f1"]), x["bucket"]))), ",")
+    return rows.select("size", F.round("macro_f1", 6).alias("macro_f1"), F.round("apart_f1", 6).alias("held_f1"), "best", weak.alias("weakest"))
+
+
+@query("chunk_invariants", "SELECT doc_id, 0::BIGINT AS mid_word, true AS least FROM documents")
+def chunk_invariants(spark, sf):
+    """Chunks of the engine that start within a word, where their document has a place to cut within reach; and whether each
+    document's fragments, chunks under the least length, are at most one."""
+    docs = docs_of(spark, sf).select("doc_id", "text")
+    chunks = SegmentEngine().chunk(docs).select("doc_id", "chunk_no", "start", "n_chars")
+    df = docs.join(chunks, "doc_id", "left")
+    word = F.substr("text", F.col("start"), F.lit(2)).rlike(r"(?U)^\w\w$") & (F.col("start") > 0)
+    forced = ~F.substr("text", F.greatest(F.col("start") - 1250, F.lit(0)) + 1, F.least(F.col("start"), F.lit(1250))).rlike(r"(?U)\s")
+    return df.groupBy("doc_id").agg(F.count_if(F.coalesce(word & ~forced, F.lit(False))).alias("mid_word"), (F.count_if((F.col("n_chars") < 100) & (F.col("chunk_no") > 0)) * 10 <= F.count(F.lit(1)) + 10).alias("least"))
+
+
 PRF_SQL = "SELECT doc_id, n_pred, n_gold, tp FROM (SELECT doc_id, (length(text) - 1) // 500 AS n_pred, (length(text) - 1) // 1000 AS n_gold, (length(text) - 1) // 1000 AS tp FROM documents WHERE length(text) > 0)"
 
 
