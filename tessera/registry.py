@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import textnorm
 from tessera.functions.predicates import ALL, CAPS_TOKEN
-from tessera.operators import augment, baselines, chars, corpus, labels, lines, metrics, scoring, spans, synth
+from tessera.operators import augment, baselines, chars, corpus, edits, labels, lines, metrics, scoring, spans, synth
 from tessera.plans import sweep
 from tessera.plans.segment import SegmentEngine
 
@@ -681,6 +681,54 @@ def augment_units(spark, sf):
     return out.select("doc_id", F.md5("text").alias("h"), F.get("boundaries", F.lit(0)).alias("cut"), F.array_join("transforms", " ").alias("names"))
 
 
+#: Decorated documents with a boundary each 300 characters.
+MARKED_CTE = f"{DECO_CTE}, marked AS (SELECT doc_id, text, range(300, length(text), 300) AS b FROM deco)"
+STRAY_SQL = "(doc_id * 7919 + pos * 104729) % 100 < 30"
+
+
+def marked(spark, sf) -> DataFrame:
+    b = F.when(F.length("text") > 300, F.sequence(F.lit(300).cast("long"), F.length("text").cast("long") - 1, F.lit(300).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return deco(spark, sf).select("doc_id", "text", b.alias("boundaries"))
+
+
+def _edited(df: DataFrame) -> DataFrame:
+    places = F.aggregate("boundaries", F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.select("doc_id", F.md5("text").alias("h"), F.size("boundaries").cast("long").alias("n"), places.alias("places"))
+
+
+@query("edit_page_marks", f"""{MARKED_CTE}, l AS (SELECT doc_id, unnest(range(len(a)))::BIGINT AS k, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM marked)), s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM l),
+m AS (SELECT *, CASE WHEN k > 0 AND pos // 1000 > 0 AND row_number() OVER (PARTITION BY doc_id, pos // 1000, k > 0 ORDER BY k) = 1 THEN '- ' || (pos // 1000) || ' -' || chr(10) || chr(12) || chr(10) ELSE '' END AS mark FROM s),
+t AS (SELECT doc_id, string_agg(mark || line, chr(10) ORDER BY k) AS text FROM m GROUP BY doc_id), b AS (SELECT doc_id, unnest(b) AS pos FROM marked), g AS (SELECT b.doc_id, b.pos + coalesce(sum(length(mark)), 0) AS pos FROM b LEFT JOIN m ON m.doc_id = b.doc_id AND m.pos <= b.pos GROUP BY b.doc_id, b.pos)
+SELECT t.doc_id, md5(any_value(t.text)) AS h, count(g.pos)::BIGINT AS n, coalesce(sum(g.pos), 0)::BIGINT AS places FROM t LEFT JOIN g USING (doc_id) GROUP BY t.doc_id""")
+def edit_page_marks(spark, sf):
+    docs = marked(spark, sf)
+    return _edited(edits.apply(docs, edits.page_marks(docs)))
+
+
+@query("edit_stray_numbers", f"""{MARKED_CTE}, u AS (SELECT doc_id, unnest(range(len(b) + 1)) AS k, unnest(list_concat([0], b)) AS a, unnest(list_concat(b, [length(text)])) AS pos, text FROM marked),
+p AS (SELECT doc_id, k, pos, substring(text, (a + 1)::BIGINT, (pos - a)::BIGINT) || CASE WHEN pos < length(text) AND {STRAY_SQL} THEN ' ' || ((doc_id * 7919 + (pos + 1) * 104729) % 40 + 1) ELSE '' END AS piece, pos < length(text) AS mark FROM u),
+e AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) AS fin FROM p) SELECT doc_id, md5(string_agg(piece, '' ORDER BY k)) AS h, sum(mark::INT)::BIGINT AS n, coalesce(sum(CASE WHEN mark THEN fin END), 0)::BIGINT AS places FROM e GROUP BY doc_id""")
+def edit_stray_numbers(spark, sf):
+    docs = marked(spark, sf)
+    return _edited(edits.apply(docs, edits.stray_numbers(docs)))
+
+
+@query("edit_mangled_words", f"""{MARKED_CTE}, w AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+') AS a FROM marked)), s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM w),
+t AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(piece, '^\p{{L}}{{7,}}$') AND (doc_id * 7919 + pos * 104729) % 10 = 0 THEN substring(piece, 1, 3) || ' ' || substring(piece, 5) ELSE piece END, '' ORDER BY k) AS text FROM s GROUP BY doc_id)
+SELECT doc_id, md5(t.text) AS h, len(b)::BIGINT AS n, coalesce(list_sum(b), 0)::BIGINT AS places FROM marked JOIN t USING (doc_id)""")
+def edit_mangled_words(spark, sf):
+    docs = marked(spark, sf)
+    return _edited(edits.apply(docs, edits.mangled_words(docs)))
+
+
+@query("noisy_corpus", f"{MARKED_CTE} SELECT doc_id, len(b)::BIGINT AS n, (doc_id * 7919) % 10007 < 2001 AS held_out, md5(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g'), '[0-9\p{{L}}-]+', '', 'g')) AS h FROM marked WHERE length(text) >= 200 AND len(b) > 0")
+def noisy_corpus(spark, sf):
+    """Scanned documents: each keeps its boundaries, its part of the split, and all characters that no edit makes or takes."""
+    docs = marked(spark, sf).withColumn("source", F.lit("deco"))
+    bare = F.regexp_replace(F.regexp_replace("text", r"\s+", ""), r"[0-9\p{L}-]+", "")
+    return edits.noisy_corpus(docs).select("doc_id", F.size("boundaries").cast("long").alias("n"), "held_out", F.md5(bare).alias("h"))
+
+
 def _template_sql(template: str) -> str:
     def slot(name: str) -> str:
         if name in synth.NUMBERS:
