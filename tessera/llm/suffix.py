@@ -266,10 +266,13 @@ def celler(length: int, width: int, seed: int):
     return cells
 
 
-def several(spans: DataFrame) -> DataFrame:
-    """spans(key, ctx, n, ...): those that stand twice or more, or have a key with another span; kinds is the number of the key's spans."""
+def several(s: Scratch, spans: DataFrame, name: str) -> DataFrame:
+    """spans(key, ctx, n, ...), a table: those that stand twice or more, or have a key with another span; kinds is the number of
+    the key's spans. The keys are a table too, so that a key of very many spans can be split in the join."""
     keys = spans.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("key", "kinds")
-    return spans.join(keys, "key")
+    found = s.table(spans.join(s.table(keys, f"{name}_keys"), "key"), name)
+    s.drop(f"{name}_keys")
+    return found
 
 
 def marks(spans: DataFrame, verdicts: DataFrame, first: Column, first_stays: bool) -> DataFrame:
@@ -293,12 +296,12 @@ def settle(s: Scratch, bodies: DataFrame, length: int, first_stays: bool, seed:
     cells = many.select("key", "ctx", "n", "first", "lead", "body").mapInArrow(celler(length, CELLS[level], seed), f"up_key long, up_ctx binary, n long, first {kind}, off int, key long, ctx binary, lead int, n_win int, body binary")
     cells = s.table(cells, f"cells{level}")
     known = cells.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("lead").alias("lead"), F.first("body").alias("body"))
-    known = s.table(several(known), f"known{level}")
+    known = several(s, s.table(known, f"kinds{level}"), f"known{level}")
     inner = settle(s, known.where("kinds > 1"), length, first_stays, seed, level + 1)
     verdicts = known.select("key", "ctx", "n", "first").join(inner, ["key", "ctx"], "left")
     found = marks(cells, verdicts, F.col("x.first"), first_stays).select(F.col("up_key").alias("key"), F.col("up_ctx").alias("ctx"), F.explode(F.transform("gone", lambda r: F.struct((r["lo"] + F.col("off")).alias("lo"), (r["hi"] + F.col("off")).alias("hi")))).alias("run"))
     found = s.table(found.groupBy("key", "ctx").agg(F.collect_set("run").cast(RUN).alias("runs")), f"found{level}")
-    s.drop(f"cells{level}", f"known{level}")
+    s.drop(f"cells{level}", f"kinds{level}", f"known{level}")
     return out.union(found)
 
 
@@ -368,7 +371,8 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: str
     spans = s.table(long.mapInArrow(cutter(length, seed, PIECE), f"doc_id {kind}, a long, b binary, pos long, n_win int, lead int, key long, ctx binary"), "spans")
     place = F.struct("doc_id", "b", "pos", "a").alias("first")
     known = spans.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("n_win").alias("n_win"), F.first("lead").alias("lead"))
-    known = s.table(several(known), "known")
+    known = several(s, s.table(known, "kinds"), "known")
+    s.drop("kinds")
     # The bytes of each different span, from the place where it stands first.
     wanted = known.where("kinds > 1").select(F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.struct(F.col("first.pos").alias("pos"), "n_win", "key", "ctx", "n", "kinds", "lead", "first").alias("w"))
     wanted = wanted.groupBy("a", "b").agg(F.collect_list("w").alias("want"))
