@@ -79,12 +79,18 @@ def rewrap(t: Column, width: int = 60) -> Column:
     return F.regexp_replace(t, rf"([^\n]{{1,{width}}}|[^\s]+)(?: +|(?=\n)|$)", "$1\n")
 
 
+def one_to_one(t: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the text; where that changes its length, of each character that f makes one of, the others staying as they are."""
+    each = F.transform(F.split(t, ""), lambda c: F.when(F.length(f(c)) == F.length(c), f(c)).otherwise(c))
+    return F.when(F.length(f(t)) == F.length(t), f(t)).otherwise(F.array_join(each, ""))
+
+
 def to_upper(t: Column) -> Column:
-    return F.when(F.length(F.upper(t)) == F.length(t), F.upper(t)).otherwise(t)
+    return one_to_one(t, F.upper)
 
 
 def to_lower(t: Column) -> Column:
-    return F.when(F.length(F.lower(t)) == F.length(t), F.lower(t)).otherwise(t)
+    return one_to_one(t, F.lower)
 
 
 def mangle_words(t: Column) -> Column:

@@ -39,6 +39,34 @@ def paragraph_chunks(docs: DataFrame, size: int = 800) -> DataFrame:
     return rows.select("doc_id", F.posexplode(packs(F.col("_p"), F.col("_o"), "\n\n")).alias("chunk_no", "text"))
 
 
+def paragraph_spans(docs: DataFrame, size: int = 800) -> DataFrame:
+    """(doc_id, chunk_no, start, end): where paragraph_chunks() lie in the normalised text, from the first paragraph's start to the
+    last one's end."""
+    pieces = F.regexp_extract_all(normalize(F.col("text")), F.lit(r"(?s).+?(?:\n[ \t]*\n[ \t\n]*|\z)"), F.lit(0))
+    bare = F.transform("_p", lambda p: F.length(F.regexp_replace(p, r"\n[ \t]*\n[ \t\n]*\z", "")))
+    rows = with_row(docs).select("doc_row", "doc_id", pieces.alias("_p")).withColumn("_n", bare)
+    rows = rows.select("doc_row", "doc_id", F.posexplode(F.arrays_zip("_p", "_n")).alias("k", "x"))
+    w = Window.partitionBy("doc_row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("x._p").cast("long")).over(w), F.lit(0))).where(F.trim("x._p") != "")
+    own = rows.groupBy("doc_row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", F.col("x._n").alias("n")))).alias("_s"))
+
+    def step(held, n):
+        opens = (held < 0) | (held + n + 2 > size)
+        return opens, F.when(opens, n).otherwise(held + n + 2)
+
+    own = own.withColumn("_o", openings(F.transform("_s", lambda s: s["n"]), step))
+    last = lambda i: F.get("_s", F.coalesce(F.get("_o", i + 1), F.size("_s")) - 1)
+    spans = F.transform("_o", lambda a, i: F.struct(F.get("_s", a)["start"].alias("start"), (last(i)["start"] + last(i)["n"]).alias("end")))
+    return own.select("doc_id", F.posexplode(spans).alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.start", "c.end")
+
+
+def spans_of(chunks: DataFrame) -> DataFrame:
+    """chunks(doc_id, chunk_no, text) that cover their document: (doc_id, chunk_no, start, end)."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = chunks.withColumn("end", F.sum(F.length("text").cast("long")).over(w))
+    return rows.select("doc_id", "chunk_no", (F.col("end") - F.length("text")).alias("start"), "end")
+
+
 def sentence_ends(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the place after each sentence end: a terminator before a space, break, closing bracket or quote."""
     parts = F.regexp_extract_all(normalize(F.col("text")), F.lit("(?s).*?[.!?](?=[ \\t\\n)\\]}»\"'])"), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import textnorm
 from tessera.functions.predicates import ALL, CAPS_TOKEN
-from tessera.operators import augment, baselines, chars, corpus, edits, labels, lines, metrics, scoring, spans, synth
+from tessera.operators import augment, baselines, chars, corpus, edits, labels, lines, metrics, overlap, scoring, spans, synth
 from tessera.plans import sweep
 from tessera.plans.segment import SegmentEngine
 
@@ -681,6 +681,41 @@ def augment_units(spark, sf):
     return out.select("doc_id", F.md5("text").alias("h"), F.get("boundaries", F.lit(0)).alias("cut"), F.array_join("transforms", " ").alias("names"))
 
 
+SECTION_CTE = "sec AS (SELECT doc_id, n, k AS section_no, k * 800 AS start, least(k * 800 + 1000, n) AS fin, text FROM (SELECT doc_id, text, length(text) AS n, unnest(range(CASE WHEN length(text) <= 1000 THEN 1 ELSE (length(text) - 1000 + 799) // 800 + 1 END)) AS k FROM documents WHERE length(text) > 0))"
+
+
+def _sections(spark, sf) -> DataFrame:
+    return overlap.sections(docs_of(spark, sf), 1000, 200)
+
+
+@query("overlap_sections", f"WITH {SECTION_CTE} SELECT doc_id, section_no::BIGINT AS section_no, start::BIGINT AS start, fin::BIGINT AS \"end\", md5(substring(text, (start + 1)::BIGINT, (fin - start)::BIGINT)) AS h FROM sec")
+def overlap_sections(spark, sf):
+    return _sections(spark, sf).select("doc_id", F.col("section_no").cast("long").alias("section_no"), "start", "end", F.md5("text").alias("h"))
+
+
+@query("overlap_filled", f"""WITH {SECTION_CTE}, t AS (SELECT doc_id, n, section_no, unnest(range(start + 3, fin, 7)) AS pos FROM sec), s AS (SELECT doc_id, pos, arg_max(((pos * 13 + section_no * 7) % 17)::DOUBLE, section_no) AS score FROM t GROUP BY ALL),
+c AS (SELECT doc_id, unnest(range(length(text))) AS pos FROM documents), f AS (SELECT c.doc_id, c.pos, coalesce(last_value(s.score IGNORE NULLS) OVER (PARTITION BY c.doc_id ORDER BY c.pos), -100) AS score FROM c LEFT JOIN s ON s.doc_id = c.doc_id AND s.pos = c.pos)
+SELECT doc_id, count(*)::BIGINT AS places, sum(score)::DOUBLE AS total, sum(score * (pos % 11))::DOUBLE AS mixed FROM f GROUP BY doc_id""")
+def overlap_filled(spark, sf):
+    """Scores of each seventh place of overlapping sections, the later section's where two have one, filled forward."""
+    rows = _sections(spark, sf).select("doc_id", "section_no", F.posexplode(F.when(F.col("start") + 3 < F.col("end"), F.sequence(F.col("start") + 3, F.col("end") - 1, F.lit(7).cast("long")))).alias("k", "pos"))
+    score = F.pmod(F.col("pos") * 13 + F.col("section_no") * 7, F.lit(17)).cast("double")
+    runs = overlap.filled(overlap.latest(rows.withColumn("score", score)), docs_of(spark, sf))
+    chars_ = runs.select("doc_id", "score", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    return chars_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("places"), F.sum("score").alias("total"), F.sum(F.col("score") * F.pmod("pos", F.lit(11))).alias("mixed"))
+
+
+@query("overlap_marks", f"""WITH RECURSIVE {SECTION_CTE}, m AS (SELECT doc_id, n, start, fin, unnest(range(start + 1, fin, 23 + section_no % 2)) AS pos FROM sec), k AS (SELECT DISTINCT doc_id, n, pos FROM m WHERE n <= 1000 OR (pos >= start + 150 AND pos < fin - 150)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM k), r AS (SELECT doc_id, n, i, pos, pos AS held FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.n, o.i, o.pos, CASE WHEN o.pos - r.held > 5 THEN o.pos ELSE r.held END FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1)
+SELECT doc_id, count(*)::BIGINT AS n, sum(pos)::BIGINT AS places FROM r WHERE n <= 1000 OR held = pos GROUP BY doc_id""")
+def overlap_marks(spark, sf):
+    """Marks of overlapping sections without those near the sections' ends and without near repeats."""
+    found = _sections(spark, sf)
+    step = (F.pmod("section_no", F.lit(2)) + 23).cast("long")
+    marks = found.select("doc_id", "section_no", F.explode(F.when(F.col("start") + 1 < F.col("end"), F.sequence(F.col("start") + 1, F.col("end") - 1, step))).alias("pos"))
+    return overlap.merged_marks(marks, found).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("places"))
+
+
 #: Decorated documents with a boundary each 300 characters.
 MARKED_CTE = f"{DECO_CTE}, marked AS (SELECT doc_id, text, range(300, length(text), 300) AS b FROM deco)"
 STRAY_SQL = "(doc_id * 7919 + pos * 104729) % 100 < 30"
@@ -714,18 +749,18 @@ def edit_stray_numbers(spark, sf):
 
 
 @query("edit_mangled_words", f"""{MARKED_CTE}, w AS (SELECT doc_id, unnest(range(len(a))) AS k, unnest(a) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+') AS a FROM marked)), s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM w),
-t AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(piece, '^\p{{L}}{{7,}}$') AND (doc_id * 7919 + pos * 104729) % 10 = 0 THEN substring(piece, 1, 3) || ' ' || substring(piece, 5) ELSE piece END, '' ORDER BY k) AS text FROM s GROUP BY doc_id)
+t AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(piece, '^\\p{{L}}{{7,}}$') AND (doc_id * 7919 + pos * 104729) % 10 = 0 THEN substring(piece, 1, 3) || ' ' || substring(piece, 5) ELSE piece END, '' ORDER BY k) AS text FROM s GROUP BY doc_id)
 SELECT doc_id, md5(t.text) AS h, len(b)::BIGINT AS n, coalesce(list_sum(b), 0)::BIGINT AS places FROM marked JOIN t USING (doc_id)""")
 def edit_mangled_words(spark, sf):
     docs = marked(spark, sf)
     return _edited(edits.apply(docs, edits.mangled_words(docs)))
 
 
-@query("noisy_corpus", f"{MARKED_CTE} SELECT doc_id, len(b)::BIGINT AS n, (doc_id * 7919) % 10007 < 2001 AS held_out, md5(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g'), '[0-9\p{{L}}-]+', '', 'g')) AS h FROM marked WHERE length(text) >= 200 AND len(b) > 0")
+@query("noisy_corpus", f"{MARKED_CTE} SELECT doc_id, len(b)::BIGINT AS n, (doc_id * 7919) % 10007 < 2001 AS held_out, md5(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g'), '[0-9\\p{{L}}-]+', '', 'g')) AS h FROM marked WHERE length(text) >= 200 AND len(b) > 0")
 def noisy_corpus(spark, sf):
     """Scanned documents: each keeps its boundaries, its part of the split, and all characters that no edit makes or takes."""
     docs = marked(spark, sf).withColumn("source", F.lit("deco"))
-    bare = F.regexp_replace(F.regexp_replace("text", r"\s+", ""), r"[0-9\p{L}-]+", "")
+    bare = F.regexp_replace(F.regexp_replace("text", r"\s+", ""), r"[0-9\\p{L}-]+", "")
     return edits.noisy_corpus(docs).select("doc_id", F.size("boundaries").cast("long").alias("n"), "held_out", F.md5(bare).alias("h"))
 
 
@@ -819,6 +854,17 @@ def retrieval_methods(spark, sf):
     return out.select("method", *(F.round(c, 6).alias(c) for c in ("split", "p50", "p90")))
 
 
+@query("retrieval_engine")
+def retrieval_engine(spark, sf):
+    """Containment of a fragment every 300 characters in the chunks of the engine and of the plain splitters."""
+    docs = docs_of(spark, sf).where("length(text) > 0").select("doc_id", "text")
+    frags = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(300))).alias("fs"), F.length("text").alias("n"))
+    frags = frags.select("doc_id", F.col("fs").cast("long").alias("fs"), F.least(F.col("fs") + 60, F.col("n")).cast("long").alias("fe"))
+    methods = {"engine": SegmentEngine().chunk(docs), "fixed512": baselines.fixed_chunks(docs), "sentence500": baselines.spans_of(baselines.sentence_chunks(docs)), "paragraph": baselines.paragraph_spans(docs)}
+    out = metrics.containment_by_method(methods, frags)
+    return out.select("method", *(F.round(c, 6).alias(c) for c in ("split", "p50", "p90")))
+
+
 @query("paired_documents", f"""WITH p AS (SELECT doc_id AS id, text FROM documents), g AS (SELECT id // 12 * 3 + (id % 12 >= 3)::INT + (id % 12 >= 7)::INT + (id % 12 >= 12)::INT AS doc, id, text || chr(10) || chr(10) AS t FROM p) SELECT doc::BIGINT AS doc, md5(string_agg(t, '' ORDER BY id)) AS h, (count(*) - 1)::BIGINT AS n FROM g GROUP BY doc""")
 def paired_documents(spark, sf):
     """Three to five texts a document, by turns."""
