@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.textnorm import strip
@@ -66,12 +66,22 @@ def as_separated(chunks: DataFrame, separator: str = "\n---\n") -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.array_join(rows, "").alias("text"))
 
 
+def quoted(text: Column) -> Column:
+    """A text as a Python literal: in single quotes, or in double ones if it has single ones only; backslashes and white space
+    that breaks or moves lines written out."""
+    t = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\x0b", "x0b"), ("\x0c", "x0c"), ("\xa0", "xa0"), ("\u2028", "u2028"), ("\u2029", "u2029"), ("\u200b", "u200b"), ("\ufeff", "ufeff")):
+        t = F.replace(t, F.lit(c), F.lit("\\" + name))
+    double = F.contains(t, F.lit("'")) & ~F.contains(t, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def as_boundary_lines(boundaries: DataFrame, docs: DataFrame, back: int = 30, ahead: int = 10) -> DataFrame:
-    """(doc_id, pos, line): kind, position and the text around it, tab-separated, with breaks written out."""
+    """(doc_id, pos, line): kind, position and the text around it as a literal, tab-separated."""
     df = boundaries.join(docs.select("doc_id", "text"), "doc_id")  # the context is found by the id, which must be unique
     start = F.greatest(F.col("pos") - back, F.lit(0)).cast("int")
     around = F.substr("text", start + 1, (F.col("pos") + ahead).cast("int") - start)
-    return df.select("doc_id", "pos", F.concat_ws("\t", "kind", "pos", F.replace(around, F.lit("\n"), F.lit("\\n"))).alias("line"))
+    return df.select("doc_id", "pos", F.concat_ws("\t", "kind", "pos", quoted(around)).alias("line"))
 
 
 def write_chunk_dump(chunks: DataFrame, path: str) -> None:

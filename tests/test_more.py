@@ -86,3 +86,9 @@ def test_overlap_edges(spark):
     assert runs == [(1, 0, 4, -100.0), (1, 4, 9, 0.5), (1, 9, 25, 0.1), (2, 0, 2, -100.0), (5, 0, 10, -100.0)]
     with pytest.raises(ValueError):
         overlap.sections(df, 10, 6)
+
+
+def test_boundary_lines_are_literals(spark):
+    texts = ["plain", "it's\n", 'say "x"', "both ' and \"", "tab\t\\ nb\xa0", "é🎉"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", readers.quoted(F.col("t")).alias("q")).collect()
+    assert {r["k"]: r["q"] for r in got} == {k: repr(t) for k, t in enumerate(texts)}
