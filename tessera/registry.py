@@ -764,17 +764,23 @@ def noisy_corpus(spark, sf):
     return edits.noisy_corpus(docs).select("doc_id", F.size("boundaries").cast("long").alias("n"), "held_out", F.md5(bare).alias("h"))
 
 
+def _slot_sql() -> str:
+    one = lambda words, a, b, c: f"([{', '.join(map(_quote, words))}])[((doc_id * {a} + u * {b} + {c}) % {len(words)}) + 1]"
+    cols = [f"((doc_id * {a} + u) % {m} + {c})::VARCHAR AS _{name}" for name, (a, m, c) in synth.NUMBERS.items()]
+    return ", ".join([*cols, *(f"CASE l WHEN 0 THEN {one(held[0], a, b, c)} ELSE {one(held[1], a, b, c)} END AS _{name}" for name, (held, a, b, c) in synth.POOLS.items())])
+
+
 def _template_sql(template: str) -> str:
-    def slot(name: str) -> str:
-        if name in synth.NUMBERS:
-            return f"(u + {synth.NUMBERS[name]})::VARCHAR"
-        pool, a, b, c = synth.POOLS[name]
-        return f"([{', '.join(map(_quote, pool))}])[((doc_id * {a} + u * {b} + {c}) % {len(pool)}) + 1]"
+    return " || ".join(f"_{x}" if is_slot else "(" + " || chr(10) || ".join(_quote(y) for y in x.split(chr(10))) + ")" for x, is_slot in synth.parts_of(template))
+
 
-    return " || ".join(slot(x) if is_slot else "(" + " || chr(10) || ".join(_quote(y) for y in x.split(chr(10))) + ")" for x, is_slot in synth.parts_of(template))
+def _kind_sql(formats: tuple[list[str], list[str]]) -> str:
+    by_lang = ["CASE f % " + str(len(held)) + " " + " ".join(f"WHEN {k} THEN {_template_sql(t)}" for k, t in enumerate(held)) + " END" for held in formats]
+    return f"CASE l WHEN 0 THEN {by_lang[0]} ELSE {by_lang[1]} END"
 
 
-SYNTH_CTE = f"""WITH su AS (SELECT doc_id, doc_id % {len(synth.KINDS)} AS kind, unnest(range(0, 3 + doc_id % 4)) AS u FROM documents), st AS (SELECT doc_id, kind, u, CASE kind {' '.join(f'WHEN {k} THEN {_template_sql(t)}' for k, t in enumerate(synth.KINDS.values()))} END AS t FROM su)"""
+SYNTH_CTE = f"""WITH su AS (SELECT doc_id, doc_id % {len(synth.KINDS)} AS kind, (doc_id // {len(synth.KINDS)}) % 2 AS l, (doc_id // {2 * len(synth.KINDS)}) % {synth.FORMATS} AS f, unnest(range(0, 3 + doc_id % 4)) AS u FROM documents),
+sl AS (SELECT *, {_slot_sql()} FROM su), st AS (SELECT doc_id, kind, u, CASE kind {' '.join(f'WHEN {k} THEN {_kind_sql(f)}' for k, f in enumerate(synth.KINDS.values()))} END AS t FROM sl)"""
 
 
 def synthetic(spark, sf) -> DataFrame:

@@ -271,14 +271,20 @@ def test_units_round_trip(spark):
 
 
 def test_synthetic_kinds(spark):
-    """Each kind's units are whole in the text, and the boundaries are theirs."""
-    for r in synth.corpus(spark.range(2 * len(synth.KINDS)).withColumnRenamed("id", "doc_id")).collect():
+    """Each kind's units are whole in the text, in each language and format, and the boundaries are theirs."""
+    heads = {}
+    for r in synth.corpus(spark.range(2 * len(synth.KINDS) * synth.FORMATS).withColumnRenamed("id", "doc_id")).collect():
         edges = [0, *r["boundaries"], len(r["text"])]
         pieces = [r["text"][a:b] for a, b in zip(edges, edges[1:])]
         assert len(pieces) == 3 + r["doc_id"] % 4 and all(pieces) and "{" not in r["text"]
-        head = synth.parts_of(synth.KINDS[r["source"]])[0]
-        assert head[1] or all(p.startswith(head[0]) for p in pieces)
-    assert synth.generate(spark, "faq", 3).count() == 3
+        d, lang = r["doc_id"], synth.LANGS.index(r["lang"])
+        formats = synth.KINDS[r["source"]][lang]
+        template = formats[d // (2 * len(synth.KINDS)) % len(formats)]
+        heads.setdefault((r["source"], lang), set()).add(template)
+        head, tail = synth.parts_of(template)[0], synth.parts_of(template)[-1]
+        assert (head[1] or all(p.startswith(head[0]) for p in pieces)) and (tail[1] or all(p.endswith(tail[0]) for p in pieces))
+    assert all(len(heads[k, l]) == len(f[l]) for k, f in synth.KINDS.items() for l in (0, 1)) and len(synth.KINDS) == 28
+    assert synth.generate(spark, "faq", 3).count() == 3 and all(synth.FORMATS % len(f) == 0 for both in synth.KINDS.values() for f in both)
 
 
 def test_label_operators(spark):
@@ -330,7 +336,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r["name"] for r in docs.collect()) == ["a.txt", "b.txt"]
     chunks = SegmentEngine().chunk(docs)
     assert readers.as_json_array(chunks).count() == 2 and readers.as_separated(chunks).first()["text"].endswith("\n---\n")
-    readers.write_jsonl(synth.corpus(spark.range(20).withColumnRenamed("id", "doc_id")).withColumn("doc_id", F.col("doc_id") * 7), str(tmp_path / "out"))
+    readers.write_jsonl(synth.corpus(spark.range(20).withColumnRenamed("id", "doc_id")).drop("lang").withColumn("doc_id", F.col("doc_id") * 7), str(tmp_path / "out"))
     back = readers.read_jsonl(spark, str(tmp_path / "out"), str(tmp_path / "missing"))
     assert sorted(r["doc_id"] for r in back.collect()) == list(range(20)) and back.first()["lang"] == "pt"
     readers.write_chunk_dump(chunks, str(tmp_path / "dump"))
