@@ -42,3 +42,23 @@ def test_sweep_report(spark):
     assert abs(rows[0]["macro_f1"] - 0.7) < 1e-9 and abs(rows[1]["macro_f1"] - 0.65) < 1e-9
     assert rows[1]["best"] and not rows[0]["best"] and rows[0]["weakest"] is None
     assert [(x["bucket"], x["f1"]) for x in rows[1]["weakest"]] == [("b", 0.6), ("a", 0.7)]
+
+
+def test_functions_and_views_in_sql(spark, texts):
+    from tessera.functions.predicates import ALL
+    from tessera.operators import lines
+    from tessera.plans import sql
+
+    made = sql.register(spark)
+    assert len(made) == len(sql.TEXT) + len(ALL)
+    rows = lines.split_lines(texts)
+    rows.createOrReplaceTempView("some_lines")
+    want = rows.select(*(F.count_if(p.spark()).alias(n) for n, p in ALL.items()), F.md5(F.concat_ws("|", F.sort_array(F.collect_list(sql.TEXT["line_shape"](F.col("seg")))))).alias("shapes")).first()
+    have = spark.sql("SELECT " + ", ".join(f"count_if(line_is_{n}(seg)) AS {n}" for n in ALL) + ", md5(concat_ws('|', sort_array(collect_list(line_shape(seg))))) AS shapes FROM some_lines").first()
+    assert have == want and have["hash"] > 0 and have["ends_sent"] > 0
+    texts.createOrReplaceTempView("some_texts")
+    got = spark.sql("SELECT normalize_text(text) AS n, strip_text(text) AS s FROM some_texts WHERE doc_id = 6").first()
+    assert "\r" not in got["n"] and got["s"].startswith("one")
+    sql.chunk_view(spark, "some_texts", "some_chunks")
+    rows = spark.sql("SELECT * FROM some_chunks WHERE doc_id < 3").collect()
+    assert sorted(rows) == sorted(SegmentEngine().chunk(texts).where("doc_id < 3").collect()) and rows
