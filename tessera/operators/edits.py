@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from .corpus import quota
 from .labels import hash_split
 from .packing import openings
-
-EDIT = "doc_id", "pos", "lost", "added", "stays"
+from .spans import veto
 
 
 def moved(boundaries: DataFrame, edits: DataFrame) -> DataFrame:
@@ -117,10 +116,12 @@ def wrapped(docs: DataFrame, width: int = 60) -> DataFrame:
 
 def noisy_corpus(docs: DataFrame, least: int = 200, share: float = 0.2, most: int | None = None) -> DataFrame:
     """docs(doc_id, text, boundaries, source): documents of `least` characters or more as a scanner would give them (wrapped, words
-    mangled, stray numbers, page marks), with their boundaries, source prefixed, and held_out, about `share` of them; those
+    mangled, stray numbers, page marks: one table of edits), with their boundaries, source prefixed, and held_out, about `share` of them; those
     without a boundary go. most: a sample, the first so many documents of each source."""
     docs = docs.where(F.length("text") >= least).select("doc_id", "text", "boundaries", F.concat(F.lit("noisy_"), "source").alias("source"))
     docs = docs if most is None else quota(docs, "source", most)
-    for make in (wrapped, mangled_words, stray_numbers, page_marks):
-        docs = apply(docs, make(docs))
-    return hash_split(docs.where(F.size("boundaries") > 0), share)
+    breaks = wrapped(docs)
+    # A page's mark that would fall into white space which becomes a break is left out; no other edits meet.
+    marks = veto(page_marks(docs), breaks.select("doc_id", F.col("pos").alias("s"), (F.col("pos") + F.col("lost")).alias("e")))
+    made = breaks.unionByName(mangled_words(docs)).unionByName(stray_numbers(docs)).unionByName(marks)
+    return hash_split(apply(docs, made).where(F.size("boundaries") > 0), share)
