@@ -515,6 +515,8 @@ def test_repeated_rows_and_nulls(spark, tmp_path, tiny):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
     spark.createDataFrame([(None, "a b"), (1, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     for name, q in queries.QUERIES.items():
+        if name == "op11_divergence":  # its rows are of sources, not of documents; test_divergence has its cases
+            continue
         assert q(spark, sf).count() == (4 if name in ("op1_warc", "op3_url_filter") else 5), name
 
 
