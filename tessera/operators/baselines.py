@@ -69,7 +69,8 @@ def spans_of(chunks: DataFrame) -> DataFrame:
 
 def sentence_ends(docs: DataFrame) -> DataFrame:
     """(doc_id, pos): the place after each sentence end: a terminator before a space, break, closing bracket or quote."""
-    parts = F.regexp_extract_all(normalize(F.col("text")), F.lit("(?s).*?[.!?](?=[ \\t\\n)\\]}»\"'])"), F.lit(0))
+    # Tied to the end of the last one: else what follows the last end would be walked anew from each of its characters.
+    parts = F.regexp_extract_all(normalize(F.col("text")), F.lit("(?s)\\G.*?[.!?](?=[ \\t\\n)\\]}»\"'])"), F.lit(0))
     rows = with_row(docs).select("doc_row", "doc_id", F.posexplode(parts).alias("k", "part"))
     w = Window.partitionBy("doc_row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("doc_id", F.col("k").alias("sent_no"), F.sum(F.length("part")).over(w).alias("pos"), F.length("part").cast("long").alias("sent_len"))

@@ -1,6 +1,7 @@
 """Work that must stay near linear within one document, and the operators that it rests on."""
 
 import random
+import re
 import time
 
 import pytest
@@ -123,3 +124,18 @@ def test_line_starts_equal_the_characters_there(spark):
     key = lambda x: (x["doc_id"], x["pos"])
     for a, b in zip(sorted(have, key=key), sorted(want, key=key)):
         assert a == b, [(n, a[n], b[n]) for n in chars.NAMES if a[n] != b[n]]
+
+
+def test_a_long_text_after_its_last_sentence(spark, tmp_path):
+    from tessera import registry
+
+    texts = ["One. Two! (Three?) four.five. " + "and so on, " * 60_000, "no end at all " * 60_000, "A.", ". . ?!\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert seconds(registry.series(spark, str(tmp_path))) < 20
+    assert seconds(baselines.sentence_ends(df)) < 20
+    got = sorted((r["doc_id"], r["pos"], round(r["score"] * 100)) for r in registry.series(spark, str(tmp_path)).collect())
+    want = [(d, k, min(len(m), 100)) for d, t in enumerate(texts) for k, m in enumerate(re.findall("(?s).*?[.!?][ \\t\\n)\\]}»\"']", t[:200]))]
+    assert got == want
+    ends = sorted((r["doc_id"], r["pos"]) for r in baselines.sentence_ends(df).collect())
+    assert ends == [(d, m.end()) for d, t in enumerate(texts) for m in re.finditer("[.!?](?=[ \\t\\n)\\]}»\"'])", t[:200])]
