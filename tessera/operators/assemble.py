@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.config import ChunkerConfig
 from tessera.functions.predicates import PATTERNS
 from tessera.functions.textnorm import FOLD_FROM, FOLD_TO
+from tessera.session import small_batches
 
 HEADING = re.compile(PATTERNS["headerish"])
 FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
@@ -142,5 +143,6 @@ def assemble(pieces: DataFrame, cfg: ChunkerConfig) -> DataFrame:
                 rows.append([{"start": a, "end": e, "kind": k} for a, e, k in found])
             yield b[rest].assign(cuts=pd.Series(rows, dtype=object, index=b.index))
 
+    small_batches(pieces.sparkSession, 128)
     kinds = ", ".join(f"{c} {t}" for c, t in pieces.select(*rest).dtypes)
     return pieces.mapInPandas(run, f"{kinds}, cuts array<struct<start:int,end:int,kind:string>>")

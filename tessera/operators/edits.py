@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import small_batches
+
 from .corpus import quota
 from .labels import hash_split
 from .packing import openings
@@ -53,6 +55,7 @@ def apply(docs: DataFrame, edits: DataFrame) -> DataFrame:
     the text go. doc_id must be unique."""
     own = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("lost").cast("long").alias("lost"), "added"))).alias("edits"))
     to = moved(docs.select("doc_id", F.explode("boundaries").alias("pos")), edits).groupBy("doc_id").agg(F.sort_array(F.collect_set("to")).alias("_to"))
+    small_batches(docs.sparkSession, 128)
     rows = docs.drop("boundaries").join(own, "doc_id", "left")
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop("edits").dtypes)
     rows = rows.mapInArrow(rewrite, kinds).join(to, "doc_id", "left")

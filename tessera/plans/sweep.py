@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import assemble, chars, lines, metrics, scoring, spans
 from tessera.plans.segment import SPANS, SegmentEngine
+from tessera.session import small_batches
 
 #: Thresholds of a boundary, least lengths of a chunk, shares of the second score.
 GRID = ((0.35, 0.5, 0.65, 0.8), (40, 100), (0.0, 0.15, 0.3))
@@ -70,6 +71,7 @@ def boundaries(engine: SegmentEngine, docs: DataFrame, grid=GRID, beside: scorin
             yield pd.DataFrame(out, columns=["setting", "doc_row", "doc_id", "bounds"])
 
     kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession, 128)
     return gathered(engine, docs, beside).mapInPandas(run, f"setting int, doc_row long, doc_id {kind}, bounds array<long>")
 
 

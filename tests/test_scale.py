@@ -139,3 +139,14 @@ def test_a_long_text_after_its_last_sentence(spark, tmp_path):
     assert got == want
     ends = sorted((r["doc_id"], r["pos"]) for r in baselines.sentence_ends(df).collect())
     assert ends == [(d, m.end()) for d, t in enumerate(texts) for m in re.finditer("[.!?](?=[ \\t\\n)\\]}»\"'])", t[:200])]
+
+
+def test_workers_get_few_texts_at_once(spark):
+    from tessera.operators import edits
+    from tessera.plans.segment import SegmentEngine
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "'One line.\nAnother one.' as text", "array(10L) as boundaries")
+    for run in (lambda: SegmentEngine().chunk(docs), lambda: edits.apply(docs, edits.page_marks(docs))):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert run().count() == 3000
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
