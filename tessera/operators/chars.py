@@ -46,58 +46,106 @@ def by_pos():
     return Window.partitionBy("doc_row").orderBy("pos")
 
 
+#: What stands for each character that is neither ASCII, nor accented, nor a bracket: one of its own class, "#" for the rest.
+PLAIN = rf"\x00-\x7F{ACCENTS}"
+STANDS = [(rf"[[^{PLAIN}]&&\p{{Lu}}]", "A"), (rf"[[^{PLAIN}]&&\p{{L}}]", "a"), (rf"[[^{PLAIN}]&&{DIGIT}]", "9"), (rf"[^{PLAIN}«»]", "#")]
+#: The bits of a character's classes, and of those of the one before and the two after it in one number.
+BITS = {name: k for k, name in enumerate([*CLASSES, "PUNC"])}
+SIDES = {"": 0, "prev": 1, "next": 2, "later": 3}
+
+
+def class_bits() -> list[int]:
+    """The bits of each code below 256, as far as characters that stand for others go."""
+    out = []
+    for c in map(chr, range(256)):
+        known = c in ACCENTS or c in "«»" or c < "\x80"
+        is_of = {
+            "L": c.isalpha(), "D": c.isdigit(), "SP": c in " \t", "NL": c == "\n", "UPP": c.isupper(), "TERM": c in ".!?;:", "EOSC": c in ".!?", "QUOTE": c in "\"'",
+            "LBRACK": c in "([{«", "RBRACK": c in ")]}»", "ACC": c in ACCENTS, "PUNC": not (c.isalpha() or c.isdigit() or c in " \t\n"),
+        }
+        out.append(sum(known and is_of[name] << k for name, k in BITS.items()))
+    return out
+
+
+def bit(name: str, side: str = "") -> Column:
+    """Of _m whether the character at a side is of a class."""
+    return F.col("_m").bitwiseAND(F.lit(1 << (len(BITS) * SIDES[side] + BITS[name]))) != 0
+
+
+def ends_sentence(at: str, then: str) -> Column:
+    return bit("EOSC", at) & (bit("SP", then) | bit("NL", then) | bit("RBRACK", then) | bit("QUOTE", then))
+
+
 def explode(lines: DataFrame) -> DataFrame:
-    """lines with pos and ch: a row for each character. A line break belongs to the line that it opens."""
-    own = F.when(F.col("line_no") > 0, F.concat(F.lit("\n"), "seg")).otherwise(F.col("seg"))
-    rows = lines.select("*", F.posexplode(F.split(own, "")).alias("_k", "ch")).where("ch <> ''")
-    return rows.withColumn("pos", F.col("start") - F.when(F.col("line_no") > 0, 1).otherwise(0) + F.col("_k")).drop("_k")
+    """lines with pos, ch, _k (its place in the line), _c (its classes) and _m (those of its neighbours too): a row for each
+    character. A line break belongs to the line that it opens. A character's neighbours come from its line, whose own are two
+    windows over lines, so characters need none. Lines are dealt to more tasks than shuffles have, since characters take far
+    more room than Spark can tell from lines."""
+    tasks = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w, inner = by_line(), F.col("line_no") > 0
+    beside = {"_before": F.lag(F.when(F.col("seg") != "", F.right("seg", F.lit(1))).when(inner, "\n")).over(w), "_first": F.lead(F.substring("seg", 1, 1)).over(w), "_more": F.lead("line_no", 2).over(w).isNotNull()}
+    rows = lines.repartition(tasks, "doc_row").withColumns(beside)
+    own = F.when(inner, F.concat(F.lit("\n"), "seg")).otherwise(F.col("seg"))
+    after = F.when(F.col("_first").isNull(), "##").otherwise(F.concat(F.lit("\n"), F.when(F.col("_first") != "", F.col("_first")).when(F.col("_more"), "\n").otherwise("#")))
+    rows = rows.withColumns({"_own": own, "_wide": F.concat(F.coalesce("_before", F.lit("#")), own, after)})
+    plain = F.col("_wide")
+    for pattern, to in STANDS:
+        plain = F.regexp_replace(plain, pattern, to)
+    rows = rows.withColumn("_codes", F.split(F.when(F.col("_wide").rlike(rf"[^{PLAIN}]"), plain).otherwise(F.col("_wide")), ""))
+    n = F.size("_codes") - 3
+    each = F.arrays_zip(F.split("_own", "").alias("ch"), F.slice("_codes", F.lit(1), n).alias("prev"), F.slice("_codes", F.lit(2), n).alias("own"), F.slice("_codes", F.lit(3), n).alias("next"), F.slice("_codes", F.lit(4), n).alias("later"))
+    rows = rows.where("_own <> ''").select(*lines.columns, F.posexplode(each).alias("_k", "_x"))
+    table = F.lit(class_bits())
+    bits = lambda side: F.get(table, F.ascii(F.col(f"_x.{side or 'own'}"))).cast("long")
+    mask = bits("")
+    for side, k in SIDES.items():
+        mask = mask if not k else mask.bitwiseOR(F.shiftleft(bits(side), len(BITS) * k))
+    return rows.select(*lines.columns, (F.col("start") - F.when(inner, 1).otherwise(0) + F.col("_k")).alias("pos"), F.col("_x.ch").alias("ch"), "_k", bits("").alias("_c"), mask.alias("_m"))
 
 
 def with_classes(chars: DataFrame) -> DataFrame:
-    chars = chars.withColumns({name: F.col("ch").rlike(f"^{p}$" if name != "NL" else r"^\n\z") for name, p in CLASSES.items()})
-    return chars.withColumn("PUNC", ~(F.col("L") | F.col("D") | F.col("SP") | F.col("NL")))
+    return chars.withColumns({name: F.col("_c").bitwiseAND(F.lit(1 << k)) != 0 for name, k in BITS.items()})
 
 
 def with_shifts(chars: DataFrame) -> DataFrame:
     """Classes of the characters beside, and sentence, line and paragraph breaks. A sentence ends at . ! ? before white
     space, a closing bracket or a quote; one at the very end of a text doesn't count."""
-    w = by_pos()
-    step = lambda c, k: (F.lag if k > 0 else F.lead)(c, 1, False).over(w)
-    chars = chars.withColumns({f"{side}_{c}": step(c, k) for c in ("L", "SP", "NL", "TERM", "UPP", "D") for side, k in (("prev", 1), ("next", -1))} | {"_next_close": step("RBRACK", -1), "_next_quote": step("QUOTE", -1), "_next_end": step("EOSC", -1)})
-    chars = chars.withColumns({"eos_here": F.col("EOSC") & (F.col("next_SP") | F.col("next_NL") | F.col("_next_close") | F.col("_next_quote")), "nl_end": F.col("NL") & ~F.col("next_NL"), "para_start": F.col("NL") & F.col("next_NL")})
-    chars = chars.withColumn("eos_peak", F.col("eos_here") & ~F.col("_next_end"))
-    return chars.withColumns({"prev_eos": step("eos_here", 1), "next_eos": step("eos_here", -1), "para_end": step("para_start", 1)}).drop("_next_close", "_next_quote", "_next_end")
+    out = {f"{side}_{c}": bit(c, side) for c in ("L", "SP", "NL", "TERM", "UPP", "D") for side in ("prev", "next")}
+    out |= {"eos_here": ends_sentence("", "next"), "prev_eos": ends_sentence("prev", ""), "next_eos": ends_sentence("next", "later"), "eos_peak": ends_sentence("", "next") & ~bit("EOSC", "next")}
+    out |= {"nl_end": bit("NL") & ~bit("NL", "next"), "para_start": bit("NL") & bit("NL", "next"), "para_end": bit("NL", "prev") & bit("NL")}
+    return chars.withColumns(out)
 
 
 def with_places(chars: DataFrame) -> DataFrame:
-    """Places within the line, the sentence, the word and the document; n_chars is the document's length."""
+    """Places within the line, the sentence, the word and the document; n_chars is the document's length. Windows carry no
+    more of a character than its place and _m."""
     so_far = by_pos().rowsBetween(Window.unboundedPreceding, 0)
     earlier = by_pos().rowsBetween(Window.unboundedPreceding, -1)
     turned = Window.partitionBy("doc_row").orderBy(F.desc("pos"))  # a frame to the end would be summed up anew for each row
     to_come, later = turned.rowsBetween(Window.unboundedPreceding, 0), turned.rowsBetween(Window.unboundedPreceding, -1)
     last = lambda test, frame: F.last(F.when(test, F.col("pos")), ignorenulls=True).over(frame)
-    gap = F.col("SP") | F.col("NL")
+    gap, ends = bit("SP") | bit("NL"), ends_sentence("", "next")
     inside = lambda c, most: clip(c / most, 0.0, 1.0)
-    chars = chars.withColumn("_gap", gap).withColumn("_ended", F.last(F.when(~F.col("_gap"), F.col("eos_here")), ignorenulls=True).over(earlier))
-    chars = chars.withColumn("at_sent_start", (F.col("pos") == 0) | (~F.col("_gap") & F.coalesce("_ended", F.lit(False))))
-    count = lambda c: F.sum(F.col(c).cast("int")).over(so_far)
-    chars = chars.withColumns({"_nl": last(F.col("NL"), so_far), "_sent": last(F.col("at_sent_start"), so_far), "_word": last(F.col("_gap"), so_far), "open_paren": count("LBRACK") > count("RBRACK")})
-    chars = chars.withColumns({"_sent2": last(F.col("at_sent_start"), later), "_eos2": last(F.col("eos_here"), to_come), "_word2": last(F.col("_gap"), to_come)})
+    chars = chars.withColumn("_ended", F.last(F.when(~gap, ends), ignorenulls=True).over(earlier))
+    chars = chars.withColumn("at_sent_start", (F.col("pos") == 0) | (~gap & F.coalesce("_ended", F.lit(False)))).drop("_ended")
+    count = lambda c: F.sum(bit(c).cast("int")).over(so_far)
+    chars = chars.withColumns({"_sent": last(F.col("at_sent_start"), so_far), "_word": last(gap, so_far), "open_paren": count("LBRACK") > count("RBRACK")})
+    chars = chars.withColumns({"_sent2": last(F.col("at_sent_start"), later), "_eos2": last(ends, to_come), "_word2": last(gap, to_come)})
     pos, n = F.col("pos"), F.col("n_chars")
     chars = chars.withColumns(
         {
-            "chars_since_nl": inside(pos - F.coalesce("_nl", F.lit(0)), 200),
-            "is_line_end": F.col("NL") | F.col("next_NL") | (pos == n - 1),
+            "chars_since_nl": inside(F.col("_k"), 200),
+            "is_line_end": bit("NL") | bit("NL", "next") | (pos == n - 1),
             "chars_since_sent": inside(pos - F.col("_sent"), 300),
             "sent_len": inside(F.coalesce("_sent2", n) - F.col("_sent"), 400),
             "dist_to_term": inside(F.coalesce("_eos2", n) - pos, 200),
             "word_len_cur": inside(F.coalesce("_word2", n) - F.coalesce("_word", F.lit(-1)), 30),
-            "in_word": ~F.col("_gap"),
+            "in_word": ~gap,
             "doc_pos": pos / n,
             "near_end": pos > n - 8,
         }
     )
-    return chars.drop("_gap", "_ended", "_nl", "_sent", "_word", "_sent2", "_eos2", "_word2")
+    return chars.drop("_sent", "_word", "_sent2", "_eos2", "_word2")
 
 
 def features(docs: DataFrame, text: str = "text", lines: DataFrame | None = None) -> DataFrame:
@@ -105,7 +153,7 @@ def features(docs: DataFrame, text: str = "text", lines: DataFrame | None = None
     the line's columns, and all of NAMES. An empty or null text has no row."""
     lines = line_features(docs, text) if lines is None else lines
     size = F.max(F.col("start") + F.length("seg")).over(Window.partitionBy("doc_row"))
-    return with_places(with_shifts(with_classes(explode(lines.withColumn("n_chars", size)))))
+    return with_shifts(with_classes(with_places(explode(lines.withColumn("n_chars", size))))).drop("_k", "_c", "_m")
 
 
 #: What makes of . ! ? a sentence's end, but for a line break; where a sentence starts within a line: after an end, without

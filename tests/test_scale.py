@@ -150,3 +150,16 @@ def test_workers_get_few_texts_at_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         assert run().count() == 3000
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_classes_and_shifts_need_no_window_over_characters(spark):
+    from tessera.operators import chars
+
+    every = [chr(c) for c in [*range(0x3000), *range(0xFB00, 0x10000), 0x1D400, 0x1D7CE, 0x1F600] if chr(c) not in "\n\r"]
+    text = "".join(every)
+    rows = lines.split_lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    found = chars.with_shifts(chars.with_classes(chars.explode(rows)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan[: plan.index("Generate posexplode(arrays_zip")]
+    wrong = found.where(" or ".join(f"`{n}` <> (ch rlike '^{p}$')" for n, p in ((n, p.replace("\\", "\\\\").replace("'", "\\'")) for n, p in chars.CLASSES.items() if n != "NL")))
+    assert wrong.select("pos", "ch").collect() == [] and found.count() == len(text)
