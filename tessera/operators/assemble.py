@@ -86,9 +86,13 @@ class Spans:
 
 def split(text: str, a: int, b: int, most: int, least: int, spans: Spans, peaks: list[tuple[int, float]]) -> list[tuple[int, str]]:
     """Cuts that bring text[a:b] under `most`, each in the second half of what may be held: at the highest small peak, else
-    at the last place of the best kind, outside of protected spans; else before the span, else as far as may be."""
+    at the last place of the best kind, outside of protected spans; else before the span, else at a line's or word's end in
+    it, or in the last half of `most`; else as far as may be. What is left is no shorter than `least`."""
     out = []
+    end = a + len(text[a:b].rstrip())
     while (high := holds(text, a, most)) < b:
+        if a + (high - a) // 2 < end - least - 1:
+            high = min(high, end - least - 1)
         low = max(a + (high - a) // 2, a + min(least, high - a - 1))
         near = peaks[bisect_right(peaks, (low, float("inf"))) : bisect_right(peaks, (high, float("inf")))]
         near = [(score, p) for p, score in near if not spans.around(p)]
@@ -99,7 +103,12 @@ def split(text: str, a: int, b: int, most: int, least: int, spans: Spans, peaks:
             found = max((m.end() for m in cut.finditer(text, low, high) if m.end() > low and not spans.around(m.end())), default=None)
         if found is None:
             around = spans.around(high)
-            found = around[0] if around and low < around[0] else high
+            if around and low < around[0]:
+                found = around[0]
+            near = max(a + 1, high - most // 2)
+            for cut in CUTS[2:]:
+                found = found or max((m.end() for m in cut.finditer(text, near, high) if m.end() > near), default=None)
+            found = found or high
         out.append((found, kind))
         a = found
     return out

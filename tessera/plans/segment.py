@@ -56,9 +56,9 @@ class SegmentEngine:
 
     def windows(self, docs: DataFrame) -> DataFrame:
         """docs(doc_id, text) as (doc_id, doc, part, base, text, doc_row): each text in parts of at most window_chars, cut
-        after the last line break in a part's second half, or where it is full. base: the part's offset."""
+        after the last line break in a part's second half, else the last white space there, or where it is full. base: the part's offset."""
         w = self.config.window_chars
-        parts = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{w}}}\z|.{{{w // 2},{w - 1}}}\n|.{{1,{w}}}"), F.lit(0))
+        parts = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{w}}}\z|.{{{w // 2},{w - 1}}}\n|.{{{w // 2},{w - 1}}}\s|.{{1,{w}}}"), F.lit(0))
         start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("b"))
         bases = F.aggregate("_parts", start, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["b"], a["at"]).alias("b")), lambda a: a["b"])
         df = docs.select("doc_id", F.monotonically_increasing_id().alias("doc"), parts.alias("_parts")).withColumn("_bases", bases)

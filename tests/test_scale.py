@@ -163,3 +163,19 @@ def test_classes_and_shifts_need_no_window_over_characters(spark):
     assert "Window" not in plan[: plan.index("Generate posexplode(arrays_zip")]
     wrong = found.where(" or ".join(f"`{n}` <> (ch rlike '^{p}$')" for n, p in ((n, p.replace("\\", "\\\\").replace("'", "\\'")) for n, p in chars.CLASSES.items() if n != "NL")))
     assert wrong.select("pos", "ch").collect() == [] and found.count() == len(text)
+
+
+def test_long_pieces_keep_words_and_leave_no_fragments(spark, tmp_path):
+    from tessera import registry
+
+    words = " ".join(f"word{k}" for k in range(700))
+    texts = [
+        "```\n" + " ".join(f"word{k}" for k in range(3000)),  # a fence that is never closed
+        "\n\n".join("# Heading\n" + words[:2500 + k] for k in range(0, 90, 15)),  # pieces that pass the limit by a little
+        "a b\n" * 70 + "x" * 1200 + " " + "y" * 1150 + " " + words,  # a word before which only earlier places are
+        "word" + " " * 6000 + "end",
+        "word " * 50_001 + "end",  # longer than a window, without a line break
+    ]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.chunk_invariants(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["mid_word"], r["least"]) for r in rows) == [(k, 0, True) for k in range(len(texts))]
