@@ -88,3 +88,39 @@ def test_wrap_keeps_words_and_units(spark):
     assert set(noisy) == {1} and len(noisy[1]["boundaries"]) == 11 and noisy[1]["source"] == "noisy_x"
     rest = edits.apply(df, edits.page_marks(df, 300)).where("doc_id = 1").select("text", F.size("boundaries").alias("n")).first()
     assert rest["n"] == 11 and rest["text"].count("\f") == len("".join(units)) // 300 or rest["text"].count("\f") >= 2
+
+
+def test_edits_come_from_one_walk_of_a_text(spark):
+    """Words cut by boundaries, white space of several kinds, nulls: breaks, marks and words as a plain walk finds them."""
+    import re
+
+    r = random.Random(3)
+    docs = [(d, "".join(r.choice(["word", "überlang", "a", " ", "  ", "\n", "\t", "🎉", "characterisation"]) for _ in range(r.randint(1, 120)))) for d in range(40)]
+    docs = [(d, t, sorted(r.sample(range(len(t) + 1), min(4, len(t))))) for d, t in docs]
+    df = spark.createDataFrame([*docs, (98, None, [1]), (99, "some words", None)], "doc_id long, text string, boundaries array<long>")
+    breaks, words, marks = set(), set(), set()
+    for d, text, bounds in docs:
+        cuts = [0, *(b for b in bounds if 0 < b < len(text)), len(text)]
+        for a, b in zip(cuts, cuts[1:]):
+            held = -1
+            for m in re.finditer(r"(\s*)\S+", text[a:b]):
+                n = len(m.group())
+                opens = held < 0 or held + n > 20
+                if opens and held >= 0:
+                    breaks.add((d, a + m.start(), len(m.group(1))))
+                held = n if opens else held + n
+        words |= {(d, m.start() + 3) for m in re.finditer(r"\S+", text) if re.fullmatch(r"[^\W\d_]{7,}", m.group()) and (d * 7919 + m.start() * 104_729) % 2 == 0}
+        pages = {}
+        for m in re.finditer("\n", text):
+            pages.setdefault(m.end() // 50, m.end())
+        marks |= {(d, p, f"- {no} -\n\f\n") for no, p in pages.items() if no}
+    assert {(x.doc_id, x.pos, x.lost) for x in edits.wrapped(df, 20).collect()} == breaks
+    assert {(x.doc_id, x.pos) for x in edits.mangled_words(df, 2).collect()} == words
+    assert {(x.doc_id, x.pos, x.added) for x in edits.page_marks(df, 50).collect()} == marks
+
+
+def test_edits_need_no_shuffle(spark):
+    """Noise is made where a text lies: nothing of a word or line is dealt out, so the work grows as the texts do."""
+    df = spark.createDataFrame([(1, "some words " * 60, [300], "x")], "doc_id long, text string, boundaries array<long>, source string")
+    plan = edits.noisy_corpus(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
