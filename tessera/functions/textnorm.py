@@ -37,7 +37,7 @@ def normalize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(text, STRIP, "")
+    return F.when(text.rlike(r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]$"), F.regexp_replace(text, STRIP, "")).otherwise(text)
 
 
 def collapse_space(text: Column) -> Column:

@@ -20,7 +20,8 @@ from tessera.functions.textnorm import FOLD_FROM, FOLD_TO
 from tessera.session import small_batches
 
 HEADING = re.compile(PATTERNS["headerish"])
-FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+FOLD = dict(zip(FOLD_FROM, FOLD_TO))
+FOLDED = re.compile(f"[{re.escape(FOLD_FROM)}]")
 #: Where to cut a piece that is too long, the best kind first: after a blank line, a sentence, a line, a word.
 CUTS = [re.compile(p) for p in (r"\n[ \t]*\n", r"[.!?][)\]}»\"']*(?=\s)", r"\n", r"\s")]
 
@@ -114,10 +115,15 @@ def split(text: str, a: int, b: int, most: int, least: int, spans: Spans, peaks:
     return out
 
 
-def cuts_of(text: str, points: list[int], spans: list[tuple[int, int]], cfg: ChunkerConfig, peaks: list[tuple[int, float]] = (), first: str = "start") -> list[tuple[int, int, str]]:
+def normalized(text: str) -> str:
+    """As textnorm.normalize(). A table of all folds would look up each character."""
+    return FOLDED.sub(lambda m: FOLD[m.group()], text.replace("\r\n", "\n").replace("\r", "\n"))
+
+
+def cuts_of(text: str, points: list[int], spans: list[tuple[int, int]], cfg: ChunkerConfig, peaks: list[tuple[int, float]] = (), first: str = "start", norm: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind of the opening boundary) of each chunk in offsets of the text, blank ones left out. points, spans
-    and peaks are offsets of the normalised text."""
-    norm = text.replace("\r\n", "\n").replace("\r", "\n").translate(FOLD)
+    and peaks are offsets of the normalised text; norm: that text, if it is at hand."""
+    norm = normalized(text) if norm is None else norm
     held = Spans(spans)
     free = sorted({q for p in points if 0 < p < len(norm) and not held.around(p) and 0 < (q := word_start(norm, p))})
     edges = [(0, first), *((c, "big") for c in merge(norm, free, cfg.min_chunk_chars)), (len(norm), "end")]
@@ -139,19 +145,19 @@ def cuts_of(text: str, points: list[int], spans: list[tuple[int, int]], cfg: Chu
     return out
 
 
-def assemble(pieces: DataFrame, cfg: ChunkerConfig) -> DataFrame:
+def assemble(pieces: DataFrame, cfg: ChunkerConfig, slices: bool = True) -> DataFrame:
     """pieces(..., text, first, points array<long>, spans array<struct<s,e>>, peaks array<struct<pos,score>>) with `cuts` in
-    place of the last four."""
-    rest = [c for c in pieces.columns if c not in ("first", "points", "spans", "peaks")]
+    place of the last four and text, which each cut has its slice of if asked for: so no chunk's row holds the whole text."""
+    rest = [c for c in pieces.columns if c not in ("text", "first", "points", "spans", "peaks")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for t, f, p, s, k in zip(b["text"], b["first"], b["points"], b["spans"], b["peaks"]):
                 found = cuts_of(t, list(p), [(x["s"], x["e"]) for x in s], cfg, [(x["pos"], x["score"]) for x in k], f) if t else []
-                rows.append([{"start": a, "end": e, "kind": k} for a, e, k in found])
+                rows.append([{"start": a, "end": e, "kind": k} | ({"text": t[a:e]} if slices else {}) for a, e, k in found])
             yield b[rest].assign(cuts=pd.Series(rows, dtype=object, index=b.index))
 
     small_batches(pieces.sparkSession, 128)
     kinds = ", ".join(f"{c} {t}" for c, t in pieces.select(*rest).dtypes)
-    return pieces.mapInPandas(run, f"{kinds}, cuts array<struct<start:int,end:int,kind:string>>")
+    return pieces.mapInPandas(run, f"{kinds}, cuts array<struct<start:int,end:int,kind:string{',text:string' if slices else ''}>>")

@@ -31,7 +31,8 @@ def split_lines(docs: DataFrame, text: str = "text", carry: bool = False) -> Dat
     """
     also = [c for c in PART if c in docs.columns]
     parts = with_row(docs).select("doc_row", "doc_id", *also, F.col(text).alias("_text"), F.split(normalize(F.col(text)), "\n").alias("_segs"))
-    rows = parts.select("doc_row", "doc_id", *also, "_text", F.posexplode("_segs").alias("line_no", "seg"))
+    # Not posexplode(): Spark would put a filter on its array before it, and normalise the text anew for that.
+    rows = parts.select("doc_row", "doc_id", *also, "_text", F.posexplode_outer("_segs").alias("line_no", "seg")).where("seg is not null")
     before = F.sum(F.length("seg") + 1).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
     own = [F.when(F.col("line_no") == 0, F.col("_text")).alias("text")] if carry else []
     rows = rows.select("doc_row", "doc_id", *also, "line_no", "seg", *own)
@@ -114,35 +115,33 @@ def clip(c: Column, low: float, high: float) -> Column:
 def with_neighbours(lines: DataFrame) -> DataFrame:
     """What a line owes to its neighbours: blank runs, and the previous and next line that isn't blank."""
     full = F.col("st") != ""
-    facts = F.when(
-        full,
-        F.struct(
-            F.col("line_no").alias("no"), F.length("st").alias("n"), line_shape(F.col("seg")).alias("shape"), first_word(F.col("seg")).alias("word"), F.col("line_ends_sent").alias("ends"),
-            F.col("st").rlike(r"[\p{javaLowerCase},;-]$").alias("open"), F.col("line_starts_lower").alias("lower"), F.col("line_setext").alias("setext"),
-        ),
-    )
-    lines = lines.withColumn("_f", facts)
-    lines = lines.withColumns({"_p": nearest(F.col("_f"), before()), "_lag": F.lag("st").over(by_line())})
-    lines = lines.withColumn("_n", nearest(F.col("_f"), after()))
-    both = lambda side, field: F.coalesce(F.col(f"_f.{field}") == F.col(f"{side}.{field}"), F.lit(False))
-    delta = lambda side: F.when(F.col(side).isNotNull(), clip((F.length("st") - F.col(f"{side}.n")) / 80, -1.0, 1.0)).otherwise(0.0)
+    facts = {
+        "no": F.col("line_no"), "n": F.length("st"), "shape": line_shape(F.col("seg")), "word": first_word(F.col("seg")), "ends": F.col("line_ends_sent"),
+        "open": F.col("st").rlike(r"[\p{javaLowerCase},;-]$"), "lower": F.col("line_starts_lower"), "setext": F.col("line_setext"),
+    }
+    # A column for each, so that those that no feature asks for aren't computed.
+    lines = lines.withColumns({f"_f_{k}": F.when(full, v) for k, v in facts.items()} | {"_blank": ~full})
+    lines = lines.withColumns({f"_p_{k}": nearest(F.col(f"_f_{k}"), before()) for k in facts} | {"_lag": F.lag("_blank").over(by_line())})
+    lines = lines.withColumns({f"_n_{k}": nearest(F.col(f"_f_{k}"), after()) for k in facts})
+    both = lambda side, fact: F.coalesce(F.col(f"_f_{fact}") == F.col(f"{side}_{fact}"), F.lit(False))
+    delta = lambda side: F.when(F.col(f"{side}_n").isNotNull(), clip((F.length("st") - F.col(f"{side}_n")) / 80, -1.0, 1.0)).otherwise(0.0)
     out = lines.withColumns(
         {
             "line_blank": ~full,
-            "line_after_blank": F.coalesce(F.col("_lag") == "", F.lit(False)),
-            "prev_line_ends_sent": F.coalesce(F.col("_p.ends"), F.lit(False)),
-            "prev_line_ends_open": F.coalesce(F.col("_p.open"), F.lit(False)),
-            "next_line_starts_lower": F.coalesce(F.col("_n.lower"), F.lit(False)),
-            "line_has_setext_under": full & F.coalesce(F.col("_n.setext") & (F.col("_n.no") == F.col("line_no") + 1), F.lit(False)),
+            "line_after_blank": F.coalesce("_lag", F.lit(False)),
+            "prev_line_ends_sent": F.coalesce(F.col("_p_ends"), F.lit(False)),
+            "prev_line_ends_open": F.coalesce(F.col("_p_open"), F.lit(False)),
+            "next_line_starts_lower": F.coalesce(F.col("_n_lower"), F.lit(False)),
+            "line_has_setext_under": full & F.coalesce(F.col("_n_setext") & (F.col("_n_no") == F.col("line_no") + 1), F.lit(False)),
             "line_repeat_prev": both("_p", "shape"),
             "line_repeat_next": both("_n", "shape"),
             "line_same_firstword_prev": both("_p", "word"),
             "line_len_delta_prev": delta("_p"),
             "line_len_delta_next": delta("_n"),
-            "line_blank_run": F.least((F.col("line_no") - F.coalesce(F.col("_p.no"), F.lit(-1)) - 1) / 3, F.lit(1.0)),
+            "line_blank_run": F.least((F.col("line_no") - F.coalesce(F.col("_p_no"), F.lit(-1)) - 1) / 3, F.lit(1.0)),
         }
     )
-    return out.drop("_f", "_p", "_n", "_lag")
+    return out.drop("_lag", "_blank", *(f"_{side}_{k}" for side in "fpn" for k in facts))
 
 
 def with_document(lines: DataFrame) -> DataFrame:

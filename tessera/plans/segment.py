@@ -97,35 +97,36 @@ class SegmentEngine:
         bare = (F.size("points") == 0) & (F.col("_n") > cfg.max_chunk_chars) & F.col("_big").isNotNull()
         return out.withColumns({"points": F.when(bare, F.col("_big")).otherwise(F.col("points")), "peaks": F.coalesce("peaks", none(PEAKS))}).drop("_n", "_big")
 
-    def cuts(self, docs: DataFrame) -> DataFrame:
-        """docs(doc_id, text): (doc_id, text, base, before, cuts) of each piece: its chunks, in offsets of the piece, the
-        piece's offset, and the number of chunks of the document's pieces before it."""
+    def cuts(self, docs: DataFrame, slices: bool = True) -> DataFrame:
+        """docs(doc_id, text): (doc_id, base, before, cuts) of each piece: its chunks, in offsets of the piece and with their
+        slices of it, the piece's offset, and the number of chunks of the document's pieces before it."""
         size = F.coalesce(F.length("text"), F.lit(0))
-        docs = docs.select("doc_id", "text")
-        short = self.gathered(lines.with_row(docs.where(size <= self.config.window_chars))).withColumn("first", F.lit("start"))
-        short = assemble.assemble(short.drop("doc_row"), self.config).select("doc_id", "text", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("before"), "cuts")
+        # Rows are numbered before the filter, which thus reads the text that a plan makes instead of making it once more.
+        docs = lines.with_row(docs.select("doc_id", "text"))
+        short = self.gathered(docs.where(size <= self.config.window_chars)).withColumn("first", F.lit("start"))
+        short = assemble.assemble(short.drop("doc_row"), self.config, slices).select("doc_id", F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("before"), "cuts")
         # Long documents have a plan of their own, since only they need their parts counted: a second, small shuffle.
         pieces = self.windows(docs.where(size > self.config.window_chars))
         long = self.gathered(pieces).withColumn("first", F.when(F.col("part") == 0, "start").otherwise("big"))
-        long = assemble.assemble(long.drop("doc_row"), self.config)
+        long = assemble.assemble(long.drop("doc_row"), self.config, slices)
         earlier = F.sum(F.size("cuts").cast("long")).over(Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        return short.union(long.select("doc_id", "text", "base", F.coalesce(earlier, F.lit(0)).alias("before"), "cuts"))
+        return short.union(long.select("doc_id", "base", F.coalesce(earlier, F.lit(0)).alias("before"), "cuts"))
 
-    def rows(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, chunk_no, start, end, kind, text) of each chunk; text is the piece's."""
-        rows = self.cuts(docs).select("doc_id", "text", "base", "before", F.posexplode("cuts").alias("k", "c"))
-        return rows.select("doc_id", (F.col("before") + F.col("k")).cast("int").alias("chunk_no"), "base", F.col("c.start").alias("s"), F.col("c.end").alias("e"), F.col("c.kind").alias("kind"), "text")
+    def rows(self, docs: DataFrame, slices: bool = True) -> DataFrame:
+        """(doc_id, chunk_no, base, s, e, kind, text) of each chunk; text is its own, if asked for."""
+        rows = self.cuts(docs, slices).select("doc_id", "base", "before", F.posexplode("cuts").alias("k", "c"))
+        return rows.select("doc_id", (F.col("before") + F.col("k")).cast("int").alias("chunk_no"), "base", F.col("c.start").alias("s"), F.col("c.end").alias("e"), F.col("c.kind").alias("kind"), *([F.col("c.text").alias("text")] if slices else []))
 
     def chunk(self, docs: DataFrame) -> DataFrame:
         """docs(doc_id, text): (doc_id, chunk_no, start, end, kind, text, n_chars). Each text is an exact slice of the
         original without white space at its ends; a null or blank document has no chunk. Repeated rows, and rows without an
         id, are chunked each for itself."""
         size = F.col("e") - F.col("s")
-        return self.rows(docs).select("doc_id", "chunk_no", (F.col("base") + F.col("s")).cast("int").alias("start"), (F.col("base") + F.col("e")).cast("int").alias("end"), "kind", F.substr("text", F.col("s") + 1, size).alias("text"), size.alias("n_chars"))
+        return self.rows(docs).select("doc_id", "chunk_no", (F.col("base") + F.col("s")).cast("int").alias("start"), (F.col("base") + F.col("e")).cast("int").alias("end"), "kind", "text", size.alias("n_chars"))
 
     def boundaries(self, docs: DataFrame) -> DataFrame:
         """(doc_id, pos, kind): where each chunk but the first starts, in the original text."""
-        return self.rows(docs).where("chunk_no > 0").select("doc_id", (F.col("base") + F.col("s")).cast("long").alias("pos"), "kind")
+        return self.rows(docs, slices=False).where("chunk_no > 0").select("doc_id", (F.col("base") + F.col("s")).cast("long").alias("pos"), "kind")
 
 
 def engine_of(config: ChunkerConfig | None = None, line_weights: str | None = None, char_weights: str | None = None) -> SegmentEngine:

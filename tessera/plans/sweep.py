@@ -62,11 +62,11 @@ def boundaries(engine: SegmentEngine, docs: DataFrame, grid=GRID, beside: scorin
         for b in batches:
             out = []
             for row, doc, text, held, scores in zip(b["doc_row"], b["doc_id"], b["text"], b["spans"], b["scores"]):
-                around, done = [(x["s"], x["e"]) for x in held], {}
+                around, done, norm = [(x["s"], x["e"]) for x in held], {}, assemble.normalized(text or "")
                 for k, (big, blend, cfg) in enumerate(configs):
                     key = (tuple(points_of(scores, big, blend, steps)), cfg.min_chunk_chars)
                     if key not in done:  # settings that mark the same lines
-                        done[key] = [a for a, _, _ in assemble.cuts_of(text, list(key[0]), around, cfg)[1:]] if text else []
+                        done[key] = [a for a, _, _ in assemble.cuts_of(text, list(key[0]), around, cfg, norm=norm)[1:]] if text else []
                     out.append((k, row, doc, done[key]))
             yield pd.DataFrame(out, columns=["setting", "doc_row", "doc_id", "bounds"])
 

@@ -179,3 +179,24 @@ def test_long_pieces_keep_words_and_leave_no_fragments(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = registry.chunk_invariants(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["mid_word"], r["least"]) for r in rows) == [(k, 0, True) for k in range(len(texts))]
+
+
+def test_a_line_costs_what_its_features_ask_for(spark):
+    """Texts are normalised once for their lines, and facts of neighbours that the scorer has no weight for aren't computed."""
+    from tessera.plans.segment import SegmentEngine
+
+    docs = spark.createDataFrame([(1, "a\nb"), (2, None), (3, "")], "doc_id long, text string")
+    plan = lines.split_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    plan = SegmentEngine().chunk(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "javaUpperCase" not in plan
+    assert sorted((r.doc_id, r.line_no, r.seg) for r in lines.split_lines(docs).collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "")]
+
+
+def test_normalised_alike_in_both_engines(spark):
+    from tessera.functions import textnorm
+    from tessera.operators import assemble
+
+    texts = [f"x{c}\r\ny{c}{c}\r{c}z\n" for c in textnorm.FOLD_FROM] + ["plain", "", "\r\r\n\n\r"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").orderBy("k").select(textnorm.normalize(F.col("text"))).collect()
+    assert [r[0] for r in got] == [assemble.normalized(t) for t in texts]
