@@ -46,14 +46,15 @@ def filled(scores: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.where("start < end")
 
 
-def merged_marks(marks: DataFrame, sizes: DataFrame, margin: int = 150, apart: int = 5) -> DataFrame:
-    """marks(doc_id, section_no, pos) of sections(doc_id, section_no, start, end): (doc_id, pos). In documents of several sections
-    marks nearer than `margin` to either end of their section go, and of those left each that lies within `apart` of the last
-    one that stayed."""
-    many = sizes.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many"))
-    rows = marks.join(sizes.select("doc_id", "section_no", "start", "end"), ["doc_id", "section_no"]).join(many, "doc_id")
-    rows = rows.where(~F.col("_many") | ((F.col("pos") >= F.col("start") + margin) & (F.col("pos") < F.col("end") - margin)))
-    own = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("pos").cast("long"))).alias("_p"), F.max("_many").alias("_many"))
+def merged_sections(sections_: DataFrame, margin: int = 150, apart: int = 5) -> DataFrame:
+    """sections(doc_id, section_no, start, end, marks array<long>): (doc_id, pos). In documents of several sections marks nearer
+    than `margin` to either end of their section go, and of those left each that lies within `apart` of the last one that
+    stayed. What is dealt by document is a row for each section, not for each mark."""
+    far = F.filter("marks", lambda p: (p >= F.col("start") + margin) & (p < F.col("end") - margin))
+    rows = sections_.select("doc_id", F.struct(F.col("marks").alias("all"), far.alias("far")).alias("_s"))
+    own = rows.groupBy("doc_id").agg(F.collect_list("_s").alias("_s")).withColumn("_many", F.size("_s") > 1)
+    places = F.when(F.col("_many"), F.flatten(F.transform("_s", lambda x: x["far"]))).otherwise(F.flatten(F.transform("_s", lambda x: x["all"])))
+    own = own.select("doc_id", "_many", F.sort_array(F.array_distinct(places)).alias("_p"))
     gaps = F.transform("_p", lambda p, i: p - F.get("_p", i - 1))
 
     def step(held, gap):
@@ -63,3 +64,10 @@ def merged_marks(marks: DataFrame, sizes: DataFrame, margin: int = 150, apart: i
     own = own.withColumn("_g", F.transform(gaps, lambda g: F.coalesce(g, F.lit(0)))).withColumn("_o", openings(F.col("_g"), step))
     stay = F.when(F.col("_many"), F.transform("_o", lambda i: F.get("_p", i))).otherwise(F.col("_p"))
     return own.select("doc_id", F.explode(stay).alias("pos"))
+
+
+def merged_marks(marks: DataFrame, sizes: DataFrame, margin: int = 150, apart: int = 5) -> DataFrame:
+    """merged_sections() of marks(doc_id, section_no, pos) in a table of their own, of sections(doc_id, section_no, start, end)."""
+    lists = marks.groupBy("doc_id", "section_no").agg(F.collect_list(F.col("pos").cast("long")).alias("marks"))
+    rows = sizes.select("doc_id", "section_no", "start", "end").join(lists, ["doc_id", "section_no"], "left")
+    return merged_sections(rows.withColumn("marks", F.coalesce("marks", F.array().cast("array<bigint>"))), margin, apart)

@@ -200,3 +200,25 @@ def test_normalised_alike_in_both_engines(spark):
     texts = [f"x{c}\r\ny{c}{c}\r{c}z\n" for c in textnorm.FOLD_FROM] + ["plain", "", "\r\r\n\n\r"]
     got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").orderBy("k").select(textnorm.normalize(F.col("text"))).collect()
     assert [r[0] for r in got] == [assemble.normalized(t) for t in texts]
+
+
+def test_marks_of_sections_are_dealt_as_lists(spark):
+    """Of overlapping sections a row for each goes to its document, and a table of marks gives the same as lists of them."""
+    from tessera.operators import overlap
+
+    docs = spark.createDataFrame([(1, "x" * 9000), (2, "y" * 100), (3, "z" * 2500)], "doc_id long, text string")
+    found = overlap.sections(docs, 1000, 200).withColumn("marks", F.sequence(F.col("start") + 1, F.col("end") - 1, F.lit(7).cast("long")))
+    rows = found.select("doc_id", "section_no", "start", "end", "marks")
+    got = overlap.merged_sections(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    table = overlap.merged_marks(rows.select("doc_id", "section_no", F.explode("marks").alias("pos")), rows)
+    want = set()
+    for d, n in ((1, 9000), (2, 100), (3, 2500)):
+        ends = [(r.start, r.end) for r in rows.where(F.col("doc_id") == d).collect()]
+        held = None
+        for p in sorted({p for a, b in ends for p in range(a + 1, b, 7) if len(ends) == 1 or a + 150 <= p < b - 150}):
+            if len(ends) == 1 or held is None or p - held > 5:
+                held = p
+                want.add((d, p))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in table.collect()} == want
