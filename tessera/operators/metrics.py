@@ -75,7 +75,9 @@ def compare(before: DataFrame, now: DataFrame, bucket: str, metric: str, worst:
 def containment(chunks: DataFrame, frags: DataFrame) -> DataFrame:
     """chunks(doc_id, chunk_no, start, end), frags(doc_id, fs, fe): of each fragment the first chunk that holds it whole."""
     frags = frags.select("doc_id", "fs", "fe").distinct()
-    met = stab(frags, "fs", chunks.select("doc_id", "chunk_no", "start", "end"), "start", "end").where(F.col("end") >= F.col("fe"))
+    # Kept, since their levels are counted before they are joined: chunks may be dear to make, their places are few bytes.
+    places = chunks.select("doc_id", "chunk_no", "start", "end").persist()
+    met = stab(frags, "fs", places, "start", "end").where(F.col("end") >= F.col("fe"))
     best = met.groupBy("doc_id", "fs", "fe").agg(F.min_by(F.struct("chunk_no", (F.col("end") - F.col("start")).alias("size")), "chunk_no").alias("c"))
     held = frags.join(best, ["doc_id", "fs", "fe"], "left")
     return held.select("doc_id", "fs", "fe", F.col("c.chunk_no").alias("chunk_no"), (F.col("c.size") / (F.col("fe") - F.col("fs"))).alias("noise"))

@@ -124,6 +124,11 @@ class SegmentEngine:
         size = F.col("e") - F.col("s")
         return self.rows(docs).select("doc_id", "chunk_no", (F.col("base") + F.col("s")).cast("int").alias("start"), (F.col("base") + F.col("e")).cast("int").alias("end"), "kind", "text", size.alias("n_chars"))
 
+    def places(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, chunk_no, start, end) of each chunk, without its text."""
+        rows = self.rows(docs, slices=False)
+        return rows.select("doc_id", "chunk_no", (F.col("base") + F.col("s")).cast("int").alias("start"), (F.col("base") + F.col("e")).cast("int").alias("end"))
+
     def boundaries(self, docs: DataFrame) -> DataFrame:
         """(doc_id, pos, kind): where each chunk but the first starts, in the original text."""
         return self.rows(docs, slices=False).where("chunk_no > 0").select("doc_id", (F.col("base") + F.col("s")).cast("long").alias("pos"), "kind")

@@ -222,3 +222,15 @@ def test_marks_of_sections_are_dealt_as_lists(spark):
                 held = p
                 want.add((d, p))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in table.collect()} == want
+
+
+def test_chunks_are_made_once_for_their_fragments(spark):
+    """The places of chunks are kept when their levels are counted, and the join reads them instead of chunking anew."""
+    from tessera.plans.segment import SegmentEngine
+
+    docs = spark.createDataFrame([(1, "# A\n\nsome words. " * 90)], "doc_id long, text string")
+    frags = spark.createDataFrame([(1, 10, 20), (1, 300, 360)], "doc_id long, fs long, fe long")
+    engine = SegmentEngine()
+    assert engine.places(docs).collect() == engine.chunk(docs).select("doc_id", "chunk_no", "start", "end").collect()
+    plan = metrics.containment(engine.places(docs), frags)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan
