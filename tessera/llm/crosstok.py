@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, partitions, small_batches, texts
@@ -414,10 +414,12 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str) -> Dat
     linked = s.table(found.mapInArrow(sweeper(paths, arrow_kind, SWEEP, CHUNK), schema), "linked")
     shift = Sweep(pair_for(paths)).shift
     each = linked.select("chunk", F.explode(F.arrays_zip("codes", "docs")).alias("x")).select("chunk", F.col("x.codes").alias("code"), F.col("x.docs").alias("docs"))
-    counts = each.groupBy("code").agg(F.sum("docs").alias("total")).withColumn("a", F.shiftright("code", shift))
-    # An A id has no more pairs than B has ids.
-    counts = counts.withColumn("best", F.col("total") == F.max("total").over(Window.partitionBy("a"))).select("code", "total", "best")
-    back = each.select("chunk", "code").join(counts, "code").groupBy("chunk").agg(F.collect_list(F.struct("code", "total", "best")).alias("counts"))
+    # A pair's lists stand beside its count, so that each list gets it back once and without a join.
+    pairs = s.table(each.groupBy("code").agg(F.sum("docs").alias("total"), F.collect_list("chunk").alias("chunks")).withColumn("a", F.shiftright("code", shift)), "pairs")
+    # There are no more rows of these than A has ids.
+    highest = pairs.groupBy("a").agg(F.max("total").alias("most"))
+    counts = pairs.join(F.broadcast(highest), "a").select(F.struct("code", "total", (F.col("total") == F.col("most")).alias("best")).alias("count"), "chunks")
+    back = counts.select("count", F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.collect_list("count").alias("counts"))
     whole = linked.drop("codes", "docs").join(back.hint("shuffle_hash"), "chunk", "left")
     return whole.mapInArrow(adder, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 

@@ -101,3 +101,12 @@ def test_null_and_repeated_ids(spark):
     paths = [queries.tokenizer_path(x) for x in (queries.BYTE_BPE, queries.PIECES)]
     want = [(r[0], *w) for r, w in zip(rows, brute([r[1] for r in rows]))]
     assert got(crosstok.align(spark, df, *paths), *COLS) == sorted(want, key=repr)
+
+
+def test_pairs_are_not_joined_by_list(spark, tiny):
+    """Small lists name the same pairs many times: they get the counts back from the pair's own row, not by a join of their rows."""
+    df, _ = read_docs(spark, tiny)
+    paths = [queries.tokenizer_path(x) for x in (queries.BYTE_BPE, queries.PIECES)]
+    plan = crosstok.align(spark, df.repartition(8), *paths)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("code#" in line for line in joins)
