@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.textnorm import DIGIT
+from tessera.session import small_batches
 
+from . import places
 from .lines import after, before, by_line, clip, features as line_features, nearest
 
 # The features in the order in which networks take them.
@@ -42,10 +44,6 @@ def schema_digest() -> str:
     return hashlib.sha1("|".join(NAMES).encode()).hexdigest()[:12]
 
 
-def by_pos():
-    return Window.partitionBy("doc_row").orderBy("pos")
-
-
 #: What stands for each character that is neither ASCII, nor accented, nor a bracket: one of its own class, "#" for the rest.
 PLAIN = rf"\x00-\x7F{ACCENTS}"
 STANDS = [(rf"[[^{PLAIN}]&&\p{{Lu}}]", "A"), (rf"[[^{PLAIN}]&&\p{{L}}]", "a"), (rf"[[^{PLAIN}]&&{DIGIT}]", "9"), (rf"[^{PLAIN}«»]", "#")]
@@ -76,31 +74,36 @@ def ends_sentence(at: str, then: str) -> Column:
     return bit("EOSC", at) & (bit("SP", then) | bit("NL", then) | bit("RBRACK", then) | bit("QUOTE", then))
 
 
-def explode(lines: DataFrame) -> DataFrame:
+def explode(lines: DataFrame, with_places: bool = False) -> DataFrame:
     """lines with pos, ch, _k (its place in the line), _c (its classes) and _m (those of its neighbours too): a row for each
     character. A line break belongs to the line that it opens. A character's neighbours come from its line, whose own are two
     windows over lines, so characters need none. Lines are dealt to more tasks than shuffles have, since characters take far
-    more room than Spark can tell from lines."""
+    more room than Spark can tell from lines. with_places: lines of with_size(), and the characters have places.NAMES too."""
     tasks = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w, inner = by_line(), F.col("line_no") > 0
     beside = {"_before": F.lag(F.when(F.col("seg") != "", F.right("seg", F.lit(1))).when(inner, "\n")).over(w), "_first": F.lead(F.substring("seg", 1, 1)).over(w), "_more": F.lead("line_no", 2).over(w).isNotNull()}
     rows = lines.repartition(tasks, "doc_row").withColumns(beside)
-    own = F.when(inner, F.concat(F.lit("\n"), "seg")).otherwise(F.col("seg"))
     after = F.when(F.col("_first").isNull(), "##").otherwise(F.concat(F.lit("\n"), F.when(F.col("_first") != "", F.col("_first")).when(F.col("_more"), "\n").otherwise("#")))
-    rows = rows.withColumns({"_own": own, "_wide": F.concat(F.coalesce("_before", F.lit("#")), own, after)})
+    rows = rows.withColumns({"_own": own(), "_wide": F.concat(F.coalesce("_before", F.lit("#")), own(), after)}).drop(*beside)
+    if with_places:
+        rows = with_carried(rows)
+    rows = rows.where("_own <> ''")
     plain = F.col("_wide")
     for pattern, to in STANDS:
         plain = F.regexp_replace(plain, pattern, to)
     rows = rows.withColumn("_codes", F.split(F.when(F.col("_wide").rlike(rf"[^{PLAIN}]"), plain).otherwise(F.col("_wide")), ""))
     n = F.size("_codes") - 3
-    each = F.arrays_zip(F.split("_own", "").alias("ch"), F.slice("_codes", F.lit(1), n).alias("prev"), F.slice("_codes", F.lit(2), n).alias("own"), F.slice("_codes", F.lit(3), n).alias("next"), F.slice("_codes", F.lit(4), n).alias("later"))
-    rows = rows.where("_own <> ''").select(*lines.columns, F.posexplode(each).alias("_k", "_x"))
+    if with_places:
+        rows = rows.withColumn("_places", of_places(places.values))
+    also = [F.col("_places").alias("place")] if with_places else []
+    each = F.arrays_zip(F.split("_own", "").alias("ch"), F.slice("_codes", F.lit(1), n).alias("prev"), F.slice("_codes", F.lit(2), n).alias("own"), F.slice("_codes", F.lit(3), n).alias("next"), F.slice("_codes", F.lit(4), n).alias("later"), *also)
+    rows = rows.select(*lines.columns, F.posexplode(each).alias("_k", "_x"))
     table = F.lit(class_bits())
     bits = lambda side: F.get(table, F.ascii(F.col(f"_x.{side or 'own'}"))).cast("long")
     mask = bits("")
     for side, k in SIDES.items():
         mask = mask if not k else mask.bitwiseOR(F.shiftleft(bits(side), len(BITS) * k))
-    return rows.select(*lines.columns, (F.col("start") - F.when(inner, 1).otherwise(0) + F.col("_k")).alias("pos"), F.col("_x.ch").alias("ch"), "_k", bits("").alias("_c"), mask.alias("_m"))
+    return rows.select(*lines.columns, (F.col("start") - F.when(inner, 1).otherwise(0) + F.col("_k")).alias("pos"), F.col("_x.ch").alias("ch"), "_k", bits("").alias("_c"), mask.alias("_m"), *(["_x.place.*"] if with_places else []))
 
 
 def with_classes(chars: DataFrame) -> DataFrame:
@@ -116,44 +119,12 @@ def with_shifts(chars: DataFrame) -> DataFrame:
     return chars.withColumns(out)
 
 
-def with_places(chars: DataFrame) -> DataFrame:
-    """Places within the line, the sentence, the word and the document; n_chars is the document's length. Windows carry no
-    more of a character than its place and _m."""
-    so_far = by_pos().rowsBetween(Window.unboundedPreceding, 0)
-    earlier = by_pos().rowsBetween(Window.unboundedPreceding, -1)
-    turned = Window.partitionBy("doc_row").orderBy(F.desc("pos"))  # a frame to the end would be summed up anew for each row
-    to_come, later = turned.rowsBetween(Window.unboundedPreceding, 0), turned.rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda test, frame: F.last(F.when(test, F.col("pos")), ignorenulls=True).over(frame)
-    gap, ends = bit("SP") | bit("NL"), ends_sentence("", "next")
-    inside = lambda c, most: clip(c / most, 0.0, 1.0)
-    chars = chars.withColumn("_ended", F.last(F.when(~gap, ends), ignorenulls=True).over(earlier))
-    chars = chars.withColumn("at_sent_start", (F.col("pos") == 0) | (~gap & F.coalesce("_ended", F.lit(False)))).drop("_ended")
-    count = lambda c: F.sum(bit(c).cast("int")).over(so_far)
-    chars = chars.withColumns({"_sent": last(F.col("at_sent_start"), so_far), "_word": last(gap, so_far), "open_paren": count("LBRACK") > count("RBRACK")})
-    chars = chars.withColumns({"_sent2": last(F.col("at_sent_start"), later), "_eos2": last(ends, to_come), "_word2": last(gap, to_come)})
-    pos, n = F.col("pos"), F.col("n_chars")
-    chars = chars.withColumns(
-        {
-            "chars_since_nl": inside(F.col("_k"), 200),
-            "is_line_end": bit("NL") | bit("NL", "next") | (pos == n - 1),
-            "chars_since_sent": inside(pos - F.col("_sent"), 300),
-            "sent_len": inside(F.coalesce("_sent2", n) - F.col("_sent"), 400),
-            "dist_to_term": inside(F.coalesce("_eos2", n) - pos, 200),
-            "word_len_cur": inside(F.coalesce("_word2", n) - F.coalesce("_word", F.lit(-1)), 30),
-            "in_word": ~gap,
-            "doc_pos": pos / n,
-            "near_end": pos > n - 8,
-        }
-    )
-    return chars.drop("_sent", "_word", "_sent2", "_eos2", "_word2")
-
-
 def features(docs: DataFrame, text: str = "text", lines: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, text): a row for each character of the normalised text: doc_row, doc_id, pos, ch, start (of its line),
     the line's columns, and all of NAMES. An empty or null text has no row."""
     lines = line_features(docs, text) if lines is None else lines
-    size = F.max(F.col("start") + F.length("seg")).over(Window.partitionBy("doc_row"))
-    return with_shifts(with_classes(with_places(explode(lines.withColumn("n_chars", size))))).drop("_k", "_c", "_m")
+    small_batches(lines.sparkSession, 128)
+    return with_shifts(with_classes(explode(with_size(lines), with_places=True))).drop("_k", "_c", "_m")
 
 
 #: What makes of . ! ? a sentence's end, but for a line break; where a sentence starts within a line: after an end, without
@@ -163,6 +134,69 @@ LAST_START = rf"(?s)^(.*[.!?](?={CLOSE})[ \t]*+)[^ \t]"
 FIRST_START = rf"(?s)^(.*?[.!?](?={CLOSE})[ \t]*+)[^ \t]"
 
 
+#: Columns of with_carried().
+CARRIED = ("_balance", "_stops", "_lead", "_end", "_in1", "_in2", "_open", "_lead_start", "_last", "_first", "_before", "_after", "_end_after")
+
+
+def with_carried(rows: DataFrame) -> DataFrame:
+    """Lines with n_chars, and what windows over their document's lines carry on: the brackets open
+    before a line, whether its first character that is no blank starts a sentence, and where the last sentence before it
+    starts, and the first one after it starts and ends. A line is summed up for it by where sentences start and end in it, and
+    by its brackets."""
+    count = lambda name: F.regexp_count("seg", F.lit(CLASSES[name]))
+    part = lambda pattern, group: F.regexp_extract("seg", pattern, group)
+    goes_on, right = F.col("start") + F.length("seg") < F.col("n_chars"), F.right("seg", F.lit(1))
+    # Columns of their own, so that no pattern is looked for twice.
+    rows = rows.withColumns(
+        {
+            "_brackets": F.when(F.col("seg").rlike(r"[(\[{«)\]}»]"), count("LBRACK") - count("RBRACK")).otherwise(0),
+            "_bare": F.when(right.isin(" ", "\t"), part(r"([^ \t])[ \t]*+\z", 1)).otherwise(right),
+            "_blanks": F.when(F.substring("seg", 1, 1).isin(" ", "\t"), F.length(part(r"^[ \t]*+", 0))).otherwise(0),
+            # An end counts at the line's end too, unless the text ends there.
+            "_to_end": F.length(F.when(goes_on, part(rf"(?s)^(.*?)[.!?](?={CLOSE}|\z)", 0)).otherwise(part(rf"(?s)^(.*?)[.!?](?={CLOSE})", 0))),
+            "_to_first": F.length(part(FIRST_START, 1)),
+            "_to_last": F.length(part(LAST_START, 1)),
+        }
+    )
+    some, place = F.col("_bare") != "", lambda c, off: F.when(F.col(c) > 0, F.col("start") + F.col(c) - off)
+    rows = rows.withColumns(
+        {
+            "_balance": F.col("_brackets").cast("long"), "_stops": F.when(some, F.col("_bare").isin(*".!?")), "_lead": F.when(some, F.col("_blanks").cast("long")), "_end": place("_to_end", 1),
+            "_in1": place("_to_first", 0), "_in2": place("_to_last", 0),
+        }
+    ).drop("_brackets", "_bare", "_blanks", "_to_end", "_to_first", "_to_last")
+    # Whether the last character before the line that is no blank ends a sentence: then the line's first such one starts one.
+    carried = F.coalesce(nearest(F.col("_stops"), before()), F.lit(False))
+    rows = rows.withColumns({"_open": F.coalesce(F.sum("_balance").over(before()), F.lit(0)), "_lead_start": F.when(carried & F.col("_lead").isNotNull(), F.col("start") + F.col("_lead"))})
+    rows = rows.withColumns({"_last": F.coalesce("_in2", "_lead_start", F.when(F.col("line_no") == 0, 0)), "_first": F.coalesce("_lead_start", "_in1")})
+    return rows.withColumns({"_before": nearest(F.col("_last"), before()), "_after": nearest(F.col("_first"), after()), "_end_after": nearest(F.col("_end"), after())})
+
+
+def with_size(lines: DataFrame) -> DataFrame:
+    """lines with n_chars, the document's length."""
+    return lines.withColumn("n_chars", F.max(F.col("start") + F.length("seg")).over(Window.partitionBy("doc_row")))
+
+
+def own() -> Column:
+    """A line with the line break that opens it."""
+    return F.when(F.col("line_no") > 0, F.concat(F.lit("\n"), "seg")).otherwise(F.col("seg"))
+
+
+def of_places(function) -> Column:
+    """places.values() or places.sums() of with_carried() with _own, which isn't empty."""
+    first = F.col("start") - F.when(F.col("line_no") > 0, 1).otherwise(0)
+    since, to, stop = (F.coalesce(c, other).cast("long") for c, other in (("_before", F.lit(0)), ("_after", F.col("n_chars")), ("_end_after", F.col("n_chars"))))
+    return function("_own", first, "n_chars", "_open", since, to, stop, F.col("_lead_start").isNotNull())
+
+
+def place_sums(lines: DataFrame) -> DataFrame:
+    """lines(doc_row, doc_id, line_no, start, seg): (doc_row, doc_id, places.NAMES), sums over the characters of each line that
+    has any, fractions in millionths: the places of features(), without a row for each character."""
+    small_batches(lines.sparkSession)
+    rows = with_carried(with_size(lines)).withColumn("_own", own()).where("_own <> ''")
+    return rows.select("doc_row", "doc_id", of_places(places.sums).alias("_sums")).select("doc_row", "doc_id", "_sums.*")
+
+
 def line_starts(lines: DataFrame) -> DataFrame:
     """lines.features(): of each line that isn't empty the features of its first character: the rows of features() at line
     starts, without a row for each character. A line is summed up by its first characters, where sentences start and end in
@@ -179,23 +213,7 @@ def line_starts(lines: DataFrame) -> DataFrame:
     out |= {"eos_here": ends("ch", "_c2"), "next_eos": ends("_c2", "_c3"), "prev_eos": F.lit(False), "nl_end": F.lit(False), "para_start": F.lit(False), "para_end": F.lit(False)}
     rows = rows.withColumns(out)
     rows = rows.withColumns({"PUNC": ~(F.col("L") | F.col("D") | F.col("SP") | F.col("NL")), "eos_peak": F.col("eos_here") & ~test("_c2", "EOSC")})
-    count = lambda name: F.regexp_count("seg", F.lit(CLASSES[name])).cast("long")
-    found = lambda c: F.when(c > 0, F.col("start") + c)
-    bare = F.regexp_extract("seg", r"([^ \t])[ \t]*+$", 1)
-    # An end counts at the line's end too, unless the text ends there.
-    end = F.when(F.col("_more"), F.regexp_extract("seg", rf"(?s)^(.*?)[.!?](?={CLOSE}|\z)", 0)).otherwise(F.regexp_extract("seg", rf"(?s)^(.*?)[.!?](?={CLOSE})", 0))
-    lead = F.length(F.regexp_extract("seg", r"^[ \t]*+", 0))
-    rows = rows.withColumns(
-        {
-            "_balance": count("LBRACK") - count("RBRACK"), "_stops": F.when(bare != "", bare.rlike("^[.!?]$")), "_lead": F.when(bare != "", lead.cast("long")), "_end": F.when(F.length(end) > 0, F.col("start") + F.length(end) - 1),
-            "_in1": found(F.length(F.regexp_extract("seg", FIRST_START, 1))), "_in2": found(F.length(F.regexp_extract("seg", LAST_START, 1))),
-        }
-    )
-    # Whether the last character before the line that is no blank ends a sentence: then the line's first such one starts one.
-    carried = F.coalesce(nearest(F.col("_stops"), before()), F.lit(False))
-    rows = rows.withColumns({"_open": F.coalesce(F.sum("_balance").over(before()), F.lit(0)), "_lead_start": F.when(carried & F.col("_lead").isNotNull(), F.col("start") + F.col("_lead"))})
-    rows = rows.withColumns({"_last": F.coalesce("_in2", "_lead_start", F.when(F.col("line_no") == 0, 0)), "_first": F.coalesce("_lead_start", "_in1")})
-    rows = rows.withColumns({"_before": nearest(F.col("_last"), before()), "_after": nearest(F.col("_first"), after()), "_end_after": nearest(F.col("_end"), after())})
+    rows = with_carried(rows)
     gap, pos, size = F.col("SP") | F.col("NL"), F.col("pos"), F.col("n_chars")
     inside = lambda c, most: clip(c / most, 0.0, 1.0)
     rows = rows.withColumn("at_sent_start", (pos == 0) | F.coalesce(F.col("_lead_start") == pos, F.lit(False)))
@@ -215,7 +233,7 @@ def line_starts(lines: DataFrame) -> DataFrame:
             "near_end": pos > size - 8,
         }
     )
-    return rows.where("seg <> ''").drop("_more", "_c2", "_c3", "_balance", "_stops", "_lead", "_end", "_in1", "_in2", "_open", "_lead_start", "_last", "_first", "_before", "_after", "_end_after")
+    return rows.where("seg <> ''").drop("_more", "_c2", "_c3", *CARRIED)
 
 
 def matrix(chars: DataFrame, names: tuple[str, ...] = NAMES) -> Column:

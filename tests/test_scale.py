@@ -245,3 +245,30 @@ def test_content_of_blank_and_repeated_rows_is_conserved(spark, tmp_path):
     for query in (registry.chunk_content_conserved, registry.chunk_content_conserved_crlf):
         got = sorted(map(tuple, query(spark, str(tmp_path)).collect()), key=repr)
         assert got == sorted([(d, True, True) for d, _ in rows], key=repr)
+
+
+def test_places_are_summed_without_a_row_for_each_character(spark, tmp_path, monkeypatch):
+    """Sums of places equal those of the definitions, on odd texts and over groups of lines."""
+    import pyarrow as pa
+    from test_core import char_values
+
+    from tessera import registry
+    from tessera.functions import textnorm
+    from tessera.operators import places
+
+    r = random.Random(7)
+    made = ["".join(r.choice("aB1 .!?()[}\n\n\t\"'é²«»🎉\x85\r\u2028日") for _ in range(r.randint(1, 90))) for _ in range(60)]
+    texts = [*ODD_LINES, *made, "", None, "\n", "\n\n.", "stop.\x85\nnext", "one. «two» 🎉🎉 three! " * 20, "x" * 450 + ". " + "y" * 350]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.char_places(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(arrays_zip" not in plan
+    deco = registry.deco(spark, str(tmp_path)).select("doc_id", textnorm.normalize(F.col("text")).alias("t")).collect()
+    whole = lambda name, v: int(v * 1_000_000 + 0.5) if registry.PLACES[name] else int(v)
+    want = {d: {name: sum(whole(name, v[name]) for v in char_values(t)) for name in registry.PLACES} for d, t in deco if t}
+    assert {x["doc_id"]: {name: x[name] for name in registry.PLACES} for x in df.collect()} == want and len(want) > 70
+    lines_of = [(own, sum(len(x) for x in owns[:k]), sum(map(len, owns))) for t in texts[:14] for owns in [re.split(r"(?=\n)", t.replace("\r", "\n"))] for k, own in enumerate(owns) if own]
+    args = [pa.array(x) for x in zip(*[(own, at, n, 0, 0, n, n, False) for own, at, n in lines_of])]
+    held = places._sums(*args)
+    monkeypatch.setattr(places, "AT_ONCE", 5)
+    assert places._sums(*args) == held and len(held) == len(lines_of) and len(places._sums(*(a.slice(0, 0) for a in args))) == 0
